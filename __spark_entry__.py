@@ -178,39 +178,45 @@ def sft_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- inference ---------------------------------------------------------------
 
 
-def _text_generator(**_options):
-    """A stand-in for a model: some answers have reasoning, some do not."""
+def _stand_ins():
+    """Stand-ins for a model, nested so that tasks get them by value."""
 
-    def answer(prompts: list[str]) -> list[str]:
-        with_reasoning = "\n {} characters\n</think>\n\n{}"
-        return [
-            with_reasoning.format(len(p), p.replace(" ", "_")) if len(p) % 3 else "\n" + p
-            for p in prompts
-        ]
+    def text_generator(**_options):
+        """Some answers have reasoning, some do not."""
 
-    return answer
+        def answer(prompts: list[str]) -> list[str]:
+            with_reasoning = "\n {} characters\n</think>\n\n{}"
+            return [
+                with_reasoning.format(len(p), p.replace(" ", "_")) if len(p) % 3 else "\n" + p
+                for p in prompts
+            ]
 
+        return answer
 
-def _id_generator(**_options):
-    """Returns left-padded prompt ids and new ids, as a decoder-only model does."""
+    def id_generator(**_options):
+        """Returns left-padded prompt ids and new ids, as a decoder-only model does."""
 
-    def answer(prompts: list[str]) -> list[tuple[int, list[int]]]:
-        width = max(map(len, prompts))
-        results = []
-        for p in prompts:
-            ids = [ord(c) for c in p]
-            reasoning = [ord(c) for c in f"\n{len(p)}"] + [151668] if len(p) % 3 else []
-            results.append((width, [0] * (width - len(p)) + ids + reasoning + ids))
-        return results
+        def answer(prompts: list[str]) -> list[tuple[int, list[int]]]:
+            width = max(map(len, prompts))
+            results = []
+            for p in prompts:
+                ids = [ord(c) for c in p]
+                reasoning = [ord(c) for c in f"\n{len(p)}"] + [151668] if len(p) % 3 else []
+                results.append((width, [0] * (width - len(p)) + ids + reasoning + ids))
+            return results
 
-    return answer
+        return answer
 
+    def id_decoder():
+        def decode(batch: list[list[int]]) -> list[str]:
+            return ["".join(chr(i) for i in ids if i != 151668) for ids in batch]
 
-def _id_decoder():
-    def decode(batch: list[list[int]]) -> list[str]:
-        return ["".join(chr(i) for i in ids if i != 151668) for ids in batch]
+        return decode
 
-    return decode
+    return text_generator, id_generator, id_decoder
+
+
+_text_generator, _id_generator, _id_decoder = _stand_ins()
 
 
 def prompt_build(spark: SparkSession, sf_dir: str) -> DataFrame:
