@@ -1,9 +1,17 @@
+import os
+from pathlib import Path
+
 import pytest
 from pyspark.sql import SparkSession
 
+HERE = Path(__file__).resolve().parent
+
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
+    # The tasks of a local session import the package and the test modules from here.
+    paths = [str(HERE.parent), str(HERE), os.environ.get("PYTHONPATH", "")]
+    os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, paths))
     builder = (
         SparkSession.builder.master("local[8]")
         .config("spark.sql.shuffle.partitions", "8")

@@ -1,0 +1,151 @@
+import pyarrow as pa
+import pytest
+
+from turnloom import load_eval, load_saved_split, load_split, load_splits, parse_splits, prepare_sft
+from turnloom.plans import scratch
+from turnloom.streaming.incremental import generate_new, new_files, render_new
+
+ROWS = [(1, 'a "quoted",\nline'), (2, " é ")]
+
+
+def test_split_names():
+    assert parse_splits() == ["train", "test"]
+    assert parse_splits(" train , test,extra") == ["train", "test", "extra"]
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "orc", "json", "csv"])
+def test_formats(spark, tmp_path, fmt):
+    df = spark.createDataFrame(ROWS, "id long, text string")
+    writer = df.write.format(fmt)
+    if fmt == "csv":
+        writer = writer.options(header="true", escape='"', ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false")
+    writer.save(str(tmp_path / "train"))
+    got = load_split(spark, str(tmp_path), "train", fmt, schema=df.schema)
+    assert sorted(map(tuple, got.collect())) == ROWS
+
+
+def test_text_lines_become_the_text_column(spark, tmp_path):
+    (tmp_path / "train").write_text("one\ntwo\n")
+    df = load_split(spark, str(tmp_path), "train", "text")
+    assert [r["text"] for r in df.collect()] == ["one", "two"]
+
+
+def test_missing_path_and_unknown_format_raise(spark, tmp_path):
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        load_split(spark, str(tmp_path), "train")
+    with pytest.raises(ValueError, match="unknown format"):
+        load_split(spark, str(tmp_path), "train", "xml")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        prepare_sft(spark, str(tmp_path))
+
+
+def test_splits_from_a_mapping(spark):
+    df = spark.range(1)
+    assert load_splits(spark, {"train": df, "other": df}, "train") == {"train": df}
+    with pytest.raises(KeyError, match="test"):
+        load_splits(spark, {"train": df})
+
+
+def test_prepare_from_folders(spark, tmp_path):
+    for name, text in (("train", "a"), ("test", "b")):
+        spark.createDataFrame([(1, text)], "id long, text string").write.json(str(tmp_path / name))
+    train, valid = prepare_sft(spark, str(tmp_path), fmt="json", key="id")
+    assert (train.head()["content"], valid.head()["content"]) == ("a", "b")
+
+
+def test_evaluation_set(spark, tmp_path):
+    path = tmp_path / "plain_text" / "validation"
+    spark.createDataFrame(ROWS, "id long, text string").write.parquet(str(path))
+    assert load_eval(spark, str(tmp_path), "plain_text").count() == 2
+    with pytest.raises(KeyError, match="no column 'body'"):
+        load_eval(spark, str(tmp_path), "plain_text", text="body")
+
+
+def save_split(folder, tables):
+    folder.mkdir(parents=True)
+    for i, table in enumerate(tables):
+        name = folder / f"data-{i:05d}-of-{len(tables):05d}.arrow"
+        with pa.OSFile(str(name), "wb") as f, pa.ipc.new_stream(f, table.schema) as writer:
+            writer.write_table(table, max_chunksize=2)
+    (folder / "state.json").write_text("{}")
+
+
+def test_saved_split(spark, tmp_path):
+    turn = {"role": "user", "content": "x"}
+    tables = [
+        pa.table({"id": [1, 2, 3], "messages": [[turn], [turn, turn], [turn]]}).replace_schema_metadata({"x": "y"}),
+        pa.table({"id": [4], "messages": [[turn]]}),
+    ]
+    save_split(tmp_path / "train", tables)
+    df = load_saved_split(spark, str(tmp_path), "train")
+    assert df.rdd.getNumPartitions() == 2
+    assert sorted(r["id"] for r in df.collect()) == [1, 2, 3, 4]
+    train, valid = prepare_sft(spark, str(tmp_path), "train", "chatml", key="id", fmt="saved", holdout=0.5)
+    rows = train.union(valid).orderBy("id").collect()
+    assert [r["content"] for r in rows] == ["user\nx\n", "user\nx\nuser\nx\n", "user\nx\n", "user\nx\n"]
+
+
+def test_saved_split_must_exist(spark, tmp_path):
+    with pytest.raises(Exception, match="FileNotFoundError"):
+        load_saved_split(spark, str(tmp_path), "train")
+    (tmp_path / "train").mkdir()
+    with pytest.raises(Exception, match="no .arrow files"):
+        load_saved_split(spark, str(tmp_path), "train")
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
+    class Conf:
+        def get(self, name, default=None):
+            return {"spark.master": "yarn"}.get(name, default)
+
+    class Session:
+        conf = Conf()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch.scratch_dir(Session())
+    assert scratch.scratch_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+# --- files that keep arriving ------------------------------------------------------
+
+
+def test_render_new_files_once(spark, tmp_path):
+    src, out, done = (str(tmp_path / d) for d in ("src", "out", "done"))
+    schema = "id long, question string, answer string"
+    for i in range(2):
+        spark.createDataFrame([(i, f" q{i}", "a")], schema).write.mode("append").parquet(src)
+        render_new(new_files(spark, src, schema), out, done, "chatml", key=["id"])
+        render_new(new_files(spark, src, schema), out, done, "chatml", key=["id"])
+        rows = spark.read.parquet(out).orderBy("id").collect()
+        assert [r["content"] for r in rows] == [f"user\nq{j}\nassistant\na\n" for j in range(i + 1)]
+
+
+def test_a_cut_off_run_does_not_generate_again(spark, tmp_path):
+    src, out, done = (str(tmp_path / d) for d in ("src", "out", "done"))
+    asked, broken = tmp_path / "asked", tmp_path / "broken"
+    schema = "id long, text string"
+    for i in range(4):
+        spark.createDataFrame([(i, f"t{i}")], schema).coalesce(1).write.mode("append").parquet(src)
+    broken.write_text("2")
+
+    def generator(**options):
+        def answer(prompts):
+            if broken.exists() and any("t2" in p for p in prompts):
+                raise RuntimeError("lost")
+            with open(asked, "a") as f:
+                f.writelines(p.split("\n")[1] + "\n" for p in prompts)
+            return prompts
+
+        return answer
+
+    def run():
+        generate_new(new_files(spark, src, schema, files_per_batch=1), out, done, generator, ["id"])
+
+    with pytest.raises(Exception, match="lost"):
+        run()
+    before = asked.read_text().split()
+    broken.unlink()
+    run()
+    assert sorted(asked.read_text().split()) == ["t0", "t1", "t2", "t3"]
+    assert "t2" not in before and len(before) == 2
+    assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == [0, 1, 2, 3]

@@ -42,10 +42,12 @@ def _up_to_nth(df: DataFrame, key: str, bucket: DataFrame, rest: int) -> DataFra
         .orderBy("key")
         .head()
     )
-    value, taken = F.lit(border["key"]), rest - (border["running"] - border["count"])
+    value, taken = border["key"], rest - (border["running"] - border["count"])
     column = F.col(key)
-    below = F.coalesce(column < value, column.isNull() & value.isNotNull())
-    at = column.eqNullSafe(value)
+    if value is None:
+        below, at = F.lit(False), column.isNull()
+    else:
+        below, at = column.isNull() | (column < F.lit(value)), column == F.lit(value)
     if taken == border["count"]:
         return df.filter(below | at)
     tied, _ = take_by_hash(df.filter(at), df.columns, 0, lambda _: taken)
