@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 
 def whitespace_tokens(text: Column) -> Column:
-    """The non-empty runs between ASCII whitespace."""
-    return F.array_remove(F.split(text, r"\s+"), "")
+    """The non-empty runs between ASCII whitespace.
+
+    The characters are listed because Java matches that faster than ``\\s``.
+    """
+    return F.array_remove(F.split(text, r"[ \t\n\x0B\f\r]+"), "")
 
 
 def truncate(tokens: Column, max_length: int) -> Column:

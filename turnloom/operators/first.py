@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from typing import Any
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnloom.operators.holdout import take_by_hash
-from turnloom.plans.ordered import bucket_bounds, bucket_of, default_buckets
+from turnloom.plans.ordered import default_buckets, key_ranges
 
 _SMALL = 10_000
 
@@ -15,40 +17,44 @@ def first_n(df: DataFrame, n: int, key: str) -> DataFrame:
     """The ``n`` rows with the smallest keys; all rows if there are fewer.
 
     A small ``n`` is one top-k. For a large one the key of the n-th row is found
-    from bucket counts, and the rows up to it are a plain filter, so they never
-    pass through a single task.
+    from the sizes of key ranges, and the rows up to it are a plain filter, so they
+    never pass through a single task.
     """
     if n <= _SMALL:
         return df.orderBy(key).limit(n)
 
-    buckets = default_buckets(df)
-    keys = df.select(F.col(key).alias("key"))
-    bounds = bucket_bounds(keys, ["key"], buckets)
-    bucketed = keys.select("key", bucket_of(F.struct("key"), bounds, buckets).alias("bucket"))
     rest = n
-    for row in bucketed.groupBy("bucket").count().orderBy("bucket").collect():
-        if rest <= row["count"]:
-            return _up_to_nth(df, key, bucketed.filter(F.col("bucket") == row["bucket"]), rest)
-        rest -= row["count"]
+    ranges = key_ranges(df, [key], default_buckets(df)).orderBy("low")
+    for row in ranges.collect():
+        if rest <= row["n"]:
+            return _up_to_nth(df, F.col(key), row["low"][0], row["high"][0], rest)
+        rest -= row["n"]
     return df
 
 
-def _up_to_nth(df: DataFrame, key: str, bucket: DataFrame, rest: int) -> DataFrame:
-    running = F.sum("count").over(Window.partitionBy("bucket").orderBy("key"))
-    border = (
-        bucket.groupBy("bucket", "key").count()
+def _up_to_nth(df: DataFrame, key: Column, low: Any, high: Any, rest: int) -> DataFrame:
+    """All rows below ``low``, and the first ``rest`` from ``low`` to ``high``."""
+    running = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("key"))
+    border = (  # the keys of one range only
+        df.filter(_up_to(key, high) & ~_below(key, low))
+        .groupBy(key.alias("key"))
+        .agg(F.count("*").alias("n"))
         .withColumn("running", running)
         .filter(F.col("running") >= rest)
         .orderBy("key")
         .head()
     )
-    value, taken = border["key"], rest - (border["running"] - border["count"])
-    column = F.col(key)
-    if value is None:
-        below, at = F.lit(False), column.isNull()
-    else:
-        below, at = column.isNull() | (column < F.lit(value)), column == F.lit(value)
-    if taken == border["count"]:
-        return df.filter(below | at)
-    tied, _ = take_by_hash(df.filter(at), df.columns, 0, lambda _: taken)
-    return df.filter(below).unionByName(tied)
+    value, taken = border["key"], rest - (border["running"] - border["n"])
+    if taken == border["n"]:
+        return df.filter(_up_to(key, value))
+    tied, _ = take_by_hash(df.filter(key.eqNullSafe(F.lit(value))), df.columns, 0, lambda _: taken)
+    return df.filter(_below(key, value)).unionByName(tied)
+
+
+def _below(key: Column, value: Any) -> Column:
+    """``key < value`` where NULL is the smallest."""
+    return F.lit(False) if value is None else key.isNull() | (key < F.lit(value))
+
+
+def _up_to(key: Column, value: Any) -> Column:
+    return key.isNull() if value is None else key.isNull() | (key <= F.lit(value))

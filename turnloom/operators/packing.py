@@ -37,30 +37,35 @@ def pack_wrapped(
         rows, ["key", "head"], "n", ties=["value"], sizes=sizes, buckets=buckets
     ).filter(F.col("n") > 0)
 
-    low = F.greatest(F.col("start"), F.col("block") * block_len)
-    high = F.least(F.col("start") + F.col("n"), (F.col("block") + 1) * block_len)
-    touched = F.expr(f"sequence(start div {block_len}, (start + n - 1) div {block_len})")
-    pieces = (
-        placed.withColumn("tokens", tokens_of("value"))
-        .select("*", F.explode(touched).alias("block"))
-        .select(
-            "bucket",
-            "block",
-            low.alias("pos"),
-            F.slice(
-                "tokens", (low - F.col("start") + 1).cast("int"), (high - low).cast("int")
-            ).alias("piece"),
-            (
-                (F.col("block") * block_len >= F.col("bucket_start"))
-                & ((F.col("block") + 1) * block_len <= F.col("bucket_end"))
-            ).alias("inside"),
-        )
+    block, start, n = F.col("block"), F.col("start"), F.col("n")
+    low, high = F.greatest(start, block * block_len), F.least(start + n, (block + 1) * block_len)
+    first, last = F.expr(f"start div {block_len}"), F.expr(f"(start + n - 1) div {block_len}")
+    inside = (block * block_len >= F.col("bucket_start")) & (
+        (block + 1) * block_len <= F.col("bucket_end")
+    )
+    at_the_ends = (first * block_len < F.col("bucket_start")) | (
+        (last + 1) * block_len > F.col("bucket_end")
     )
+
+    def pieces(rows: DataFrame, which: Column) -> DataFrame:
+        skipped, length = (low - start).cast("int"), (high - low).cast("int")
+        return (
+            rows.withColumn("tokens", tokens_of("value"))
+            .select("*", F.explode(F.sequence(first, last)).alias("block"))
+            .filter(which)
+            .select(
+                "bucket",
+                "block",
+                low.alias("pos"),
+                F.slice("tokens", skipped + 1, length).alias("piece"),
+            )
+        )
+
     # A block that lies inside one bucket is complete there and needs no further
     # shuffle; only the at most two blocks at the ends of a bucket do.
-    inside = _assemble(pieces.filter("inside"), "bucket", "block")
-    across = _assemble(pieces.filter(~F.col("inside")), "block")
-    return inside.unionByName(across)
+    whole = _assemble(pieces(placed, inside), "bucket", "block")
+    across = _assemble(pieces(placed.filter(at_the_ends), ~inside), "block")
+    return whole.unionByName(across)
 
 
 def _assemble(pieces: DataFrame, *by: str) -> DataFrame:

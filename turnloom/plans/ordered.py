@@ -18,17 +18,26 @@ def default_buckets(df: DataFrame) -> int:
     return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def bucket_bounds(df: DataFrame, order: Sequence[str], buckets: int) -> Column:
-    """The lowest ordering value of each bucket as one sorted constant array.
+def key_ranges(df: DataFrame, order: Sequence[str], buckets: int) -> DataFrame:
+    """``low, high, n`` of at most ``buckets`` consecutive ranges of the ordering.
 
-    Spark's range partitioner picks the cuts; at most ``buckets`` values come to
-    the driver, and every later plan sees the same ones.
+    Spark's range partitioner picks the cuts; only the ordering columns move.
     """
     ranged = df.select(*order).repartitionByRange(buckets, *order)
-    lows = ranged.groupBy(F.spark_partition_id().alias("part")).agg(
-        F.min(F.struct(*order)).alias("low")
+    return ranged.groupBy(F.spark_partition_id().alias("range")).agg(
+        F.min(F.struct(*order)).alias("low"),
+        F.max(F.struct(*order)).alias("high"),
+        F.count("*").alias("n"),
     )
-    array = lows.agg(F.sort_array(F.collect_list("low")).alias("lows"))
+
+
+def bucket_bounds(df: DataFrame, order: Sequence[str], buckets: int) -> Column:
+    """The lowest ordering value of each bucket as one sorted constant array.
+
+    These few values come to the driver once, so every later plan sees the same.
+    """
+    ranges = key_ranges(df, order, buckets)
+    array = ranges.agg(F.sort_array(F.collect_list("low")).alias("lows"))
     text = array.select(F.to_json("lows")).head()[0]
     return F.sort_array(F.from_json(F.lit(text), array.schema["lows"].dataType))
 
