@@ -309,8 +309,18 @@ def length_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack_wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = tl.pack_wrapped(_table(spark, sf_dir, "documents"), "doc_id", "text", BLOCK_LEN)
-    return blocks.select("block", "n_tokens", F.array_join("tokens", " ").alias("content"))
+    return tl.pack_wrapped(_table(spark, sf_dir, "documents"), "doc_id", "text", BLOCK_LEN)
+
+
+def pack_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of code points."""
+    turns = _table(spark, sf_dir, "conversations").select(
+        F.concat_ws("-", F.lpad(F.col("conv_id").cast("string"), 12, "0"), "turn").alias("id"),
+        F.transform(F.split("text", ""), lambda c: F.ascii(c)).alias("ids"),
+    )
+    blocks = tl.pack_wrapped(turns, "id", "ids")
+    tokens = F.array_join(F.col("tokens").cast("array<string>"), ",")
+    return blocks.select("block", "n_tokens", tokens.alias("tokens"))
 
 
 # --- sources -----------------------------------------------------------------
@@ -372,6 +382,7 @@ def queries() -> dict[str, Query]:
         "truncate_tokens": truncate_tokens,
         "length_statistics": length_statistics,
         "pack_wrapped": pack_wrapped,
+        "pack_ids": pack_ids,
         "load_parquet": _load_as("parquet"),
         "load_orc": _load_as("orc"),
         "load_json": _load_as("json"),
@@ -537,6 +548,16 @@ def oracle_sql() -> dict[str, str]:
             SELECT pos // {BLOCK_LEN} AS block, count(*) AS n_tokens,
                    string_agg(token, ' ' ORDER BY pos) AS content
             FROM placed GROUP BY pos // {BLOCK_LEN}""",
+        "pack_ids": """
+            WITH tokens AS (
+                SELECT conv_id, turn, unnest(string_split(text, '')) AS token,
+                       generate_subscripts(string_split(text, ''), 1) AS i FROM conversations),
+            placed AS (
+                SELECT unicode(token) AS id,
+                       row_number() OVER (ORDER BY conv_id, turn, i) - 1 AS pos FROM tokens)
+            SELECT pos // 2048 AS block, count(*) AS n_tokens,
+                   string_agg(id::VARCHAR, ',' ORDER BY pos) AS tokens
+            FROM placed GROUP BY pos // 2048""",
         "load_text": "SELECT unnest(string_split(text, chr(10))) AS text FROM documents",
     }
     for fmt in ("parquet", "orc", "json", "csv"):

@@ -46,7 +46,10 @@ def pack(rows, block_len):
 
 
 def packed(df, block_len, buckets=None):
-    rows = pack_wrapped(df, "id", "value", block_len, buckets).orderBy("block").collect()
+    blocks = pack_wrapped(df, "id", "value", block_len, buckets)
+    if "content" in blocks.columns:
+        blocks = blocks.withColumn("tokens", F.split("content", " "))
+    rows = blocks.orderBy("block").collect()
     assert [r["block"] for r in rows] == list(range(len(rows)))
     assert [r["n_tokens"] for r in rows] == [len(r["tokens"]) for r in rows]
     return [r["tokens"] for r in rows]

@@ -24,17 +24,19 @@ def collect_messages(
     text: str = "text",
     max_messages: int = MAX_MESSAGES,
 ) -> DataFrame:
-    """``conv, part, is_last, messages`` with the messages in turn order.
+    """``conv, part, is_last, messages``, messages being ``{turn, role, content}``.
 
-    Equal turns are ordered by role and text. A conversation of up to
-    ``max_messages`` is one row, part 0; a longer one has several parts.
+    They are in turn order; equal turns are ordered by role and text. A
+    conversation of up to ``max_messages`` is one row, part 0; a longer one has
+    several parts.
     """
     rows, long = _split_long(df, conv, turn, role, text, max_messages)
-    messages = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
-    short = rows.groupBy("conv").agg(
+    rows = rows.withColumnRenamed("text", "content")
+    # Collecting on the map side would only sort the rows twice.
+    short = rows.repartition("conv").groupBy("conv").agg(
         F.lit(0).cast("long").alias("part"),
         F.lit(True).alias("is_last"),
-        F.transform(messages, lambda m: _message(m["role"], m["text"])).alias("messages"),
+        F.sort_array(F.collect_list(F.struct("turn", "role", "content"))).alias("messages"),
     )
     if long is None:
         return short.withColumnRenamed("conv", conv)
@@ -45,24 +47,20 @@ def collect_messages(
     touched = F.expr(
         f"sequence(start div {max_messages}, (start + copies - 1) div {max_messages})"
     )
-    items = F.sort_array(F.collect_list(F.struct("pos", "times", "role", "text")))
+    message = F.struct("turn", "role", F.col("text").alias("content")).alias("message")
     parts = (
-        placed.select("conv", "n", "role", "text", "start", "copies", F.explode(touched).alias("part"))
+        placed.select("conv", "n", "start", "copies", message, F.explode(touched).alias("part"))
         .select(
-            "conv", "n", "part", "role", "text",
-            low.alias("pos"), (high - low).cast("int").alias("times"),
+            "conv", "n", "part", low.alias("pos"), (high - low).cast("int").alias("times"), "message"
         )
         .groupBy("conv", "n", "part")
-        .agg(items.alias("items"))
+        .agg(F.sort_array(F.collect_list(F.struct("pos", "times", "message"))).alias("items"))
         .select(
             "conv",
             "part",
             F.expr(f"part = (n - 1) div {max_messages}").alias("is_last"),
             F.flatten(
-                F.transform(
-                    "items",
-                    lambda i: F.array_repeat(_message(i["role"], i["text"]), i["times"]),
-                )
+                F.transform("items", lambda i: F.array_repeat(i["message"], i["times"]))
             ).alias("messages"),
         )
     )
@@ -104,10 +102,6 @@ def collect_pairs(
     return pairs.withColumnsRenamed({"conv": conv, "turn": turn})
 
 
-def _message(role, text):
-    return F.struct(role.alias("role"), text.alias("content"))
-
-
 def _adjacent(rows: DataFrame, order) -> DataFrame:
     following = F.lead(F.struct("role", "text")).over(order)
     return (
@@ -143,8 +137,8 @@ def _split_long(
     is_long = F.col("conv").eqNullSafe(F.col("long_conv"))
     long = (
         rows.join(known, is_long)
-        .groupBy("conv", "turn", "role", "text")
-        .agg(F.first("n").alias("n"), F.count("*").alias("copies"))
+        .groupBy("conv", "n", "turn", "role", "text")
+        .agg(F.count("*").alias("copies"))
         .withColumn("head", F.substring("text", 1, 32))
     )
     return rows.join(known, is_long, "left_anti"), scratch_table(long, "long-turns")

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from turnloom.plans.scratch import scratch_table
 
-_DIGITS = 3  # hex digits per histogram: at most 4096 rows reach the driver
-_SMALL = 4096  # hash values that are listed one by one
+_DIGITS = 4  # hex digits per histogram: at most 65536 rows reach the driver
+_SMALL = 100_000  # hash values that are listed one by one
 
 
 @dataclass(frozen=True)
@@ -88,24 +88,18 @@ def _seeded_hash(columns: Sequence[str], seed: int) -> Column:
 def _find_border(hashes: DataFrame, wanted: Callable[[int], int]) -> _Border:
     """Walk down the hash prefixes to the value that holds the last wanted row."""
     prefix, need = "", None
-    while True:
-        below = hashes.filter(F.col("h").startswith(prefix))
-        histogram = (
-            below.groupBy(F.substring("h", 1, len(prefix) + _DIGITS).alias("bucket"))
-            .agg(F.count("*").alias("n"), F.min("h").alias("low"), F.max("h").alias("high"))
-            .orderBy("bucket")
-            .collect()
-        )
+    while need is None or (row["n"] > _SMALL and len(prefix) < 2 * _DIGITS):
+        left = hashes.filter(F.col("h").startswith(prefix)) if prefix else hashes
+        bucket = F.substring("h", 1, len(prefix) + _DIGITS).alias("bucket")
+        rows = left.groupBy(bucket).agg(F.count("*").alias("n")).orderBy("bucket").collect()
         if need is None:
-            need = wanted(sum(row["n"] for row in histogram))
-        row, need = _locate(histogram, need)
-        if row["low"] == row["high"]:
-            return _Border(row["low"], need, row["n"])
+            need = wanted(sum(row["n"] for row in rows))
+        row, need = _locate(rows, need)
         prefix = row["bucket"]
-        if row["n"] <= _SMALL:
-            listed = hashes.filter(F.col("h").startswith(prefix)).groupBy("h")
-            row, need = _locate(listed.agg(F.count("*").alias("n")).orderBy("h").collect(), need)
-            return _Border(row["h"], need, row["n"])
+    # Few different values are left: a small bucket, or one in 2^32 of all values.
+    listed = hashes.filter(F.col("h").startswith(prefix)).groupBy("h")
+    row, need = _locate(listed.agg(F.count("*").alias("n")).orderBy("h").collect(), need)
+    return _Border(row["h"], need, row["n"])
 
 
 def _locate(rows, need: int):

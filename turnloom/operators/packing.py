@@ -16,9 +16,10 @@ def pack_wrapped(
 ) -> DataFrame:
     """Concatenate all sequences in key order and cut blocks of ``block_len``.
 
-    ``value`` is a text column (whitespace tokens) or an array of tokens. Returns
-    ``block, n_tokens, tokens``; only the last block may be shorter. Rows with the
-    same key are ordered by their value.
+    ``value`` is a text column, cut at whitespace, or an array of tokens. Returns
+    ``block, n_tokens`` and ``content`` (the tokens joined by single spaces) or, for
+    arrays, ``tokens``. Only the last block may be shorter. Rows with the same key
+    are ordered by their value.
     """
     is_text = isinstance(df.schema[value].dataType, T.StringType)
 
@@ -49,6 +50,7 @@ def pack_wrapped(
 
     def pieces(rows: DataFrame, which: Column) -> DataFrame:
         skipped, length = (low - start).cast("int"), (high - low).cast("int")
+        piece = F.slice("tokens", skipped + 1, length)
         return (
             rows.withColumn("tokens", tokens_of("value"))
             .select("*", F.explode(F.sequence(first, last)).alias("block"))
@@ -57,22 +59,26 @@ def pack_wrapped(
                 "bucket",
                 "block",
                 low.alias("pos"),
-                F.slice("tokens", skipped + 1, length).alias("piece"),
+                length.alias("length"),
+                (F.array_join(piece, " ") if is_text else piece).alias("piece"),
             )
         )
 
+    def blocks(rows: DataFrame, *by: str) -> DataFrame:
+        parts = F.sort_array(F.collect_list(F.struct("pos", "piece")))
+        in_order = F.transform(parts, lambda p: p["piece"])
+        whole = F.array_join(in_order, " ") if is_text else F.flatten(in_order)
+        return (
+            rows.groupBy(*by)
+            .agg(
+                F.sum("length").cast("long").alias("n_tokens"),
+                whole.alias("content" if is_text else "tokens"),
+            )
+            .drop("bucket")
+        )
+
     # A block that lies inside one bucket is complete there and needs no further
     # shuffle; only the at most two blocks at the ends of a bucket do.
-    whole = _assemble(pieces(placed, inside), "bucket", "block")
-    across = _assemble(pieces(placed.filter(at_the_ends), ~inside), "block")
-    return whole.unionByName(across)
-
-
-def _assemble(pieces: DataFrame, *by: str) -> DataFrame:
-    parts = F.sort_array(F.collect_list(F.struct("pos", "piece")))
-    tokens = F.flatten(F.transform(parts, lambda p: p["piece"]))
-    return (
-        pieces.groupBy(*by)
-        .agg(tokens.alias("tokens"))
-        .select("block", F.size("tokens").cast("long").alias("n_tokens"), "tokens")
-    )
+    within = blocks(pieces(placed, inside), "bucket", "block")
+    across = blocks(pieces(placed.filter(at_the_ends), ~inside), "block")
+    return within.unionByName(across)

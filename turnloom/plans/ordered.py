@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+_SAMPLED_PER_BUCKET = 1000
+
 
 def default_buckets(df: DataFrame) -> int:
     return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -23,21 +25,28 @@ def key_ranges(df: DataFrame, order: Sequence[str], buckets: int) -> DataFrame:
 
     Spark's range partitioner picks the cuts; only the ordering columns move.
     """
+
+    if len(order) == 1:  # plain values can be hash-aggregated, structs cannot
+        value = F.col(order[0])
+        low = F.when(F.count(value) == F.count("*"), F.min(value))  # NULL comes first
+        low, high = (F.struct(v.alias(order[0])) for v in (low, F.max(value)))
+    else:
+        low, high = F.min(F.struct(*order)), F.max(F.struct(*order))
     ranged = df.select(*order).repartitionByRange(buckets, *order)
     return ranged.groupBy(F.spark_partition_id().alias("range")).agg(
-        F.min(F.struct(*order)).alias("low"),
-        F.max(F.struct(*order)).alias("high"),
-        F.count("*").alias("n"),
+        low.alias("low"), high.alias("high"), F.count("*").alias("n")
     )
 
 
 def bucket_bounds(df: DataFrame, order: Sequence[str], buckets: int) -> Column:
     """The lowest ordering value of each bucket as one sorted constant array.
 
-    These few values come to the driver once, so every later plan sees the same.
+    Any values are right, a sample finds even ones. They come to the driver once,
+    so that every later plan sees the same.
     """
-    ranges = key_ranges(df, order, buckets)
-    array = ranges.agg(F.sort_array(F.collect_list("low")).alias("lows"))
+    share = _SAMPLED_PER_BUCKET * buckets / max(df.count(), 1)
+    sample = df.select(*order).sample(share, seed=0) if share < 1 else df
+    array = key_ranges(sample, order, buckets).agg(F.sort_array(F.collect_list("low")).alias("lows"))
     text = array.select(F.to_json("lows")).head()[0]
     return F.sort_array(F.from_json(F.lit(text), array.schema["lows"].dataType))
 

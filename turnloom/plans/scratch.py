@@ -33,7 +33,9 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path below one folder per application, which can be deleted after it."""
+    application = spark.sparkContext.applicationId
+    return f"{scratch_dir(spark)}/turnloom-{application}/{name}-{uuid.uuid4().hex}"
 
 
 def scratch_table(df: DataFrame, name: str) -> DataFrame:
