@@ -21,6 +21,9 @@ JSON_CASES = [
     ('[{"role":"user","content":"x"}] rest', None, None),
     ('[{"role":"user","content":"x"}] [1]', None, None),
     ('[{"role":"user","content":"x"}],"more":[2]', None, None),
+    ('[{"role":"user","content":"x"}],[]', None, None),
+    ('[{"role":"user","content":"x"}]]', None, None),
+    ('[[{"role":"user","content":"x"}]]', None, None),
     ('[{"role":"user","content":"x"}]}', None, None),
     ('[{"role":"user","content":"x"},]', None, None),
     ("[{'role':'user','content':'x'}]", None, None),

@@ -8,33 +8,37 @@ from pyspark.sql import functions as F
 from turnloom.functions.strings import strip
 from turnloom.functions.templates import ChatTemplate
 
-_DECODED = "messages array<struct<role:variant,content:variant>>, complete boolean"
+_WRAPPED = "values array<array<struct<role:variant,content:variant>>>, complete boolean"
 
 
-def decode_messages(text: Column) -> Column:
-    """A JSON array of ``{role, content}`` objects as an array of structs.
+def parse_messages(text: Column) -> Column:
+    """Step one of reading JSON messages; keep the result in a column of its own.
 
-    NULL when the text is not exactly one JSON array. A role or content that is
-    missing, null or not a JSON string becomes NULL, so rendering rejects it.
     Spark's JSON reader stops at the end of the first value and would accept
-    anything behind it; wrapping the text in an object makes such a rest a
-    syntax error, and ``complete`` shows that the whole wrapper was read. Only a
-    text that could hold a second key behind the array has its keys counted.
+    anything behind it. As the one item of an array in a larger object, such a
+    rest is a syntax error or a second item.
+    """
+    wrapped = F.concat(F.lit('{"values":['), text, F.lit('],"complete":true}'))
+    return F.from_json(wrapped, _WRAPPED, {"allowSingleQuotes": "false"})
+
+
+def parsed_messages(parsed: Column) -> Column:
+    """Step two: an array of ``{role, content}``.
+
+    NULL when the text was not exactly one JSON array of objects. A role or content
+    that is missing, null or not a JSON string becomes NULL, so rendering rejects it.
     """
-    wrapped = F.concat(F.lit('{"messages":'), text, F.lit(',"complete":true}'))
-    parsed = F.from_json(wrapped, _DECODED, {"allowSingleQuotes": "false"})
 
     def as_string(value: Column) -> Column:
         return F.when(F.schema_of_variant(value) == "STRING", value.cast("string"))
 
-    messages = F.transform(
-        parsed["messages"],
-        lambda m: F.struct(
+    def message(m: Column) -> Column:
+        return F.struct(
             as_string(m["role"]).alias("role"), as_string(m["content"]).alias("content")
-        ),
-    )
-    one_value = ~text.rlike(r'\]\s*,\s*"') | (F.size(F.json_object_keys(wrapped)) == 2)
-    return F.when(parsed["complete"] & one_value, messages)
+        )
+
+    one_value = parsed["complete"] & (F.size(parsed["values"]) == 1)
+    return F.when(one_value, F.transform(F.get(parsed["values"], F.lit(0)), message))
 
 
 def pair_messages(question: Column, answer: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -62,11 +62,10 @@ def to_content(
         no_error = [F.lit(None).cast("string").alias("error")]
         return df.select(*keys, content, *(no_error if on_error == "quarantine" else []))
 
-    messages, reason = _messages(df, layout)
-    pieces = chat.render_pieces(F.col("__messages"), chat_template)
-    rendered = df.select(*keys, messages.alias("__messages")).select(
-        *keys, pieces.alias("__pieces")
-    )
+    source, messages, reason = _messages(df, layout)
+    pieces = chat.render_pieces(messages(F.col("__source")), chat_template)
+    # Each step is a column of its own, so nothing is parsed or rendered twice.
+    rendered = df.select(*keys, source.alias("__source")).select(*keys, pieces.alias("__pieces"))
     good = chat.is_renderable(F.col("__pieces"))
     text = chat.join_pieces(F.col("__pieces"), chat_template, generation_prompt)
     if on_error == "raise":
@@ -79,22 +78,31 @@ def to_content(
     )
 
 
-def _messages(df: DataFrame, layout: Layout) -> tuple[Column, str]:
+def _messages(
+    df: DataFrame, layout: Layout
+) -> tuple[Column, Callable[[Column], Column], str]:
+    """What to read, how to get messages from it, and what to say if that fails."""
     if layout.columns != ("messages",):
         for name in layout.columns:
             if not isinstance(df.schema[name].dataType, T.StringType):
                 raise TypeError(f"column {name} must be a string, not {df.schema[name].dataType}")
-        return chat.pair_messages(*[F.col(c) for c in layout.columns]), "pair cannot be rendered"
+        pair = chat.pair_messages(*[F.col(c) for c in layout.columns])
+        return pair, _unchanged, "pair cannot be rendered"
 
     kind = df.schema["messages"].dataType
     if isinstance(kind, T.StringType):
         reason = "messages is not a non-empty JSON array of {role, content} strings"
-        return chat.decode_messages(F.col("messages")), reason
+        return chat.parse_messages(F.col("messages")), chat.parsed_messages, reason
     if isinstance(kind, T.ArrayType) and _has_turns(kind.elementType):
-        return F.col("messages"), "messages is null, empty, or has a null role or content"
+        reason = "messages is null, empty, or has a null role or content"
+        return F.col("messages"), _unchanged, reason
     raise TypeError(f"messages must be JSON text or an array of {{role, content}}, not {kind}")
 
 
+def _unchanged(messages: Column) -> Column:
+    return messages
+
+
 def _has_turns(element: T.DataType) -> bool:
     if isinstance(element, T.MapType):
         return True
