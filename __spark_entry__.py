@@ -19,6 +19,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 BLOCK_LEN = 128
 MAX_TOKENS = 512
+PART_LEN = 3
 FIRST = 50
 FIRST_MANY = 12_000
 END_OF_SENTENCE = 46  # the code point of "."
@@ -40,13 +41,6 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tl.collect_pairs(_table(spark, sf_dir, "conversations"), "conv_id")
 
 
-def _with_prompt(df: DataFrame, template: str) -> DataFrame:
-    """Render; only the last part of a conversation asks for an answer."""
-    key = ["conv_id", "part"]
-    last = tl.to_content(df.filter("is_last"), template, key=key, generation_prompt=True)
-    return last.unionByName(tl.to_content(df.filter("NOT is_last"), template, key=key))
-
-
 # --- conversations to text ---------------------------------------------------
 
 
@@ -64,11 +58,15 @@ def messages_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def messages_chatml_genprompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _with_prompt(_messages(spark, sf_dir), "chatml")
+    """Only the last part of a conversation asks for an answer."""
+    messages = _messages(spark, sf_dir)
+    return tl.to_content(messages, "chatml", key=["conv_id", "part"], generation_prompt="is_last")
 
 
 def messages_zephyr_genprompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _with_prompt(_messages(spark, sf_dir), "zephyr")
+    """Only the last part of a conversation asks for an answer."""
+    messages = _messages(spark, sf_dir)
+    return tl.to_content(messages, "zephyr", key=["conv_id", "part"], generation_prompt="is_last")
 
 
 def messages_json_chatml(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,6 +99,20 @@ def dialogue_soap_zephyr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tl.to_content(padded, "zephyr", key=["conv_id", "turn"])
 
 
+def messages_in_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations longer than three messages come in parts, as very long ones do."""
+    turns = _table(spark, sf_dir, "conversations")
+    parts = tl.collect_messages(turns, "conv_id", max_messages=PART_LEN)
+    return tl.to_content(parts, "chatml", key=["conv_id", "part"], generation_prompt="is_last")
+
+
+def qa_in_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs across the borders of such parts are found, too."""
+    turns = _table(spark, sf_dir, "conversations")
+    pairs = tl.collect_pairs(turns, "conv_id", max_messages=PART_LEN)
+    return tl.to_content(pairs, "zephyr", key=["conv_id", "turn"])
+
+
 def layout_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All layouts at once, templating on: ``messages`` wins."""
     return tl.to_content(_all_layouts(spark, sf_dir), "chatml", key=["conv_id", "part"])
@@ -315,7 +327,7 @@ def pack_wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pack_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of code points."""
     turns = _table(spark, sf_dir, "conversations").select(
-        F.concat_ws("-", F.lpad(F.col("conv_id").cast("string"), 12, "0"), "turn").alias("id"),
+        F.format_string("%020d-%020d", "conv_id", "turn").alias("id"),
         F.transform(F.split("text", ""), lambda c: F.ascii(c)).alias("ids"),
     )
     blocks = tl.pack_wrapped(turns, "id", "ids")
@@ -359,6 +371,8 @@ def queries() -> dict[str, Query]:
         "messages_json_quarantine": messages_json_quarantine,
         "qa_chatml": qa_chatml,
         "dialogue_soap_zephyr": dialogue_soap_zephyr,
+        "messages_in_parts": messages_in_parts,
+        "qa_in_parts": qa_in_parts,
         "layout_priority": layout_priority,
         "layout_templating_off": layout_templating_off,
         "text_passthrough": text_passthrough,
@@ -393,13 +407,16 @@ def queries() -> dict[str, Query]:
 
 # --- oracles -----------------------------------------------------------------
 
-# Every conversation in parts of 4096 messages.
-_PARTS = """
+def _parts(length: int) -> str:
+    """Every conversation in parts of ``length`` messages."""
+    return f"""
     SELECT conv_id, turn, role, text,
-           (row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1) // 4096 AS part,
-           (count(*) OVER (PARTITION BY conv_id) - 1) // 4096 AS last_part
+           (row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1) // {length} AS part,
+           (count(*) OVER (PARTITION BY conv_id) - 1) // {length} AS last_part
     FROM conversations"""
 
+
+_PARTS = _parts(4096)
 _CHATML = "role || chr(10) || text || chr(10)"
 _ZEPHYR = (
     "CASE WHEN role IN ('user', 'system', 'assistant') "
@@ -426,12 +443,12 @@ _PAIR_ZEPHYR = (
 _TOKENS = r"list_filter(string_split_regex(text, '[\s\x0b]+'), lambda t: t <> '')"
 
 
-def _rendered(piece: str, suffix: str = "''") -> str:
+def _rendered(piece: str, suffix: str = "''", parts: str = _PARTS) -> str:
     return f"""
     SELECT conv_id, part,
            string_agg({piece}, '' ORDER BY turn, role, text)
              || CASE WHEN part = max(last_part) THEN {suffix} ELSE '' END AS content
-    FROM ({_PARTS}) GROUP BY conv_id, part"""
+    FROM ({parts}) GROUP BY conv_id, part"""
 
 
 def _held_out(source: str, seed: int) -> str:
@@ -478,6 +495,8 @@ def oracle_sql() -> dict[str, str]:
             FROM ({_PARTS}) GROUP BY conv_id, part""",
         "qa_chatml": f"SELECT conv_id, turn, {_PAIR_CHATML} AS content FROM ({_PAIRS})",
         "dialogue_soap_zephyr": f"SELECT conv_id, turn, {_PAIR_ZEPHYR} AS content FROM ({_PAIRS})",
+        "messages_in_parts": _rendered(_CHATML, "'assistant' || chr(10)", _parts(PART_LEN)),
+        "qa_in_parts": f"SELECT conv_id, turn, {_PAIR_ZEPHYR} AS content FROM ({_PAIRS})",
         "layout_priority": chatml,
         "layout_templating_off": f"""
             SELECT conv_id, part, string_agg(text, ' ' ORDER BY turn, role, text) AS content
@@ -540,21 +559,24 @@ def oracle_sql() -> dict[str, str]:
                    sum(least(n, {MAX_TOKENS}))::BIGINT AS kept_tokens
             FROM (SELECT len({_TOKENS}) AS n FROM documents)""",
         "pack_wrapped": f"""
-            WITH tokens AS (
-                SELECT doc_id, text, unnest({_TOKENS}) AS token,
-                       generate_subscripts({_TOKENS}, 1) AS i FROM documents),
-            placed AS (
-                SELECT token, row_number() OVER (ORDER BY doc_id, text, i) - 1 AS pos FROM tokens)
+            WITH rows AS (
+                SELECT row_number() OVER (ORDER BY doc_id, text) AS nr, {_TOKENS} AS tokens
+                FROM documents),
+            tokens AS (
+                SELECT nr, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS i FROM rows),
+            placed AS (SELECT token, row_number() OVER (ORDER BY nr, i) - 1 AS pos FROM tokens)
             SELECT pos // {BLOCK_LEN} AS block, count(*) AS n_tokens,
                    string_agg(token, ' ' ORDER BY pos) AS content
             FROM placed GROUP BY pos // {BLOCK_LEN}""",
         "pack_ids": """
-            WITH tokens AS (
-                SELECT conv_id, turn, unnest(string_split(text, '')) AS token,
-                       generate_subscripts(string_split(text, ''), 1) AS i FROM conversations),
+            WITH rows AS (
+                SELECT row_number() OVER (ORDER BY conv_id, turn, text) AS nr,
+                       string_split(text, '') AS tokens FROM conversations),
+            tokens AS (
+                SELECT nr, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS i FROM rows),
             placed AS (
-                SELECT unicode(token) AS id,
-                       row_number() OVER (ORDER BY conv_id, turn, i) - 1 AS pos FROM tokens)
+                SELECT unicode(token) AS id, row_number() OVER (ORDER BY nr, i) - 1 AS pos
+                FROM tokens)
             SELECT pos // 2048 AS block, count(*) AS n_tokens,
                    string_agg(id::VARCHAR, ',' ORDER BY pos) AS tokens
             FROM placed GROUP BY pos // 2048""",

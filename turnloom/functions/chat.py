@@ -67,9 +67,10 @@ def is_renderable(pieces: Column) -> Column:
     return F.coalesce((F.size(pieces) > 0) & ~bad, F.lit(False))
 
 
-def join_pieces(pieces: Column, template: ChatTemplate, generation_prompt: bool = False) -> Column:
+def join_pieces(pieces: Column, template: ChatTemplate, asks: Column) -> Column:
+    """The whole text, with the generation prompt at its end where ``asks`` is true."""
     text = F.array_join(pieces, "")
-    return F.concat(text, F.lit(template.generation_prompt)) if generation_prompt else text
+    return F.when(asks, F.concat(text, F.lit(template.generation_prompt))).otherwise(text)
 
 
 def render_prompt(text: Column, template: ChatTemplate) -> Column:

@@ -43,11 +43,14 @@ def to_content(
     template: str | ChatTemplate = "none",
     text_field: str | None = None,
     key: Sequence[str] = (),
-    generation_prompt: bool = False,
+    generation_prompt: bool | str = False,
     on_error: str = "raise",
 ) -> DataFrame:
     """``key..., content`` from whichever layout ``df`` has.
 
+    ``generation_prompt`` asks for an answer at the end of every conversation, or of
+    those where the boolean column of that name is true.
+
     Messages that cannot be rendered fail the job. With ``on_error="quarantine"``
     every row stays, and an ``error`` column says why its content is NULL.
     """
@@ -56,6 +59,7 @@ def to_content(
     chat_template = get_template(template)
     layout = choose_layout(df.columns, chat_template is not None, text_field)
     keys = [F.col(k) for k in key]
+    asks = F.col(generation_prompt) if isinstance(generation_prompt, str) else F.lit(generation_prompt)
 
     if not layout.templated:
         content = F.col(layout.columns[0]).alias("content")
@@ -65,9 +69,10 @@ def to_content(
     source, messages, reason = _messages(df, layout)
     pieces = chat.render_pieces(messages(F.col("__source")), chat_template)
     # Each step is a column of its own, so nothing is parsed or rendered twice.
-    rendered = df.select(*keys, source.alias("__source")).select(*keys, pieces.alias("__pieces"))
+    read = df.select(*keys, asks.alias("__asks"), source.alias("__source"))
+    rendered = read.select(*keys, "__asks", pieces.alias("__pieces"))
     good = chat.is_renderable(F.col("__pieces"))
-    text = chat.join_pieces(F.col("__pieces"), chat_template, generation_prompt)
+    text = chat.join_pieces(F.col("__pieces"), chat_template, F.col("__asks"))
     if on_error == "raise":
         failure = F.raise_error(F.lit(reason)).cast("string")
         return rendered.select(*keys, F.when(good, text).otherwise(failure).alias("content"))

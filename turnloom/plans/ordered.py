@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _SAMPLED_PER_BUCKET = 1000
+_MAX_DEFAULT_BUCKETS = 16_384  # the bounds are part of the plan; 100 TB make 6 GB buckets
 
 
 def default_buckets(df: DataFrame) -> int:
-    return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(wanted, _MAX_DEFAULT_BUCKETS)
 
 
 def key_ranges(df: DataFrame, order: Sequence[str], buckets: int) -> DataFrame:
