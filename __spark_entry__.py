@@ -207,14 +207,18 @@ def _stand_ins():
 
     def id_generator(**_options):
         """Returns left-padded prompt ids and new ids, as a decoder-only model does."""
+        import numpy as np
 
-        def answer(prompts: list[str]) -> list[tuple[int, list[int]]]:
+        def ids_of(text: str) -> np.ndarray:
+            return np.frombuffer(text.encode("utf-32-le"), "<i4")
+
+        def answer(prompts: list[str]) -> list[tuple[int, np.ndarray]]:
             width = max(map(len, prompts))
             results = []
             for p in prompts:
-                ids = [ord(c) for c in p]
-                reasoning = [ord(c) for c in f"\n{len(p)}"] + [151668] if len(p) % 3 else []
-                results.append((width, [0] * (width - len(p)) + ids + reasoning + ids))
+                ids, padding = ids_of(p), np.zeros(width - len(p), "i4")
+                reasoning = [*ids_of(f"\n{len(p)}"), 151668] if len(p) % 3 else []
+                results.append((width, np.concatenate([padding, ids, reasoning, ids]).astype("i4")))
             return results
 
         return answer
@@ -299,7 +303,9 @@ def tokenise_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's tokenizer: one id per character."""
 
     def tokenizer():
-        return lambda texts: [[ord(c) for c in t] for t in texts]
+        import numpy as np
+
+        return lambda texts: [np.frombuffer(t.encode("utf-32-le"), "<i4") for t in texts]
 
     tokens = tl.tokenise(_table(spark, sf_dir, "conversations"), ["conv_id", "turn"], tokenizer=tokenizer)
     ids = F.col("tokens").cast("array<bigint>")
@@ -560,7 +566,7 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT len({_TOKENS}) AS n FROM documents)""",
         "pack_wrapped": f"""
             WITH rows AS (
-                SELECT row_number() OVER (ORDER BY doc_id, text) AS nr, {_TOKENS} AS tokens
+                SELECT row_number() OVER (ORDER BY doc_id, md5(text)) AS nr, {_TOKENS} AS tokens
                 FROM documents),
             tokens AS (
                 SELECT nr, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS i FROM rows),
@@ -570,8 +576,10 @@ def oracle_sql() -> dict[str, str]:
             FROM placed GROUP BY pos // {BLOCK_LEN}""",
         "pack_ids": """
             WITH rows AS (
-                SELECT row_number() OVER (ORDER BY conv_id, turn, text) AS nr,
-                       string_split(text, '') AS tokens FROM conversations),
+                SELECT row_number() OVER (ORDER BY conv_id, turn, md5(ids)) AS nr, tokens
+                FROM (SELECT conv_id, turn, string_split(text, '') AS tokens,
+                             array_to_string(list_transform(tokens, lambda c: unicode(c)), ',') AS ids
+                      FROM conversations)),
             tokens AS (
                 SELECT nr, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS i FROM rows),
             placed AS (

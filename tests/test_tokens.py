@@ -1,4 +1,5 @@
 import random
+from hashlib import md5
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -6,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from turnloom import length_statistics, pack_wrapped, tokenise, truncate_tokens
+from turnloom.operators import packing
 
 
 def texts(spark, values):
@@ -39,14 +41,19 @@ def test_truncate_and_statistics(spark):
     }
 
 
+def mark(value):
+    return md5(",".join(map(str, value)).encode()).hexdigest()
+
+
 def pack(rows, block_len):
     """Brute force: all tokens in order, cut."""
-    tokens = [t for _, value in sorted(rows) for t in value]
+    rows = sorted(rows, key=lambda row: (row[0], mark(row[1])))
+    tokens = [t for _, value in rows for t in value]
     return [tokens[i : i + block_len] for i in range(0, len(tokens), block_len)]
 
 
-def packed(df, block_len, buckets=None):
-    blocks = pack_wrapped(df, "id", "value", block_len, buckets)
+def packed(df, block_len, buckets=None, **options):
+    blocks = pack_wrapped(df, "id", "value", block_len, buckets, **options)
     if "content" in blocks.columns:
         blocks = blocks.withColumn("tokens", F.split("content", " "))
     rows = blocks.orderBy("block").collect()
@@ -70,13 +77,29 @@ def test_pack_text(spark):
     assert packed(df, 8) == pack([(i, t.split()) for i, t in rows], 8)
 
 
+@pytest.mark.parametrize("max_copies", [0, 10, 4096])
+@pytest.mark.parametrize("block_len", [1, 9, 64, 5000])
 @pytest.mark.parametrize("same", [False, True])
-def test_pack_with_a_hot_key(spark, same):
+def test_pack_with_a_hot_key(spark, monkeypatch, same, block_len, max_copies):
     """A third of the rows share one key, and perhaps also their tokens."""
-    rows = [(i, [i, i + 1]) for i in range(100)]
-    rows += [(50, [7, 0 if same else i]) for i in range(50)]
+    monkeypatch.setattr(packing, "_BLOCKS_PER_CHUNK", 3)
+    rows = [(i, [i, i + 1][: i % 3]) for i in range(100)]
+    rows += [(50, [7, 8, 0 if same else i]) for i in range(50)]
+    rows += [(60, []), (60, []), (70, [1]), (70, [1])]
     df = spark.createDataFrame(rows, "id long, value array<int>").repartition(6)
-    assert packed(df, 9, 16) == pack(rows, 9)
+    assert packed(df, block_len, 16, max_copies=max_copies) == pack(rows, block_len)
+
+
+def test_pack_copies_of_a_text(spark):
+    rows = [(i, f"w{i} v{i}") for i in range(20)] + [(None, " a  b c")] * 40 + [(5, "x y")] * 30
+    df = spark.createDataFrame(rows, "id long, value string").repartition(6)
+    texts = ["a b c"] * 40 + [f"w{i} v{i}" for i in range(5)]
+    five = sorted(["w5 v5"] + ["x y"] * 30, key=lambda t: md5(t.encode()).hexdigest())
+    texts += five + [f"w{i} v{i}" for i in range(6, 20)]
+    tokens = " ".join(texts).split()
+    expected = [tokens[i : i + 7] for i in range(0, len(tokens), 7)]
+    for max_copies in (10, 4096):
+        assert packed(df, 7, 8, max_copies=max_copies) == expected
 
 
 def test_pack_string_keys_and_null(spark):

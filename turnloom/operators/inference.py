@@ -4,7 +4,7 @@ The generator is a factory, called once per task, that returns a function from a
 list of prompts to a list of results of the same length:
 
 * ``returns="text"``: one string per prompt, the new text only;
-* ``returns="ids"``: one list of new token ids per prompt, or a pair
+* ``returns="ids"``: one list or NumPy array of new token ids per prompt, or a pair
   ``(prompt_len, ids)`` when the ids still start with the (padded) prompt.
 """
 
@@ -91,7 +91,7 @@ def generate(
                 out["raw"] = pa.array(results, pa.string())
             else:
                 pairs = [r if isinstance(r, tuple) else (0, r) for r in results]
-                out["ids"] = pa.array([list(ids) for _, ids in pairs], pa.list_(pa.int32()))
+                out["ids"] = pa.array([ids for _, ids in pairs], pa.list_(pa.int32()))
                 out["prompt_len"] = pa.array([n for n, _ in pairs], pa.int32())
             yield pa.RecordBatch.from_pydict(out)
 

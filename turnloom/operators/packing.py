@@ -7,63 +7,95 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnloom.functions.tokens import whitespace_tokens
-from turnloom.plans.ordered import order_prefix, with_running_start
+from turnloom.plans.ordered import with_running_start
 from turnloom.plans.scratch import scratch_table
 
+MAX_COPIES = 4096
+_BLOCKS_PER_CHUNK = 1024
+
 
 def pack_wrapped(
-    df: DataFrame, key: str, value: str, block_len: int = 2048, buckets: int | None = None
+    df: DataFrame,
+    key: str,
+    value: str,
+    block_len: int = 2048,
+    buckets: int | None = None,
+    max_copies: int = MAX_COPIES,
 ) -> DataFrame:
     """Concatenate all sequences in key order and cut blocks of ``block_len``.
 
     ``value`` is a text column, cut at whitespace, or an array of tokens. Returns
     ``block, n_tokens`` and ``content`` (the tokens joined by single spaces) or, for
     arrays, ``tokens``. Only the last block may be shorter. Rows with the same key
-    are ordered by their value.
+    are ordered by the md5 of their text, or of their tokens joined by commas.
+
+    More than ``max_copies`` rows equal in key and value are collapsed before they
+    are shuffled, and their blocks are made by many tasks.
     """
     is_text = isinstance(df.schema[value].dataType, T.StringType)
 
     def tokens_of(col: str) -> Column:
         return whitespace_tokens(F.col(col)) if is_text else F.col(col)
 
+    text = F.col(value) if is_text else F.array_join(F.col(value).cast("array<string>"), ",")
     rows = df.select(
         F.col(key).alias("key"),
-        order_prefix(df, value).alias("head"),
+        F.md5(text).alias("mark"),
         F.size(tokens_of(value)).cast("long").alias("n"),
+        F.lit(1).cast("long").alias("copies"),
         F.col(value).alias("value"),
     )
-    sizes = scratch_table(rows.select("key", "head", "n"), "pack-sizes")
+    sizes = scratch_table(rows.select("key", "mark", "n", "copies"), "pack-sizes")
+    repeated = _many_copies(rows, sizes, max_copies)
+    if repeated is not None:
+        known = repeated.select(F.col("key").alias("hot_key"), F.col("mark").alias("hot_mark"))
+        is_hot = F.col("key").eqNullSafe(F.col("hot_key")) & (F.col("mark") == F.col("hot_mark"))
+        rows, sizes = (
+            part.join(known, is_hot, "left_anti").unionByName(repeated.select(*part.columns))
+            for part in (rows, sizes)
+        )
+    total = (F.col("n") * F.col("copies")).alias("total")
     # The text itself is shuffled; it is cut into tokens again behind the shuffle.
     placed = with_running_start(
-        rows, ["key", "head"], "n", ties=["value"], sizes=sizes, buckets=buckets
-    ).filter(F.col("n") > 0)
+        rows.select("*", total), ["key", "mark"], "total",
+        sizes=sizes.select("*", total), buckets=buckets,
+    ).filter(F.col("total") > 0)
 
     block, start, n = F.col("block"), F.col("start"), F.col("n")
-    low, high = F.greatest(start, block * block_len), F.least(start + n, (block + 1) * block_len)
-    first, last = F.expr(f"start div {block_len}"), F.expr(f"(start + n - 1) div {block_len}")
-    inside = (block * block_len >= F.col("bucket_start")) & (
-        (block + 1) * block_len <= F.col("bucket_end")
-    )
-    at_the_ends = (first * block_len < F.col("bucket_start")) | (
-        (last + 1) * block_len > F.col("bucket_end")
-    )
+    stop = start + F.col("total")
+    first, last = F.expr(f"start div {block_len}"), F.expr(f"(start + total - 1) div {block_len}")
+    low, high = F.greatest(start, block * block_len), F.least(stop, (block + 1) * block_len)
 
-    def pieces(rows: DataFrame, which: Column) -> DataFrame:
-        skipped, length = (low - start).cast("int"), (high - low).cast("int")
-        piece = F.slice("tokens", skipped + 1, length)
-        return (
-            rows.withColumn("tokens", tokens_of("value"))
-            .select("*", F.explode(F.sequence(first, last)).alias("block"))
-            .filter(which)
-            .select(
-                "bucket",
-                "block",
-                low.alias("pos"),
-                length.alias("length"),
-                (F.array_join(piece, " ") if is_text else piece).alias("piece"),
-            )
+    def pieces(in_blocks: DataFrame, tokens: Column, skipped: Column) -> DataFrame:
+        length = (high - low).cast("int")
+        piece = F.slice(tokens, skipped.cast("int") + 1, length)
+        return in_blocks.select(
+            "bucket",
+            "block",
+            low.alias("pos"),
+            length.alias("length"),
+            (F.array_join(piece, " ") if is_text else piece).alias("piece"),
         )
 
+    def pieces_of(rows: DataFrame, which: Column = F.lit(True)) -> DataFrame:
+        cut = rows.withColumn("tokens", tokens_of("value"))
+        in_blocks = cut.select("*", F.explode(F.sequence(first, last)).alias("block"))
+        return pieces(in_blocks.filter(which), F.col("tokens"), low - start)
+
+    def pieces_of_copies(rows: DataFrame) -> DataFrame:
+        """The blocks of each row are spread over tasks before its text is repeated."""
+        chunk = F.col("chunk") * _BLOCKS_PER_CHUNK
+        chunks = F.sequence(F.floor(first / _BLOCKS_PER_CHUNK), F.floor(last / _BLOCKS_PER_CHUNK))
+        spread = rows.select("*", F.explode(chunks).alias("chunk")).repartition("key", "chunk")
+        in_chunk = F.sequence(
+            F.greatest(first, chunk), F.least(last, chunk + (_BLOCKS_PER_CHUNK - 1))
+        )
+        cut = spread.withColumn("tokens", tokens_of("value"))
+        in_blocks = cut.select("*", F.explode(in_chunk).alias("block"))
+        skipped = (low - start) % n
+        times = F.ceil((skipped + high - low) / n).cast("int")
+        return pieces(in_blocks, F.flatten(F.array_repeat("tokens", times)), skipped)
+
     def blocks(rows: DataFrame, *by: str) -> DataFrame:
         parts = F.sort_array(F.collect_list(F.struct("pos", "piece")))
         in_order = F.transform(parts, lambda p: p["piece"])
@@ -77,8 +109,37 @@ def pack_wrapped(
             .drop("bucket")
         )
 
+    if repeated is not None:
+        single = pieces_of(placed.filter(F.col("copies") == 1))
+        copied = pieces_of_copies(placed.filter(F.col("copies") > 1))
+        return blocks(single.unionByName(copied), "block")
+
     # A block that lies inside one bucket is complete there and needs no further
     # shuffle; only the at most two blocks at the ends of a bucket do.
-    within = blocks(pieces(placed, inside), "bucket", "block")
-    across = blocks(pieces(placed.filter(at_the_ends), ~inside), "block")
+    inside = (block * block_len >= F.col("bucket_start")) & (
+        (block + 1) * block_len <= F.col("bucket_end")
+    )
+    at_the_ends = (first * block_len < F.col("bucket_start")) | (
+        (last + 1) * block_len > F.col("bucket_end")
+    )
+    within = blocks(pieces_of(placed, inside), "bucket", "block")
+    across = blocks(pieces_of(placed.filter(at_the_ends), ~inside), "block")
     return within.unionByName(across)
+
+
+def _many_copies(rows: DataFrame, sizes: DataFrame, max_copies: int) -> DataFrame | None:
+    """One row for each value with more than ``max_copies`` copies, if there are any."""
+    counts = sizes.filter(F.col("n") > 0).groupBy("key", "mark").count()
+    hot = counts.filter(F.col("count") > max_copies).select(
+        F.col("key").alias("hot_key"), F.col("mark").alias("hot_mark")
+    )
+    if hot.isEmpty():
+        return None
+    known = scratch_table(hot, "pack-hot")
+    is_hot = F.col("key").eqNullSafe(F.col("hot_key")) & (F.col("mark") == F.col("hot_mark"))
+    copies = (
+        rows.join(known, is_hot)
+        .groupBy("key", "mark", "n", "value")
+        .agg(F.sum("copies").alias("copies"))
+    )
+    return scratch_table(copies, "pack-copies")

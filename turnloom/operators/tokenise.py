@@ -27,7 +27,7 @@ def tokenise(
     """``key..., tokens``. Whitespace tokens, or the ids of a user's batch tokenizer.
 
     A tokenizer is a factory, called once per task, that returns a function from a
-    list of texts to a list of id lists.
+    list of texts to a list of id lists or NumPy arrays.
     """
     if tokenizer is None:
         return df.select(*key, whitespace_tokens(F.col(text)).alias("tokens"))
@@ -41,9 +41,9 @@ def tokenise(
         encode = tokenizer()
         for batch in batches:
             texts = batch["__text"].to_pylist()
-            ids: list[list[int]] = []
+            ids: list[Sequence[int]] = []
             for at in range(0, len(texts), batch_size):
-                ids += [list(tokens) for tokens in encode(texts[at : at + batch_size])]
+                ids += encode(texts[at : at + batch_size])
             out = {name: batch[name] for name in names}
             out["tokens"] = pa.array(ids, pa.list_(pa.int32()))
             yield pa.RecordBatch.from_pydict(out)

@@ -11,7 +11,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 _SAMPLED_PER_BUCKET = 1000
 _MAX_DEFAULT_BUCKETS = 16_384  # the bounds are part of the plan; 100 TB make 6 GB buckets
@@ -53,13 +52,6 @@ def bucket_bounds(df: DataFrame, order: Sequence[str], buckets: int) -> Column:
     return F.sort_array(F.from_json(F.lit(text), array.schema["lows"].dataType))
 
 
-def order_prefix(df: DataFrame, column: str) -> Column:
-    """The beginning of a text or array: sorts like the whole, but is small."""
-    if isinstance(df.schema[column].dataType, T.ArrayType):
-        return F.slice(column, 1, 8)
-    return F.substring(column, 1, 32)
-
-
 def bucket_of(value: Column, bounds: Column, buckets: int) -> Column:
     """How many bounds are at or below ``value``: a binary search in the JVM.
 
