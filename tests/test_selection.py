@@ -66,6 +66,14 @@ def test_copies_of_one_row_are_divided(spark, fraction):
     assert got + held == Counter(r["content"] for r in df.collect())
 
 
+@pytest.mark.parametrize("fraction", [0.2, 0.5, 0.8])
+def test_null_and_empty_are_not_copies_of_each_other(spark, fraction):
+    df = spark.createDataFrame([(None,)] * 40 + [("",)] * 40, "content string")
+    train, test = holdout(df, fraction=fraction)
+    assert test.count() == 80 * fraction
+    assert Counter(r[0] for r in train.union(test).collect()) == {None: 40, "": 40}
+
+
 def test_rows_that_share_a_key_are_told_apart(spark):
     df = spark.range(600).select(
         F.when(F.col("id") < 500, F.lit(0)).otherwise(F.col("id")).alias("key"), "id"

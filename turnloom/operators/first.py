@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from turnloom.operators.holdout import take_by_hash
 from turnloom.plans.ordered import default_buckets, key_ranges
+from turnloom.plans.scratch import scratch_table
 
 _SMALL = 10_000
 
@@ -23,21 +24,23 @@ def first_n(df: DataFrame, n: int, key: str) -> DataFrame:
     if n <= _SMALL:
         return df.orderBy(key).limit(n)
 
+    keys = scratch_table(df.select(F.col(key).alias("key")), "keys")  # one pass over the source
     rest = n
-    ranges = key_ranges(df, [key], default_buckets(df)).orderBy("low")
-    for row in ranges.collect():
+    for row in key_ranges(keys, ["key"], default_buckets(df)).orderBy("low").collect():
         if rest <= row["n"]:
-            return _up_to_nth(df, F.col(key), row["low"][0], row["high"][0], rest)
+            return _up_to_nth(df, F.col(key), keys, row["low"][0], row["high"][0], rest)
         rest -= row["n"]
     return df
 
 
-def _up_to_nth(df: DataFrame, key: Column, low: Any, high: Any, rest: int) -> DataFrame:
+def _up_to_nth(
+    df: DataFrame, key: Column, keys: DataFrame, low: Any, high: Any, rest: int
+) -> DataFrame:
     """All rows below ``low``, and the first ``rest`` from ``low`` to ``high``."""
     running = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("key"))
     border = (  # the keys of one range only
-        df.filter(_up_to(key, high) & ~_below(key, low))
-        .groupBy(key.alias("key"))
+        keys.filter(_up_to(F.col("key"), high) & ~_below(F.col("key"), low))
+        .groupBy("key")
         .agg(F.count("*").alias("n"))
         .withColumn("running", running)
         .filter(F.col("running") >= rest)

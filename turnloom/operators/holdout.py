@@ -55,14 +55,12 @@ def take_by_hash(
     The number wanted must be between 1 and the number of rows.
     """
     first = _seeded_hash(key or df.columns, seed)
-    hashes = df.select(first.alias("h"))
-    if not key:
-        hashes = scratch_table(hashes, "row-hashes")  # do not hash whole rows once per pass
+    hashes = scratch_table(df.select(first.alias("h")), "row-hashes")  # one pass over the source
     border = _find_border(hashes, wanted)
     if border.taken == border.ties:
         return df.filter(first <= border.value), df.filter(first > border.value)
 
-    second = _seeded_hash(df.columns, seed)
+    second = F.md5(_as_json(df.columns))
     tied = df.filter(first == border.value).select(second.alias("h"))
     inner = _find_border(tied, lambda _: border.taken)
     at = (first == border.value) & (second == inner.value)
@@ -78,13 +76,17 @@ def take_by_hash(
 
 def _seeded_hash(columns: Sequence[str], seed: int) -> Column:
     """md5 of ``seed:key``; several columns are taken as one JSON object."""
-    if len(columns) == 1:
-        text = F.coalesce(F.col(columns[0]).cast("string"), F.lit(""))
-    else:
-        text = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    one = len(columns) == 1
+    text = F.coalesce(F.col(columns[0]).cast("string"), F.lit("")) if one else _as_json(columns)
     return F.md5(F.concat(F.lit(f"{seed}:"), text))
 
 
+def _as_json(columns: Sequence[str]) -> Column:
+    """A text that is equal only for equal rows."""
+    exact = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+    return F.to_json(F.struct(*columns), exact)
+
+
 def _find_border(hashes: DataFrame, wanted: Callable[[int], int]) -> _Border:
     """Walk down the hash prefixes to the value that holds the last wanted row."""
     prefix, need = "", None
