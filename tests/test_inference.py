@@ -156,6 +156,8 @@ def test_misuse(spark):
         generate(build_prompts(df, ["id"]), make_generator(), returns="tokens")
     with pytest.raises(ValueError, match="need a chat template"):
         build_prompts(df, ["id"], template="none")
+    with pytest.raises(TypeError, match="id must be a string"):
+        build_prompts(df, ["text"], text="id")
 
     def short(**options):
         return lambda prompts: prompts[1:]

@@ -82,8 +82,15 @@ def test_pair_columns_must_be_strings(spark):
         to_content(df, "chatml")
 
 
-def test_messages_must_be_turns(spark):
-    df = spark.createDataFrame([([1],)], "messages array<int>")
+@pytest.mark.parametrize(
+    "kind",
+    [
+        "array<int>", "array<struct<role:string>>", "array<struct<role:string,content:int>>",
+        "array<map<string,int>>", "struct<role:string,content:string>",
+    ],
+)
+def test_messages_must_be_turns(spark, kind):
+    df = spark.createDataFrame([], f"messages {kind}")
     with pytest.raises(TypeError, match="messages must be JSON text or an array"):
         to_content(df, "chatml")
 

@@ -51,6 +51,8 @@ def build_prompts(
     chat_template = get_template(template)
     if chat_template is None:
         raise ValueError("prompts need a chat template")
+    if not isinstance(df.schema[text].dataType, T.StringType):
+        raise TypeError(f"column {text} must be a string, not {df.schema[text].dataType}")
     return df.select(
         *key,
         F.col(text).alias("input"),

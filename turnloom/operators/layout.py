@@ -101,7 +101,7 @@ def _messages(
     if isinstance(kind, T.ArrayType) and _has_turns(kind.elementType):
         reason = "messages is null, empty, or has a null role or content"
         return F.col("messages"), _unchanged, reason
-    raise TypeError(f"messages must be JSON text or an array of {{role, content}}, not {kind}")
+    raise TypeError(f"messages must be JSON text or an array of {{role, content}} strings, not {kind}")
 
 
 def _unchanged(messages: Column) -> Column:
@@ -110,5 +110,7 @@ def _unchanged(messages: Column) -> Column:
 
 def _has_turns(element: T.DataType) -> bool:
     if isinstance(element, T.MapType):
-        return True
-    return isinstance(element, T.StructType) and {"role", "content"} <= set(element.names)
+        return isinstance(element.valueType, T.StringType)
+    if not isinstance(element, T.StructType) or not {"role", "content"} <= set(element.names):
+        return False
+    return all(isinstance(element[name].dataType, T.StringType) for name in ("role", "content"))
