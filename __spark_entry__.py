@@ -366,6 +366,32 @@ def load_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tl.load_split(spark, base, "train", "text", lineSep="\n")
 
 
+def load_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the documents as a folder of Arrow stream files and load it."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    base = scratch_path(spark, "saved")
+
+    def save(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        system, folder = fs.FileSystem.from_uri(f"{base}/train")
+        system.create_dir(folder)
+        name = f"{folder}/data-{TaskContext.get().partitionId():05d}.arrow"
+        rows = 0
+        with system.open_output_stream(name) as out:
+            schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+            with pa.ipc.new_stream(out, schema) as writer:
+                for batch in batches:
+                    writer.write_batch(batch.cast(schema))
+                    rows += batch.num_rows
+        yield pa.RecordBatch.from_pydict({"rows": pa.array([rows], pa.int64())})
+
+    docs.mapInArrow(save, "rows long").agg(F.sum("rows")).collect()
+    return tl.load_saved_split(spark, base, "train")
+
+
 def queries() -> dict[str, Query]:
     return {
         "messages_chatml": messages_chatml,
@@ -408,6 +434,7 @@ def queries() -> dict[str, Query]:
         "load_json": _load_as("json"),
         "load_csv": _load_as("csv"),
         "load_text": load_text,
+        "load_saved": load_saved,
     }
 
 
@@ -590,6 +617,6 @@ def oracle_sql() -> dict[str, str]:
             FROM placed GROUP BY pos // 2048""",
         "load_text": "SELECT unnest(string_split(text, chr(10))) AS text FROM documents",
     }
-    for fmt in ("parquet", "orc", "json", "csv"):
+    for fmt in ("parquet", "orc", "json", "csv", "saved"):
         oracles[f"load_{fmt}"] = documents
     return oracles

@@ -6,6 +6,9 @@ batches go to Spark as they are.
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import from_arrow_schema
@@ -40,6 +43,8 @@ class SavedSplitReader(DataSourceReader):
 
 
 def register_saved_split(spark: SparkSession) -> None:
+    """Make the reader known; executors get this module by value, not by import."""
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark.dataSource.register(SavedSplit)
 
 
