@@ -1,0 +1,84 @@
+import random
+
+import pytest
+from conftest import ordered
+
+import brute
+from turnloom.llm import pieces, queries
+
+TOY = pieces.Vocabulary(
+    ("<unk>", "<s>", *[f"<0x{b:02X}>" for b in range(256)], "▁", "a", "b", "c", "ab", "▁a", "bc", "abc", "▁▁", "ca", "▁ab"),
+    (0.0, 0.0, *[0.0] * 256, -3.0, -2.0, -2.5, -2.0, -3.5, -4.0, -3.0, -6.0, -4.0, -4.5, -4.25),
+    "xx" + "b" * 256 + "n" * 11,
+)
+NO_BYTES = pieces.Vocabulary(("<unk>", "▁", "a", "b▁a"), (0.0, -1.0, -1.0, -1.5), "xnnn")
+
+
+@pytest.fixture(scope="module")
+def real():
+    return pieces.load_vocabulary(queries.VOCABULARY)
+
+
+def best(vocabulary, text):
+    known = {p: s for p, s, k in zip(*vocabulary) if k == "n"}
+    unknown = min(known.values()) - 10
+    parts = text.split("▁")
+    marked = ["▁" * (i == 0) + p.replace(" ", "▁") for i, p in enumerate(parts)]
+    return sum(brute.viterbi(m, known, unknown) for m in marked) + unknown * (len(parts) - 1) if text else 0.0
+
+
+@pytest.mark.parametrize("vocabulary", [TOY, NO_BYTES])
+def test_scores_are_the_best(vocabulary):
+    codec, rng = pieces.Codec(vocabulary), random.Random(2)
+    for _ in range(500):
+        text = "".join(rng.choice("abc  xé") for _ in range(rng.randint(0, 25)))
+        ids, score = codec.encode(text)
+        assert score == pytest.approx(best(vocabulary, text))
+        if vocabulary is TOY:
+            assert codec.decode(ids) == text
+
+
+def test_words_and_whole_texts_agree(real):
+    codec = pieces.Codec(TOY)
+    assert codec.by_word and not pieces.Codec(NO_BYTES).by_word and pieces.Codec(real).by_word
+    rng, texts = random.Random(4), []
+    for _ in range(300):
+        texts.append("".join(rng.choice("abc  ") for _ in range(30)))
+    by_word = [codec.encode(t) for t in texts]
+    codec.by_word = False
+    assert by_word == [codec.encode(t) for t in texts]
+
+
+def test_memo_keeps_results(monkeypatch, real, doc_rows):
+    whole = pieces.Codec(real)
+    expected = [whole.encode(t) for _, t in doc_rows]
+    monkeypatch.setattr(pieces, "_MEMO", 3)
+    small = pieces.Codec(real)
+    assert [small.encode(t) for _, t in doc_rows] == expected
+
+
+def test_real_vocabulary(real, doc_rows):
+    codec = pieces.Codec(real)
+    for _, text in doc_rows:
+        ids, score = codec.encode(text)
+        assert codec.decode(ids) == (text or "")
+        if text and len(text) < 400:
+            assert score == pytest.approx(best(real, text))
+
+
+def test_table(documents, no_documents, real, doc_rows):
+    codec = pieces.Codec(real)
+    out = pieces.encode(documents, real)
+    assert set(out.columns) == {*documents.columns, "n_tokens", "ids", "score", "round_trip"}
+    rows = out.collect()
+    assert all(r["round_trip"] and r["n_tokens"] == len(r["ids"]) and r["key"] == "clash" for r in rows)
+    expected = [(k, list(codec.encode(t)[0])) for k, t in doc_rows]
+    assert ordered((r["doc_id"], r["ids"]) for r in rows) == ordered(expected)
+    back = pieces.decode(out.drop("text"), real).select("doc_id", "text").collect()
+    assert ordered(back) == ordered((k, t or "") for k, t in doc_rows)
+    assert pieces.encode(no_documents, real).count() == 0
+
+
+def test_query(spark):
+    rows = queries.op4_sentencepiece(spark, "/root/testdata/sf0.001").collect()
+    assert rows and all(r["round_trip"] for r in rows)
