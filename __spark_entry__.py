@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable
+from importlib.util import find_spec
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,20 @@ import turnloom as tl  # noqa: E402
 from turnloom.operators.inference import split_generated_ids  # noqa: E402
 from turnloom.plans.scratch import scratch_path  # noqa: E402
 
+
+def _present(*modules: str) -> bool:
+    try:
+        return all(find_spec(name) for name in modules)
+    except ModuleNotFoundError:
+        return False
+
+
+# The operators for training corpora can be left out, as one subpackage with its pipeline.
+corpus = None
+if _present("turnloom.llm.queries", "corpus_pipeline"):
+    import corpus_pipeline
+    from turnloom.llm import queries as corpus
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 BLOCK_LEN = 128
@@ -392,7 +407,7 @@ def load_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tl.load_saved_split(spark, base, "train")
 
 
-def queries() -> dict[str, Query]:
+def library_queries() -> dict[str, Query]:
     return {
         "messages_chatml": messages_chatml,
         "messages_zephyr": messages_zephyr,
@@ -438,6 +453,13 @@ def queries() -> dict[str, Query]:
     }
 
 
+def queries() -> dict[str, Query]:
+    found = library_queries()
+    if corpus is not None:
+        found |= corpus.queries() | {"pipeline": corpus_pipeline.run}
+    return found
+
+
 # --- oracles -----------------------------------------------------------------
 
 def _parts(length: int) -> str:
@@ -619,4 +641,6 @@ def oracle_sql() -> dict[str, str]:
     }
     for fmt in ("parquet", "orc", "json", "csv", "saved"):
         oracles[f"load_{fmt}"] = documents
+    if corpus is not None:
+        oracles |= corpus.oracle_sql()
     return oracles
