@@ -38,15 +38,27 @@ def test_scores_are_the_best(vocabulary):
             assert codec.decode(ids) == text
 
 
-def test_words_and_whole_texts_agree(real):
-    codec = pieces.Codec(TOY)
-    assert codec.by_word and not pieces.Codec(NO_BYTES).by_word and pieces.Codec(real).by_word
-    rng, texts = random.Random(4), []
-    for _ in range(300):
-        texts.append("".join(rng.choice("abc  ") for _ in range(30)))
-    by_word = [codec.encode(t) for t in texts]
-    codec.by_word = False
-    assert by_word == [codec.encode(t) for t in texts]
+LETTERS = pieces.Vocabulary(("a", "b", "ab", "▁a", ".", "..", "▁.", "▁"), (-1.0, -1.0, -1.5, -1.5, -2.0, -2.5, -3.0, -1.0), "n" * 8)
+MIXED = pieces.Vocabulary((*LETTERS.pieces, "a."), (*LETTERS.scores, -1.0), "n" * 9)
+
+
+def test_cuts(real):
+    text = "▁ab.▁▁a..ba"
+    cut = lambda v: pieces.Codec(v).chunks(text)
+    assert cut(LETTERS) == ["▁ab", ".", "▁▁a", "..", "ba"]
+    assert cut(MIXED) == ["▁ab.", "▁▁a..ba"]
+    assert cut(NO_BYTES) == [text]
+    assert "".join(pieces.Codec(real).chunks("▁x²y\n▁1é漢")) == "▁x²y\n▁1é漢"
+
+
+@pytest.mark.parametrize("vocabulary", [TOY, LETTERS, MIXED, NO_BYTES])
+def test_parts_and_whole_texts_agree(vocabulary):
+    codec, rng = pieces.Codec(vocabulary), random.Random(4)
+    texts = ["".join(rng.choice("abc.  ") for _ in range(30)) for _ in range(300)]
+    in_parts = [codec.encode(t) for t in texts]
+    codec.chunks = lambda text: [text] if text else []
+    for (ids, score), whole in zip(in_parts, (codec.encode(t) for t in texts)):
+        assert ids == whole[0] and score == pytest.approx(whole[1])
 
 
 def test_memo_keeps_results(monkeypatch, real, doc_rows):
@@ -66,6 +78,24 @@ def test_real_vocabulary(real, doc_rows):
             assert score == pytest.approx(best(real, text))
 
 
+def test_learned_edges_change_nothing(monkeypatch, real, doc_rows):
+    learned = pieces.Codec(real)
+    expected = [learned.encode(t) for _, t in doc_rows]
+    assert learned.learned
+    monkeypatch.setattr(pieces, "_LEARNED_EDGES", 0)
+    plain = pieces.Codec(real)
+    learned.memo.clear()
+    assert expected == [plain.encode(t) for _, t in doc_rows] == [learned.encode(t) for _, t in doc_rows]
+    assert not plain.learned
+
+
+def test_foreign_ids(real):
+    codec = pieces.Codec(real)
+    assert codec.decode([]) == "" and codec.decode([-5, 10**6, 1, 2]) == ""
+    ids = codec.encode("a b")[0]
+    assert codec.decode([*ids, -1, 10**6]) == "a b"
+
+
 def test_table(documents, no_documents, real, doc_rows):
     codec = pieces.Codec(real)
     out = pieces.encode(documents, real)

@@ -18,8 +18,9 @@ from pyspark.sql import types as T
 
 MARK = "▁"  # stands for a space inside pieces
 _UNKNOWN_PENALTY = 10.0
-_MEMO = 150_000
+_MEMO = 250_000
 _LONGEST_MEMO = 48
+_LEARNED_EDGES = 500_000
 _ROWS_PER_BATCH = 512
 
 
@@ -46,6 +47,40 @@ def load_vocabulary(path: str) -> Vocabulary:
     )
 
 
+class _Memo(dict):
+    """Ids (as bytes) and scores of words. What was not asked for since the last time goes."""
+
+    def __init__(self, solve) -> None:
+        super().__init__()
+        self.solve, self.old = solve, {}
+
+    def __missing__(self, chunk: str) -> tuple[bytes, float]:
+        found = self.old.get(chunk) or self.solve(chunk)
+        if len(chunk) <= _LONGEST_MEMO:
+            if len(self) >= _MEMO:
+                self.old = dict(self)
+                self.clear()
+            self[chunk] = found
+        return found
+
+
+def _cutter(pieces: list[str]):
+    """Cuts a marked text where no piece can lie across, so that its parts can be solved apart.
+
+    That is before each run of space marks and between letters and other characters, if the
+    vocabulary has no piece with such a place inside; or else a text stays whole.
+    """
+    letters = {c for p in pieces for c in p if c.isalpha()}
+    kind = lambda c: 0 if c == MARK else 1 if c in letters else 2
+    inside = {(kind(a), kind(b)) for p in pieces for a, b in zip(p, p[1:])}
+    if not letters or inside & {(1, 0), (2, 0)}:
+        return lambda text: [text] if text else []
+    if inside & {(1, 2), (2, 1)}:
+        return re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
+    known = "".join(map(re.escape, sorted(letters)))
+    return re.compile(f"{MARK}*[{known}]+|{MARK}*[^{known}{MARK}]+|{MARK}+").findall
+
+
 class Codec:
     """Encodes with the segmentation of the highest total score.
 
@@ -58,15 +93,15 @@ class Codec:
     def __init__(self, vocabulary: Vocabulary) -> None:
         pieces, scores, kinds = vocabulary
         normal = [i for i, k in enumerate(kinds) if k == "n" and pieces[i]]
+        byte_ids = {int(pieces[i][3:-1], 16): i for i, k in enumerate(kinds) if k == "b"}
+        self.byte_ids = byte_ids if len(byte_ids) == 256 else {}
+        self.id_bytes = {i: bytes((b,)) for b, i in byte_ids.items()}
         self.texts = [p.replace(MARK, " ") if k == "n" else "" for p, k in zip(pieces, kinds)]
-        self.byte_ids = {int(pieces[i][3:-1], 16): i for i, k in enumerate(kinds) if k == "b"}
-        self.id_bytes = {i: b for b, i in self.byte_ids.items()}
-        self.unknown = min((scores[i] for i in normal), default=0.0) - _UNKNOWN_PENALTY
-        # If no piece goes on with a space mark, texts can be cut before each run of marks.
-        self.by_word = not any(re.search(f"[^{MARK}]{MARK}", pieces[i]) for i in normal)
-        self.chunks = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
-        self.young: dict[str, tuple[array, float]] = {}
-        self.old: dict[str, tuple[array, float]] = {}
+        for b, i in byte_ids.items():  # beyond ASCII only several bytes together make text
+            self.texts[i] = chr(b) if b < 128 else None
+        self.unknown = (1, min((scores[i] for i in normal), default=0.0) - _UNKNOWN_PENALTY, -1)
+        self.chunks = _cutter([pieces[i] for i in normal])
+        self.memo = _Memo(self._viterbi)
         self._build([(pieces[i], scores[i], i) for i in normal])
 
     def _build(self, entries: list[tuple[str, float, int]]) -> None:
@@ -98,50 +133,53 @@ class Codec:
                     fail[child] = goto[back].get(c, 0) if node else 0
                     below.append(child)
             level = below
-        self.goto, self.fail, self.outputs = goto, fail, outputs
-
-    def _viterbi(self, text: str) -> tuple[array, float]:
-        goto, fail, outputs, unknown = self.goto, self.fail, self.outputs, self.unknown
-        best, back, state = [0.0], [(0, -1)], 0
-        for end, c in enumerate(text, 1):
-            after = goto[state].get(c)
-            while after is None and state:
-                state = fail[state]
-                after = goto[state].get(c)
-            state = after or 0
-            top, step, single = float("-inf"), (1, -1), False
-            for length, score, piece in outputs[state]:
-                total = best[end - length] + score
+        self.goto, self.fail, self.outputs, self.learned = goto, fail, outputs, 0
+
+    def _after_failing(self, state: int, c: str) -> int:
+        """Where the failure links lead; the way is kept as an edge, up to a number of them."""
+        goto, fail, start = self.goto, self.fail, state
+        while state and c not in goto[state]:
+            state = fail[state]
+        state = goto[state].get(c, 0)
+        if self.learned < _LEARNED_EDGES:
+            self.learned += 1
+            goto[start][c] = state
+        return state
+
+    def _viterbi(self, text: str) -> tuple[bytes, float]:
+        goto, outputs, unknown = self.goto, self.outputs, self.unknown
+        best, back, state = [0.0], [unknown], 0
+        add, step, never = best.append, back.append, float("-inf")
+        for c in text:
+            try:
+                state = goto[state][c]
+            except KeyError:
+                state = self._after_failing(state, c)
+            top, link = never, unknown
+            for out in outputs[state]:  # from the longest piece that ends here to the shortest
+                total = best[-out[0]] + out[1]
                 if total > top:
-                    top, step = total, (length, piece)
-                single = length == 1  # the shortest comes last
-            if not single and best[end - 1] + unknown > top:
-                top, step = best[end - 1] + unknown, (1, -1)
-            best.append(top)
-            back.append(step)
+                    top, link = total, out
+            if link[0] > 1 or link is unknown:  # a piece of this one character beats the unknown
+                total = best[-1] + unknown[1]
+                if total > top:
+                    top, link = total, unknown
+            add(top)
+            step(link)
         ids, end = [], len(text)
         while end:
-            length, piece = back[end]
+            length, _, piece = back[end]
             if piece >= 0:
                 ids.append(piece)
             else:
                 ids.extend(reversed(self._bytes(text[end - 1])))
             end -= length
         ids.reverse()
-        return array("i", ids), best[-1]
+        return array("i", ids).tobytes(), best[-1]
 
     def _bytes(self, character: str) -> list[int]:
         encoded = character.encode("utf-8", "surrogatepass")
-        return [self.byte_ids[b] for b in encoded] if len(self.byte_ids) == 256 else [0]
-
-    def _word(self, chunk: str) -> tuple[array, float]:
-        if len(chunk) > _LONGEST_MEMO:
-            return self._viterbi(chunk)
-        found = self.old.get(chunk) or self._viterbi(chunk)
-        if len(self.young) >= _MEMO:  # what was not asked for since the last time goes
-            self.old, self.young = self.young, {}
-        self.young[chunk] = found
-        return found
+        return [self.byte_ids[b] for b in encoded] if self.byte_ids else [0]
 
     def encode(self, text: str | None) -> tuple[array, float]:
         """Ids and their total score; a space is put before the text. NULL and empty: none."""
@@ -152,33 +190,24 @@ class Codec:
         for i, part in enumerate(text.split(MARK)):
             if i:
                 ids.extend(self._bytes(MARK))
-                score += self.unknown
+                score += self.unknown[1]
             marked = part.replace(" ", MARK) if i else MARK + part.replace(" ", MARK)
-            if not self.by_word:
-                own, total = self._viterbi(marked)
-                ids.extend(own)
-                score += total
-                continue
-            get = self.young.get
-            for chunk in self.chunks(marked):
-                found = get(chunk)
-                if found is None:
-                    found = self._word(chunk)
-                    get = self.young.get
-                ids.extend(found[0])
-                score += found[1]
+            found = list(map(self.memo.__getitem__, self.chunks(marked)))
+            ids.frombytes(b"".join([x[0] for x in found]))
+            score += sum([x[1] for x in found])
         return ids, score
 
     def decode(self, ids) -> str:
         """The text of ids; ids outside the vocabulary and control pieces give nothing."""
         texts, id_bytes = self.texts, self.id_bytes
-        if id_bytes.keys().isdisjoint(ids):
-            text = "".join([texts[i] for i in ids if 0 <= i < len(texts)])
-        else:
-            raw = b"".join(
-                bytes((id_bytes[i],)) if i in id_bytes else texts[i].encode("utf-8", "surrogatepass")
-                for i in ids if 0 <= i < len(texts)
-            )
+        if min(ids, default=0) < 0:
+            ids = [i for i in ids if i >= 0]
+        try:
+            text = "".join([texts[i] for i in ids])
+        except (TypeError, IndexError):
+            raw = b"".join([
+                id_bytes.get(i) or texts[i].encode("utf-8", "surrogatepass") for i in ids if i < len(texts)
+            ])
             text = raw.decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
