@@ -57,8 +57,10 @@ def same(got, expected):
         assert abs(g[6] - e[6]) <= g[2] / 4096  # half a step for either term
 
 
-@pytest.mark.parametrize("chunk, shard", [(2_000_000, 2_000_000), (500, 3000)])
-def test_against_dictionaries(documents, doc_rows, monkeypatch, chunk, shard):
+@pytest.mark.parametrize("chunk, shard, noted", [(1_000_000, 1_000_000, 8), (500, 3000, 2), (2000, 50_000, 1)])
+def test_against_dictionaries(documents, doc_rows, monkeypatch, chunk, shard, noted):
+    """In one piece, and with small chunks and shards, where many contexts are spread."""
+    monkeypatch.setattr(nt, "_NOTED", noted)
     monkeypatch.setattr(nt, "_CHUNK_TOKENS", chunk)
     monkeypatch.setattr(nt, "_SHARD_TOKENS", shard)
     same(nt.score(documents, held_column()).collect(), model(doc_rows, is_held))
@@ -130,9 +132,9 @@ def test_trie_is_one_buffer():
         own[c] += n
     asked = [(c << 50, w) for c in range(52) for w in range(92)]
     rank, totals, _ = trie.context(np.array([c for c, _ in asked], np.uint64))
-    found = nt.probability(trie.successor(rank, np.array([w for _, w in asked], np.uint64)))
+    found = nt.restore(trie.successor(rank, np.array([w for _, w in asked], np.uint64)))
     for (c, w), t, p in zip(asked, totals.tolist(), found.tolist()):
         assert t == own[c]
-        assert p == (pytest.approx((total[c, w] - 0.75) / own[c], rel=2e-3) if total[c, w] else 0.0)
+        assert p == (pytest.approx(total[c, w] - 0.75, rel=2e-3) if total[c, w] else 0.0)
     kinds = np.diff(trie.pointers[np.arange(trie.n_contexts + 1)].astype(np.int64))
     assert kinds.tolist() == [sum(1 for (a, _), n in total.items() if a == c and n) for c in sorted(own) if own[c]]

@@ -8,27 +8,34 @@ context: its key is the context's rank followed by the word, and the search is f
 
 The trie is sharded by context, because it grows with the corpus. Texts are read once, into
 chunks; a chunk asks each shard once about each of its different bigrams. Counts and questions
-travel together, so a frequent word costs a shard one row per chunk, not one per occurrence.
+travel together, so a frequent word costs a shard one entry per chunk and successor, not one per
+occurrence. Contexts so frequent that one shard would have more than its share are spread over several
+by successor; they are at most 262,144, and their totals are summed up apart.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.plans.scratch import scratch_table
 
 DISCOUNT = 0.75
-_CHUNK_TOKENS = 2_000_000
-_SHARD_TOKENS = 2_000_000
+_CHUNK_TOKENS = 1_000_000
+_SHARD_TOKENS = 1_000_000
+_MAX_HOT = 1 << 18
+_NOTED = 8  # how often a chunk must hold a word to report it as perhaps hot
 _WORD_BITS = 40  # of a word's hash, to tell it from others after the same context
 _STEP = 1 / 4096  # of quantised log10 values
+_LARGEST = 14.0  # log10 of the largest count that is told apart
 _ABSENT = 0xFFFF
+_WORD_MASK = np.uint64((1 << _WORD_BITS) - 1)
 _EDGE = np.uint64(0x9E3779B97F4A7C15)  # stands for the beginning as a context, the end as a word
 
 
@@ -53,13 +60,15 @@ def unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
 
-def quantise(logs: np.ndarray) -> np.ndarray:
-    """Logarithms at most 0 as 16-bit steps; :data:`_ABSENT` is kept for what is not there."""
-    return np.clip(np.rint(-logs / _STEP), 0, _ABSENT - 1).astype(np.uint16)
+def quantise(counts: np.ndarray) -> np.ndarray:
+    """Logarithms of positive numbers as 16-bit steps down from 10 ** 14."""
+    steps = np.rint((_LARGEST - np.log10(counts)) / _STEP)
+    return np.clip(steps, 0, _ABSENT - 1).astype(np.uint16)
 
 
-def probability(steps: np.ndarray) -> np.ndarray:
-    return np.where(steps == _ABSENT, 0.0, 10.0 ** (-_STEP * steps.astype(np.float64)))
+def restore(steps: np.ndarray) -> np.ndarray:
+    """The numbers of :func:`quantise`; 0 for :data:`_ABSENT`."""
+    return np.where(steps == _ABSENT, 0.0, 10.0 ** (_LARGEST - _STEP * steps.astype(np.float64)))
 
 
 class EliasFano:
@@ -160,7 +169,11 @@ def read_bits(packed: np.ndarray, width: int, at: np.ndarray) -> np.ndarray:
 
 
 class Trie:
-    """Contexts, pointers and successors of one shard, all views of one buffer."""
+    """Contexts, pointers and successors of one shard, all views of one buffer.
+
+    A successor has its discounted count, quantised. Over its context's total it is the smoothed probability;
+    the pointers tell how many successors a context has, which is what backing off weighs.
+    """
 
     _PARTS = ("contexts", "pointers", "successors")
 
@@ -177,7 +190,6 @@ class Trie:
 
         self.n_contexts, self.n_successors = head[0], head[1]
         self.totals = view(self.n_contexts, "<i8")  # 8-byte parts first: all stay aligned
-        self.backoffs = view(self.n_contexts, "<u2")
         self.quantised = view(self.n_successors, "<u2")
         for i, name in enumerate(self._PARTS):
             n, low_bits, low, high = head[2 + 4 * i : 6 + 4 * i]
@@ -198,28 +210,28 @@ class Trie:
         rank = (keys >> np.uint64(_WORD_BITS)).astype(np.int64)
         totals = np.bincount(rank, counts, len(own)).astype(np.int64)
         kinds = np.bincount(rank, minlength=len(own))
-        quantised = quantise(np.log10((counts - discount) / totals[rank])) if len(keys) else np.zeros(0, np.uint16)
-        backoffs = quantise(np.log10(discount * kinds / totals)) if len(own) else np.zeros(0, np.uint16)
+        quantised = quantise(counts - discount)
         parts = [EliasFano.of(x) for x in (own, np.concatenate(([0], np.cumsum(kinds))), keys)]
         head = np.zeros(32, "<i8")
         head[:2] = len(own), len(keys)
         for i, p in enumerate(parts):
             head[2 + 4 * i : 6 + 4 * i] = p.n, p.low_bits, len(p.low), len(p.high)
-        arrays = [head, totals.astype("<i8"), backoffs.astype("<u2"), quantised.astype("<u2")]
+        arrays = [head, totals.astype("<i8"), quantised.astype("<u2")]
         for p in parts:
             arrays += [p.low, p.high]
         return cls(b"".join(a.tobytes() for a in arrays))
 
     def context(self, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ranks (-1: unknown), occurrences and quantised back-off weights (unknown: all of it)."""
+        """Ranks (-1: unknown), how often each was seen, and with how many successors."""
         rank = self.contexts.find(contexts)
-        known = rank >= 0
-        totals, backoffs = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.uint16)
-        totals[known], backoffs[known] = self.totals[rank[known]], self.backoffs[rank[known]]
-        return rank, totals, backoffs
+        known = np.flatnonzero(rank >= 0)
+        totals, kinds = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
+        totals[known] = self.totals[rank[known]]
+        kinds[known] = (self.pointers[rank[known] + 1] - self.pointers[rank[known]]).astype(np.int64)
+        return rank, totals, kinds
 
     def successor(self, rank: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """Quantised discounted probabilities of words after contexts, or absent."""
+        """Quantised discounted counts of words after contexts, or absent."""
         out = np.full(len(rank), _ABSENT, np.uint16)
         known = np.flatnonzero(rank >= 0)
         at = self.successors.find(rank[known].astype(np.uint64) << np.uint64(_WORD_BITS) | words[known])
@@ -243,6 +255,9 @@ def _chunks(key_type: str):
         def row() -> pa.RecordBatch:
             hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in names), np.uint64, len(names))
             ids = np.concatenate(tokens) if tokens else np.empty(0, np.uint32)
+            counts = np.bincount(ids, minlength=len(names))
+            often = np.flatnonzero(counts >= _NOTED)
+            noted = np.append(hashes[often], _EDGE).view(np.int64)
             columns = {
                 "chunk": pa.array([chunk], pa.int64()),
                 "keys": pa.array([keys], pa.list_(key_type)),
@@ -250,6 +265,8 @@ def _chunks(key_type: str):
                 "ends": pa.array([pack(np.array(ends, np.int64))], pa.binary()),
                 "words": pa.array([hashes.tobytes()], pa.binary()),
                 "tokens": pa.array([pack(ids)], pa.binary()),
+                "noted": pa.array([noted], pa.list_(pa.int64())),
+                "times": pa.array([np.append(counts[often], len(keys))], pa.list_(pa.int64())),
                 "n_tokens": pa.array([size + len(keys)], pa.int64()),
             }
             return pa.RecordBatch.from_pydict(columns)
@@ -307,38 +324,80 @@ class _Chunk:
         trained = np.repeat(~self.held, self.lengths)[order].astype(np.int64)
         self.counts = np.add.reduceat(trained, self.first)
 
-    def by_shard(self, shards: int) -> tuple[np.ndarray, np.ndarray]:
-        """Shards of the chunk's words as contexts, and of its bigrams."""
-        shard = ((self.words >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
-        return shard, shard[self.context]
+    def messages(self, shards: int, hot: Hot) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Each shard that the chunk asks, with its contexts, their numbers of bigrams and the bigrams.
+
+        A context belongs to one shard, a hot one to as many as it has parts, by successor.
+        """
+        home = (self.words >> np.uint64(32)) % np.uint64(shards)
+        part = (self.words & _WORD_MASK)[self.successor] % hot.parts_of(self.words)[self.context]
+        shard = ((home[self.context] + part) % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")  # in a shard still ordered by context
+        ordered = shard[order]
+        starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+        for a, b in zip(starts, np.append(starts[1:], len(order))):
+            bigrams = order[a:b]
+            context = self.context[bigrams]
+            first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
+            yield int(ordered[a]), context[first], np.diff(np.append(first, len(context))), bigrams
+
+
+class Hot:
+    """Contexts that several shards share, sorted by hash."""
+
+    def __init__(self, words: np.ndarray, parts: np.ndarray) -> None:
+        order = np.argsort(words)
+        self.words, self.parts = words[order], parts[order].astype(np.uint64)
+
+    def places(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``words`` are hot, and where they stand."""
+        if not len(self.words):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        found = np.flatnonzero(self.words[at] == words)
+        return found, at[found]
+
+    def parts_of(self, words: np.ndarray) -> np.ndarray:
+        parts = np.ones(len(words), np.uint64)
+        found, at = self.places(words)
+        parts[found] = self.parts[at]
+        return parts
+
+
+def _hot(chunks: DataFrame, tokens: int, shards: int) -> Hot:
+    """Contexts with more than a quarter of a shard's tokens, in parts of half a shard at most.
+
+    What chunks note adds up to no more than all tokens, so there are at most four per shard, and
+    never more than 262,144.
+    """
+    noted = chunks.select(F.explode(F.arrays_zip("noted", "times")).alias("x"))
+    counted = noted.groupBy(F.col("x.noted").alias("word")).agg(F.sum("x.times").alias("n"))
+    rows = counted.filter(F.col("n") * F.lit(4 * shards) > F.lit(tokens)).orderBy(F.desc("n"), "word")
+    found = rows.limit(min(4 * shards, _MAX_HOT)).collect()
+    words = np.array([r["word"] for r in found], np.int64).view(np.uint64)
+    share = np.array([r["n"] for r in found], np.float64) / max(tokens, 1)
+    return Hot(words, np.minimum(np.ceil(2 * shards * share), shards))
 
 
 def _small(values: np.ndarray) -> np.ndarray:
     return values.astype(np.uint32) if values.max(initial=0) < 1 << 32 else values
 
 
-def _questions(shards: int):
+def _questions(shards: int, hot: Broadcast):
     names = ["chunk", "shard", "contexts", "runs", "words", "counts"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.to_dict("records"):
                 chunk = _Chunk(row)
-                of_word, of_bigram = chunk.by_shard(shards)
-                runs = np.bincount(chunk.context, minlength=len(chunk.words))
-                low = chunk.words & np.uint64((1 << _WORD_BITS) - 1)
-                words, bigrams = (np.argsort(x, kind="stable") for x in (of_word, of_bigram))
-                edges = [np.searchsorted(x, np.arange(shards + 1)) for x in (of_word[words], of_bigram[bigrams])]
+                low = chunk.words & _WORD_MASK
                 out = []
-                for s in range(shards):
-                    own = words[edges[0][s] : edges[0][s + 1]]
-                    asked = bigrams[edges[1][s] : edges[1][s + 1]]
-                    if len(own):
-                        keys = low[chunk.successor[asked]].astype("<u8").view(np.uint8).reshape(-1, 8)
-                        out.append((
-                            row["chunk"], s, chunk.words[own].astype("<u8").tobytes(), pack(_small(runs[own])),
-                            keys[:, : _WORD_BITS // 8].tobytes(), pack(_small(chunk.counts[asked])),
-                        ))
+                for shard, contexts, runs, asked in chunk.messages(shards, hot.value):
+                    keys = low[chunk.successor[asked]].astype("<u8").view(np.uint8).reshape(-1, 8)
+                    out.append((
+                        row["chunk"], shard, chunk.words[contexts].astype("<u8").tobytes(), pack(_small(runs)),
+                        keys[:, : _WORD_BITS // 8].tobytes(), pack(_small(chunk.counts[asked])),
+                    ))
                 yield pd.DataFrame(out, columns=names)
 
     return run
@@ -351,52 +410,60 @@ def _keys(data: bytes) -> np.ndarray:
     return wide.reshape(-1).view("<u8").astype(np.uint64)
 
 
-def _answers(discount: float):
+def _answers(discount: float, hot: Broadcast):
+    names = ["chunk", "shard", "totals", "kinds", "found", "n", "v", "hot", "hot_totals", "hot_kinds"]
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         contexts = [np.frombuffer(x, "<u8") for x in pdf["contexts"]]
         runs = [unpack(x).astype(np.int64) for x in pdf["runs"]]
-        words = [_keys(x) for x in pdf["words"]]
-        counts = [unpack(x) for x in pdf["counts"]]
         every = np.concatenate([np.repeat(c, r) for c, r in zip(contexts, runs)])
-        trie = Trie.build(every, np.concatenate(words), np.concatenate(counts), discount)
-        del every, counts
+        words = np.concatenate([_keys(x) for x in pdf["words"]])
+        trie = Trie.build(every, words, np.concatenate([unpack(x) for x in pdf["counts"]]), discount)
+        del every, words
+        spread = trie.context(hot.value.words)
+        seen = np.flatnonzero(spread[0] >= 0)
         out = []
-        for i, (c, r, w) in enumerate(zip(contexts, runs, words)):
-            rank, totals, backoffs = trie.context(c)
-            found = trie.successor(np.repeat(rank, r), w)
-            out.append((
-                pdf["chunk"].iloc[i], pdf["shard"].iloc[i], pack(_small(totals)), pack(backoffs), pack(found),
-                0 if i else int(trie.totals.sum()), 0 if i else trie.n_contexts,
-            ))
-        return pd.DataFrame(out, columns=["chunk", "shard", "totals", "backoffs", "found", "n", "v"])
+        for i, (c, r) in enumerate(zip(contexts, runs)):
+            rank, totals, kinds = trie.context(c)
+            found = trie.successor(np.repeat(rank, r), _keys(pdf["words"].iloc[i]))
+            row = [pdf["chunk"].iloc[i], pdf["shard"].iloc[i], pack(_small(totals)), pack(_small(kinds)), pack(found)]
+            if i:
+                row += [0, 0, [], [], []]
+            else:  # the shard's own figures; parts of hot contexts are not counted as contexts
+                row += [int(trie.totals.sum()), trie.n_contexts - len(seen), hot.value.words[seen].view(np.int64)]
+                row += [x[seen] for x in spread[1:]]
+            out.append(row)
+        return pd.DataFrame(out, columns=names)
 
     return run
 
 
-def _scores(shards: int, n: int, v: int):
+def _scores(shards: int, n: int, v: int, discount: float, hot: Broadcast):
     names = ["key", "held_out", "n_tokens", "n_known", "base_score", "score"]
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        split, hot_totals, hot_kinds = hot.value
+        answered = dict(zip(right["shard"], zip(right["totals"], right["kinds"], right["found"])))
         out = []
         for row in left.to_dict("records"):
             chunk = _Chunk(row)
-            of_word, of_bigram = chunk.by_shard(shards)
-            totals = np.zeros(len(chunk.words), np.int64)
-            backoffs = np.zeros(len(chunk.words))
-            found = np.zeros(len(chunk.context))
-            words, bigrams = (np.argsort(x, kind="stable") for x in (of_word, of_bigram))
-            edges = [np.searchsorted(x, np.arange(shards + 1)) for x in (of_word[words], of_bigram[bigrams])]
-            for s, t, b, f in zip(right["shard"], right["totals"], right["backoffs"], right["found"]):
-                own = words[edges[0][s] : edges[0][s + 1]]
-                totals[own], backoffs[own] = unpack(t), probability(unpack(b))
-                found[bigrams[edges[1][s] : edges[1][s + 1]]] = probability(unpack(f))
+            totals, kinds = np.zeros(len(chunk.words), np.int64), np.zeros(len(chunk.words), np.int64)
+            counts = np.zeros(len(chunk.context))
+            for shard, contexts, _, bigrams in chunk.messages(shards, split):
+                t, k, f = answered[shard]
+                totals[contexts], kinds[contexts] = unpack(t), unpack(k)
+                counts[bigrams] = restore(unpack(f))
+            found, at = split.places(chunk.words)  # of these the shards know parts only
+            totals[found], kinds[found] = hot_totals[at], hot_kinds[at]
             single = (totals + 1) / (n + v + 1)
             base = np.log10(single)
-            whole = np.log10(found + backoffs[chunk.context] * single[chunk.successor])
+            seen = np.maximum(totals, 1)
+            backoff = np.where(totals > 0, discount * kinds / seen, 1.0)
+            whole = np.log10(counts / seen[chunk.context] + backoff[chunk.context] * single[chunk.successor])
             sums = [np.add.reduceat(x, chunk.starts) for x in (
                 base[chunk.word], whole[chunk.bigram], (totals[chunk.word] > 0).astype(np.int64))]
-            out.append(pd.DataFrame(dict(zip(names, (
-                pd.Series(list(row["keys"]), dtype="object"), chunk.held, chunk.lengths, sums[2], sums[0], sums[1])))))
+            keys = pd.Series(list(row["keys"]), dtype="object")
+            out.append(pd.DataFrame(dict(zip(names, (keys, chunk.held, chunk.lengths, sums[2], sums[0], sums[1])))))
         return pd.concat(out) if out else pd.DataFrame(columns=names)
 
     return run
@@ -418,7 +485,7 @@ def score(
     ``log10(max(c(uw) - discount, 0) / c(u) + discount * d(u) / c(u) * (c(w) + 1) / (N + V + 1))``
     for ``w`` after ``u``, of which ``d(u)`` different words follow; after a word never seen in training only the
     last factor counts. For each ``u`` this sums to 1 over the known words and one unknown one.
-    The two terms are quantised to 1/4096 in the logarithm.
+    The discounted counts are quantised to 1/4096 in the logarithm.
 
     ``n_known`` counts tokens seen in training. Without training rows nothing is known.
     Keys may be NULL or repeat, repeated rows are scored (and counted) each. Words are told
@@ -437,27 +504,41 @@ def score(
     chunks = scratch_table(
         rows.mapInArrow(
             _chunks(to_arrow_type(kind)),
-            f"chunk long, keys array<{name}>, held binary, ends binary, words binary, tokens binary, n_tokens long",
+            f"chunk long, keys array<{name}>, held binary, ends binary, words binary, tokens binary, noted array<long>, "
+            "times array<long>, n_tokens long",
         ),
         "chunks",
     )
     tokens = chunks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).head()[0]
     shards = max(1, -(-tokens // _SHARD_TOKENS))
-    asked = chunks.select("chunk", "held", "ends", "words", "tokens").mapInPandas(
-        _questions(shards), "chunk long, shard int, contexts binary, runs binary, words binary, counts binary"
+    context = docs.sparkSession.sparkContext
+    split = _hot(chunks, tokens, shards)
+    spread = context.broadcast(split)
+    chunks = chunks.drop("noted", "times", "n_tokens")
+    asked = chunks.drop("keys").mapInPandas(
+        _questions(shards, spread), "chunk long, shard int, contexts binary, runs binary, words binary, counts binary"
     )
     answers = scratch_table(
         asked.groupBy("shard").applyInPandas(
-            _answers(discount), "chunk long, shard int, totals binary, backoffs binary, found binary, n long, v long"
+            _answers(discount, spread),
+            "chunk long, shard int, totals binary, kinds binary, found binary, n long, v long, "
+            "hot array<long>, hot_totals array<long>, hot_kinds array<long>",
         ),
         "answers",
     )
     n, v = answers.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).head()
+    parts = answers.select(F.explode(F.arrays_zip("hot", "hot_totals", "hot_kinds")).alias("x"))
+    summed = parts.groupBy("x.hot").agg(F.sum("x.hot_totals"), F.sum("x.hot_kinds")).collect()  # at most _MAX_HOT
+    hot_totals, hot_kinds = (np.zeros(len(split.words), np.int64) for _ in range(2))
+    for word, total, kinds in summed:
+        at = np.searchsorted(split.words, np.int64(word).view(np.uint64))
+        hot_totals[at], hot_kinds[at] = total, kinds
+    v += len(summed)
     scored = (
-        chunks.drop("n_tokens").groupBy("chunk")
-        .cogroup(answers.select("chunk", "shard", "totals", "backoffs", "found").groupBy("chunk"))
+        chunks.groupBy("chunk")
+        .cogroup(answers.select("chunk", "shard", "totals", "kinds", "found").groupBy("chunk"))
         .applyInPandas(
-            _scores(shards, n, v),
+            _scores(shards, n, v, discount, context.broadcast((split, hot_totals, hot_kinds))),
             f"key {name}, held_out boolean, n_tokens long, n_known long, base_score double, score double",
         )
     )
