@@ -8,17 +8,30 @@ the payload is then shuffled once, by bucket.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _SAMPLED_PER_BUCKET = 1000
-_MAX_DEFAULT_BUCKETS = 16_384  # the bounds are part of the plan; 100 TB make 6 GB buckets
+_ROWS_PER_BUCKET = 200_000
+_MAX_BUCKETS = 16_384
+_MAX_BOUND_BYTES = 16 << 20  # of all bounds, which are part of the plan
 
 
-def default_buckets(df: DataFrame) -> int:
-    wanted = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(wanted, _MAX_DEFAULT_BUCKETS)
+@dataclass(frozen=True)
+class Bounds:
+    """The lowest ordering value of each bucket as one sorted constant array, and how many."""
+
+    lows: Column
+    count: int
+
+
+def default_buckets(df: DataFrame, rows: int) -> int:
+    """Several per task, and more for more rows."""
+    wanted = max(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // _ROWS_PER_BUCKET)
+    return min(wanted, _MAX_BUCKETS)
 
 
 def key_ranges(df: DataFrame, order: Sequence[str], buckets: int) -> DataFrame:
@@ -39,29 +52,36 @@ def key_ranges(df: DataFrame, order: Sequence[str], buckets: int) -> DataFrame:
     )
 
 
-def bucket_bounds(df: DataFrame, order: Sequence[str], buckets: int) -> Column:
-    """The lowest ordering value of each bucket as one sorted constant array.
+def bucket_bounds(df: DataFrame, order: Sequence[str], buckets: int | None = None) -> Bounds:
+    """Bounds of about ``buckets`` even buckets, fewer if the values are so long that all
+    bounds would take more than 16 MB.
 
     Any values are right, a sample finds even ones. They come to the driver once,
     so that every later plan sees the same.
     """
-    share = _SAMPLED_PER_BUCKET * buckets / max(df.count(), 1)
+    rows = df.count()
+    buckets = buckets or default_buckets(df, rows)
+    share = _SAMPLED_PER_BUCKET * buckets / max(rows, 1)
     sample = df.select(*order).sample(share, seed=0) if share < 1 else df
+    if any(not isinstance(df.schema[c].dataType, (T.NumericType, T.DatetimeType)) for c in order):
+        longest = sample.agg(F.max(F.octet_length(F.to_json(F.struct(*order))))).head()[0] or 1
+        buckets = max(1, min(buckets, _MAX_BOUND_BYTES // longest))
     array = key_ranges(sample, order, buckets).agg(F.sort_array(F.collect_list("low")).alias("lows"))
-    text = array.select(F.to_json("lows")).head()[0]
-    return F.sort_array(F.from_json(F.lit(text), array.schema["lows"].dataType))
+    text, count = array.select(F.to_json("lows"), F.size("lows")).head()
+    lows = F.sort_array(F.from_json(F.lit(text), array.schema["lows"].dataType))
+    return Bounds(lows, count)
 
 
-def bucket_of(value: Column, bounds: Column, buckets: int) -> Column:
+def bucket_of(value: Column, bounds: Bounds) -> Column:
     """How many bounds are at or below ``value``: a binary search in the JVM.
 
     Exploded from a one-item array, so that the optimizer sees a plain column and
     does not carry the whole search into the filters it derives for joins.
     """
-    steps = [1 << i for i in reversed(range(max(buckets, 1).bit_length()))]
+    steps = [1 << i for i in reversed(range(max(bounds.count, 1).bit_length()))]
 
     def advance(pos: Column, step: Column) -> Column:
-        ahead = F.get(bounds, pos + step - F.lit(1)) <= value
+        ahead = F.get(bounds.lows, pos + step - F.lit(1)) <= value
         return F.when(ahead, pos + step).otherwise(pos)
 
     position = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), advance)
@@ -85,11 +105,10 @@ def with_running_start(
     compute from ``df``. Also adds ``bucket`` and the bucket's own range, ``bucket_start``
     and ``bucket_end``. The result stays partitioned by bucket and group.
     """
-    buckets = buckets or default_buckets(df)
     sizes = df if sizes is None else sizes
     ordering = [*group, *order]
     bounds = bucket_bounds(sizes, ordering, buckets)
-    bucket = bucket_of(F.struct(*ordering), bounds, buckets).alias("bucket")
+    bucket = bucket_of(F.struct(*ordering), bounds).alias("bucket")
 
     totals = (
         sizes.select(*group, weight, bucket)
@@ -106,7 +125,7 @@ def with_running_start(
         end.alias("bucket_end"),
     )
     if not group:
-        bases = F.broadcast(bases)  # never more than `buckets` + 1 rows
+        bases = F.broadcast(bases)  # one row per bound and one, 16,385 at most
 
     within = Window.partitionBy("bucket", *group).orderBy(*order, *ties)
     before = F.sum(weight).over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col(weight)
