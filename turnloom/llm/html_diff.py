@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from turnloom.llm.common import text_or_empty
 from turnloom.plans.ordered import bucket_bounds, bucket_of
 
-_PAGES_PER_BUCKET = 2000
-_MAX_BUCKETS = 8192
+_PAGES_PER_BUCKET = 200
+_MAX_BUCKETS = 2048
 _COPY = 0.8  # a neighbour that shares more of a page than this is a copy, not a template
 _WHOLE_TABLE = 1 << 22
 
@@ -289,16 +289,16 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     )
     order = ["host", "path", "key"]
     buckets = min(max(place.count() // _PAGES_PER_BUCKET, 1), _MAX_BUCKETS)
-    bounds = bucket_bounds(place, order, buckets)
+    bounds = bucket_bounds(place, order, buckets)  # fewer where paths are very long
 
     def bucketed(df: DataFrame) -> DataFrame:
-        return df.select("*", bucket_of(F.struct(*order), bounds, buckets).alias("bucket"))
+        return df.select("*", bucket_of(F.struct(*order), bounds).alias("bucket"))
 
     name = F.xxhash64(*order)
     edges = bucketed(place).groupBy("bucket").agg(
         F.min_by(name, F.struct(*order)).alias("first"), F.max_by(name, F.struct(*order)).alias("last")
     )
-    by_bucket = Window.orderBy("bucket")  # over one row per bucket, 8193 at most
+    by_bucket = Window.orderBy("bucket")  # over one row per bucket, 2049 at most, as wide as two hashes
     beside = edges.select(
         F.col("first").alias("name"), F.lag("bucket").over(by_bucket).alias("beside")
     ).unionByName(edges.select(F.col("last").alias("name"), F.lead("bucket").over(by_bucket).alias("beside")))
