@@ -25,7 +25,7 @@ Rack = tuple[tuple[int, float], ...]
 Tree = tuple[tuple[Rack, ...], ...]
 
 _REGION, _RACK, _SHARD = 1, 2, 3
-_ROWS_PER_BUCKET = 500_000
+_ROWS_PER_BUCKET = 5_000
 
 
 def uniform_tree(regions: int, racks: int, shards: int) -> Tree:

@@ -11,7 +11,7 @@ from turnloom.llm.common import WORD, buckets_for, text_or_empty
 from turnloom.plans.ordered import with_running_start
 from turnloom.plans.scratch import scratch_table
 
-_ROWS_PER_BUCKET = 500_000
+_ROWS_PER_BUCKET = 5_000
 
 
 def _hash_bits(text: Column, digits: int) -> Column:
