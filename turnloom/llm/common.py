@@ -35,5 +35,25 @@ def let(value: Column, body) -> Column:
 
 
 def buckets_for(rows: int, per_bucket: int) -> int:
-    """Order-preserving buckets of about ``per_bucket`` rows, some hundreds of thousands at most."""
-    return min(max(rows // per_bucket, 1), 1 << 18)
+    """Order-preserving buckets of about ``per_bucket`` rows, 16,384 at most."""
+    return min(max(rows // per_bucket, 1), 1 << 14)
+
+
+def bounded_sample(df: DataFrame, key: str, most: int, seed: int = 42) -> DataFrame:
+    """The distinct values of ``key`` that are not NULL, or at most ``most`` of them.
+
+    Taken are those whose hash is smallest, so the same ones in any order. Of a large table only a
+    part of about ``4 * most`` rows is made distinct, and 256 counts come to the driver.
+    """
+    keys = df.select(F.col(key).alias(key)).filter(F.col(key).isNotNull())
+    rows = keys.count()
+    if rows <= most:
+        return keys.distinct()
+    place = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(max(256, 64 * rows // most)))
+    near = keys.filter(place < 256).distinct().select(key, place.alias("_place"))
+    counts = dict(near.groupBy("_place").count().collect())
+    limit, taken = 0, 0
+    while limit < 256 and taken + counts.get(limit, 0) <= most:
+        taken += counts.get(limit, 0)
+        limit += 1
+    return near.filter(F.col("_place") < limit).select(key)

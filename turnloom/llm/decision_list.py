@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import WORD, let, text_or_empty
+from turnloom.llm.common import bounded_sample, let, text_or_empty
 
 MAX_LABELLED = 20_000
 _SPACE = r"[\x20\x09-\x0D]"
@@ -233,18 +233,16 @@ def fit(
     max_labelled: int = MAX_LABELLED,
     **options,
 ) -> list[Rule]:
-    """Rules that reject texts like those labelled 0, from at most ``max_labelled`` labels.
+    """Rules that reject texts like those labelled 0, from at most ``max_labelled`` labelled keys.
 
-    With more labels, those with the smallest hashes of their keys are taken. Labels of NULL
+    With more of them, those with the smallest hashes are taken. Labels of NULL
     or without a document are left out, as are texts that fail the base rules, which never
     reach the list. Without any label, or with labels of one kind, there are no rules.
     """
-    chosen = (
-        labels.select(F.col(key).alias("_key"), F.col(label).alias("_label"))
-        .filter(F.col("_key").isNotNull() & F.col("_label").isNotNull())
-        .groupBy("_key").agg(F.min("_label").alias("_label"))
-        .orderBy(F.xxhash64("_key"), "_key").limit(max_labelled)
-    )
+    known = labels.select(F.col(key).alias("_key"), F.col(label).alias("_label"))
+    known = known.filter(F.col("_label").isNotNull())
+    chosen = bounded_sample(known, "_key", max_labelled)
+    chosen = known.join(F.broadcast(chosen), "_key").groupBy("_key").agg(F.min("_label").alias("_label"))
     labelled = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(
         F.broadcast(chosen), "_key"  # bounded by max_labelled
     )
@@ -255,11 +253,10 @@ def fit(
             *[f().cast("double").alias(n) for n, f in FEATURES.items()],
             (F.col("_label") == 0).alias("bad"),
         )
-        .orderBy(F.xxhash64("_key"), "_key", F.xxhash64("_text"))
-        .limit(max_labelled)
-        .collect()
-    )
-    examples = [(tuple(r[:-1]), r[-1]) for r in rows]
+        .groupBy(*FEATURES, "bad").count()  # repeated rows are one example each time
+        .orderBy(*FEATURES, "bad").limit(max_labelled).collect()
+    )
+    examples = [(tuple(r[:-2]), r["bad"]) for r in rows for _ in range(min(r["count"], max_labelled))]
     return learn_rules(examples, list(FEATURES), **options)
 
 

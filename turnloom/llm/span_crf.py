@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnloom.llm.common import bounded_sample
+
 KINDS = ("email", "ip", "card", "phone")
 MAX_TEXTS = 3000
 _MAX_WINDOWS = 20  # of one training text
@@ -272,10 +274,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", max_texts: int
     At most 20 windows of a text come to the driver. Without any, the field is empty and
     adds nothing.
     """
-    chosen = (
-        docs.select(F.col(key).alias("_key")).filter(F.col(key).isNotNull()).distinct()
-        .orderBy(F.xxhash64("_key"), "_key").limit(max_texts)
-    )
+    chosen = bounded_sample(docs.select(F.col(key).alias("_key")), "_key", max_texts)
     sample = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"))
     sample = sample.join(F.broadcast(chosen), "_key").filter(F.col("_text").rlike("[0-9@]"))
 
