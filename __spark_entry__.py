@@ -35,6 +35,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 BLOCK_LEN = 128
 MAX_TOKENS = 512
 PART_LEN = 3
+MAX_MESSAGES = 4096
+MAX_IDS = 64
 FIRST = 50
 FIRST_MANY = 12_000
 END_OF_SENTENCE = 46  # the code point of "."
@@ -49,11 +51,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tl.collect_messages(_table(spark, sf_dir, "conversations"), "conv_id")
+    return tl.collect_messages(_table(spark, sf_dir, "conversations"), "conv_id", max_messages=MAX_MESSAGES)
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tl.collect_pairs(_table(spark, sf_dir, "conversations"), "conv_id")
+    return tl.collect_pairs(_table(spark, sf_dir, "conversations"), "conv_id", max_messages=MAX_MESSAGES)
 
 
 # --- conversations to text ---------------------------------------------------
@@ -94,7 +96,7 @@ def messages_json_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").withColumn(
         "text", F.when(F.col("role") != "system", F.col("text"))
     )
-    encoded = tl.collect_messages(turns, "conv_id").withColumn("messages", F.to_json("messages"))
+    encoded = tl.collect_messages(turns, "conv_id", max_messages=MAX_MESSAGES).withColumn("messages", F.to_json("messages"))
     rendered = tl.to_content(encoded, "chatml", key=["conv_id", "part"], on_error="quarantine")
     return rendered.select("conv_id", "part", "content", F.col("error").isNotNull().alias("rejected"))
 
@@ -168,6 +170,39 @@ def first_n_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tl.first_n(orders, FIRST_MANY, "o_orderkey")
 
 
+def _tied_orders(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    """A customer has many orders, so the last of the first rows is one of several with its key."""
+    return tl.first_n(_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), n, "o_custkey")
+
+
+def first_n_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tied_orders(spark, sf_dir, FIRST)
+
+
+def first_n_many_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tied_orders(spark, sf_dir, FIRST_MANY)
+
+
+def first_n_two_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return tl.first_n(orders, FIRST_MANY, ["o_custkey", "o_orderkey"])
+
+
+def holdout_microseconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One key for all, and local times that differ by microseconds."""
+    times = _table(spark, sf_dir, "documents").select(
+        F.lit("same").alias("k"),
+        F.expr("timestamp_ntz'2020-01-01 00:00:00' + make_dt_interval(0, 0, 0, cast(doc_id as decimal(18, 6)) / 1000000)").alias("moment"),
+    )
+    return _sides(*tl.holdout(times, "k")).select(F.col("moment").cast("string").alias("moment"), "split")
+
+
+def holdout_together(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of a conversation are on one side."""
+    parts = tl.collect_messages(_table(spark, sf_dir, "conversations"), "conv_id", max_messages=PART_LEN)
+    return _sides(*tl.holdout(parts.select("conv_id", "part"), together="conv_id"))
+
+
 def holdout_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sides(*tl.holdout(_table(spark, sf_dir, "documents").select("doc_id"), "doc_id"))
 
@@ -271,6 +306,18 @@ def batch_infer_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tl.batch_infer(docs, "doc_id", _text_generator, template="zephyr", n=FIRST, tasks=8)
 
 
+def batch_infer_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth text is missing."""
+    items = _table(spark, sf_dir, "benchmark").withColumn("text", F.when(F.col("item_id") % 5 > 0, F.col("text")))
+    return tl.batch_infer(items, "item_id", _text_generator, on_error="quarantine")
+
+
+def batch_infer_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Another mark ends the reasoning."""
+    items = _table(spark, sf_dir, "benchmark")
+    return tl.batch_infer(items, "item_id", _text_generator, marker="characters", keep_marker=False)
+
+
 def results_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The inference results through the JSON sink and back."""
     results = tl.batch_infer(_table(spark, sf_dir, "benchmark"), "item_id", _text_generator)
@@ -356,6 +403,20 @@ def pack_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.select("block", "n_tokens", tokens.alias("tokens"))
 
 
+def pack_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's tokenizer, truncation, blocks."""
+
+    def tokenizer():
+        import numpy as np
+
+        return lambda texts: [np.frombuffer(t.encode("utf-32-le"), "<i4") for t in texts]
+
+    tokens = tl.tokenise(_table(spark, sf_dir, "documents"), ["doc_id"], tokenizer=tokenizer)
+    blocks = tl.pack_wrapped(tl.truncate_tokens(tokens, MAX_IDS), "doc_id", "tokens", BLOCK_LEN)
+    ids = F.array_join(F.col("tokens").cast("array<string>"), ",")
+    return blocks.select("block", "n_tokens", ids.alias("tokens"))
+
+
 # --- sources -----------------------------------------------------------------
 
 
@@ -370,7 +431,8 @@ def _load_as(fmt: str) -> Query:
             options = {"header": "true", "escape": '"'}
             options |= {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
         docs.write.format(fmt).options(**options).save(f"{base}/train")
-        return tl.load_split(spark, base, "train", fmt, schema=docs.schema)
+        reading = {"multiLine": "true"} if fmt == "csv" else {}  # the texts have line breaks
+        return tl.load_split(spark, base, "train", fmt, schema=docs.schema, **reading)
 
     return query
 
@@ -381,6 +443,12 @@ def load_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tl.load_split(spark, base, "train", "text", lineSep="\n")
 
 
+def load_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = scratch_path(spark, "eval")
+    _table(spark, sf_dir, "documents").select("doc_id", "text").write.parquet(f"{base}/plain/validation")
+    return tl.load_eval(spark, base, "plain")
+
+
 def load_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the documents as a folder of Arrow stream files and load it."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -426,6 +494,11 @@ def library_queries() -> dict[str, Query]:
         "text_field": text_field,
         "first_n": first_n,
         "first_n_many": first_n_many,
+        "first_n_ties": first_n_ties,
+        "first_n_many_ties": first_n_many_ties,
+        "first_n_two_keys": first_n_two_keys,
+        "holdout_microseconds": holdout_microseconds,
+        "holdout_together": holdout_together,
         "holdout_split": holdout_split,
         "holdout_without_key": holdout_without_key,
         "sft_holdout": sft_holdout,
@@ -435,6 +508,8 @@ def library_queries() -> dict[str, Query]:
         "batch_infer_text": batch_infer_text,
         "batch_infer_ids": batch_infer_ids,
         "batch_infer_first": batch_infer_first,
+        "batch_infer_quarantine": batch_infer_quarantine,
+        "batch_infer_marker": batch_infer_marker,
         "results_json": results_json,
         "reasoning_split_ids": reasoning_split_ids,
         "reasoning_split_text": reasoning_split_text,
@@ -444,12 +519,14 @@ def library_queries() -> dict[str, Query]:
         "length_statistics": length_statistics,
         "pack_wrapped": pack_wrapped,
         "pack_ids": pack_ids,
+        "pack_tokenizer": pack_tokenizer,
         "load_parquet": _load_as("parquet"),
         "load_orc": _load_as("orc"),
         "load_json": _load_as("json"),
         "load_csv": _load_as("csv"),
         "load_text": load_text,
         "load_saved": load_saved,
+        "load_eval": load_eval,
     }
 
 
@@ -466,12 +543,12 @@ def _parts(length: int) -> str:
     """Every conversation in parts of ``length`` messages."""
     return f"""
     SELECT conv_id, turn, role, text,
-           (row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1) // {length} AS part,
+           (row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, md5(text), text) - 1) // {length} AS part,
            (count(*) OVER (PARTITION BY conv_id) - 1) // {length} AS last_part
     FROM conversations"""
 
 
-_PARTS = _parts(4096)
+_PARTS = _parts(MAX_MESSAGES)
 _CHATML = "role || chr(10) || text || chr(10)"
 _ZEPHYR = (
     "CASE WHEN role IN ('user', 'system', 'assistant') "
@@ -486,7 +563,7 @@ _PAIRS = f"""
            regexp_replace(text, {_EDGES}, '', 'g') AS question,
            regexp_replace(next_text, {_EDGES}, '', 'g') AS answer
     FROM (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text
-          FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
+          FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, md5(text), text))
     WHERE role = 'user' AND next_role = 'assistant'"""
 _PAIR_CHATML = (
     "'user' || chr(10) || question || chr(10) || 'assistant' || chr(10) || answer || chr(10)"
@@ -501,11 +578,19 @@ _TOKENS = r"list_filter(string_split_regex(text, '[\s\x0b]+'), lambda t: t <> ''
 def _rendered(piece: str, suffix: str = "''", parts: str = _PARTS) -> str:
     return f"""
     SELECT conv_id, part,
-           string_agg({piece}, '' ORDER BY turn, role, text)
+           string_agg({piece}, '' ORDER BY turn, role, md5(text), text)
              || CASE WHEN part = max(last_part) THEN {suffix} ELSE '' END AS content
     FROM ({parts}) GROUP BY conv_id, part"""
 
 
+_ORDER_HASH = "md5('0:' || " + " || ".join(
+    f"length({c}::VARCHAR) || ':' || {c}" for c in ("o_orderkey", "o_custkey")) + ")"
+
+
+def _tied(n: int) -> str:
+    return f"SELECT o_orderkey, o_custkey FROM orders ORDER BY o_custkey, {_ORDER_HASH} LIMIT {n}"
+
+
 def _held_out(source: str, seed: int) -> str:
     return f"""
     SELECT *, CASE WHEN row_number() OVER (ORDER BY md5('{seed}:' || key), key)
@@ -546,7 +631,7 @@ def oracle_sql() -> dict[str, str]:
         "messages_json_quarantine": f"""
             SELECT conv_id, part, bool_or(role = 'system') AS rejected,
                    CASE WHEN NOT bool_or(role = 'system')
-                        THEN string_agg({_CHATML}, '' ORDER BY turn, role, text) END AS content
+                        THEN string_agg({_CHATML}, '' ORDER BY turn, role, md5(text), text) END AS content
             FROM ({_PARTS}) GROUP BY conv_id, part""",
         "qa_chatml": f"SELECT conv_id, turn, {_PAIR_CHATML} AS content FROM ({_PAIRS})",
         "dialogue_soap_zephyr": f"SELECT conv_id, turn, {_PAIR_ZEPHYR} AS content FROM ({_PAIRS})",
@@ -554,7 +639,7 @@ def oracle_sql() -> dict[str, str]:
         "qa_in_parts": f"SELECT conv_id, turn, {_PAIR_ZEPHYR} AS content FROM ({_PAIRS})",
         "layout_priority": chatml,
         "layout_templating_off": f"""
-            SELECT conv_id, part, string_agg(text, ' ' ORDER BY turn, role, text) AS content
+            SELECT conv_id, part, string_agg(text, ' ' ORDER BY turn, role, md5(text), text) AS content
             FROM ({_PARTS}) GROUP BY conv_id, part""",
         "text_passthrough": "SELECT doc_id, text AS content FROM documents",
         "text_field": "SELECT page_id, html AS content FROM pages",
@@ -637,6 +722,42 @@ def oracle_sql() -> dict[str, str]:
             SELECT pos // 2048 AS block, count(*) AS n_tokens,
                    string_agg(id::VARCHAR, ',' ORDER BY pos) AS tokens
             FROM placed GROUP BY pos // 2048""",
+        "first_n_ties": _tied(FIRST),
+        "first_n_many_ties": _tied(FIRST_MANY),
+        "first_n_two_keys": f"""
+            SELECT o_orderkey, o_custkey FROM orders ORDER BY o_custkey, o_orderkey LIMIT {FIRST_MANY}""",
+        "holdout_microseconds": """
+            SELECT moment, CASE WHEN row_number() OVER (ORDER BY md5('8:73616D65' || length(moment) || ':' || moment), moment)
+                                 <= ceil(0.1::DOUBLE * count(*) OVER ()) THEN 'test' ELSE 'train' END AS split
+            FROM (SELECT (TIMESTAMP '2020-01-01' + to_microseconds(doc_id))::VARCHAR AS moment FROM documents)""",
+        "holdout_together": f"""
+            SELECT conv_id, part, split
+            FROM (SELECT DISTINCT conv_id, part FROM ({_parts(PART_LEN)}))
+            JOIN ({_held_out("SELECT DISTINCT conv_id, conv_id AS key FROM conversations", 42)}) USING (conv_id)""",
+        "batch_infer_quarantine": f"""
+            SELECT *, NULL::VARCHAR AS error FROM (
+                {_answers("(SELECT * FROM benchmark WHERE item_id % 5 > 0)", "item_id", _CHATML_PROMPT, _TEXT_ANSWER)})
+            UNION ALL
+            SELECT item_id, NULL, NULL, NULL, 'text is null' FROM benchmark WHERE item_id % 5 = 0""",
+        "batch_infer_marker": _answers(
+            "benchmark", "item_id", _CHATML_PROMPT,
+            ("' ' || length(prompt) || ' '",
+             "chr(10) || '</think>' || chr(10) || chr(10) || replace(prompt, ' ', '_')"),
+        ),
+        "pack_tokenizer": f"""
+            WITH rows AS (
+                SELECT row_number() OVER (ORDER BY doc_id, md5(ids)) AS nr, tokens
+                FROM (SELECT doc_id, string_split(text, '')[:{MAX_IDS}] AS tokens,
+                             array_to_string(list_transform(tokens, lambda c: unicode(c)), ',') AS ids
+                      FROM documents)),
+            tokens AS (
+                SELECT nr, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS i FROM rows),
+            placed AS (
+                SELECT unicode(token) AS id, row_number() OVER (ORDER BY nr, i) - 1 AS pos FROM tokens)
+            SELECT pos // {BLOCK_LEN} AS block, count(*) AS n_tokens,
+                   string_agg(id::VARCHAR, ',' ORDER BY pos) AS tokens
+            FROM placed GROUP BY pos // {BLOCK_LEN}""",
+        "load_eval": documents,
         "load_text": "SELECT unnest(string_split(text, chr(10))) AS text FROM documents",
     }
     for fmt in ("parquet", "orc", "json", "csv", "saved"):

@@ -1,15 +1,19 @@
 import random
+from hashlib import md5
 from itertools import groupby
 
 import pytest
 
-from turnloom import collect_messages, collect_pairs
+from turnloom import collect_messages, collect_pairs, to_content
+from turnloom.operators import conversations as conversations_module
+from turnloom.plans.ordered import with_running_start
 
 SCHEMA = "conv long, turn long, role string, text string"
 
 
 def order(row):
-    return tuple((v is not None, v) for v in row)
+    """By conversation, turn, role and the md5 of the text."""
+    return tuple((v is not None, v) for v in (*row[:-1], md5(row[-1].encode()).hexdigest(), row[-1]))
 
 
 def conversations(rows):
@@ -75,7 +79,35 @@ def test_pairs(spark, kind, max_messages):
 
 def test_columns_may_have_other_names(spark):
     df = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b")], "c long, n long, r string, t string")
-    assert collect_messages(df, "c", "n", "r", "t").columns == ["c", "part", "is_last", "messages"]
-    pairs = collect_pairs(df, "c", "n", "r", "t")
+    assert collect_messages(df, "c", "n", "r", "t", max_messages=9).columns == ["c", "part", "is_last", "messages"]
+    pairs = collect_pairs(df, "c", "n", "r", "t", max_messages=9)
     assert pairs.columns == ["c", "n", "question", "answer"]
     assert [tuple(r) for r in pairs.collect()] == [(1, 0, "a", "b")]
+
+
+def test_many_long_conversations_are_joined_with_salt(spark, monkeypatch):
+    monkeypatch.setattr(conversations_module, "_FEW", 0)
+    rows = make_rows("long") + [(7, 100 + t, "user", f"more {t}") for t in range(30)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    parts = collect_messages(df, "conv", max_messages=9).collect()
+    got = {}
+    for p in sorted(parts, key=lambda p: p["part"]):
+        got.setdefault(p["conv"], []).extend((m["role"], m["content"]) for m in p["messages"])
+    assert got == {c: [t[1:] for t in turns] for c, turns in conversations(rows).items()}
+
+
+def test_texts_with_one_opening_are_spread(spark):
+    """A long conversation of one turn number and role, whose texts begin alike."""
+    df = spark.range(3000).selectExpr(
+        "1L conv", "0L turn", "'user' role", "concat(repeat('same opening ', 5), id) text"
+    )
+    _, long = conversations_module._split_long(df, "conv", "turn", "role", "text", 100)
+    sizes = with_running_start(long, ["turn", "role", "mark"], "copies", ["conv"], buckets=30).groupBy("bucket").count()
+    assert max(r["count"] for r in sizes.collect()) < 400
+
+
+def test_only_the_last_part_is_asked(spark):
+    rows = [(1, t, "user", f"t{t}") for t in range(7)]
+    parts = collect_messages(spark.createDataFrame(rows, SCHEMA), "conv", max_messages=3)
+    asked = to_content(parts, "chatml", key=["part"], generation_prompt=True).collect()
+    assert [r["part"] for r in asked if r["content"].endswith("assistant\n")] == [2]

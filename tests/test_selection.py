@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnloom import first_n, holdout
+from turnloom.functions.exact import exact_text
 from turnloom.operators import first as first_module
 from turnloom.operators.holdout import _copies
 
@@ -113,3 +114,68 @@ def test_first_many_with_nulls_and_a_hot_key(spark, monkeypatch, n):
     expected = sorted((r["key"] for r in df.collect()), key=lambda k: -1 if k is None else k)[:n]
     assert Counter(r["key"] for r in rows) == Counter(expected)
     assert len({r["id"] for r in rows}) == n
+
+
+@pytest.mark.parametrize("small", [0, 10_000])
+def test_ties_are_ordered_alike_in_any_partitioning(spark, monkeypatch, small):
+    df = spark.range(500).select((F.col("id") % 3).alias("key"), "id", F.lit("x").alias("t"))
+    expected = ids(first_n(df.repartition(1), 200, "key"))
+    monkeypatch.setattr(first_module, "_SMALL", small)
+    for parts in (3, 11):
+        assert ids(first_n(df.repartition(parts), 200, "key")) == expected
+
+
+@pytest.mark.parametrize("small", [0, 10_000])
+def test_first_by_two_keys(spark, monkeypatch, small):
+    monkeypatch.setattr(first_module, "_SMALL", small)
+    df = spark.range(300).select((F.col("id") % 7).alias("a"), F.col("id").alias("id")).repartition(5)
+    rows = sorted((i % 7, i) for i in range(300))
+    assert ids(first_n(df, 100, ["a", "id"])) == sorted(i for _, i in rows[:100])
+
+
+@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Tokyo", "UTC"])
+def test_local_times_as_keys(spark, monkeypatch, zone):
+    monkeypatch.setattr(first_module, "_SMALL", 0)
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        at = "timestamp_ntz'2024-03-10 01:59:59.999990' + make_dt_interval(0, 0, 0, cast(id as decimal(18, 6)) / 1000000)"
+        df = spark.range(3000).selectExpr(f"{at} as at", "id").repartition(4)
+        assert ids(first_n(df, 1234, "at")) == list(range(1234))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+PAIRS_OF_VALUES = {
+    "timestamp_ntz": "timestamp_ntz'2020-01-01 00:00:00.000001' + make_dt_interval(0, 0, 0, cast(id as decimal(18, 6)) / 1000000)",
+    "timestamp": "timestamp_micros(1600000000000000 + id)",
+    "double": "case when id = 0 then 0.0D when id = 1 then -0.0D else id / 3.0D end",
+    "decimal": "cast(id / 1000 as decimal(20, 4))",
+    "date": "date_add(date'2020-01-01', cast(id as int))",
+    "binary": "case when id = 0 then null else unhex(hex(id)) end",
+    "string": "cast(unhex(concat('FF', lpad(hex(id), 4, '0'))) as string)",
+    "array": "case when id = 0 then array() when id = 1 then array(null) else array(null, id) end",
+    "struct": "named_struct('a', case when id % 2 = 0 then cast(id as string) end, 'b', case when id % 2 = 1 then cast(id - 1 as string) end)",
+    "map": "map('k', id)",
+    "nested": "array(named_struct('t', timestamp_ntz'2020-01-01' + make_dt_interval(0, 0, 0, cast(id as decimal(18, 6)) / 1000000)))",
+}
+
+
+@pytest.mark.parametrize("kind", PAIRS_OF_VALUES)
+@pytest.mark.parametrize("key", [(), "k"])
+def test_no_row_is_taken_for_a_copy_of_another(spark, kind, key):
+    df = spark.range(40).selectExpr("'same' as k", f"{PAIRS_OF_VALUES[kind]} as v").repartition(3)
+    train, test = holdout(df, key, fraction=0.3)
+    exact = lambda x: sorted(r[0] for r in x.select(exact_text(df.schema)).collect())
+    assert test.count() == 12
+    assert len(set(exact(df))) == 40
+    assert exact(train.unionByName(test)) == exact(df)
+
+
+@pytest.mark.parametrize("groups", [2, 10, 99])
+def test_groups_stay_together(spark, groups):
+    df = spark.range(1000).select((F.col("id") % groups).alias("g"), "id").repartition(5)
+    train, test = holdout(df, "id", fraction=0.3, together="g")
+    sides = [{r["g"] for r in side.select("g").distinct().collect()} for side in (train, test)]
+    assert not sides[0] & sides[1] and len(sides[1]) == math.ceil(0.3 * groups)
+    assert sorted(ids(train) + ids(test)) == list(range(1000))

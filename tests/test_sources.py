@@ -20,7 +20,8 @@ def test_formats(spark, tmp_path, fmt):
     if fmt == "csv":
         writer = writer.options(header="true", escape='"', ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false")
     writer.save(str(tmp_path / "train"))
-    got = load_split(spark, str(tmp_path), "train", fmt, schema=df.schema)
+    reading = {"multiLine": "true"} if fmt == "csv" else {}
+    got = load_split(spark, str(tmp_path), "train", fmt, schema=df.schema, **reading)
     assert sorted(map(tuple, got.collect())) == ROWS
 
 
@@ -89,14 +90,51 @@ def test_saved_split_must_exist(spark, tmp_path):
     with pytest.raises(Exception, match="FileNotFoundError"):
         load_saved_split(spark, str(tmp_path), "train")
     (tmp_path / "train").mkdir()
-    with pytest.raises(Exception, match="no .arrow files"):
+    with pytest.raises(Exception, match="no data-\\*.arrow files"):
         load_saved_split(spark, str(tmp_path), "train")
 
 
-def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
+def test_saved_split_takes_data_files_by_name_and_declared_columns(spark, tmp_path):
+    folder = tmp_path / "train"
+    save_split(folder, [pa.table({"a": [1, 2], "b": ["x", "y"]}), pa.table({"b": ["z"], "a": pa.array([3], pa.int32())})])
+    save_split(tmp_path / "other", [pa.table({"a": [9], "b": ["stray"]})])
+    (tmp_path / "other" / "data-00000-of-00001.arrow").rename(folder / "cache-1.arrow")
+    rows = {(1, "x"), (2, "y"), (3, "z")}
+    assert {tuple(r) for r in load_saved_split(spark, str(tmp_path), "train").collect()} == rows
+    assert {r["b"] for r in load_saved_split(spark, str(tmp_path), "train", columns=["b"]).collect()} == {"x", "y", "z"}
+    wide = load_saved_split(spark, str(tmp_path), "train", schema="b string, a long")
+    assert {tuple(r) for r in wide.collect()} == {(b, a) for a, b in rows}
+    with pytest.raises(Exception, match="has no columns"):
+        load_saved_split(spark, str(tmp_path), "train", schema="a long, c long").collect()
+    with pytest.raises(ValueError, match="no options"):
+        load_splits(spark, str(tmp_path), "train", fmt="saved", mergeSchema="true")
+    (folder / "state.json").write_text('{"_data_files": [{"filename": "data-00001-of-00002.arrow"}]}')
+    assert [tuple(r) for r in load_saved_split(spark, str(tmp_path), "train", schema="a long").collect()] == [(3,)]
+
+
+def test_large_csv_files_are_cut(spark, tmp_path):
+    spark.range(20_000).selectExpr("id", "repeat('x', 50) text").coalesce(1).write.csv(f"{tmp_path}/train", header=True)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        assert load_split(spark, str(tmp_path), "train", "csv").rdd.getNumPartitions() > 3
+        assert load_split(spark, str(tmp_path), "train", "csv", multiLine="true").rdd.getNumPartitions() == 1
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_scratch_can_be_deleted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scratch, "scratch_dir", lambda spark: str(tmp_path))
+    assert scratch.scratch_table(spark.range(3), "x").count() == 3
+    assert list(tmp_path.iterdir())
+    scratch.delete_scratch(spark)
+    assert not list(tmp_path.iterdir())
+
+
+@pytest.mark.parametrize("master", ["yarn", "local-cluster[3,2,1024]"])
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark, master):
     class Conf:
         def get(self, name, default=None):
-            return {"spark.master": "yarn"}.get(name, default)
+            return {"spark.master": master}.get(name, default)
 
     class Session:
         conf = Conf()

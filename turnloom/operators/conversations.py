@@ -2,7 +2,8 @@
 
 A conversation is collected in one group only while it is short. Longer ones are
 found by a count beforehand and cut into parts of ``max_messages`` messages, so
-that no group grows with the data, however the turns are spread.
+that no group grows with the data, however the turns are spread. The caller has to choose
+that length, as it decides which rows come out.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 from turnloom.plans.ordered import with_running_start
 from turnloom.plans.scratch import scratch_table
 
-MAX_MESSAGES = 4096
+_FEW = 200_000  # long conversations whose list is broadcast: some megabytes
+_SALTS = 32
 
 
 def collect_messages(
@@ -22,13 +24,14 @@ def collect_messages(
     turn: str = "turn",
     role: str = "role",
     text: str = "text",
-    max_messages: int = MAX_MESSAGES,
+    *,
+    max_messages: int,
 ) -> DataFrame:
     """``conv, part, is_last, messages``, messages being ``{turn, role, content}``.
 
-    They are in turn order; equal turns are ordered by role and text. A
+    They are in turn order; equal turns are ordered by role and then by the md5 of their text. A
     conversation of up to ``max_messages`` is one row, part 0; a longer one has
-    several parts.
+    several parts. A part is one row, so ``max_messages`` texts must fit into one.
     """
     rows, long = _split_long(df, conv, turn, role, text, max_messages)
     rows = rows.withColumnRenamed("text", "content")
@@ -36,12 +39,15 @@ def collect_messages(
     short = rows.repartition("conv").groupBy("conv").agg(
         F.lit(0).cast("long").alias("part"),
         F.lit(True).alias("is_last"),
-        F.sort_array(F.collect_list(F.struct("turn", "role", "content"))).alias("messages"),
+        F.transform(
+            F.sort_array(F.collect_list(F.struct("turn", "role", "mark", "content"))),
+            lambda m: F.struct(m["turn"].alias("turn"), m["role"].alias("role"), m["content"].alias("content")),
+        ).alias("messages"),
     )
     if long is None:
         return short.withColumnRenamed("conv", conv)
 
-    placed = with_running_start(long, ["turn", "role", "head"], "copies", ["conv"], ["text"])
+    placed = with_running_start(long, ["turn", "role", "mark"], "copies", ["conv"], ["text"])
     low = F.greatest(F.col("start"), F.col("part") * max_messages)
     high = F.least(F.col("start") + F.col("copies"), (F.col("part") + 1) * max_messages)
     touched = F.expr(
@@ -73,19 +79,20 @@ def collect_pairs(
     turn: str = "turn",
     role: str = "role",
     text: str = "text",
-    max_messages: int = MAX_MESSAGES,
+    *,
+    max_messages: int,
 ) -> DataFrame:
     """``conv, turn, question, answer``: each user turn directly followed by an
     assistant turn. ``turn`` is that of the user."""
     rows, long = _split_long(df, conv, turn, role, text, max_messages)
     pairs = _adjacent(
         rows.select("*", F.lit(True).alias("own")),
-        Window.partitionBy("conv").orderBy("turn", "role", "text"),
+        Window.partitionBy("conv").orderBy("turn", "role", "mark", "text"),
     )
     if long is not None:
         ranked = with_running_start(
             long.select("*", F.lit(1).cast("long").alias("one")),
-            ["turn", "role", "head"], "one", ["conv"], ["text"],
+            ["turn", "role", "mark"], "one", ["conv"], ["text"],
         )
         # The first row of each block is also seen by the block before it.
         block = F.expr(f"start div {max_messages}")
@@ -130,15 +137,26 @@ def _split_long(
         F.col(role).alias("role"),
         F.col(text).alias("text"),
     )
+    rows = rows.withColumn("mark", F.md5("text"))
     counts = rows.groupBy("conv").agg(F.count("*").alias("n")).filter(F.col("n") > max_messages)
-    if counts.isEmpty():
+    known = scratch_table(counts, "long-conversations")
+    n_long = known.count()
+    if n_long == 0:
         return rows, None
-    known = scratch_table(counts.withColumnRenamed("conv", "long_conv"), "long-conversations")
+    if n_long <= _FEW:
+        known, salted = F.broadcast(known), rows
+    else:  # the rows of a long conversation are spread before they are joined
+        salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))
+        known = known.withColumn("salt", salts)
+        salted = rows.withColumn("salt", F.pmod(F.xxhash64("turn", "role", "mark"), F.lit(_SALTS)).cast("int"))
+    known = known.withColumnsRenamed({"conv": "long_conv", "salt": "long_salt"})
     is_long = F.col("conv").eqNullSafe(F.col("long_conv"))
+    if n_long > _FEW:
+        is_long = is_long & (F.col("salt") == F.col("long_salt"))
     long = (
-        rows.join(known, is_long)
-        .groupBy("conv", "n", "turn", "role", "text")
+        salted.join(known, is_long)
+        .groupBy("conv", "n", "turn", "role", "mark", "text")
         .agg(F.count("*").alias("copies"))
-        .withColumn("head", F.substring("text", 1, 32))
     )
-    return rows.join(known, is_long, "left_anti"), scratch_table(long, "long-turns")
+    short = salted.join(known, is_long, "left_anti").drop("salt")
+    return short, scratch_table(long, "long-turns")

@@ -2,62 +2,59 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from turnloom.operators.holdout import take_by_hash
-from turnloom.plans.ordered import default_buckets, key_ranges
+from turnloom.operators.holdout import row_hashes, take_by_hash
+from turnloom.plans.ordered import with_running_start
 from turnloom.plans.scratch import scratch_table
 
 _SMALL = 10_000
 
 
-def first_n(df: DataFrame, n: int, key: str) -> DataFrame:
+def first_n(df: DataFrame, n: int, key: str | Sequence[str]) -> DataFrame:
     """The ``n`` rows with the smallest keys; all rows if there are fewer.
 
-    A small ``n`` is one top-k. For a large one the key of the n-th row is found
-    from the sizes of key ranges, and the rows up to it are a plain filter, so they
-    never pass through a single task.
+    Rows with one key are ordered by the md5 of the whole row, for every ``n`` and any
+    partitioning. A small ``n`` is one top-k. For a large one the rows per key are counted and
+    summed up in order of the keys, and the rows up to the key of the n-th row are a plain filter,
+    so they never pass through a single task.
     """
+    keys = [key] if isinstance(key, str) else list(key)
     if n <= _SMALL:
-        return df.orderBy(key).limit(n)
-
-    keys = scratch_table(df.select(F.col(key).alias("key")), "keys")  # one pass over the source
-    rest = n
-    for row in key_ranges(keys, ["key"], default_buckets(df)).orderBy("low").collect():
-        if rest <= row["n"]:
-            return _up_to_nth(df, F.col(key), keys, row["low"][0], row["high"][0], rest)
-        rest -= row["n"]
-    return df
-
-
-def _up_to_nth(
-    df: DataFrame, key: Column, keys: DataFrame, low: Any, high: Any, rest: int
-) -> DataFrame:
-    """All rows below ``low``, and the first ``rest`` from ``low`` to ``high``."""
-    running = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("key"))
-    border = (  # the keys of one range only
-        keys.filter(_up_to(F.col("key"), high) & ~_below(F.col("key"), low))
-        .groupBy("key")
-        .agg(F.count("*").alias("n"))
-        .withColumn("running", running)
-        .filter(F.col("running") >= rest)
-        .orderBy("key")
-        .head()
-    )
-    value, taken = border["key"], rest - (border["running"] - border["n"])
-    if taken == border["n"]:
-        return df.filter(_up_to(key, value))
-    tied, _ = take_by_hash(df.filter(key.eqNullSafe(F.lit(value))), df.columns, 0, lambda _: taken)
-    return df.filter(_below(key, value)).unionByName(tied)
-
-
-def _below(key: Column, value: Any) -> Column:
-    """``key < value`` where NULL is the smallest."""
-    return F.lit(False) if value is None else key.isNull() | (key < F.lit(value))
+        return df.orderBy(*keys, *row_hashes(df, df.columns, 0)).limit(n)
 
-
-def _up_to(key: Column, value: Any) -> Column:
-    return key.isNull() if value is None else key.isNull() | (key <= F.lit(value))
+    counts = scratch_table(df.groupBy(*keys).agg(F.count("*").alias("__rows")), "key-counts")
+    placed = with_running_start(counts, keys, "__rows").filter(
+        (F.col("start") < n) & (F.col("start") + F.col("__rows") >= n)
+    )
+    border = scratch_table(placed.select(*keys, "start", "__rows"), "nth-key")
+    found = border.head()
+    if found is None:
+        return df
+    below, at = _compare(df, keys, border, found[0])
+    taken = n - found["start"]
+    if taken == found["__rows"]:
+        return df.filter(below | at)
+    tied, _ = take_by_hash(df.filter(at), df.columns, 0, lambda _: taken)
+    return df.filter(below).unionByName(tied)
+
+
+def _compare(df: DataFrame, keys: Sequence[str], border: DataFrame, value: Any) -> tuple[Column, Column]:
+    """Whether a row's key is below the border, and whether it is the border. NULLs are smallest.
+
+    Whole numbers and dates become literals, which reach the scan. All other keys stay in the engine,
+    with their own types; they are compared as structs.
+    """
+    kind = df.schema[keys[0]].dataType
+    if len(keys) == 1 and isinstance(kind, (T.IntegralType, T.DateType)):
+        key = F.col(keys[0])
+        if value is None:
+            return F.lit(False), key.isNull()
+        return key.isNull() | (key < F.lit(value).cast(kind)), key == F.lit(value).cast(kind)
+    own, last = F.struct(*keys), border.select(F.struct(*keys)).scalar()
+    return own < last, own == last

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from turnloom.functions.exact import exact_text
 from turnloom.plans.scratch import scratch_table
 
 _DIGITS = 4  # hex digits per histogram: at most 65536 rows reach the driver
@@ -28,13 +29,20 @@ class _Border:
 
 
 def holdout(
-    df: DataFrame, key: Sequence[str] | str = (), seed: int = 42, fraction: float = 0.1
+    df: DataFrame,
+    key: Sequence[str] | str = (),
+    seed: int = 42,
+    fraction: float = 0.1,
+    together: Sequence[str] | str = (),
 ) -> tuple[DataFrame, DataFrame]:
     """``(train, test)``. Without a key the whole row is hashed.
 
     Rows that share a hash are told apart by their other columns; rows equal in
     all columns are interchangeable, so the right number of copies goes to each
     side. Both sides together are always exactly the input.
+
+    With ``together`` rows that agree in those columns, the parts of one conversation, say, are on
+    one side, and the size counts such groups instead of rows.
     """
 
     def size(total: int) -> int:
@@ -43,48 +51,67 @@ def holdout(
             raise ValueError(f"holding out {fraction} of {total} rows leaves a side empty")
         return wanted
 
-    test, train = take_by_hash(df, [key] if isinstance(key, str) else list(key), seed, size)
+    if together:
+        test, train = _take_groups(df, _names(together), seed, size)
+    else:
+        test, train = take_by_hash(df, _names(key), seed, size)
     return train, test
 
 
+def _names(columns: Sequence[str] | str) -> list[str]:
+    return [columns] if isinstance(columns, str) else list(columns)
+
+
 def take_by_hash(
     df: DataFrame, key: Sequence[str], seed: int, wanted: Callable[[int], int]
 ) -> tuple[DataFrame, DataFrame]:
     """``(taken, rest)``: exactly ``wanted(number of rows)`` rows are taken.
 
-    The number wanted must be between 1 and the number of rows.
+    The number wanted must be between 1 and the number of rows. Rows are taken in the order of
+    :func:`row_hashes`.
     """
-    first = _seeded_hash(key or df.columns, seed)
+    first, second = row_hashes(df, key or df.columns, seed)
     hashes = scratch_table(df.select(first.alias("h")), "row-hashes")  # one pass over the source
     border = _find_border(hashes, wanted)
     if border.taken == border.ties:
         return df.filter(first <= border.value), df.filter(first > border.value)
 
-    second = F.md5(_as_json(df.columns))
-    tied = df.filter(first == border.value).select(second.alias("h"))
+    # Another pass over the source, for the rows that share the hash at the border.
+    tied = scratch_table(df.filter(first == border.value).select(second.alias("h")), "tied-hashes")
     inner = _find_border(tied, lambda _: border.taken)
     at = (first == border.value) & (second == inner.value)
     below = (first < border.value) | ((first == border.value) & (second < inner.value))
     if inner.taken == inner.ties:
         return df.filter(below | at), df.filter(~(below | at))
 
+    # The second hash covers every column, exactly: these rows are copies of one.
     one = df.filter(at).limit(1)
     taken = df.filter(below).unionByName(_copies(one, inner.taken))
     rest = df.filter(~(below | at)).unionByName(_copies(one, inner.ties - inner.taken))
     return taken, rest
 
 
-def _seeded_hash(columns: Sequence[str], seed: int) -> Column:
-    """md5 of ``seed:key``; several columns are taken as one JSON object."""
-    one = len(columns) == 1
-    text = F.coalesce(F.col(columns[0]).cast("string"), F.lit("")) if one else _as_json(columns)
-    return F.md5(F.concat(F.lit(f"{seed}:"), text))
+def _take_groups(
+    df: DataFrame, columns: Sequence[str], seed: int, wanted: Callable[[int], int]
+) -> tuple[DataFrame, DataFrame]:
+    first, second = row_hashes(df.select(*columns), columns, seed)
+    groups = scratch_table(df.select(first.alias("h"), second.alias("second")).distinct(), "group-hashes")
+    border = _find_border(groups.select("h"), wanted)
+    low, at = first < border.value, first == border.value
+    if border.taken < border.ties:
+        tied = groups.filter(F.col("h") == border.value).select(F.col("second").alias("h"))
+        at = at & (second <= _find_border(tied, lambda _: border.taken).value)
+    return df.filter(low | at), df.filter(~(low | at))
+
 
+def row_hashes(df: DataFrame, key: Sequence[str], seed: int) -> tuple[Column, Column]:
+    """The md5 of ``seed:key``, and that of all columns as a text that no other row has.
 
-def _as_json(columns: Sequence[str]) -> Column:
-    """A text that is equal only for equal rows."""
-    exact = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
-    return F.to_json(F.struct(*columns), exact)
+    A key of several columns is taken as such a text, too.
+    """
+    one = len(key) == 1
+    text = F.coalesce(F.col(key[0]).cast("string"), F.lit("")) if one else exact_text(df.select(*key).schema)
+    return F.md5(F.concat(F.lit(f"{seed}:"), text)), F.md5(exact_text(df.schema))
 
 
 def _find_border(hashes: DataFrame, wanted: Callable[[int], int]) -> _Border:

@@ -118,10 +118,13 @@ def split_generated_ids(raw: DataFrame, marker: int = END_OF_REASONING_ID) -> Da
 
 
 def parse_ids(
-    raw: DataFrame, decoder: DecoderFactory, marker: int = END_OF_REASONING_ID
+    raw: DataFrame, decoder: DecoderFactory, marker: int = END_OF_REASONING_ID, keep_marker: bool = True
 ) -> DataFrame:
     """``ids, prompt_len`` to decoded ``thinking`` and ``output``."""
     split = split_generated_ids(raw, marker)
+    if not keep_marker:  # the reasoning ends with it, if there is any
+        size = F.greatest(F.size("thinking_ids") - 1, F.lit(0))
+        split = split.withColumn("thinking_ids", F.slice("thinking_ids", F.lit(1), size))
     carried = split.drop("thinking_ids", "output_ids")
     names = carried.columns
     parts = ("thinking", "output")
@@ -156,26 +159,47 @@ def batch_infer(
     options: dict[str, Any] | None = None,
     raw_path: str | None = None,
     keep_marker: bool = True,
+    marker: str | int | None = None,
+    on_error: str = "raise",
 ) -> DataFrame:
     """``key..., input, thinking, output`` for every row of ``df``.
 
     The raw generations are written first, to ``raw_path`` or the shared scratch
     folder, and parsed from there: parsing can be repeated, and losing an executor
-    later never calls the generator again. ``n`` takes only the first rows by key,
-    ``tasks`` spreads few but costly rows over that many tasks.
+    later never calls the generator again. ``n`` takes only the first rows by key. ``tasks``
+    spreads few but costly rows over that many tasks, the first ``n`` over all cores by default.
+
+    ``marker`` ends the reasoning: a text, or an id for a generator of ids. A NULL text fails the
+    job; with ``on_error="quarantine"`` its row is kept, with NULL results and an ``error``.
     """
     keys = [key] if isinstance(key, str) else list(key)
     if returns == "ids" and decoder is None:
         raise ValueError("a generator of ids needs a decoder")
+    if on_error not in ("raise", "quarantine"):
+        raise ValueError(f"on_error must be 'raise' or 'quarantine', not {on_error!r}")
     rows = df.select(*keys, text)
     if n is not None:
-        if len(keys) != 1:
-            raise ValueError("taking the first rows needs a single key column")
-        rows = first_n(rows, n, keys[0])
+        rows = first_n(rows, n, keys)
+    rejected = rows.filter(F.col(text).isNull()) if on_error == "quarantine" else None
+    if rejected is not None:
+        rows = rows.filter(F.col(text).isNotNull())
+    if tasks is None and n is not None:  # the first rows come in one partition
+        tasks = df.sparkSession.sparkContext.defaultParallelism
     if tasks is not None:
         rows = rows.repartition(tasks)
     raw = generate(build_prompts(rows, keys, text, template), generator, returns, batch_size, options)
     path = raw_path or scratch_path(df.sparkSession, "generations")
     raw.write.parquet(path)
     saved = df.sparkSession.read.schema(raw.schema).parquet(path)
-    return parse_text(saved, keep_marker=keep_marker) if returns == "text" else parse_ids(saved, decoder)
+    if returns == "text":
+        parsed = parse_text(saved, END_OF_REASONING_TEXT if marker is None else marker, keep_marker)
+    else:
+        parsed = parse_ids(saved, decoder, END_OF_REASONING_ID if marker is None else marker, keep_marker)
+    if rejected is None:
+        return parsed
+    nothing = F.lit(None).cast("string")
+    empty = rejected.select(
+        *keys, F.col(text).alias("input"), nothing.alias("thinking"), nothing.alias("output"),
+        F.lit("text is null").alias("error"),
+    )
+    return parsed.withColumn("error", nothing).unionByName(empty)

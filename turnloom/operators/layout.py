@@ -49,7 +49,8 @@ def to_content(
     """``key..., content`` from whichever layout ``df`` has.
 
     ``generation_prompt`` asks for an answer at the end of every conversation, or of
-    those where the boolean column of that name is true.
+    those where the boolean column of that name is true. Of conversations in parts, which
+    have ``part`` and ``is_last``, only the last part is asked.
 
     Messages that cannot be rendered fail the job. With ``on_error="quarantine"``
     every row stays, and an ``error`` column says why its content is NULL.
@@ -59,6 +60,8 @@ def to_content(
     chat_template = get_template(template)
     layout = choose_layout(df.columns, chat_template is not None, text_field)
     keys = [F.col(k) for k in key]
+    if generation_prompt is True and {"part", "is_last"} <= set(df.columns):
+        generation_prompt = "is_last"
     asks = F.col(generation_prompt) if isinstance(generation_prompt, str) else F.lit(generation_prompt)
 
     if not layout.templated:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,7 +18,7 @@ _BLOCKS_PER_CHUNK = 1024
 
 def pack_wrapped(
     df: DataFrame,
-    key: str,
+    key: str | Sequence[str],
     value: str,
     block_len: int = 2048,
     buckets: int | None = None,
@@ -26,12 +28,16 @@ def pack_wrapped(
 
     ``value`` is a text column, cut at whitespace, or an array of tokens. Returns
     ``block, n_tokens`` and ``content`` (the tokens joined by single spaces) or, for
-    arrays, ``tokens``. Only the last block may be shorter. Rows with the same key
+    arrays, ``tokens``. Several key columns are taken in turn. Only the last block may be shorter. Rows with the same key
     are ordered by the md5 of their text, or of their tokens joined by commas.
 
     More than ``max_copies`` rows equal in key and value are collapsed before they
     are shuffled, and their blocks are made by many tasks.
     """
+    keys = [key] if isinstance(key, str) else list(key)
+    key = F.col(keys[0]) if len(keys) == 1 else F.struct(*keys)
+    if _runs_python(df):  # sizes and texts are read one after the other, Python has to run once
+        df = scratch_table(df.select(*dict.fromkeys([*keys, value])), "pack-input")
     is_text = isinstance(df.schema[value].dataType, T.StringType)
 
     def tokens_of(col: str) -> Column:
@@ -39,7 +45,7 @@ def pack_wrapped(
 
     text = F.col(value) if is_text else F.array_join(F.col(value).cast("array<string>"), ",")
     rows = df.select(
-        F.col(key).alias("key"),
+        key.alias("key"),
         F.md5(text).alias("mark"),
         F.size(tokens_of(value)).cast("long").alias("n"),
         F.lit(1).cast("long").alias("copies"),
@@ -127,6 +133,11 @@ def pack_wrapped(
     return within.unionByName(across)
 
 
+def _runs_python(df: DataFrame) -> bool:
+    plan = df._jdf.queryExecution().analyzed().toString()
+    return any(word in plan for word in ("PythonUDF", "MapInArrow", "MapInPandas", "FlatMapGroups", "FlatMapCoGroups"))
+
+
 def _many_copies(rows: DataFrame, sizes: DataFrame, max_copies: int) -> DataFrame | None:
     """One row for each value with more than ``max_copies`` copies, if there are any."""
     counts = sizes.filter(F.col("n") > 0).groupBy("key", "mark").count()

@@ -43,7 +43,11 @@ def tokenise(
             texts = batch["__text"].to_pylist()
             ids: list[Sequence[int]] = []
             for at in range(0, len(texts), batch_size):
-                ids += encode(texts[at : at + batch_size])
+                asked = texts[at : at + batch_size]
+                found = list(encode(asked))
+                if len(found) != len(asked):
+                    raise ValueError(f"{len(asked)} texts gave {len(found)} token lists")
+                ids += found
             out = {name: batch[name] for name in names}
             out["tokens"] = pa.array(ids, pa.list_(pa.int32()))
             yield pa.RecordBatch.from_pydict(out)

@@ -6,6 +6,7 @@ column pruning for every later read.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -25,7 +26,7 @@ def scratch_dir(spark: SparkSession) -> str:
     folder = spark.conf.get(_SETTING, None)
     if folder:
         return folder.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
         raise RuntimeError(f"set {_SETTING} to a folder that all executors share")
     if _local_dir is None:
         _local_dir = tempfile.mkdtemp(prefix="turnloom-")
@@ -34,8 +35,17 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below one folder per application, which can be deleted after it."""
-    application = spark.sparkContext.applicationId
-    return f"{scratch_dir(spark)}/turnloom-{application}/{name}-{uuid.uuid4().hex}"
+    return f"{_application_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def delete_scratch(spark: SparkSession) -> None:
+    """Delete what this application has in the scratch folder; its results must be written by then."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_application_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _application_dir(spark: SparkSession) -> str:
+    return f"{scratch_dir(spark)}/turnloom-{spark.sparkContext.applicationId}"
 
 
 def scratch_table(df: DataFrame, name: str) -> DataFrame:

@@ -23,13 +23,15 @@ def prepare_sft(
     seed: int = 42,
     holdout: float = 0.1,
     fmt: str = "parquet",
+    together: str | Sequence[str] = (),
     rejects_path: str | None = None,
     **options: str,
 ) -> tuple[DataFrame, DataFrame]:
     """``(train, validation)`` with the key columns and one ``content`` column.
 
     ``test`` is the validation side if it is loaded, else an exact share of
-    ``train`` is held out. Every loaded split must have a usable layout. Messages
+    ``train`` is held out, of which rows that agree in the key columns ``together`` (the parts of a
+    conversation) are on one side. Every loaded split must have a usable layout. Messages
     that cannot be rendered fail the job, or with ``rejects_path`` are written
     there with their split and error and left out of both sides.
     """
@@ -50,4 +52,4 @@ def prepare_sft(
 
     if "test" in content:
         return content["train"], content["test"]
-    return hold_out(content["train"], keys, seed, holdout)
+    return hold_out(content["train"], keys, seed, holdout, together)

@@ -1,17 +1,20 @@
 """A Spark reader for a dataset split saved to disk as Arrow stream files.
 
-Such a folder holds ``data-*.arrow`` files. Each file is one task, and its record
-batches go to Spark as they are.
+Such a folder holds a ``state.json`` that lists the data files, or else ``data-*.arrow`` files;
+other Arrow files in it, caches say, are not data. Each file is one task. Its record batches
+are brought to the schema of the split: columns by name, values by a cast that must not fail.
 """
 
 from __future__ import annotations
 
+import json
 import sys
+from fnmatch import fnmatch
 
 from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.pandas.types import from_arrow_schema
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
 
 class SavedSplit(DataSource):
@@ -25,12 +28,12 @@ class SavedSplit(DataSource):
             return from_arrow_schema(_plain_schema(_open(stream).schema))
 
     def reader(self, schema) -> SavedSplitReader:
-        return SavedSplitReader(self.options["path"])
+        return SavedSplitReader(self.options["path"], schema)
 
 
 class SavedSplitReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, schema):
+        self.path, self.wanted = path, schema
 
     def partitions(self):
         return [InputPartition(file) for file in _list_files(self.path)[1]]
@@ -39,7 +42,7 @@ class SavedSplitReader(DataSourceReader):
         fs, _ = _file_system(self.path)
         with fs.open_input_stream(partition.value) as stream:
             for batch in _open(stream):
-                yield batch.cast(_plain_schema(batch.schema))
+                yield _as_declared(batch, to_arrow_schema(self.wanted), partition.value)
 
 
 def register_saved_split(spark: SparkSession) -> None:
@@ -61,12 +64,31 @@ def _list_files(path: str):
 
     system, root = _file_system(path)
     found = system.get_file_info(fs.FileSelector(root))  # raises when the folder is missing
-    files = sorted(f.path for f in found if f.path.endswith(".arrow"))
+    names = {f.base_name: f.path for f in found if f.is_file}
+    listed = []
+    if "state.json" in names:
+        with system.open_input_stream(names["state.json"]) as stream:
+            state = json.loads(stream.read())
+        listed = [f["filename"] for f in state.get("_data_files") or []]
+        missing = [name for name in listed if name not in names]
+        if missing:
+            raise FileNotFoundError(f"state.json of {path} lists {missing}, which are not there")
+    files = [names[n] for n in listed or sorted(n for n in names if fnmatch(n, "data-*.arrow"))]
     if not files:
-        raise FileNotFoundError(f"no .arrow files in {path}")
+        raise FileNotFoundError(f"no data-*.arrow files in {path}")
     return system, files
 
 
+def _as_declared(batch, schema, file: str):
+    import pyarrow as pa
+
+    missing = [name for name in schema.names if name not in batch.schema.names]
+    if missing:
+        raise ValueError(f"{file} has no columns {missing}")
+    columns = [batch.column(f.name).cast(f.type) for f in schema]
+    return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+
 def _open(stream):
     import pyarrow as pa
 

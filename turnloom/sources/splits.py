@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -13,9 +13,9 @@ DEFAULT_SPLITS = "train,test"  # fixed value
 
 FORMATS = ("parquet", "json", "csv", "text", "orc")
 
-# A quoted CSV field may hold line breaks and doubled quotes. Pass multiLine="false"
-# to let Spark cut large files when the texts have no line breaks.
-_READ_OPTIONS = {"csv": {"header": "true", "multiLine": "true", "escape": '"'}}
+# A quoted CSV field may hold doubled quotes. Pass multiLine="true" if it may also hold line
+# breaks: Spark then cannot cut files, and each is one task.
+_READ_OPTIONS = {"csv": {"header": "true", "escape": '"'}}
 
 
 def parse_splits(splits: str = DEFAULT_SPLITS) -> list[str]:
@@ -45,10 +45,27 @@ def load_split(
     return df.withColumnRenamed("value", "text") if fmt == "text" else df
 
 
-def load_saved_split(spark: SparkSession, base: str, split: str) -> DataFrame:
-    """Read a split that was saved as a folder of Arrow files, ``base/split``."""
+def load_saved_split(
+    spark: SparkSession,
+    base: str,
+    split: str,
+    schema: T.StructType | str | None = None,
+    columns: Sequence[str] | None = None,
+) -> DataFrame:
+    """Read a split that was saved as a folder of Arrow files, ``base/split``.
+
+    The ``schema`` is that of the first file if none is given; all files are read by it. Only
+    ``columns``, if given, leave the files.
+    """
     register_saved_split(spark)
-    return spark.read.format("saved_split").load(f"{base.rstrip('/')}/{split}")
+    path = f"{base.rstrip('/')}/{split}"
+    reader = spark.read.format("saved_split")
+    if schema is not None:
+        reader = reader.schema(schema)
+    if columns is None:
+        return reader.load(path)
+    found = reader.load(path).schema
+    return reader.schema(T.StructType([found[c] for c in columns])).load(path)
 
 
 def load_splits(
@@ -71,7 +88,9 @@ def load_splits(
             raise KeyError(f"splits {missing} are not among {sorted(source)}")
         return {name: source[name] for name in names}
     if fmt == "saved":
-        return {name: load_saved_split(spark, source, name) for name in names}
+        if options:
+            raise ValueError(f"saved splits know no options, but got {sorted(options)}")
+        return {name: load_saved_split(spark, source, name, schema) for name in names}
     return {name: load_split(spark, source, name, fmt, schema, **options) for name in names}
 
 
