@@ -10,9 +10,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from turnloom.llm.common import by_value
 from turnloom.llm.components import connected
 from turnloom.plans.scratch import scratch_table
 
+by_value(__name__)
+
 _BLOCK_WORDS = 1 << 16
 _CELL = 4096
 _GROUP = 64

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import string
+import sys
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ SPACE = " \t\n\x0b\x0c\r"  # [\x20\x09-\x0D], the white space of all contracts
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def by_value(module: str) -> None:
+    """Tasks get the module's functions and classes with their code: executors need not have it."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

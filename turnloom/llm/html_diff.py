@@ -17,9 +17,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import text_or_empty
+from turnloom.llm.common import by_value, text_or_empty
 from turnloom.plans.ordered import bucket_bounds, bucket_of
 
+by_value(__name__)
+
 _PAGES_PER_BUCKET = 200
 _MAX_BUCKETS = 2048
 _COPY = 0.8  # a neighbour that shares more of a page than this is a copy, not a template

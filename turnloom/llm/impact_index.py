@@ -14,8 +14,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnloom.llm.common import by_value
 from turnloom.plans.scratch import scratch_table
 
+by_value(__name__)
+
 _SHARD = 8192
 _BLOCK = 512
 _LEVEL_BITS = 6

@@ -20,12 +20,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from turnloom.llm.common import by_value
 from turnloom.plans.scratch import scratch_table
 
+by_value(__name__)
+
 DISCOUNT = 0.75
 _CHUNK_TOKENS = 1_000_000
 _SHARD_TOKENS = 1_000_000
@@ -383,7 +385,7 @@ def _small(values: np.ndarray) -> np.ndarray:
     return values.astype(np.uint32) if values.max(initial=0) < 1 << 32 else values
 
 
-def _questions(shards: int, hot: Broadcast):
+def _questions(shards: int, hot: Hot):
     names = ["chunk", "shard", "contexts", "runs", "words", "counts"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -392,7 +394,7 @@ def _questions(shards: int, hot: Broadcast):
                 chunk = _Chunk(row)
                 low = chunk.words & _WORD_MASK
                 out = []
-                for shard, contexts, runs, asked in chunk.messages(shards, hot.value):
+                for shard, contexts, runs, asked in chunk.messages(shards, hot):
                     keys = low[chunk.successor[asked]].astype("<u8").view(np.uint8).reshape(-1, 8)
                     out.append((
                         row["chunk"], shard, chunk.words[contexts].astype("<u8").tobytes(), pack(_small(runs)),
@@ -410,7 +412,7 @@ def _keys(data: bytes) -> np.ndarray:
     return wide.reshape(-1).view("<u8").astype(np.uint64)
 
 
-def _answers(discount: float, hot: Broadcast):
+def _answers(discount: float, hot: Hot):
     names = ["chunk", "shard", "totals", "kinds", "found", "n", "v", "hot", "hot_totals", "hot_kinds"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -420,7 +422,7 @@ def _answers(discount: float, hot: Broadcast):
         words = np.concatenate([_keys(x) for x in pdf["words"]])
         trie = Trie.build(every, words, np.concatenate([unpack(x) for x in pdf["counts"]]), discount)
         del every, words
-        spread = trie.context(hot.value.words)
+        spread = trie.context(hot.words)
         seen = np.flatnonzero(spread[0] >= 0)
         out = []
         for i, (c, r) in enumerate(zip(contexts, runs)):
@@ -430,7 +432,7 @@ def _answers(discount: float, hot: Broadcast):
             if i:
                 row += [0, 0, [], [], []]
             else:  # the shard's own figures; parts of hot contexts are not counted as contexts
-                row += [int(trie.totals.sum()), trie.n_contexts - len(seen), hot.value.words[seen].view(np.int64)]
+                row += [int(trie.totals.sum()), trie.n_contexts - len(seen), hot.words[seen].view(np.int64)]
                 row += [x[seen] for x in spread[1:]]
             out.append(row)
         return pd.DataFrame(out, columns=names)
@@ -438,22 +440,21 @@ def _answers(discount: float, hot: Broadcast):
     return run
 
 
-def _scores(shards: int, n: int, v: int, discount: float, hot: Broadcast):
+def _scores(shards: int, n: int, v: int, discount: float, hot: Hot, hot_totals: np.ndarray, hot_kinds: np.ndarray):
     names = ["key", "held_out", "n_tokens", "n_known", "base_score", "score"]
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        split, hot_totals, hot_kinds = hot.value
         answered = dict(zip(right["shard"], zip(right["totals"], right["kinds"], right["found"])))
         out = []
         for row in left.to_dict("records"):
             chunk = _Chunk(row)
             totals, kinds = np.zeros(len(chunk.words), np.int64), np.zeros(len(chunk.words), np.int64)
             counts = np.zeros(len(chunk.context))
-            for shard, contexts, _, bigrams in chunk.messages(shards, split):
+            for shard, contexts, _, bigrams in chunk.messages(shards, hot):
                 t, k, f = answered[shard]
                 totals[contexts], kinds[contexts] = unpack(t), unpack(k)
                 counts[bigrams] = restore(unpack(f))
-            found, at = split.places(chunk.words)  # of these the shards know parts only
+            found, at = hot.places(chunk.words)  # of these the shards know parts only
             totals[found], kinds[found] = hot_totals[at], hot_kinds[at]
             single = (totals + 1) / (n + v + 1)
             base = np.log10(single)
@@ -511,9 +512,7 @@ def score(
     )
     tokens = chunks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).head()[0]
     shards = max(1, -(-tokens // _SHARD_TOKENS))
-    context = docs.sparkSession.sparkContext
-    split = _hot(chunks, tokens, shards)
-    spread = context.broadcast(split)
+    spread = _hot(chunks, tokens, shards)  # some megabytes at most, which go with the tasks
     chunks = chunks.drop("noted", "times", "n_tokens")
     asked = chunks.drop("keys").mapInPandas(
         _questions(shards, spread), "chunk long, shard int, contexts binary, runs binary, words binary, counts binary"
@@ -529,16 +528,16 @@ def score(
     n, v = answers.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).head()
     parts = answers.select(F.explode(F.arrays_zip("hot", "hot_totals", "hot_kinds")).alias("x"))
     summed = parts.groupBy("x.hot").agg(F.sum("x.hot_totals"), F.sum("x.hot_kinds")).collect()  # at most _MAX_HOT
-    hot_totals, hot_kinds = (np.zeros(len(split.words), np.int64) for _ in range(2))
+    hot_totals, hot_kinds = (np.zeros(len(spread.words), np.int64) for _ in range(2))
     for word, total, kinds in summed:
-        at = np.searchsorted(split.words, np.int64(word).view(np.uint64))
+        at = np.searchsorted(spread.words, np.int64(word).view(np.uint64))
         hot_totals[at], hot_kinds[at] = total, kinds
     v += len(summed)
     scored = (
         chunks.groupBy("chunk")
         .cogroup(answers.select("chunk", "shard", "totals", "kinds", "found").groupBy("chunk"))
         .applyInPandas(
-            _scores(shards, n, v, discount, context.broadcast((split, hot_totals, hot_kinds))),
+            _scores(shards, n, v, discount, spread, hot_totals, hot_kinds),
             f"key {name}, held_out boolean, n_tokens long, n_known long, base_score double, score double",
         )
     )

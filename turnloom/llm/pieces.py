@@ -11,11 +11,16 @@ from array import array
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from turnloom.llm.common import by_value
+
+by_value(__name__)
+
 MARK = "▁"  # stands for a space inside pieces
 _UNKNOWN_PENALTY = 10.0
 _MEMO = 250_000
@@ -212,17 +217,6 @@ class Codec:
         return text[1:] if text.startswith(" ") else text
 
 
-_codec: tuple[Vocabulary, Codec] | None = None
-
-
-def _codec_of(vocabulary: Vocabulary) -> Codec:
-    """One automaton per Python worker; it outlives the task."""
-    global _codec
-    if _codec is None or _codec[0] != vocabulary:
-        _codec = (vocabulary, Codec(vocabulary))
-    return _codec[1]
-
-
 def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", verify: bool = True) -> DataFrame:
     """``df`` and ``n_tokens`` (long), ``ids`` (int array), ``score`` (double), ``round_trip``.
 
@@ -233,10 +227,9 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", verify: bo
     """
     added = ("n_tokens", "ids", "score", "round_trip")
     source = df.select([F.col(f"`{c}`") for c in df.columns if c not in added])
-    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec_of(shared.value)
+        codec = Codec(vocabulary)
         for whole in batches:
             for at in range(0, whole.num_rows, _ROWS_PER_BATCH):
                 batch = whole.slice(at, _ROWS_PER_BATCH)
@@ -264,11 +257,11 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", verify: bo
 
 def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", into: str = "text") -> DataFrame:
     """``df`` with the text of ``ids`` in column ``into``; NULL ids give NULL."""
-    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     @F.pandas_udf("string")
-    def run(column):
-        codec = _codec_of(shared.value)
-        return column.map(lambda x: None if x is None else codec.decode(x.tolist()))
+    def run(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        codec = Codec(vocabulary)
+        for column in columns:
+            yield column.map(lambda x: None if x is None else codec.decode(x.tolist()))
 
     return df.withColumn(into, run(F.col(ids)))

@@ -18,7 +18,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import bounded_sample
+from turnloom.llm.common import bounded_sample, by_value
+
+by_value(__name__)
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TEXTS = 3000
