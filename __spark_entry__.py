@@ -318,6 +318,14 @@ def batch_infer_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tl.batch_infer(items, "item_id", _text_generator, marker="characters", keep_marker=False)
 
 
+def batch_infer_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three jobs, each with a commit of its own."""
+    turns = _table(spark, sf_dir, "conversations")
+    return tl.batch_infer(
+        turns, ["conv_id", "turn"], _id_generator, returns="ids", decoder=_id_decoder, pieces=3
+    )
+
+
 def results_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The inference results through the JSON sink and back."""
     results = tl.batch_infer(_table(spark, sf_dir, "benchmark"), "item_id", _text_generator)
@@ -510,6 +518,7 @@ def library_queries() -> dict[str, Query]:
         "batch_infer_first": batch_infer_first,
         "batch_infer_quarantine": batch_infer_quarantine,
         "batch_infer_marker": batch_infer_marker,
+        "batch_infer_pieces": batch_infer_pieces,
         "results_json": results_json,
         "reasoning_split_ids": reasoning_split_ids,
         "reasoning_split_text": reasoning_split_text,
@@ -665,6 +674,7 @@ def oracle_sql() -> dict[str, str]:
         "prompt_build": f"SELECT doc_id, {_CHATML_PROMPT} AS prompt FROM documents",
         "batch_infer_text": _answers("documents", "doc_id", _CHATML_PROMPT, _TEXT_ANSWER),
         "batch_infer_ids": _answers("conversations", "conv_id, turn", _CHATML_PROMPT, _ID_ANSWER),
+        "batch_infer_pieces": _answers("conversations", "conv_id, turn", _CHATML_PROMPT, _ID_ANSWER),
         "batch_infer_first": _answers(
             f"({documents} ORDER BY doc_id LIMIT {FIRST})", "doc_id", _ZEPHYR_PROMPT, _TEXT_ANSWER
         ),

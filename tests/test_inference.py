@@ -98,6 +98,39 @@ def test_raw_generations_are_kept(spark, tmp_path):
     assert parse_text(raw, keep_marker=False).orderBy("id").head()["thinking"] == "3"
 
 
+def test_pieces_that_are_there_are_not_generated_again(spark, tmp_path):
+    path, calls = str(tmp_path / "raw"), tmp_path / "calls"
+    calls.mkdir()
+
+    def generator(broken):
+        def factory(**options):
+            def answer(prompts):
+                if broken and any("17" in p for p in prompts):
+                    raise RuntimeError("no memory")
+                for p in prompts:
+                    (calls / f"{broken} {p.split()[1]}").touch()
+                return [str(len(p)) for p in prompts]
+
+            return answer
+
+        return factory
+
+    rows = spark.range(40).selectExpr("id", "cast(id AS string) AS text").coalesce(1)
+    ask = lambda broken, **more: batch_infer(
+        rows, "id", generator(broken), raw_path=path, pieces=5, batch_size=1, **more
+    )
+    with pytest.raises(Exception, match="no memory"):
+        ask(True)
+    done = sum(spark.read.parquet(str(f.parent)).count() for f in (tmp_path / "raw").glob("*/_SUCCESS"))
+    out = ask(False, resume=True).collect()
+    assert sorted(r["id"] for r in out) == list(range(40))
+    assert len(list(calls.glob("False *"))) == 40 - done < 40
+    with pytest.raises(Exception, match="(?i)already exists"):
+        ask(False)
+    with pytest.raises(ValueError, match="raw_path"):
+        batch_infer(rows, "id", generator(False), resume=True)
+
+
 def test_first_rows_over_several_tasks(spark):
     out = batch_infer(numbered(spark, 500, 8), "id", make_generator(), n=50, tasks=4)
     assert sorted(r["id"] for r in out.collect()) == list(range(50))

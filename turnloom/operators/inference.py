@@ -29,7 +29,7 @@ from turnloom.functions.reasoning import (
 from turnloom.functions.strings import strip_newlines
 from turnloom.functions.templates import ChatTemplate, get_template
 from turnloom.operators.first import first_n
-from turnloom.plans.scratch import scratch_path
+from turnloom.plans.scratch import is_written, scratch_path
 
 GeneratorFactory = Callable[..., Callable[[list[str]], Sequence[Any]]]
 DecoderFactory = Callable[[], Callable[[list[list[int]]], Sequence[str]]]
@@ -161,6 +161,8 @@ def batch_infer(
     keep_marker: bool = True,
     marker: str | int | None = None,
     on_error: str = "raise",
+    pieces: int = 1,
+    resume: bool = False,
 ) -> DataFrame:
     """``key..., input, thinking, output`` for every row of ``df``.
 
@@ -169,6 +171,10 @@ def batch_infer(
     later never calls the generator again. ``n`` takes only the first rows by key. ``tasks``
     spreads few but costly rows over that many tasks, the first ``n`` over all cores by default.
 
+    With ``pieces`` the rows are divided by a hash into that many jobs, each of which commits its
+    own folder below ``raw_path``. After a failure the same call with ``resume=True`` generates only the
+    pieces that are not there; input, generator and ``pieces`` have to be the same.
+
     ``marker`` ends the reasoning: a text, or an id for a generator of ids. A NULL text fails the
     job; with ``on_error="quarantine"`` its row is kept, with NULL results and an ``error``.
     """
@@ -177,6 +183,10 @@ def batch_infer(
         raise ValueError("a generator of ids needs a decoder")
     if on_error not in ("raise", "quarantine"):
         raise ValueError(f"on_error must be 'raise' or 'quarantine', not {on_error!r}")
+    if pieces < 1:
+        raise ValueError(f"pieces must be at least 1, not {pieces}")
+    if resume and raw_path is None:
+        raise ValueError("resume needs the raw_path of the run that failed")
     rows = df.select(*keys, text)
     if n is not None:
         rows = first_n(rows, n, keys)
@@ -185,12 +195,17 @@ def batch_infer(
         rows = rows.filter(F.col(text).isNotNull())
     if tasks is None and n is not None:  # the first rows come in one partition
         tasks = df.sparkSession.sparkContext.defaultParallelism
-    if tasks is not None:
-        rows = rows.repartition(tasks)
-    raw = generate(build_prompts(rows, keys, text, template), generator, returns, batch_size, options)
     path = raw_path or scratch_path(df.sparkSession, "generations")
-    raw.write.parquet(path)
-    saved = df.sparkSession.read.schema(raw.schema).parquet(path)
+    place = F.pmod(F.xxhash64(*keys, text), F.lit(pieces))
+    folders = [path] if pieces == 1 else [f"{path}/piece-{i:05d}" for i in range(pieces)]
+    for i, folder in enumerate(folders):
+        own = rows if pieces == 1 else rows.filter(place == i)
+        if tasks is not None:
+            own = own.repartition(tasks)
+        raw = generate(build_prompts(own, keys, text, template), generator, returns, batch_size, options)
+        if not (resume and is_written(df.sparkSession, folder)):
+            raw.write.mode("overwrite" if resume else "errorifexists").parquet(folder)
+    saved = df.sparkSession.read.schema(raw.schema).parquet(*folders)
     if returns == "text":
         parsed = parse_text(saved, END_OF_REASONING_TEXT if marker is None else marker, keep_marker)
     else:

@@ -102,23 +102,14 @@ def pack_wrapped(
         times = F.ceil((skipped + high - low) / n).cast("int")
         return pieces(in_blocks, F.flatten(F.array_repeat("tokens", times)), skipped)
 
-    def blocks(rows: DataFrame, *by: str) -> DataFrame:
-        parts = F.sort_array(F.collect_list(F.struct("pos", "piece")))
-        in_order = F.transform(parts, lambda p: p["piece"])
-        whole = F.array_join(in_order, " ") if is_text else F.flatten(in_order)
-        return (
-            rows.groupBy(*by)
-            .agg(
-                F.sum("length").cast("long").alias("n_tokens"),
-                whole.alias("content" if is_text else "tokens"),
-            )
-            .drop("bucket")
-        )
+    def whole(parts: Column) -> Column:
+        in_order = F.transform(F.sort_array(parts), lambda p: p["piece"])
+        joined = F.array_join(in_order, " ") if is_text else F.flatten(in_order)
+        return joined.alias("content" if is_text else "tokens")
 
-    if repeated is not None:
-        single = pieces_of(placed.filter(F.col("copies") == 1))
-        copied = pieces_of_copies(placed.filter(F.col("copies") > 1))
-        return blocks(single.unionByName(copied), "block")
+    def blocks(rows: DataFrame, *by: str) -> DataFrame:
+        parts = F.collect_list(F.struct("pos", "piece"))
+        return rows.groupBy(*by).agg(F.sum("length").cast("long").alias("n_tokens"), whole(parts)).drop("bucket")
 
     # A block that lies inside one bucket is complete there and needs no further
     # shuffle; only the at most two blocks at the ends of a bucket do.
@@ -128,9 +119,29 @@ def pack_wrapped(
     at_the_ends = (first * block_len < F.col("bucket_start")) | (
         (last + 1) * block_len > F.col("bucket_end")
     )
-    within = blocks(pieces_of(placed, inside), "bucket", "block")
-    across = blocks(pieces_of(placed.filter(at_the_ends), ~inside), "block")
-    return within.unionByName(across)
+    if repeated is None:
+        within = blocks(pieces_of(placed, inside), "bucket", "block")
+        across = blocks(pieces_of(placed.filter(at_the_ends), ~inside), "block")
+        return within.unionByName(across)
+
+    # Repeated values leave a mark in their first and last block: these are put together later,
+    # from the pieces of single rows there and those that the copies give.
+    single = F.col("copies") == 1
+    touched = F.when(single, F.sequence(first, last)).otherwise(F.array(first, last))
+    marked = placed.withColumn("tokens", F.when(single, tokens_of("value"))).select(
+        "*", F.explode(touched).alias("block")
+    )
+    mine = pieces(marked.filter(inside), F.col("tokens"), low - start)
+    by_block = mine.groupBy("bucket", "block").agg(
+        F.sum("length").cast("long").alias("n_tokens"),
+        F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("pos", "length", "piece"))).alias("parts"),
+        F.max(F.col("piece").isNull()).alias("shared"),
+    )
+    within = by_block.filter(~F.col("shared")).select("block", "n_tokens", whole(F.col("parts")))
+    beside = by_block.filter("shared").select("bucket", "block", F.inline("parts"))
+    ends = pieces_of(placed.filter(at_the_ends & single), ~inside)
+    copied = pieces_of_copies(placed.filter(~single))
+    return within.unionByName(blocks(beside.unionByName(ends).unionByName(copied), "block"))
 
 
 def _runs_python(df: DataFrame) -> bool:

@@ -38,6 +38,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{_application_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def is_written(spark: SparkSession, folder: str) -> bool:
+    """Whether a job has committed ``folder``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def delete_scratch(spark: SparkSession) -> None:
     """Delete what this application has in the scratch folder; its results must be written by then."""
     path = spark._jvm.org.apache.hadoop.fs.Path(_application_dir(spark))
