@@ -6,6 +6,8 @@ to the session's shared scratch folder and reads it back for the next.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ from turnloom.plans.scratch import scratch_table
 ORACLE_SQL = None
 
 
+def _own_name(name: str) -> str:
+    """A name that no column of the documents has."""
+    return f"_{name}_{uuid.uuid4().hex[:8]}"
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the learned rules reject go.
 
@@ -33,8 +40,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     ``n_chars``, where there is one, becomes the length of the new text.
     """
-    kept = lines.dedup_lines(docs.withColumn("_had_text", F.col("text").isNotNull()))
-    kept = kept.withColumn("text", F.when(F.col("_had_text"), F.col("text")))
+    had_text = _own_name("had_text")
+    kept = lines.dedup_lines(docs.withColumn(had_text, F.col("text").isNotNull()))
+    kept = kept.withColumn("text", F.when(F.col(had_text), F.col("text")))
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return kept.select([f"`{c}`" for c in docs.columns])
@@ -43,13 +51,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays.
 
-    Of rows that repeat an id one stays; a row without an id is a document of its own group
-    only if no other row is in it, and then stays.
+    Rows without an id come after those with one, and rows with the same id are ordered by the
+    md5 of their text, a NULL first. So every group leaves exactly one document, also where ids
+    are missing or repeated. Of rows that repeat an id and its text one stays.
     """
-    groups = bk_tree.near_duplicates(docs)
-    stays = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(stays, docs["doc_id"].eqNullSafe(stays["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    own = _own_name("document")
+    document = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.md5("text").alias("mark"))
+    marked = docs.withColumn(own, document)
+    groups = bk_tree.near_duplicates(marked, key=own)
+    stays = groups.filter(F.col(own) == F.col("component_id")).select(own).distinct()
+    return marked.join(stays, own, "left_semi").dropDuplicates([own]).drop(own)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

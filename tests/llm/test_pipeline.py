@@ -59,6 +59,22 @@ def test_near_copies(stages):
     assert sorted(r["doc_id"] for r in rows(after)) == sorted({c for _, _, c in groups})
 
 
+def test_near_copies_without_or_with_repeated_ids(spark):
+    """Every group leaves one document: a missing or repeated id loses no other text."""
+    first, second, third = (" ".join(f"{w}{i}" for i in range(80)) for w in ("apple", "stone", "river"))
+    given = [
+        (None, first, "a"), (None, second, "b"), (None, second, "b"), (5, third, "c"), (5, first, "d"),
+        (3, third, "e"), (5, "other words of a repeated id", "f"), (None, None, "g"), (9, "", "h"), (7, "lone text", None),
+    ]
+    docs = spark.createDataFrame(given, "doc_id long, text string, _had_text string").repartition(4)
+    stays = {(5, first), (None, second), (3, third), (5, "other words of a repeated id"), (9, ""), (7, "lone text")}
+    for many in (docs, docs.repartition(1)):
+        kept = cp.near_copies(spark, many, SF).collect()
+        assert {(r["doc_id"], r["text"]) for r in kept} == stays and len(kept) == len(stays)
+    after = cp.line_dedup(spark, docs, SF)
+    assert after.columns == docs.columns and Counter(r[2] for r in after.collect()) == Counter(x[2] for x in given)
+
+
 def test_mixture(stages):
     before, after = stages[3]
     size = lambda rs: Counter({s: sum(len(brute.words(r["text"])) for r in rs if r["source"] == s) for s in {r["source"] for r in rs}})
