@@ -35,6 +35,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 BLOCK_LEN = 128
 MAX_TOKENS = 512
 PART_LEN = 3
+PART_BYTES = 1500
 MAX_MESSAGES = 4096
 MAX_IDS = 64
 FIRST = 50
@@ -123,6 +124,13 @@ def messages_in_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tl.to_content(parts, "chatml", key=["conv_id", "part"], generation_prompt="is_last")
 
 
+def messages_in_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations with more than 1500 bytes of text come in parts of no more, or of one message."""
+    turns = _table(spark, sf_dir, "conversations")
+    parts = tl.collect_messages(turns, "conv_id", max_messages=MAX_MESSAGES, max_bytes=PART_BYTES)
+    return tl.to_content(parts, "chatml", key=["conv_id", "part"], generation_prompt="is_last")
+
+
 def qa_in_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs across the borders of such parts are found, too."""
     turns = _table(spark, sf_dir, "conversations")
@@ -495,6 +503,7 @@ def library_queries() -> dict[str, Query]:
         "qa_chatml": qa_chatml,
         "dialogue_soap_zephyr": dialogue_soap_zephyr,
         "messages_in_parts": messages_in_parts,
+        "messages_in_bytes": messages_in_bytes,
         "qa_in_parts": qa_in_parts,
         "layout_priority": layout_priority,
         "layout_templating_off": layout_templating_off,
@@ -557,6 +566,15 @@ def _parts(length: int) -> str:
     FROM conversations"""
 
 
+_IN_BYTES = f"""
+    SELECT * EXCLUDE (n, pos), pos // part_len AS part, (n - 1) // part_len AS last_part
+    FROM (
+        SELECT conv_id, turn, role, text, count(*) OVER c AS n,
+               row_number() OVER (c ORDER BY turn, role, md5(text), text) - 1 AS pos,
+               CASE WHEN sum(coalesce(strlen(text), 0)) OVER c > {PART_BYTES}
+                    THEN least({MAX_MESSAGES}, greatest({PART_BYTES} // greatest(max(strlen(text)) OVER c, 1), 1))
+                    ELSE {MAX_MESSAGES} END AS part_len
+        FROM conversations WINDOW c AS (PARTITION BY conv_id))"""
 _PARTS = _parts(MAX_MESSAGES)
 _CHATML = "role || chr(10) || text || chr(10)"
 _ZEPHYR = (
@@ -645,6 +663,7 @@ def oracle_sql() -> dict[str, str]:
         "qa_chatml": f"SELECT conv_id, turn, {_PAIR_CHATML} AS content FROM ({_PAIRS})",
         "dialogue_soap_zephyr": f"SELECT conv_id, turn, {_PAIR_ZEPHYR} AS content FROM ({_PAIRS})",
         "messages_in_parts": _rendered(_CHATML, "'assistant' || chr(10)", _parts(PART_LEN)),
+        "messages_in_bytes": _rendered(_CHATML, "'assistant' || chr(10)", _IN_BYTES),
         "qa_in_parts": f"SELECT conv_id, turn, {_PAIR_ZEPHYR} AS content FROM ({_PAIRS})",
         "layout_priority": chatml,
         "layout_templating_off": f"""

@@ -62,6 +62,29 @@ def test_messages_are_whole_and_in_order(spark, kind, max_messages):
     assert got == {c: [t[1:] for t in turns] for c, turns in conversations(rows).items()}
 
 
+@pytest.mark.parametrize("kind", KINDS)
+@pytest.mark.parametrize("max_bytes", [1, 120, 1 << 30])
+def test_bytes_of_a_part(spark, kind, max_bytes):
+    """Parts are whole, and hold no more bytes than asked for unless they are one message."""
+    rows = make_rows(kind)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    parts = collect_messages(df, "conv", max_messages=16, max_bytes=max_bytes).orderBy("conv", "part").collect()
+    got = {}
+    for p in parts:
+        assert p["part"] == got.setdefault(p["conv"], [0, []])[0]
+        got[p["conv"]][0] += 1
+        got[p["conv"]][1] += [tuple(m) for m in p["messages"]]
+        size = sum(len(m["content"].encode()) for m in p["messages"])
+        assert len(p["messages"]) <= 16 and (size <= max_bytes or len(p["messages"]) == 1)
+    expected = conversations(rows)
+    assert {c: messages for c, (_, messages) in got.items()} == expected
+    for conv, messages in expected.items():
+        sizes = [len(m[-1].encode()) for m in messages]
+        length = 16 if sum(sizes) <= max_bytes else min(16, max(max_bytes // max(sizes), 1))
+        assert got[conv][0] == -(-len(messages) // length)
+        assert sum(p["is_last"] for p in parts if p["conv"] == conv) == 1
+
+
 @pytest.mark.parametrize("kind", KINDS)
 @pytest.mark.parametrize("max_messages", [9, 16, 4096])
 def test_pairs(spark, kind, max_messages):

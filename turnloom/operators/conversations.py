@@ -26,14 +26,18 @@ def collect_messages(
     text: str = "text",
     *,
     max_messages: int,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """``conv, part, is_last, messages``, messages being ``{turn, role, content}``.
 
     They are in turn order; equal turns are ordered by role and then by the md5 of their text. A
     conversation of up to ``max_messages`` is one row, part 0; a longer one has
     several parts. A part is one row, so ``max_messages`` texts must fit into one.
+
+    ``max_bytes`` bounds the texts of a part, too: a conversation with more bytes (of UTF-8) has
+    parts of as many messages as would fit if all were as long as its longest, one at least.
     """
-    rows, long = _split_long(df, conv, turn, role, text, max_messages)
+    rows, long = _split_long(df, conv, turn, role, text, max_messages, max_bytes)
     rows = rows.withColumnRenamed("text", "content")
     # Collecting on the map side would only sort the rows twice.
     short = rows.repartition("conv").groupBy("conv").agg(
@@ -48,23 +52,21 @@ def collect_messages(
         return short.withColumnRenamed("conv", conv)
 
     placed = with_running_start(long, ["turn", "role", "mark"], "copies", ["conv"], ["text"])
-    low = F.greatest(F.col("start"), F.col("part") * max_messages)
-    high = F.least(F.col("start") + F.col("copies"), (F.col("part") + 1) * max_messages)
-    touched = F.expr(
-        f"sequence(start div {max_messages}, (start + copies - 1) div {max_messages})"
-    )
+    low = F.greatest(F.col("start"), F.col("part") * F.col("part_len"))
+    high = F.least(F.col("start") + F.col("copies"), (F.col("part") + 1) * F.col("part_len"))
+    touched = F.expr("sequence(start div part_len, (start + copies - 1) div part_len)")
     message = F.struct("turn", "role", F.col("text").alias("content")).alias("message")
     parts = (
-        placed.select("conv", "n", "start", "copies", message, F.explode(touched).alias("part"))
+        placed.select("conv", "n", "part_len", "start", "copies", message, F.explode(touched).alias("part"))
         .select(
-            "conv", "n", "part", low.alias("pos"), (high - low).cast("int").alias("times"), "message"
+            "conv", "n", "part_len", "part", low.alias("pos"), (high - low).cast("int").alias("times"), "message"
         )
-        .groupBy("conv", "n", "part")
+        .groupBy("conv", "n", "part_len", "part")
         .agg(F.sort_array(F.collect_list(F.struct("pos", "times", "message"))).alias("items"))
         .select(
             "conv",
             "part",
-            F.expr(f"part = (n - 1) div {max_messages}").alias("is_last"),
+            F.expr("part = (n - 1) div part_len").alias("is_last"),
             F.flatten(
                 F.transform("items", lambda i: F.array_repeat(i["message"], i["times"]))
             ).alias("messages"),
@@ -124,10 +126,11 @@ def _adjacent(rows: DataFrame, order) -> DataFrame:
 
 
 def _split_long(
-    df: DataFrame, conv: str, turn: str, role: str, text: str, max_messages: int
+    df: DataFrame, conv: str, turn: str, role: str, text: str, max_messages: int, max_bytes: int | None = None
 ) -> tuple[DataFrame, DataFrame | None]:
     """The turns of short conversations, and those of long ones if there are any.
 
+    Long ones have their number of messages ``n`` and the length of their parts ``part_len``.
     Copies of one turn in a long conversation become one row with their number,
     before they are shuffled, so a turn that fills much of the table stays small.
     """
@@ -138,7 +141,14 @@ def _split_long(
         F.col(text).alias("text"),
     )
     rows = rows.withColumn("mark", F.md5("text"))
-    counts = rows.groupBy("conv").agg(F.count("*").alias("n")).filter(F.col("n") > max_messages)
+    part_len, measures = F.lit(max_messages).cast("long"), [F.count("*").alias("n")]
+    if max_bytes is not None:
+        size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+        measures += [F.sum(size).alias("bytes"), F.max(size).alias("longest")]
+        fitting = F.expr(f"greatest({max_bytes}L div greatest(longest, 1L), 1L)")
+        part_len = F.when(F.col("bytes") > max_bytes, F.least(part_len, fitting)).otherwise(part_len)
+    counts = rows.groupBy("conv").agg(*measures).select("conv", "n", part_len.alias("part_len"))
+    counts = counts.filter(F.col("n") > F.col("part_len"))
     known = scratch_table(counts, "long-conversations")
     n_long = known.count()
     if n_long == 0:
@@ -155,7 +165,7 @@ def _split_long(
         is_long = is_long & (F.col("salt") == F.col("long_salt"))
     long = (
         salted.join(known, is_long)
-        .groupBy("conv", "n", "turn", "role", "mark", "text")
+        .groupBy("conv", "n", "part_len", "turn", "role", "mark", "text")
         .agg(F.count("*").alias("copies"))
     )
     short = salted.join(known, is_long, "left_anti").drop("salt")
