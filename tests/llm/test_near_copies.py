@@ -1,0 +1,67 @@
+"""Near copies against pairwise Jaccard similarities without hashes."""
+
+import random
+
+import corpus_pipeline as cp
+from turnloom.llm import bk_tree, near_copies
+from conftest import SF
+
+import brute
+
+
+def shingles(text, size=5):
+    w = brute.words((text or "").translate(brute.LOWER))
+    return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
+
+
+def groups(rows, similarity=0.8):
+    """``rows``: (key, text); the smallest key of each row's component."""
+    sets = [shingles(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= similarity * len(a | b):
+                parent[root(i)] = root(j)
+    least = {}
+    for i, (key, _) in enumerate(rows):
+        least[root(i)] = min(key, least.get(root(i), key))
+    return {key: least[root(i)] for i, (key, _) in enumerate(rows)}
+
+
+def planted():
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(3000)]
+    texts = []
+    for _ in range(25):
+        text = [rng.choice(words) for _ in range(rng.randint(40, 400))]
+        texts.append(text)
+        for _ in range(rng.randint(0, 6)):  # chains, too: edits of edits
+            text = list(rng.choice([text, texts[-1]]))
+            for _ in range(rng.randint(1, max(1, len(text) // 40))):
+                text[rng.randrange(len(text))] = rng.choice(words)
+            texts.append(text)
+    rows = [" ".join(t) for t in texts] + ["", None, "one two", "One  two", "one two three", "a b c d e f"]
+    return list(enumerate(rows))
+
+
+def test_groups_are_those_of_all_pairs(spark):
+    rows = planted()
+    expected = groups(rows)
+    prints = dict((k, bk_tree.fingerprint_of(t, 5)) for k, t in rows)
+    far = [k for k, g in expected.items() if ((prints[k] ^ prints[g]) & (2**64 - 1)).bit_count() > 3]
+    assert len(far) > 20  # most near copies are not within three bits
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = near_copies.near_copies(docs, "doc_id").collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == expected and len(got) == len(rows)
+
+
+def test_stage_leaves_no_near_copies(spark):
+    rows = planted()
+    kept = cp.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(groups(rows).values()))

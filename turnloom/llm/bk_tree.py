@@ -21,26 +21,32 @@ _CELL = 4096
 _GROUP = 64
 
 
-def fingerprint_of(text: str | None, words_per_shingle: int = 3) -> int:
-    """The signed 64-bit SimHash of a text, 0 for one without words."""
+def shingle_hashes(text: str | None, words_per_shingle: int = 3) -> Iterator[np.ndarray]:
+    """The hashes of a text's shingles in order, in blocks; none for one without words."""
     import xxhash
 
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []  # ASCII only
     if not words:
-        return 0
+        return
     size = min(words_per_shingle, len(words))
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = len(words) - size + 1
-    counts = np.zeros(64, np.int64)
     digest = xxhash.xxh64_intdigest
     for at in range(0, n, _BLOCK_WORDS):
         stop = min(n, at + _BLOCK_WORDS)
         cuts = zip(starts[at:stop].tolist(), ends[at + size - 1 : stop + size - 1].tolist())
-        hashes = np.fromiter((digest(joined[a:b], 42) for a, b in cuts), np.uint64, stop - at)
+        yield np.fromiter((digest(joined[a:b], 42) for a, b in cuts), np.uint64, stop - at)
+
+
+def fingerprint_of(text: str | None, words_per_shingle: int = 3) -> int:
+    """The signed 64-bit SimHash of a text, 0 for one without words."""
+    n, counts = 0, np.zeros(64, np.int64)
+    for hashes in shingle_hashes(text, words_per_shingle):
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
+        n += len(hashes)
     value = sum(1 << i for i in np.flatnonzero(2 * counts > n).tolist())
     return value - (1 << 64) if value >> 63 else value
 

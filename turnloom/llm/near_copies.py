@@ -1,0 +1,159 @@
+"""Near copies by the Jaccard similarity of word shingles, each link checked exactly.
+
+SimHash and MinHash only propose pairs. Near fingerprints connect large groups of very similar
+texts without pairing them; MinHash bands then propose what lies further apart, between different
+groups only.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from turnloom.llm.bk_tree import fingerprint_of, shingle_hashes, similar
+from turnloom.llm.common import by_value
+from turnloom.llm.components import connected
+from turnloom.plans.scratch import scratch_table
+
+by_value(__name__)
+
+_BANDS, _ROWS = 32, 5  # a pair of similarity s shares no band with probability (1 - s**5)**32: 3e-6 at 0.8
+_STAR_ROUNDS = 2
+_CHUNK = 1024
+_DRAWN = np.random.default_rng(42).integers(0, 1 << 64, (2, _BANDS * _ROWS, 1), np.uint64)
+_FLIP, _FACTOR = _DRAWN[0], _DRAWN[1] | np.uint64(1)
+
+
+def _signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
+
+
+def shingle_set(text: str | None, words_per_shingle: int) -> np.ndarray:
+    """The sorted distinct shingle hashes of a text."""
+    blocks = list(shingle_hashes(text, words_per_shingle))
+    return np.unique(np.concatenate(blocks)) if blocks else np.empty(0, np.uint64)
+
+
+def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
+    """The Jaccard similarity of two sets; two empty ones are equal."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def bands_of(hashes: np.ndarray) -> list[int]:
+    """One hash per MinHash band of a set; none for the empty set."""
+    import xxhash
+
+    if not len(hashes):
+        return []
+    least = np.full(_BANDS * _ROWS, (1 << 64) - 1, np.uint64)
+    for at in range(0, len(hashes), _CHUNK):
+        np.minimum(least, ((hashes[at : at + _CHUNK] ^ _FLIP) * _FACTOR).min(axis=1), out=least)
+    return [_signed(xxhash.xxh64_intdigest(r.tobytes(), i)) for i, r in enumerate(least.reshape(_BANDS, _ROWS))]
+
+
+def _sketches(docs: DataFrame, key: str, text: str, words_per_shingle: int) -> DataFrame:
+    """``key, fp, node, n, bands``: texts with the same set of ``n`` shingles are one node."""
+
+    @F.pandas_udf("fp long, node long, n long, bands array<long>")
+    def sketch(texts: pd.Series) -> pd.DataFrame:
+        import xxhash
+
+        rows = []
+        for t in texts:
+            hashes = shingle_set(t, words_per_shingle)
+            node = _signed(xxhash.xxh64_intdigest(hashes.tobytes(), 42))
+            rows.append((fingerprint_of(t, words_per_shingle), node, len(hashes), bands_of(hashes)))
+        return pd.DataFrame(rows, columns=["fp", "node", "n", "bands"])
+
+    return docs.select(F.col(key).alias("key"), sketch(F.col(text).cast("string")).alias("s")).select("key", "s.*")
+
+
+def near_copies(
+    docs: DataFrame, key: str, text: str = "text", words_per_shingle: int = 5, similarity: float = 0.8
+) -> DataFrame:
+    """``key, component_id`` of every row; rows with the same key must have the same text.
+
+    Texts are lower-cased (A-Z), cut into words at ASCII white space and into shingles; a text with
+    fewer words is one shingle, texts without words are equal. Texts whose sets of shingles have
+    a Jaccard similarity of ``similarity`` or more are linked, also through others, and a component
+    bears its smallest key. Every link is checked on the whole texts. A pair of similarity s is
+    not proposed with probability ``(1 - s**5)**32`` at most, 3 in a million at 0.8.
+    """
+    marked = scratch_table(_sketches(docs, key, text, words_per_shingle), "sketches")
+    nodes = scratch_table(
+        marked.groupBy("node").agg(
+            F.min("key").alias("first"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.first("bands").alias("bands")
+        ),
+        "nodes",
+    )
+
+    @F.pandas_udf("double")
+    def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
+        known: dict[str, np.ndarray] = {}
+
+        def hashes(t):
+            if t not in known:
+                if len(known) > 64:
+                    known.clear()
+                known[t] = shingle_set(t, words_per_shingle)
+            return known[t]
+
+        return pd.Series([similarity_of(hashes(x), hashes(y)) for x, y in zip(a, b)], dtype="float64")
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        pairs = scratch_table(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        firsts = nodes.select("node", F.col("first").alias("key")).join(wanted, "node", "left_semi")
+        own = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+        texts = scratch_table(own.join(firsts, "key").dropDuplicates(["node"]).select("node", "text"), "texts")
+        a, b = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
+        both = pairs.join(a, "a").join(b, "b")
+        near = both.select("a", "b", jaccard("text_a", "text_b").alias("s")).filter(F.col("s") >= similarity)
+        return scratch_table(near.select("a", "b"), "links")
+
+    def rooted(links: DataFrame) -> DataFrame:
+        roots = connected(links)
+        return scratch_table(
+            nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "rooted"
+        )
+
+    # Near fingerprints; nodes of one fingerprint hang on the smallest.
+    codes = scratch_table(nodes.groupBy("fp").agg(F.min("node").alias("head")), "codes")
+    a, b = (codes.select(F.col("fp").alias(c), F.col("head").alias(f"head_{c}")) for c in "ab")
+    linked = similar(codes.select("fp")).join(a, "a").join(b, "b")
+    same = nodes.join(codes, "fp").filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    links = checked(linked.select(F.col("head_a").alias("a"), F.col("head_b").alias("b")).unionByName(same))
+    roots = rooted(links)
+
+    # Bands: first each member with one centre, which joins large groups; then what is still apart.
+    banded = nodes.select("node", "n", F.posexplode("bands").alias("band", "h"))
+    met = banded.groupBy("band", "h").agg(F.count("*").alias("members")).filter("members > 1").select("band", "h")
+    banded = scratch_table(banded.join(met, ["band", "h"]), "bands")
+    for step in range(_STAR_ROUNDS + 1):
+        members = banded.join(roots, "node")
+        apart = members.groupBy("band", "h").agg(
+            F.min("root").alias("low"), F.max("root").alias("high"),
+            F.min_by(F.struct("node", "n", "root"), F.xxhash64(F.lit(step), "root", "node")).alias("centre"),
+        ).filter("low < high").select("band", "h", "centre")
+        open_members = members.join(apart, ["band", "h"])
+        if step < _STAR_ROUNDS:
+            pairs = open_members.select(
+                F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"),
+                F.col("centre.node").alias("b"), F.col("centre.n").alias("n_b"), F.col("centre.root").alias("root_b"),
+            ).filter("root_a <> root_b")
+        else:
+            open_members = scratch_table(open_members.drop("centre"), "apart")
+            a, b = (
+                open_members.select("band", "h", *[F.col(x).alias(f"{x}_{c}") for x in ("node", "n", "root")]) for c in "ab"
+            )
+            pairs = a.join(b, ["band", "h"]).filter("root_a < root_b").withColumnsRenamed({"node_a": "a", "node_b": "b"})
+        close: Column = F.least("n_a", "n_b") / F.greatest("n_a", "n_b") >= similarity
+        links = scratch_table(links.unionByName(checked(pairs.filter(close).select("a", "b"))), "links")
+        roots = rooted(links)
+
+    names = nodes.join(roots, "node").groupBy("root").agg(F.min("first").alias("component_id"))
+    labels = roots.join(names, "root").select("node", "component_id")
+    return marked.join(labels, "node").select(F.col("key").alias(key), "component_id")
