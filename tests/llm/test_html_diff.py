@@ -114,3 +114,23 @@ def test_query(spark):
         blocks = hd.re.split(r"</?(?:h1|p)>", hd.re.sub(r"<(?:br|/?b)>", " ", inner))
         expected = "\n".join(filter(None, (" ".join(hd.unescape(b).split()) for b in blocks)))
         assert r["text"] == expected and r["n_chars"] == len(expected)
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<div class='layout has-sidebar'><article>a<p>b</article></div>", "a\nb"),
+        ("<div class='layout no-sidebar'><main>a</main><div class=sidebar>s</div></div>", "a"),
+        ("<div id='share-price'>a</div>", "a"), ("<article class='post comments-open'>a</article>b", "a"),
+        ("<div class='widget'>x<article>a<div class=ad>b</div>c</article>y</div>z", "a\nc"),
+        ("<div class='banner'><div>a</div></div>", "a"), ("<div class=ad>x</div><div>a</div>", "a"),
+        ("<div id=comments><article>c</article></div><article>a</article>", "a"), ("<nav><article>n</article></nav>a", "a"),
+    ],
+)
+def test_class_words_do_not_lose_articles(html, text):
+    assert text_of(html) == text
+
+
+def test_lines_under_class_words_are_differenced():
+    page, near = (f"<div class='banner'><p>Site</p><p>text {i}</p></div>" for i in (1, 2))
+    assert text_of(page, [near]) == "text 1"

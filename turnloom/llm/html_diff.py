@@ -34,7 +34,6 @@ _TAG = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
-_WORDS = re.compile(r"[a-z0-9]+")
 _RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
 _VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
@@ -59,18 +58,21 @@ _CHROME_WORDS = frozenset(
     " respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
 _COMMENT_WORDS = frozenset("comment comments reply replies disqus respond".split())
-_NONE, _ARTICLE, _MAIN, _CHROME = range(4)
+_NONE, _ARTICLE, _MAIN, _CHROME, _WORDY = range(5)  # the last: chrome by its class words only
 
 
 def _kind(tag: str, attributes: str, in_article: bool) -> int:
-    """What an element makes of the text inside it."""
+    """What an element makes of the text inside it.
+
+    Classes and ids count as whole tokens: ``no-sidebar`` is no sidebar.
+    """
     words: set[str] = set()
     role = ""
     if attributes and not attributes.isspace():
         for name, value in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'").lower()
             if name in ("class", "id"):
-                words.update(_WORDS.findall(value))
+                words.update(value.split())
             elif name == "role":
                 role = value.strip()
             elif name == "hidden" or name == "aria-hidden" and value == "true":
@@ -85,30 +87,31 @@ def _kind(tag: str, attributes: str, in_article: bool) -> int:
         return _CHROME if words & _COMMENT_WORDS else _ARTICLE
     if tag == "main" or role == "main":
         return _MAIN
-    if tag in _CHROME_TAGS or role in _CHROME_ROLES or words & _CHROME_WORDS:
+    if tag in _CHROME_TAGS or role in _CHROME_ROLES or words & _COMMENT_WORDS:
         return _CHROME
     if tag == "header" and not in_article:
         return _CHROME
-    return _NONE
+    return _WORDY if words & _CHROME_WORDS else _NONE
 
 
 def page_lines(html: str | None) -> tuple[list[str], str]:
     """The text lines of a page in order, and one letter for each.
 
     ``a``: in an article, ``m``: in the main part, ``c``: in a menu, advert, comment or the
-    like, ``u``: anywhere else. A line is the text of one block, references decoded and white space
+    like, ``w``: in what only a class or id calls so, ``u``: anywhere else. An article or main part
+    inside an element of the ``w`` kind is one all the same. A line is the text of one block, references decoded and white space
     collapsed; a line break element is white space. Unclosed elements end with their parents.
     """
     lines, marks = [], []
-    buffer, aside = [], []  # of the block's own text, and of what it has to be rid of
-    stack: list[tuple[str, int]] = []
-    depth = [0, 0, 0, 0]
+    buffer, aside, wordy = [], [], []  # of the block's own text, and of what it has to be rid of
+    stack: list[tuple[str, int, int]] = []  # with the depth of class words that the element suspends
+    depth = [0, 0, 0, 0, 0]
     if not html:
         return [], ""
 
     def flush() -> None:
         own = "a" if depth[_ARTICLE] else "m" if depth[_MAIN] else "u"
-        for texts, mark in ((buffer, own), (aside, "c")):
+        for texts, mark in ((buffer, own), (aside, "c"), (wordy, "w")):
             line = " ".join("".join(texts).split())
             texts.clear()
             if line:
@@ -116,10 +119,14 @@ def page_lines(html: str | None) -> tuple[list[str], str]:
                 marks.append(mark)
 
     def close(at: int) -> None:
-        for _, kind in stack[at:]:
+        for _, kind, suspended in reversed(stack[at:]):
             depth[kind] -= 1
+            depth[_WORDY] += suspended
         del stack[at:]
 
+    def target() -> list[str]:
+        return aside if depth[_CHROME] else wordy if depth[_WORDY] else buffer
+
     def last_open(tag: str, barrier: Sequence[str] = ()) -> int:
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] == tag:
@@ -133,7 +140,7 @@ def page_lines(html: str | None) -> tuple[list[str], str]:
         found = _TAG.search(html, end)
         text = html[end : found.start() if found else size]
         if text:
-            (aside if depth[_CHROME] else buffer).append(unescape(text) if "&" in text else text)
+            target().append(unescape(text) if "&" in text else text)
         if not found:
             break
         end = found.end()
@@ -149,7 +156,7 @@ def page_lines(html: str | None) -> tuple[list[str], str]:
                 close(at)
             continue
         if tag == "br":
-            (aside if depth[_CHROME] else buffer).append(" ")
+            target().append(" ")
             continue
         if tag in _BLOCK:
             flush()
@@ -167,8 +174,10 @@ def page_lines(html: str | None) -> tuple[list[str], str]:
             end = ending.end() if ending else size
             continue
         kind = _kind(tag, attributes, depth[_ARTICLE] > 0 or depth[_MAIN] > 0)
-        stack.append((tag, kind))
+        suspended = depth[_WORDY] if kind in (_ARTICLE, _MAIN) else 0
+        stack.append((tag, kind, suspended))
         depth[kind] += 1
+        depth[_WORDY] -= suspended
     flush()
     return lines, "".join(marks)
 
@@ -238,7 +247,7 @@ def main_lines(lines: Sequence[str], marks: str, neighbours: Sequence[Sequence[s
 
     ``neighbours``: lines of other pages of the host, the nearest first. If an article or main
     part has text, its lines stay and no others. Else lines of no known role stay unless
-    they are shared. A neighbour that shares nearly all of them is a copy of the page and tells
+    they are shared; if there are none, those that only class words call chrome take their place. A neighbour that shares nearly all of them is a copy of the page and tells
     nothing of the template; the next one is asked.
     """
     shares = [shared_lines(lines, other) for other in neighbours[:1]]
@@ -246,7 +255,8 @@ def main_lines(lines: Sequence[str], marks: str, neighbours: Sequence[Sequence[s
     for mark in "am":
         if mark in marks:
             return [x for x, m in zip(lines, marks) if m == mark], n_shared
-    own = [i for i, m in enumerate(marks) if m == "u"]
+    rest = "u" if "u" in marks else "w"
+    own = [i for i, m in enumerate(marks) if m == rest]
     size = sum(len(lines[i]) for i in own)
     for k, other in enumerate(neighbours):
         shared = shares[0] if k == 0 else shared_lines(lines, other)
