@@ -134,3 +134,19 @@ def test_class_words_do_not_lose_articles(html, text):
 def test_lines_under_class_words_are_differenced():
     page, near = (f"<div class='banner'><p>Site</p><p>text {i}</p></div>" for i in (1, 2))
     assert text_of(page, [near]) == "text 1"
+
+
+HOSTED = "<main><p>Topics</p><p>{m}</p><article><p>{a}</p><p>{b}</p><p>Read more</p></article></main>"
+
+
+def test_differencing_decides_before_structure():
+    page, before, after = (HOSTED.format(m=f"main {i}", a=f"long text {i}", b=f"and more {i}") for i in range(3))
+    assert text_of(page, [before, after]) == "main 0\nlong text 0\nand more 0"
+    assert text_of(page, [page, page]) == text_of(page)  # copies are no template
+    quoting = HOSTED.format(m="x", a="long text 0", b="other")
+    assert text_of(page, [quoting, after]) == "main 0\nlong text 0\nand more 0"
+
+
+def test_a_teaser_does_not_replace_the_main_text():
+    page = "<main><p>the whole text</p><article>teaser</article></main>"
+    assert text_of(page) == "the whole text\nteaser"

@@ -245,24 +245,29 @@ def shared_lines(a: Sequence, b: Sequence) -> list[bool]:
 def main_lines(lines: Sequence[str], marks: str, neighbours: Sequence[Sequence[str]]) -> tuple[list[str], int]:
     """The lines that stay, and how many the nearest neighbour shares.
 
-    ``neighbours``: lines of other pages of the host, the nearest first. If an article or main
-    part has text, its lines stay and no others. Else lines of no known role stay unless
-    they are shared; if there are none, those that only class words call chrome take their place. A neighbour that shares nearly all of them is a copy of the page and tells
-    nothing of the template; the next one is asked.
+    ``neighbours``: lines of other pages of the host, the nearest first. Shared lines go, then the
+    structure corrects this. Only the lines of article and main parts can stay if there are any,
+    else those of no known role, else those that only class words call chrome. A neighbour that
+    shares nearly all of them is a copy of the page and tells nothing of the template; the
+    next one is asked. Article lines, and main lines of a page without an article, are put back
+    unless two neighbours that are no copies share them: one alone may quote the text.
     """
     shares = [shared_lines(lines, other) for other in neighbours[:1]]
     n_shared = sum(shares[0]) if shares else 0
-    for mark in "am":
-        if mark in marks:
-            return [x for x, m in zip(lines, marks) if m == mark], n_shared
-    rest = "u" if "u" in marks else "w"
-    own = [i for i, m in enumerate(marks) if m == rest]
-    size = sum(len(lines[i]) for i in own)
+    roles = "am" if "a" in marks or "m" in marks else "u" if "u" in marks else "w"
+    own = [i for i, m in enumerate(marks) if m in roles]
+    body = [i for i in own if marks[i] == ("a" if "a" in marks else "m")]
+    judged = body or own  # what tells a copy
+    size = sum(len(lines[i]) for i in judged)
+    templates = []
     for k, other in enumerate(neighbours):
         shared = shares[0] if k == 0 else shared_lines(lines, other)
-        if sum(len(lines[i]) for i in own if shared[i]) <= _COPY * size:
-            return [lines[i] for i in own if not shared[i]], n_shared
-    return [lines[i] for i in own], n_shared
+        if sum(len(lines[i]) for i in judged if shared[i]) <= _COPY * size:
+            templates.append(shared)
+    gone = {i for i in own if templates and templates[0][i]}
+    if body:
+        gone -= {i for i in body if sum(shared[i] for shared in templates) < 2}
+    return [lines[i] for i in own if i not in gone], n_shared
 
 
 def _prefix(a: str, b: str) -> int:
