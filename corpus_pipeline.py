@@ -11,8 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm import decision_list, lines, pieces, queries, systematic
-from turnloom.llm import near_copies as copies
+from turnloom.llm import bk_tree, decision_list, lines, pieces, queries, systematic
 from turnloom.llm.common import table
 from turnloom.plans.scratch import scratch_table
 
@@ -52,7 +51,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays.
 
-    Near copies share 0.8 or more of their five-word shingles (Jaccard), also through others.
+    Near copies have SimHash fingerprints of three-word shingles that differ in three bits or
+    less, also through others.
     Rows without an id come after those with one, and rows with the same id are ordered by the
     md5 of their text, a NULL first. So every group leaves exactly one document, also where ids
     are missing or repeated. Of rows that repeat an id and its text one stays.
@@ -60,7 +60,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     own = _own_name("document")
     document = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.md5("text").alias("mark"))
     marked = docs.withColumn(own, document)
-    groups = copies.near_copies(marked, key=own)
+    groups = bk_tree.near_duplicates(marked, key=own)
     stays = groups.filter(F.col(own) == F.col("component_id")).select(own).distinct()
     return marked.join(stays, own, "left_semi").dropDuplicates([own]).drop(own)
 
