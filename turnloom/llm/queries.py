@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom.llm import (
-    bk_tree, decision_list, hash_tree, html_diff, impact_index, lines, ngram_trie, pieces, span_crf, systematic,
+    bk_tree, decision_list, hash_tree, html_diff, impact_index, lines, mask_search, ngram_trie, pieces, secret_forms,
+    span_crf, systematic, threshold_means,
 )
 from turnloom.llm.common import SPACE, table
 
@@ -71,10 +72,23 @@ def op10_systematic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", taken)
 
 
+def op11_secret_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_forms.secrets(table(spark, sf_dir, "documents"))
+
+
+def op12_threshold_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return threshold_means.clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op13_mask_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mask_search.rank(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_html_diff, op2_hash_tree, op3_impact_index, op4_sentencepiece, op5_line_dedup,
         op6_ngram_trie, op7_decision_list, op8_span_crf, op9_bk_tree, op10_systematic,
+        op11_secret_forms, op12_threshold_means, op13_mask_search,
     )
     return {f.__name__: f for f in found}
 
@@ -148,6 +162,59 @@ _OP10 = r"""
     FROM o"""
 
 
+
+def _op12(rounds: int) -> str:
+    """One pair of tables a round: the assignment, and the centroids that it moves."""
+    nearest = """
+        a{r} AS MATERIALIZED (
+            SELECT nr, vec_id, v.x, arg_min(c, distance * 8 + c) AS c, min(distance) AS distance FROM (
+                SELECT nr, vec_id, v.x, c, list_sum(list_transform(
+                    generate_series(1, 64), lambda i: (v.x[i] - m.x[i]) * (v.x[i] - m.x[i])))::BIGINT AS distance
+                FROM v, m{r} m) v GROUP BY nr, vec_id, v.x)"""
+    moved = """
+        s{r} AS (SELECT c, i, sum(y) AS s, count(*) AS n FROM (
+            SELECT c, unnest(x) AS y, generate_subscripts(x, 1) AS i FROM a{r}) GROUP BY c, i),
+        m{next} AS MATERIALIZED (
+            SELECT m.c, coalesce(f.x, m.x) AS x FROM m{r} m LEFT JOIN (
+                SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS x FROM s{r} GROUP BY c) f USING (c))"""
+    steps = ",".join(nearest.format(r=r) + "," + moved.format(r=r, next=r + 1) for r in range(rounds))
+    return f"""
+    WITH v AS MATERIALIZED (
+            SELECT row_number() OVER () AS nr, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS x
+            FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+        m0 AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), x) - 1 AS c, x FROM v
+            ORDER BY sha256('3:' || vec_id), x LIMIT 8),
+        {steps},{nearest.format(r=rounds)}
+    SELECT vec_id, c::INTEGER AS cluster, distance, sum(distance) OVER (PARTITION BY c)::BIGINT AS cluster_inertia,
+           sum(distance) OVER ()::BIGINT AS inertia, sha256(array_to_string(m.x, ',')) AS centroid_sha256
+    FROM a{rounds} a JOIN m{rounds} m USING (c)"""
+
+
+_TERMS = (r"list_transform(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), "
+          f"lambda t: translate(t, '{_UPPER}', '{_LOWER}'))")
+
+_OP13 = f"""
+    WITH d AS (SELECT row_number() OVER () AS nr, doc_id, {_TERMS} AS terms FROM documents),
+    totals AS (SELECT count(*) FILTER (len(terms) > 0) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM d),
+    i AS (SELECT DISTINCT row, item_id, unnest(terms) AS term
+          FROM (SELECT row_number() OVER () AS row, item_id, {_TERMS} AS terms FROM benchmark)),
+    p AS (SELECT nr, doc_id, term, count(*) AS tf, 50 + (50 * any_value(n) * any_value(n_docs)) // any_value(n_terms) AS m
+          FROM (SELECT nr, doc_id, len(terms) AS n, unnest(terms) AS term FROM d), totals
+          WHERE term IN (SELECT term FROM i) GROUP BY nr, doc_id, term),
+    w AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+          FROM p, totals GROUP BY term),
+    s AS (SELECT row, item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+          FROM i JOIN p USING (term) JOIN w USING (term) GROUP BY row, item_id, nr, doc_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank
+          FROM s WHERE score > 0)
+    SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The other operators have hashes, models or parsers that DuckDB lacks; brute force tests them."""
-    return {"op3_impact_index": _OP3, "op5_line_dedup": _OP5, "op10_systematic": _OP10}
+    return {
+        "op3_impact_index": _OP3, "op5_line_dedup": _OP5, "op10_systematic": _OP10, "op12_threshold_means": _op12(10),
+        "op13_mask_search": _OP13,
+    }
