@@ -25,7 +25,6 @@ by_value(__name__)
 #: Terms of all items that are searched for in one pass; they and their weights go to every task.
 BLOCK_TERMS = 100_000
 _PIECE = 1 << 20  # bytes of a text that are cut into terms at once
-_FIRST_MASKS = 16
 
 # Letters and digits of ASCII and every other byte of UTF-8 stay, A-Z in lower case.
 _KEPT = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)).lower()
@@ -131,14 +130,16 @@ class Postings:
         ranked = np.argsort(-bounds, kind="stable")
         own = np.zeros_like(weights)
         own[ids] = weights[ids]
-        done, step, scored = 0, _FIRST_MASKS, 0
+        members = np.cumsum(np.diff(starts)[ranked])
+        done, step, scored = 0, best.k, 0
         while done < len(ranked) and bounds[ranked[done]] >= best.last():
-            taken = ranked[done : done + step]
+            stop = int(np.searchsorted(members, scored + step)) + 1  # groups of as many documents, or one group
+            taken = ranked[done:stop]
             rows = np.sort(holders[np.concatenate([order[starts[g] : starts[g + 1]] for g in taken.tolist()])])
             scores = self.scores(rows, own)
             good = scores >= best.last()
             best.add(scores[good], self.docs[rows[good]])
-            done, step, scored = done + step, 2 * step, scored + len(rows)
+            done, step, scored = stop, 2 * step, scored + len(rows)
         return scored
 
 
