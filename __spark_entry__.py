@@ -102,6 +102,60 @@ def messages_json_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendered.select("conv_id", "part", "content", F.col("error").isNotNull().alias("rejected"))
 
 
+# Templates as they come with models: the system text joins the first question; and answers behind the last
+# question are marked, which a backward loop finds.
+MERGED = """{%- if messages[0].role == 'system' -%}
+    {%- set system = messages[0].content | trim -%}
+    {%- set turns = messages[1:] -%}
+{%- else -%}
+    {%- set system = false -%}
+    {%- set turns = messages -%}
+{%- endif -%}
+{{- bos_token }}
+{%- for message in turns -%}
+    {%- if message.role == 'user' -%}
+        {{- '[INST] ' -}}
+        {%- if loop.first and system -%}{{- '<<SYS>>\\n' ~ system ~ '\\n<</SYS>>\\n\\n' -}}{%- endif -%}
+        {{- message.content.strip() + ' [/INST]' -}}
+    {%- else -%}
+        {{- ' ' + message['content'] | trim + ' ' + eos_token -}}
+    {%- endif -%}
+{%- endfor -%}
+{%- if add_generation_prompt %}{{ ' ' }}{% endif -%}"""
+MARKED = """{%- set ns = namespace(searching=true, last=-1) %}
+{%- for message in messages[::-1] %}
+    {%- if ns.searching and message.role == 'user' %}
+        {%- set ns.searching = false %}
+        {%- set ns.last = messages|length - 1 - loop.index0 %}
+    {%- endif %}
+{%- endfor %}
+{%- for message in messages %}
+    {{- '<|im_start|>' + message.role + '\\n' }}
+    {%- if message.role == 'assistant' and loop.index0 > ns.last %}{{- '<think>\\n\\n</think>\\n\\n' }}{% endif %}
+    {{- message.content + '<|im_end|>\\n' }}
+{%- endfor %}
+{%- if add_generation_prompt %}
+    {{- '<|im_start|>assistant\\n' }}
+    {%- if enable_thinking is defined and not enable_thinking %}{{- '<think>\\n\\n</think>\\n\\n' }}{% endif %}
+{%- endif %}"""
+
+
+def messages_model_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    template = tl.model_template(MERGED, {"bos": "<s>", "eos": "</s>"})
+    return tl.to_content(_messages(spark, sf_dir), template, key=["conv_id", "part"], generation_prompt="is_last")
+
+
+def messages_model_namespace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    template = tl.model_template(MARKED)
+    return tl.to_content(_messages(spark, sf_dir), template, key=["conv_id", "part"])
+
+
+def prompt_model_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    template = tl.model_template(MARKED, enable_thinking=False)
+    prompts = tl.build_prompts(_table(spark, sf_dir, "documents"), ["doc_id"], template=template)
+    return prompts.select("doc_id", "prompt")
+
+
 def qa_chatml(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tl.to_content(_pairs(spark, sf_dir), "chatml", key=["conv_id", "turn"])
 
@@ -500,6 +554,9 @@ def library_queries() -> dict[str, Query]:
         "messages_zephyr_genprompt": messages_zephyr_genprompt,
         "messages_json_chatml": messages_json_chatml,
         "messages_json_quarantine": messages_json_quarantine,
+        "messages_model_template": messages_model_template,
+        "messages_model_namespace": messages_model_namespace,
+        "prompt_model_template": prompt_model_template,
         "qa_chatml": qa_chatml,
         "dialogue_soap_zephyr": dialogue_soap_zephyr,
         "messages_in_parts": messages_in_parts,
@@ -599,6 +656,14 @@ _PAIR_ZEPHYR = (
     "chr(10) || question || '</s>' || chr(10) || chr(10) || answer || '</s>' || chr(10)"
 )
 
+# Every message with its place, the system text, and the place of the last question.
+_PLACED = f"""
+    SELECT *, max(CASE WHEN pos = 0 AND role = 'system' THEN regexp_replace(text, {_EDGES}, '', 'g') END) OVER c AS system,
+           coalesce(max(CASE WHEN role = 'user' THEN pos END) OVER c, -1) AS last_question
+    FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, part ORDER BY turn, role, md5(text), text) - 1 AS pos FROM ({_PARTS}))
+    WINDOW c AS (PARTITION BY conv_id, part)"""
+_STRIPPED = f"regexp_replace(text, {_EDGES}, '', 'g')"
+
 _TOKENS = r"list_filter(string_split_regex(text, '[\s\x0b]+'), lambda t: t <> '')"
 
 
@@ -660,6 +725,23 @@ def oracle_sql() -> dict[str, str]:
                    CASE WHEN NOT bool_or(role = 'system')
                         THEN string_agg({_CHATML}, '' ORDER BY turn, role, md5(text), text) END AS content
             FROM ({_PARTS}) GROUP BY conv_id, part""",
+        "messages_model_template": f"""
+            SELECT conv_id, part, '<s>' || coalesce(string_agg(CASE WHEN role = 'user'
+                THEN '[INST] ' || CASE WHEN coalesce(system, '') <> '' AND pos = 1
+                                       THEN '<<SYS>>' || chr(10) || system || chr(10) || '<</SYS>>' || chr(10) || chr(10) ELSE '' END
+                     || {_STRIPPED} || ' [/INST]'
+                ELSE ' ' || {_STRIPPED} || ' </s>' END, '' ORDER BY pos) FILTER (pos > 0 OR role <> 'system'), '')
+                || CASE WHEN part = max(last_part) THEN ' ' ELSE '' END AS content
+            FROM ({_PLACED}) GROUP BY conv_id, part""",
+        "messages_model_namespace": f"""
+            SELECT conv_id, part, string_agg('<|im_start|>' || role || chr(10)
+                || CASE WHEN role = 'assistant' AND pos > last_question
+                        THEN '<think>' || chr(10) || chr(10) || '</think>' || chr(10) || chr(10) ELSE '' END
+                || text || '<|im_end|>' || chr(10), '' ORDER BY pos) AS content
+            FROM ({_PLACED}) GROUP BY conv_id, part""",
+        "prompt_model_template": """
+            SELECT doc_id, '<|im_start|>user' || chr(10) || text || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10)
+                || '<think>' || chr(10) || chr(10) || '</think>' || chr(10) || chr(10) AS prompt FROM documents""",
         "qa_chatml": f"SELECT conv_id, turn, {_PAIR_CHATML} AS content FROM ({_PAIRS})",
         "dialogue_soap_zephyr": f"SELECT conv_id, turn, {_PAIR_ZEPHYR} AS content FROM ({_PAIRS})",
         "messages_in_parts": _rendered(_CHATML, "'assistant' || chr(10)", _parts(PART_LEN)),

@@ -1,0 +1,300 @@
+"""Templates in their own words against renderings written by hand, without a template language."""
+
+import json
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+import turnloom as tl
+from turnloom import TemplateError, model_template, to_content
+
+MESSAGES = "messages array<struct<role:string,content:string>>"
+
+CHATML = """{% for message in messages %}
+{{'<|im_start|>' + message['role'] + '\\n' + message['content'] + '<|im_end|>' + '\\n'}}{% if loop.last and add_generation_prompt %}{{ '<|im_start|>assistant\\n' }}{% endif %}
+{% endfor %}"""
+
+
+def chatml(messages, asks):
+    text = "".join(f"<|im_start|>{r}\n{c}<|im_end|>\n" for r, c in messages)
+    return text + ("<|im_start|>assistant\n" if asks and messages else "")
+
+
+# Roles in turn, the system text inside the first user message, exceptions.
+INSTRUCT = """{%- if messages[0]['role'] == 'system' -%}
+    {%- set system_message = messages[0].content | trim -%}
+    {%- set loop_messages = messages[1:] -%}
+{%- else -%}
+    {%- set system_message = false %}
+    {%- set loop_messages = messages -%}
+{%- endif -%}
+{{- bos_token }}
+{%- for message in loop_messages -%}
+    {%- if (message['role'] == 'user') != (loop.index0 % 2 == 0) -%}
+        {{- raise_exception('roles must alternate') -}}
+    {%- endif -%}
+    {%- if message.role == 'user' -%}
+        {%- if loop.first and system_message -%}
+            {%- set text = '<<SYS>>\\n' ~ system_message ~ '\\n<</SYS>>\\n\\n' ~ message.content -%}
+        {%- else -%}
+            {%- set text = message.content -%}
+        {%- endif -%}
+        {{- '[INST] ' + text.strip() + ' [/INST]' -}}
+    {%- elif message.role in ['assistant', 'model'] -%}
+        {{- ' ' + message.content | trim + ' ' + eos_token -}}
+    {%- else -%}
+        {{- raise_exception('only user and assistant are known') -}}
+    {%- endif -%}
+{%- endfor -%}
+"""
+
+
+def instruct(messages, asks):
+    system = None
+    if messages[0][0] == "system":
+        system, messages = messages[0][1].strip(), messages[1:]
+    out = "<s>"
+    for i, (role, content) in enumerate(messages):
+        if (role == "user") != (i % 2 == 0) or role not in ("user", "assistant", "model"):
+            return None
+        if role == "user":
+            text = f"<<SYS>>\n{system}\n<</SYS>>\n\n{content}" if i == 0 and system else content
+            out += f"[INST] {text.strip()} [/INST]"
+        else:
+            out += f" {content.strip()} </s>"
+    return out
+
+
+# Reasoning is left out of all answers before the last question, which a backward loop finds.
+THINKING = """{%- set ns = namespace(open=true, last=messages|length - 1) %}
+{%- for message in messages[::-1] %}
+    {%- set index = (messages|length - 1) - loop.index0 %}
+    {%- if ns.open and message.role == "user" and message.content is string and not (message.content.startswith('<tool>') and message.content.endswith('</tool>')) %}
+        {%- set ns.open = false %}
+        {%- set ns.last = index %}
+    {%- endif %}
+{%- endfor %}
+{%- if tools %}{{ 'tools' }}{% endif %}
+{%- for message in messages %}
+    {%- set content = message.content %}
+    {%- if message.role == "assistant" %}
+        {%- set reasoning = '' %}
+        {%- if message.reasoning_content is string %}
+            {%- set reasoning = message.reasoning_content %}
+        {%- elif '</think>' in content %}
+            {%- set reasoning = content.split('</think>')[0].rstrip('\\n').split('<think>')[-1].lstrip('\\n') %}
+            {%- set content = content.split('</think>')[-1].lstrip('\\n') %}
+        {%- endif %}
+        {%- if loop.index0 > ns.last and (loop.last or reasoning) %}
+            {{- '<|im_start|>' + message.role + '\\n<think>\\n' + reasoning.strip('\\n') + '\\n</think>\\n\\n' + content }}
+        {%- else %}
+            {{- '<|im_start|>' + message.role + '\\n' + content }}
+        {%- endif %}
+        {{- '<|im_end|>\\n' }}
+    {%- elif message.role == "tool" %}
+        {%- if loop.first or messages[loop.index0 - 1].role != "tool" %}{{- '<|im_start|>user' }}{%- endif %}
+        {{- '\\n<tool>\\n' + content + '\\n</tool>' }}
+        {%- if loop.last or loop.nextitem.role != "tool" %}{{- '<|im_end|>\\n' }}{%- endif %}
+    {%- else %}
+        {{- '<|im_start|>' + message.role + '\\n' + content + '<|im_end|>\\n' }}
+    {%- endif %}
+{%- endfor %}
+{%- if add_generation_prompt %}
+    {{- '<|im_start|>assistant\\n' }}
+    {%- if enable_thinking is defined and enable_thinking is false %}
+        {{- '<think>\\n\\n</think>\\n\\n' }}
+    {%- endif %}
+{%- endif %}"""
+
+
+def thinking(messages, asks, enable=None):
+    last = len(messages) - 1
+    for i in reversed(range(len(messages))):
+        role, text = messages[i]
+        if role == "user" and not (text.startswith("<tool>") and text.endswith("</tool>")):
+            last = i
+            break
+    out = ""
+    for i, (role, text) in enumerate(messages):
+        if role == "assistant":
+            reasoning = ""
+            if "</think>" in text:
+                reasoning = text.split("</think>")[0].rstrip("\n").split("<think>")[-1].lstrip("\n")
+                text = text.split("</think>")[-1].lstrip("\n")
+            if i > last and (i == len(messages) - 1 or reasoning):
+                stripped = reasoning.strip("\n")
+                text = f"<think>\n{stripped}\n</think>\n\n{text}"
+            out += f"<|im_start|>assistant\n{text}<|im_end|>\n"
+        elif role == "tool":
+            if i == 0 or messages[i - 1][0] != "tool":
+                out += "<|im_start|>user"
+            out += f"\n<tool>\n{text}\n</tool>"
+            if i == len(messages) - 1 or messages[i + 1][0] != "tool":
+                out += "<|im_end|>\n"
+        else:
+            out += f"<|im_start|>{role}\n{text}<|im_end|>\n"
+    if asks:
+        out += "<|im_start|>assistant\n" + ("<think>\n\n</think>\n\n" if enable is False else "")
+    return out
+
+
+# A loop that writes and counts: the state goes from round to round with the text.
+COUNTED = """{% set ns = namespace(n=0, seen='') %}
+{% for m in messages if m.role != 'system' %}
+{% if m.role == 'user' %}{% set ns.n = ns.n + 1 %}{% endif %}
+{{ ns.n }}/{{ loop.index }}/{{ loop.revindex }} {{ 'first ' if loop.first else 'after ' ~ ns.seen ~ ' ' }}{{ m.content|upper }}
+{% set ns.seen = m.role %}
+{% endfor %}
+{# the end #}
+  {% if ns.n >= 2 %}
+many of {{ messages|length }}
+  {% else %}
+few
+{% endif %}"""
+
+
+def counted(messages, asks):
+    out, n, seen = "", 0, ""
+    kept = [m for m in messages if m[0] != "system"]
+    for i, (role, text) in enumerate(kept):
+        n += role == "user"
+        out += f"{n}/{i + 1}/{len(kept) - i} " + ("first " if i == 0 else f"after {seen} ") + text.upper() + "\n"
+        seen = role
+    return out + (f"many of {len(messages)}\n" if n >= 2 else "few\n")
+
+
+TOKENS = {"bos": "<s>", "eos": "</s>", "pad": "<pad>"}
+CASES = {"chatml": (CHATML, chatml), "instruct": (INSTRUCT, instruct), "thinking": (THINKING, thinking), "counted": (COUNTED, counted)}
+
+
+def conversations():
+    rng = random.Random(1)
+    texts = ["Hi", " Hi ", "", "<think>\nwhy\n</think>\n\nso", "a</think>b</think>c", "<tool>x</tool>", "é 😀\n", "x" * 300, "' \\n {{ y }}"]
+    out = [[("user", "Hi")], [("system", "s")], [("assistant", "<think>a</think>b")], [("tool", "t"), ("tool", "u")]]
+    for _ in range(60):
+        out.append([(rng.choice(["user", "assistant", "tool"]), rng.choice(texts)) for _ in range(rng.randint(1, 7))])
+    for _ in range(60):
+        turns = [(("user", "assistant")[i % 2], rng.choice(texts)) for i in range(rng.randint(1, 7))]
+        out.append([("system", rng.choice(texts))] * rng.randint(0, 1) + turns)
+    return out
+
+
+@pytest.mark.parametrize("asks", [False, True, "wish"])
+@pytest.mark.parametrize("name", CASES)
+def test_same_as_by_hand(spark, name, asks):
+    source, expected = CASES[name]
+    rows = [(i, m, i % 2 == 0) for i, m in enumerate(conversations())]
+    df = spark.createDataFrame(rows, f"id int, {MESSAGES}, wish boolean").repartition(3)
+    got = to_content(df, model_template(source, TOKENS), key=["id"], generation_prompt=asks, on_error="quarantine")
+    wanted = lambda i: i % 2 == 0 if asks == "wish" else asks
+    for r in got.collect():
+        assert r["content"] == expected(rows[r["id"]][1], wanted(r["id"])), rows[r["id"]]
+        assert (r["error"] is None) == (r["content"] is not None)
+
+
+def test_options(spark):
+    df = spark.createDataFrame([([("user", "Hi")],)], MESSAGES)
+    for value in (True, False):
+        template = model_template(THINKING, enable_thinking=value)
+        assert to_content(df, template, generation_prompt=True).head()[0] == thinking([("user", "Hi")], True, value)
+    prompts = tl.build_prompts(spark.createDataFrame([(1, " Hi")], "id int, text string"), ["id"], template=model_template(CHATML))
+    assert prompts.head()["prompt"] == chatml([("user", " Hi")], True)
+
+
+def test_layouts(spark):
+    template = model_template(CHATML)
+    pairs = spark.createDataFrame([(" q ", None)], "question string, answer string")
+    assert to_content(pairs, template).head()[0] == chatml([("user", "q"), ("assistant", "")], False)
+    encoded = spark.createDataFrame([('[{"role":"user","content":"Hi"}]',), ("[]",), (None,), ("{}",)], "messages string")
+    got = to_content(encoded, template, on_error="quarantine").collect()
+    assert [r["content"] for r in got] == [chatml([("user", "Hi")], False), None, None, None]
+    maps = spark.createDataFrame([([{"role": "user", "content": "Hi"}],)], "messages array<map<string,string>>")
+    assert to_content(maps, template).head()[0] == chatml([("user", "Hi")], False)
+
+
+def test_more_fields_than_two(spark):
+    kind = "messages array<struct<role:string,content:string,reasoning_content:string,calls:array<struct<name:string>>>>"
+    source = ("{% for m in messages %}{{ m.role }}:{% if m.reasoning_content is defined %}({{ m.reasoning_content }}){% endif %}"
+              "{{ m.content | default('-') }}{% for c in m.calls %}[{{ loop.index }} {{ c.name }} of {{ m.role }}]{% endfor %};{% endfor %}")
+    rows = [([("a", "x", "why", [("f",), ("g",)]), ("b", None, None, [])],), ([("a", "x", None, None)],)]
+    got = to_content(spark.createDataFrame(rows, kind), model_template(source), on_error="quarantine").collect()
+    assert [r["content"] for r in got] == ["a:(why)x[1 f of a][2 g of a];b:-;", None]
+
+
+@pytest.mark.parametrize("messages", [None, [], [None], [("user", None)], [("user", "Hi"), None]])
+def test_missing_values_are_refused(spark, messages):
+    df = spark.createDataFrame([(messages,)], MESSAGES)
+    got = to_content(df, model_template(CHATML), on_error="quarantine").head()
+    assert got["content"] is None and got["error"]
+    with pytest.raises(Exception, match="messages is null"):
+        to_content(df, model_template(CHATML)).collect()
+
+
+def test_exceptions_of_the_template_fail_the_job(spark):
+    df = spark.createDataFrame([([("user", "a"), ("user", "b")],)], MESSAGES)
+    with pytest.raises(Exception, match="roles must alternate"):
+        to_content(df, model_template(INSTRUCT, TOKENS)).collect()
+
+
+@pytest.mark.parametrize("source, said, place", [
+    ("a\n  {% macro x() %}", "'macro' is not known", "line 2, column 6"),
+    ("{{ messages", "cannot be read", "line 1, column 12"),
+    ("{% if messages %}", "the end is missing", "line 1"),
+    ("{{ 1 + }}", "cannot start an expression", "line 1"),
+    ("x{% for a, b in messages %}{% endfor %}", "expected in", "line 1, column 10"),
+])
+def test_syntax_errors_have_a_place(source, said, place):
+    with pytest.raises(TemplateError, match=place) as caught:
+        model_template(source)
+    assert said in str(caught.value)
+
+
+@pytest.mark.parametrize("source, said", [
+    ("\n{{ strftime_now('%d') }}", "line 2, column 4: the function 'strftime_now' is not known"),
+    ("{{ messages | tojson }}", "not known"), ("{{ messages[0].content.title() }}", "title is not known"),
+    ("{{ 'a' + 1 }}", "two texts"), ("{{ missing.role }}", "no part 'role'"), ("{{ missing + 'a' }}", "undefined"),
+    ("{{ messages }}", "only texts"), ("{{ messages[::2] }}", "steps of 1"), ("{{ messages[0] is odd }}", "'odd'"),
+    ("{% for m in messages %}{% if m.role == 'a' %}{% for n in messages %}{% set ns.x = 1 %}{% endfor %}{% endif %}{% endfor %}", "inside an if"),
+])
+def test_unknown_constructs_raise(spark, source, said):
+    df = spark.createDataFrame([([("user", "Hi")],)], MESSAGES)
+    with pytest.raises(TemplateError, match="line 1|line 2") as caught:
+        to_content(df, model_template("{% set ns = namespace(x=0) %}" + source))
+    assert said in str(caught.value)
+
+
+@pytest.mark.parametrize("source, expected", [
+    ("{{ 'a' if 1 < 2 else 'b' }}{{ 7 // 2 }}{{ -7 % 3 }}{{ not 1 == 2 }}", "a32True"),
+    ("{{ 'b' in 'abc' }}{{ 'x' not in ['a', 'b'] }}{{ none }}{{ missing }}", "TrueTrueNone"),
+    ("{{ messages[-1].content ~ 1 ~ messages[0]['role'][0:0 - 0] if false else 'z' }}", "z"),
+    ("{{ messages[5].role is defined }}{{ messages[0] is mapping }}", "FalseTrue"),
+    ("a  {%- if true %}  b  {% endif -%}  c\n", "a  b  c"), ("a\n  {% if true +%}\nb\n{% endif %}\nc", "a\n\nb\nc"),
+    ("{{ messages[0].content.split(' ')[-1] | replace('n', 'm') | capitalize }}", "Omd"),
+    ("{{ messages | length }}{{ (messages | first).role }}{{ messages[1:][0].role }}{{ messages[:-1] | length }}", "3userassistant2"),
+    ("{% generation %}{{ '\\u00e9\\t' }}{% endgeneration %}{{ \"it's\" 'x' }}", "é\tit'sx"),
+])
+def test_expressions(spark, source, expected):
+    df = spark.createDataFrame([([("user", "one two ond"), ("assistant", "x"), ("user", "y")],)], MESSAGES)
+    assert to_content(df, model_template(source)).head()[0] == expected
+
+
+def test_settings_file(spark, tmp_path):
+    settings = {"chat_template": CHATML, "eos_token": {"content": "</s>"}, "bos_token": "<s>", "pad_token": None}
+    path = tmp_path / "tokenizer_config.json"
+    path.write_text(json.dumps(settings))
+    template = tl.load_model_template(spark, str(path))
+    assert template.tokens == {"bos": "<s>", "eos": "</s>"} and template.special_tokens == ["</s>", "<s>"]
+    settings["chat_template"] = [{"name": "default", "template": CHATML}, {"name": "rag", "template": INSTRUCT}]
+    path.write_text(json.dumps(settings))
+    assert tl.load_model_template(spark, str(path), "rag").source == INSTRUCT
+    with pytest.raises(KeyError, match="no template 'x'"):
+        tl.load_model_template(spark, str(path), "x")
+
+
+def test_plan_is_native(spark):
+    df = spark.createDataFrame([(1, [("user", "Hi")])], f"id int, {MESSAGES}")
+    plan = to_content(df, model_template(THINKING), key=["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Exchange" not in plan
+    long = spark.range(1).select(F.array_repeat(F.struct(F.lit("assistant").alias("role"), F.lit("x").alias("content")), 5000).alias("messages"))
+    assert len(to_content(long, model_template(THINKING)).head()[0]) > 5000

@@ -1,5 +1,6 @@
 """Chat fine-tuning data and batch inference as Spark jobs."""
 
+from turnloom.functions.model_template import ModelTemplate, TemplateError, model_template
 from turnloom.functions.templates import ChatTemplate, chatml, get_template, zephyr
 from turnloom.operators.conversations import collect_messages, collect_pairs
 from turnloom.operators.first import first_n
@@ -9,13 +10,14 @@ from turnloom.operators.layout import choose_layout, to_content
 from turnloom.operators.packing import pack_wrapped
 from turnloom.operators.tokenise import length_statistics, tokenise, truncate_tokens
 from turnloom.plans.sft import prepare_sft
+from turnloom.sources.model_settings import load_model_template
 from turnloom.sources.results import write_results
 from turnloom.sources.splits import load_eval, load_saved_split, load_split, load_splits, parse_splits
 
 __all__ = [
-    "ChatTemplate", "batch_infer", "build_prompts", "chatml", "choose_layout", "collect_messages",
+    "ChatTemplate", "ModelTemplate", "TemplateError", "batch_infer", "build_prompts", "chatml", "choose_layout", "collect_messages",
     "collect_pairs", "first_n", "generate", "get_template", "holdout", "length_statistics",
-    "load_eval", "load_saved_split", "load_split", "load_splits", "pack_wrapped", "parse_ids",
+    "load_eval", "load_model_template", "load_saved_split", "load_split", "load_splits", "model_template", "pack_wrapped", "parse_ids",
     "parse_splits", "parse_text", "prepare_sft", "to_content", "tokenise", "truncate_tokens",
     "write_results", "zephyr",
 ]

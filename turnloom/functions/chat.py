@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from turnloom.functions.model_template import ModelTemplate
 from turnloom.functions.strings import strip
-from turnloom.functions.templates import ChatTemplate
+from turnloom.functions.templates import ChatTemplate, Template
 
 _WRAPPED = "values array<array<struct<role:variant,content:variant>>>, complete boolean"
 
@@ -73,10 +75,25 @@ def join_pieces(pieces: Column, template: ChatTemplate, asks: Column) -> Column:
     return F.when(asks, F.concat(text, F.lit(template.generation_prompt))).otherwise(text)
 
 
-def render_prompt(text: Column, template: ChatTemplate) -> Column:
+def is_conversation(messages: Column) -> Column:
+    """True when there is at least one message and none is missing."""
+    return F.coalesce((F.size(messages) > 0) & ~F.exists(messages, lambda m: m.isNull()), F.lit(False))
+
+
+_TURNS = T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType())]))
+
+
+def refuse(message: str) -> Column:
+    return F.raise_error(F.lit(message)).cast("string")
+
+
+def render_prompt(text: Column, template: Template) -> Column:
     """The inference prompt for one text. NULL text cannot be rendered and raises."""
-    body = template.piece(F.lit("user"), text)
-    prompt = F.concat(body, F.lit(template.generation_prompt))
+    if isinstance(template, ModelTemplate):
+        prompt = template.render(prompt_messages(text), _TURNS, True, refuse)
+    else:
+        body = template.piece(F.lit("user"), text)
+        prompt = F.concat(body, F.lit(template.generation_prompt))
     return F.when(text.isNotNull(), prompt).otherwise(
         F.raise_error(F.lit("cannot build a prompt from a NULL text")).cast("string")
     )

@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from turnloom.functions.model_template import ModelTemplate
+
 # The special tokens of the two formats.
 CHATML_TOKENS = {
     "user": "user",
@@ -78,15 +80,18 @@ def zephyr(
 TEMPLATES = {"chatml": chatml(), "zephyr": zephyr()}
 
 
-def get_template(template: str | ChatTemplate) -> ChatTemplate | None:
+Template = ChatTemplate | ModelTemplate
+
+
+def get_template(template: str | Template) -> Template | None:
     """Look a template up; ``"none"`` gives None, an unknown name raises."""
-    if isinstance(template, ChatTemplate):
+    if isinstance(template, Template):
         return template
     if template == "none":
         return None
     if template not in TEMPLATES:
         raise ValueError(
             f"unknown chat template {template!r}: use one of {sorted(TEMPLATES)}, 'none', "
-            "or pass a ChatTemplate"
+            "or pass a ChatTemplate or a model_template"
         )
     return TEMPLATES[template]

@@ -27,7 +27,7 @@ from turnloom.functions.reasoning import (
     strip_prompt_ids,
 )
 from turnloom.functions.strings import strip_newlines
-from turnloom.functions.templates import ChatTemplate, get_template
+from turnloom.functions.templates import Template, get_template
 from turnloom.operators.first import first_n
 from turnloom.plans.scratch import is_written, scratch_path
 
@@ -45,7 +45,7 @@ _RAW_IDS = [
 
 
 def build_prompts(
-    df: DataFrame, key: Sequence[str], text: str = "text", template: str | ChatTemplate = "chatml"
+    df: DataFrame, key: Sequence[str], text: str = "text", template: str | Template = "chatml"
 ) -> DataFrame:
     """``key..., input, prompt``: each text as one user turn, ready for an answer."""
     chat_template = get_template(template)
@@ -150,7 +150,7 @@ def batch_infer(
     key: str | Sequence[str],
     generator: GeneratorFactory,
     text: str = "text",
-    template: str | ChatTemplate = "chatml",
+    template: str | Template = "chatml",
     returns: str = "text",
     decoder: DecoderFactory | None = None,
     batch_size: int = BATCH_SIZE,

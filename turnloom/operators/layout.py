@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnloom.functions import chat
-from turnloom.functions.templates import ChatTemplate, get_template
+from turnloom.functions.model_template import ModelTemplate
+from turnloom.functions.templates import Template, get_template
 
 # The recognised layouts, highest priority first.
 LAYOUTS = (("messages",), ("dialogue", "soap"), ("question", "answer"))
@@ -40,7 +41,7 @@ def choose_layout(
 
 def to_content(
     df: DataFrame,
-    template: str | ChatTemplate = "none",
+    template: str | Template = "none",
     text_field: str | None = None,
     key: Sequence[str] = (),
     generation_prompt: bool | str = False,
@@ -70,9 +71,20 @@ def to_content(
         return df.select(*keys, content, *(no_error if on_error == "quarantine" else []))
 
     source, messages, reason = _messages(df, layout)
-    pieces = chat.render_pieces(messages(F.col("__source")), chat_template)
     # Each step is a column of its own, so nothing is parsed or rendered twice.
     read = df.select(*keys, asks.alias("__asks"), source.alias("__source"))
+    if isinstance(chat_template, ModelTemplate):
+        turns = read.select(*keys, "__asks", messages(F.col("__source")).alias("__messages"))
+        wish = generation_prompt if isinstance(generation_prompt, bool) else F.col("__asks")
+        failure = chat.refuse if on_error == "raise" else None
+        text = chat_template.render(F.col("__messages"), turns.schema["__messages"].dataType, wish, failure)
+        whole = F.when(chat.is_conversation(F.col("__messages")), text)
+        rendered = turns.select(*keys, whole.alias("content"))
+        good = F.col("content").isNotNull()
+        if on_error == "raise":
+            return rendered.select(*keys, F.when(good, F.col("content")).otherwise(chat.refuse(reason)).alias("content"))
+        return rendered.select(*keys, "content", F.when(~good, F.lit(reason)).alias("error"))
+    pieces = chat.render_pieces(messages(F.col("__source")), chat_template)
     rendered = read.select(*keys, "__asks", pieces.alias("__pieces"))
     good = chat.is_renderable(F.col("__pieces"))
     text = chat.join_pieces(F.col("__pieces"), chat_template, F.col("__asks"))

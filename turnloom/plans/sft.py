@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.functions.templates import ChatTemplate
+from turnloom.functions.templates import Template
 from turnloom.operators.holdout import holdout as hold_out
 from turnloom.operators.layout import to_content
 from turnloom.sources.splits import DEFAULT_SPLITS, load_splits
@@ -17,7 +17,7 @@ def prepare_sft(
     spark: SparkSession,
     source: str | Mapping[str, DataFrame],
     splits: str = DEFAULT_SPLITS,
-    template: str | ChatTemplate = "none",
+    template: str | Template = "none",
     text_field: str | None = None,
     key: str | Sequence[str] = (),
     seed: int = 42,
