@@ -250,6 +250,27 @@ def first_n_two_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tl.first_n(orders, FIRST_MANY, ["o_custkey", "o_orderkey"])
 
 
+def _in_files(spark: SparkSession, sf_dir: str, fmt: str = "parquet") -> DataFrame:
+    """The documents in many files, in their order; a folder without a key column."""
+    base = scratch_path(spark, "in-files")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    in_order = docs.repartitionByRange(7, "doc_id").sortWithinPartitions("doc_id")
+    in_order.write.format(fmt).option("maxRecordsPerFile", 60).save(f"{base}/train")
+    return tl.load_split(spark, base, "train", fmt, schema=docs.schema)
+
+
+def first_n_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tl.first_n(_in_files(spark, sf_dir), FIRST)
+
+
+def first_n_files_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tl.first_n(_in_files(spark, sf_dir, "json"), FIRST)
+
+
+def row_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tl.with_position(_in_files(spark, sf_dir)).select("doc_id", "position")
+
+
 def holdout_microseconds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One key for all, and local times that differ by microseconds."""
     times = _table(spark, sf_dir, "documents").select(
@@ -368,6 +389,12 @@ def batch_infer_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tl.batch_infer(docs, "doc_id", _text_generator, template="zephyr", n=FIRST, tasks=8)
 
 
+def batch_infer_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts in files, without a key: their order is the key."""
+    docs = _in_files(spark, sf_dir).select("text")
+    return tl.batch_infer(docs, None, _text_generator, n=FIRST)
+
+
 def batch_infer_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fifth text is missing."""
     items = _table(spark, sf_dir, "benchmark").withColumn("text", F.when(F.col("item_id") % 5 > 0, F.col("text")))
@@ -571,6 +598,10 @@ def library_queries() -> dict[str, Query]:
         "first_n_ties": first_n_ties,
         "first_n_many_ties": first_n_many_ties,
         "first_n_two_keys": first_n_two_keys,
+        "first_n_files": first_n_files,
+        "first_n_files_json": first_n_files_json,
+        "row_positions": row_positions,
+        "batch_infer_positions": batch_infer_positions,
         "holdout_microseconds": holdout_microseconds,
         "holdout_together": holdout_together,
         "holdout_split": holdout_split,
@@ -754,6 +785,13 @@ def oracle_sql() -> dict[str, str]:
         "text_passthrough": "SELECT doc_id, text AS content FROM documents",
         "text_field": "SELECT page_id, html AS content FROM pages",
         "first_n": f"{documents} ORDER BY doc_id LIMIT {FIRST}",
+        "first_n_files": f"{documents} ORDER BY doc_id LIMIT {FIRST}",
+        "first_n_files_json": f"{documents} ORDER BY doc_id LIMIT {FIRST}",
+        "row_positions": "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS position FROM documents",
+        "batch_infer_positions": _answers(
+            f"(SELECT row_number() OVER (ORDER BY doc_id) - 1 AS position, text FROM documents ORDER BY doc_id LIMIT {FIRST})",
+            "position", _CHATML_PROMPT, _TEXT_ANSWER,
+        ),
         "first_n_many": f"""
             SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT {FIRST_MANY}""",
         "holdout_split": f"""

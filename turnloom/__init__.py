@@ -8,6 +8,7 @@ from turnloom.operators.holdout import holdout
 from turnloom.operators.inference import batch_infer, build_prompts, generate, parse_ids, parse_text
 from turnloom.operators.layout import choose_layout, to_content
 from turnloom.operators.packing import pack_wrapped
+from turnloom.operators.position import with_position
 from turnloom.operators.tokenise import length_statistics, tokenise, truncate_tokens
 from turnloom.plans.sft import prepare_sft
 from turnloom.sources.model_settings import load_model_template
@@ -19,5 +20,5 @@ __all__ = [
     "collect_pairs", "first_n", "generate", "get_template", "holdout", "length_statistics",
     "load_eval", "load_model_template", "load_saved_split", "load_split", "load_splits", "model_template", "pack_wrapped", "parse_ids",
     "parse_splits", "parse_text", "prepare_sft", "to_content", "tokenise", "truncate_tokens",
-    "write_results", "zephyr",
+    "with_position", "write_results", "zephyr",
 ]

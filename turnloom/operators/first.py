@@ -10,20 +10,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnloom.operators.holdout import row_hashes, take_by_hash
+from turnloom.operators.position import first_in_files
 from turnloom.plans.ordered import with_running_start
 from turnloom.plans.scratch import scratch_table
 
 _SMALL = 10_000
 
 
-def first_n(df: DataFrame, n: int, key: str | Sequence[str]) -> DataFrame:
-    """The ``n`` rows with the smallest keys; all rows if there are fewer.
+def first_n(df: DataFrame, n: int, key: str | Sequence[str] | None = None) -> DataFrame:
+    """The ``n`` rows with the smallest keys, or without a key in file order; all rows if there are fewer.
 
     Rows with one key are ordered by the md5 of the whole row, for every ``n`` and any
     partitioning. A small ``n`` is one top-k. For a large one the rows per key are counted and
     summed up in order of the keys, and the rows up to the key of the n-th row are a plain filter,
     so they never pass through a single task.
     """
+    if key is None:
+        return first_in_files(df, n, first_n)
     keys = [key] if isinstance(key, str) else list(key)
     if n <= _SMALL:
         return df.orderBy(*keys, *row_hashes(df, df.columns, 0)).limit(n)

@@ -29,6 +29,7 @@ from turnloom.functions.reasoning import (
 from turnloom.functions.strings import strip_newlines
 from turnloom.functions.templates import Template, get_template
 from turnloom.operators.first import first_n
+from turnloom.operators.position import POSITION, first_with_position, with_position
 from turnloom.plans.scratch import is_written, scratch_path
 
 GeneratorFactory = Callable[..., Callable[[list[str]], Sequence[Any]]]
@@ -147,7 +148,7 @@ def parse_ids(
 
 def batch_infer(
     df: DataFrame,
-    key: str | Sequence[str],
+    key: str | Sequence[str] | None,
     generator: GeneratorFactory,
     text: str = "text",
     template: str | Template = "chatml",
@@ -175,9 +176,19 @@ def batch_infer(
     own folder below ``raw_path``. After a failure the same call with ``resume=True`` generates only the
     pieces that are not there; input, generator and ``pieces`` have to be the same.
 
+    Without a key (None) the rows are those of files, and ``position``, their number in
+    file order, becomes the key.
+
     ``marker`` ends the reasoning: a text, or an id for a generator of ids. A NULL text fails the
     job; with ``on_error="quarantine"`` its row is kept, with NULL results and an ``error``.
     """
+    if key is None:
+        key = POSITION
+        if n is None:
+            df = with_position(df.select(text))
+        else:
+            df, n = first_with_position(df.select(text), n), None
+            tasks = tasks or df.sparkSession.sparkContext.defaultParallelism
     keys = [key] if isinstance(key, str) else list(key)
     if returns == "ids" and decoder is None:
         raise ValueError("a generator of ids needs a decoder")
