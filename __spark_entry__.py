@@ -33,6 +33,9 @@ if _present("turnloom.llm.queries", "corpus_pipeline"):
 Query = Callable[[SparkSession, str], DataFrame]
 
 BLOCK_LEN = 128
+FIT_LEN = 1024
+PADDED_CHARS = 65_536
+ARROW_ROWS = 10_000  # of an Arrow batch, unless the session sets it
 MAX_TOKENS = 512
 PART_LEN = 3
 PART_BYTES = 1500
@@ -389,6 +392,19 @@ def batch_infer_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tl.batch_infer(docs, "doc_id", _text_generator, template="zephyr", n=FIRST, tasks=8)
 
 
+def batch_infer_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts of like length share a batch; the rows are those of any other batches."""
+    docs = _table(spark, sf_dir, "documents")
+    return tl.batch_infer(docs, "doc_id", _text_generator, batch_size=16, by_length=True, max_padded=PADDED_CHARS)
+
+
+def padding_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What padding adds when prompts come as they are, and when they come by length; in one task."""
+    prompts = tl.build_prompts(_table(spark, sf_dir, "documents").repartition(1).sortWithinPartitions("doc_id"), ["doc_id"])
+    plain, sorted_ = (tl.padding_statistics(prompts, 16, by_length=b).withColumn("by_length", F.lit(b)) for b in (False, True))
+    return plain.unionByName(sorted_)
+
+
 def batch_infer_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts in files, without a key: their order is the key."""
     docs = _in_files(spark, sf_dir).select("text")
@@ -489,6 +505,18 @@ def pack_wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tl.pack_wrapped(_table(spark, sf_dir, "documents"), "doc_id", "text", BLOCK_LEN)
 
 
+def pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents, or parts of a block's length, in as few blocks as best fit needs."""
+    blocks = tl.pack_best_fit(_table(spark, sf_dir, "documents"), "doc_id", "text", FIT_LEN)
+    return blocks.select("block", "n_tokens", F.array_join(F.col("lengths").cast("array<string>"), ",").alias("lengths"), "content")
+
+
+def pack_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well blocks of single messages are filled; longer ones are cut."""
+    turns = _table(spark, sf_dir, "conversations")
+    return tl.fill_rate(tl.pack_best_fit(turns, ["conv_id", "turn"], "text", BLOCK_LEN, "truncate"), BLOCK_LEN)
+
+
 def pack_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of code points."""
     turns = _table(spark, sf_dir, "conversations").select(
@@ -602,6 +630,8 @@ def library_queries() -> dict[str, Query]:
         "first_n_files_json": first_n_files_json,
         "row_positions": row_positions,
         "batch_infer_positions": batch_infer_positions,
+        "batch_infer_by_length": batch_infer_by_length,
+        "padding_by_length": padding_by_length,
         "holdout_microseconds": holdout_microseconds,
         "holdout_together": holdout_together,
         "holdout_split": holdout_split,
@@ -624,6 +654,8 @@ def library_queries() -> dict[str, Query]:
         "truncate_tokens": truncate_tokens,
         "length_statistics": length_statistics,
         "pack_wrapped": pack_wrapped,
+        "pack_best_fit": pack_best_fit,
+        "pack_fill": pack_fill,
         "pack_ids": pack_ids,
         "pack_tokenizer": pack_tokenizer,
         "load_parquet": _load_as("parquet"),
@@ -730,6 +762,32 @@ def _answers(source: str, columns: str, prompt: str, output: str) -> str:
     FROM (SELECT {columns}, text AS input, {prompt} AS prompt FROM {source})"""
 
 
+def _best_fit(source: str, keys: str, block_len: int, split: bool) -> str:
+    """Place after place: the smallest room that is enough, the lowest block of equal ones."""
+    last = f"ceil(len(tokens) / {block_len})::BIGINT" if split else "1"
+    return f"""
+    WITH RECURSIVE cut AS (SELECT {keys}, {_TOKENS} AS tokens FROM {source}),
+    parts AS (
+        SELECT {keys}, part, tokens[part * {block_len} + 1:(part + 1) * {block_len}] AS tokens
+        FROM (SELECT *, unnest(range({last})) AS part FROM cut WHERE len(tokens) > 0)),
+    pieces AS MATERIALIZED (
+        SELECT len(tokens) AS n, array_to_string(tokens, ' ') AS piece,
+               row_number() OVER (ORDER BY len(tokens) DESC, {keys}, part, md5(array_to_string(tokens, ' '))) AS nr FROM parts),
+    fit AS (
+        SELECT 0::BIGINT AS nr, []::BIGINT[] AS rooms, 0::BIGINT AS block, 0::BIGINT AS start
+        UNION ALL
+        SELECT nr, CASE WHEN best IS NULL THEN list_append(rooms, {block_len} - n)
+                        ELSE list_concat(rooms[:best - 1], [rooms[best] - n], rooms[best + 1:]) END,
+               coalesce(best, len(rooms) + 1) - 1, CASE WHEN best IS NULL THEN 0 ELSE {block_len} - rooms[best] END
+        FROM (SELECT *, CASE WHEN least IS NOT NULL THEN list_position(rooms, least) END AS best
+              FROM (SELECT p.nr, p.n, f.rooms, list_min(list_filter(f.rooms, lambda r: r >= p.n)) AS least
+                    FROM fit f JOIN pieces p ON p.nr = f.nr + 1))),
+    blocks AS (
+        SELECT block, sum(n)::BIGINT AS n_tokens, count(*) AS n_sequences,
+               string_agg(n::VARCHAR, ',' ORDER BY start) AS lengths, string_agg(piece, ' ' ORDER BY start) AS content
+        FROM (SELECT nr, block, start FROM fit WHERE nr > 0) JOIN pieces USING (nr) GROUP BY block)"""
+
+
 _CHATML_PROMPT = "'user' || chr(10) || text || chr(10) || 'assistant' || chr(10)"
 _ZEPHYR_PROMPT = "chr(10) || text || '</s>' || chr(10) || chr(10)"
 _TEXT_ANSWER = (
@@ -817,6 +875,20 @@ def oracle_sql() -> dict[str, str]:
         "batch_infer_first": _answers(
             f"({documents} ORDER BY doc_id LIMIT {FIRST})", "doc_id", _ZEPHYR_PROMPT, _TEXT_ANSWER
         ),
+        "batch_infer_by_length": _answers("documents", "doc_id", _CHATML_PROMPT, _TEXT_ANSWER),
+        "padding_by_length": f"""
+            WITH p AS (
+                SELECT doc_id, length({_CHATML_PROMPT}) AS n, (row_number() OVER (ORDER BY doc_id) - 1) // {ARROW_ROWS} AS buffer
+                FROM documents),
+            b AS (
+                SELECT false AS by_length, buffer, n, (row_number() OVER (PARTITION BY buffer ORDER BY doc_id) - 1) // 16 AS batch FROM p
+                UNION ALL
+                SELECT true, buffer, n, (row_number() OVER (PARTITION BY buffer ORDER BY n DESC, doc_id) - 1) // 16 FROM p)
+            SELECT by_length, sum(rows)::BIGINT AS n_prompts, count(*) AS n_batches, sum(chars)::BIGINT AS n_chars,
+                   sum(rows * longest)::BIGINT AS n_padded
+            FROM (SELECT by_length, buffer, batch, count(*) AS rows, sum(n) AS chars, max(n) AS longest FROM b
+                  GROUP BY by_length, buffer, batch)
+            GROUP BY by_length""",
         "results_json": _answers("benchmark", "item_id", _CHATML_PROMPT, _TEXT_ANSWER),
         "reasoning_split_ids": f"""
             SELECT conv_id, turn, array_to_string(ids[:cut], ',') AS thinking_ids,
@@ -857,6 +929,10 @@ def oracle_sql() -> dict[str, str]:
             SELECT pos // {BLOCK_LEN} AS block, count(*) AS n_tokens,
                    string_agg(token, ' ' ORDER BY pos) AS content
             FROM placed GROUP BY pos // {BLOCK_LEN}""",
+        "pack_best_fit": f"{_best_fit('documents', 'doc_id', FIT_LEN, True)} SELECT block, n_tokens, lengths, content FROM blocks",
+        "pack_fill": f"""{_best_fit('conversations', 'conv_id, turn', BLOCK_LEN, False)}
+            SELECT count(*) AS n_blocks, sum(n_sequences)::BIGINT AS n_sequences, sum(n_tokens)::BIGINT AS n_tokens,
+                   count(*) FILTER (n_tokens = {BLOCK_LEN}) AS n_full, sum(n_tokens) / (count(*) * {BLOCK_LEN}) AS fill FROM blocks""",
         "pack_ids": """
             WITH rows AS (
                 SELECT row_number() OVER (ORDER BY conv_id, turn, md5(ids)) AS nr, tokens

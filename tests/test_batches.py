@@ -1,0 +1,101 @@
+"""Batches by length, and resources of the generating stage."""
+
+import random
+
+import pytest
+from pyspark.resource import ResourceProfileBuilder, TaskResourceRequests
+
+from turnloom import batch_infer, build_prompts, generate, padding_statistics
+from turnloom.operators.inference import cut_batches
+
+
+@pytest.mark.parametrize("by_length", [False, True])
+@pytest.mark.parametrize("max_padded", [None, 1, 50, 10_000])
+@pytest.mark.parametrize("size", [1, 4, 100])
+def test_every_row_is_in_one_batch(by_length, max_padded, size):
+    rng = random.Random(size)
+    for n in (0, 1, 5, 200):
+        lengths = [rng.randint(0, 40) for _ in range(n)]
+        batches = cut_batches(lengths, size, by_length, max_padded)
+        assert sorted(i for b in batches for i in b) == list(range(n))
+        assert all(0 < len(b) <= size for b in batches)
+        assert all(len(b) == 1 or max_padded is None or len(b) * max(lengths[i] for i in b) <= max_padded for b in batches)
+        if by_length:
+            flat = [lengths[i] for b in batches for i in b]
+            assert flat == sorted(flat, reverse=True)
+        else:
+            assert [i for b in batches for i in b] == list(range(n))
+
+
+def padded(lengths, batches):
+    return sum(len(b) * max(lengths[i] for i in b) for b in batches)
+
+
+def documents(spark, n=600):
+    rng = random.Random(3)
+    rows = [(i, "x" * int(rng.expovariate(1 / 300))) for i in range(n)]
+    return rows, spark.createDataFrame(rows, "id int, text string").repartition(1).sortWithinPartitions("id")
+
+
+def test_less_is_padded(spark):
+    rows, df = documents(spark)
+    prompts = build_prompts(df, ["id"])
+    plain, sorted_ = (padding_statistics(prompts, 8, by_length=b).head() for b in (False, True))
+    lengths = [len(f"user\n{t}\nassistant\n") for _, t in rows]
+    assert plain["n_padded"] == padded(lengths, cut_batches(lengths, 8, False))
+    assert sorted_["n_padded"] == padded(lengths, cut_batches(lengths, 8, True))
+    assert plain["n_chars"] == sorted_["n_chars"] == sum(lengths) and plain["n_prompts"] == len(rows)
+    assert sorted_["n_padded"] < 1.05 * sorted_["n_chars"] < 0.6 * plain["n_padded"]
+    assert tuple(padding_statistics(prompts.limit(0)).head()) == (0, 0, 0, 0)
+
+
+@pytest.mark.parametrize("returns", ["text", "ids"])
+def test_same_rows_as_in_their_order(spark, tmp_path, returns):
+    rows, df = documents(spark)
+
+    def generator(**_):
+        def answer(prompts):
+            with open(tmp_path / "asked", "a") as f:
+                f.write(f"{len(prompts)} {max(map(len, prompts))} {min(map(len, prompts))}\n")
+            return [f"{len(p)}" if returns == "text" else (1, [0, len(p), 7]) for p in prompts]
+
+        return answer
+
+    decoder = lambda: lambda batch: [str(ids) for ids in batch]
+    one, two = (
+        sorted(map(tuple, batch_infer(df, "id", generator, returns=returns, decoder=decoder, batch_size=8, by_length=b, max_padded=m).collect()))
+        for b, m in ((False, None), (True, 4000))
+    )
+    assert one == two and [r[0] for r in one] == [i for i, _ in rows]
+    asked = [tuple(map(int, line.split())) for line in (tmp_path / "asked").read_text().splitlines()]
+    late = asked[-(len(asked) - -(-len(rows) // 8)) :]
+    assert all(n * longest <= 4000 or n == 1 for n, longest, _ in late)
+    assert [x[1] for x in late] == sorted((x[1] for x in late), reverse=True)
+
+
+def test_wrong_counts_and_settings_raise(spark):
+    _, df = documents(spark, 10)
+    prompts = build_prompts(df, ["id"])
+    with pytest.raises(Exception, match="gave 0 results"):
+        generate(prompts, lambda **_: lambda p: [], by_length=True).collect()
+    for wrong in ({"batch_size": 0}, {"max_padded": 0}):
+        with pytest.raises(ValueError, match="room"):
+            generate(prompts, lambda **_: lambda p: p, **wrong)
+
+
+def test_resources_are_for_the_generating_stage_only(spark):
+    """The plan carries the profile at the generation, and nowhere else."""
+    _, df = documents(spark, 10)
+    profile = ResourceProfileBuilder().require(TaskResourceRequests().cpus(2).resource("gpu", 1)).build
+    raw = generate(build_prompts(df, ["id"]), lambda **_: lambda p: p, profile=profile, barrier=True)
+    plan = raw._jdf.queryExecution().analyzed()
+    assert plan.isBarrier() and plan.profile().isDefined()
+    assert profile.taskResources["gpu"].amount == 1.0
+    plain = generate(build_prompts(df, ["id"]), lambda **_: lambda p: p)._jdf.queryExecution().analyzed()
+    assert not plain.isBarrier() and plain.profile().isEmpty()
+
+
+def test_barrier_gives_the_same_rows(spark):
+    rows, df = documents(spark, 40)
+    got = batch_infer(df.repartition(3), "id", lambda **_: lambda p: [f"{len(x)}" for x in p], barrier=True).collect()
+    assert {r["id"]: r["output"] for r in got} == {i: str(len(f"user\n{t}\nassistant\n")) for i, t in rows}

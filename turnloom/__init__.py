@@ -2,10 +2,13 @@
 
 from turnloom.functions.model_template import ModelTemplate, TemplateError, model_template
 from turnloom.functions.templates import ChatTemplate, chatml, get_template, zephyr
+from turnloom.operators.best_fit import fill_rate, pack_best_fit
 from turnloom.operators.conversations import collect_messages, collect_pairs
 from turnloom.operators.first import first_n
 from turnloom.operators.holdout import holdout
-from turnloom.operators.inference import batch_infer, build_prompts, generate, parse_ids, parse_text
+from turnloom.operators.inference import (
+    batch_infer, build_prompts, generate, padding_statistics, parse_ids, parse_text,
+)
 from turnloom.operators.layout import choose_layout, to_content
 from turnloom.operators.packing import pack_wrapped
 from turnloom.operators.position import with_position
@@ -17,8 +20,8 @@ from turnloom.sources.splits import load_eval, load_saved_split, load_split, loa
 
 __all__ = [
     "ChatTemplate", "ModelTemplate", "TemplateError", "batch_infer", "build_prompts", "chatml", "choose_layout", "collect_messages",
-    "collect_pairs", "first_n", "generate", "get_template", "holdout", "length_statistics",
-    "load_eval", "load_model_template", "load_saved_split", "load_split", "load_splits", "model_template", "pack_wrapped", "parse_ids",
+    "collect_pairs", "fill_rate", "first_n", "generate", "get_template", "holdout", "length_statistics",
+    "load_eval", "load_model_template", "load_saved_split", "load_split", "load_splits", "model_template", "pack_best_fit", "pack_wrapped", "padding_statistics", "parse_ids",
     "parse_splits", "parse_text", "prepare_sft", "to_content", "tokenise", "truncate_tokens",
     "with_position", "write_results", "zephyr",
 ]

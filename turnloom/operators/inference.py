@@ -10,10 +10,13 @@ list of prompts to a list of results of the same length:
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +35,9 @@ from turnloom.operators.first import first_n
 from turnloom.operators.position import POSITION, first_with_position, with_position
 from turnloom.plans.scratch import is_written, scratch_path
 
+# Executors get this module's functions with their code; they need not have it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 GeneratorFactory = Callable[..., Callable[[list[str]], Sequence[Any]]]
 DecoderFactory = Callable[[], Callable[[list[list[int]]], Sequence[str]]]
 
@@ -61,16 +67,73 @@ def build_prompts(
     )
 
 
+def cut_batches(lengths: Sequence[int], batch_size: int, by_length: bool, max_padded: int | None = None) -> list[list[int]]:
+    """The rows of each batch: at most ``batch_size``, and no more than padding to the longest allows.
+
+    Rows come in their order, or by descending length, so that rows of like length share a
+    batch and the one that needs most memory comes first. ``max_padded`` bounds a batch's rows times
+    its greatest length; a row that is longer than that is a batch of its own.
+    """
+    order = sorted(range(len(lengths)), key=lambda i: -lengths[i]) if by_length else range(len(lengths))
+    batches: list[list[int]] = []
+    longest = 0
+    for i in order:
+        longest = max(longest, lengths[i])
+        rows = len(batches[-1]) + 1 if batches else batch_size + 1
+        if rows > batch_size or (max_padded is not None and rows * longest > max_padded):
+            batches.append([])
+            longest = lengths[i]
+        batches[-1].append(i)
+    return batches
+
+
+def padding_statistics(
+    prompts: DataFrame, batch_size: int = BATCH_SIZE, by_length: bool = False, max_padded: int | None = None
+) -> DataFrame:
+    """One row: prompts, batches, characters, and characters once every batch is padded to its longest prompt.
+
+    It cuts the prompts as ``generate`` does with the same settings, and generates nothing.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = [0, 0, 0, 0]
+        for rows in batches:
+            lengths = rows["n"].to_pylist()
+            cut = cut_batches(lengths, batch_size, by_length, max_padded)
+            padded = sum(len(b) * max(lengths[i] for i in b) for b in cut)
+            counts = [a + b for a, b in zip(counts, (len(lengths), len(cut), sum(lengths), padded))]
+        yield pa.RecordBatch.from_pydict({c: pa.array([v], pa.int64()) for c, v in zip(names, counts)})
+
+    names = ["n_prompts", "n_batches", "n_chars", "n_padded"]
+    lengths = prompts.select(F.char_length("prompt").alias("n"))
+    parts = lengths.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return parts.agg(*[F.coalesce(F.sum(c), F.lit(0).cast("long")).alias(c) for c in names])
+
+
 def generate(
     prompts: DataFrame,
     generator: GeneratorFactory,
     returns: str = "text",
     batch_size: int = BATCH_SIZE,
     options: dict[str, Any] | None = None,
+    by_length: bool = False,
+    max_padded: int | None = None,
+    profile: ResourceProfile | None = None,
+    barrier: bool = False,
 ) -> DataFrame:
-    """Replace ``prompt`` by the raw generation; all other columns travel along."""
+    """Replace ``prompt`` by the raw generation; all other columns travel along.
+
+    ``by_length`` puts prompts of like length into one batch, so that little is padded, and
+    ``max_padded`` bounds a batch's prompts times the characters of its longest one. Both look at the rows of one
+    Arrow batch (``spark.sql.execution.arrow.maxRecordsPerBatch``) at a time and leave their order.
+
+    ``profile`` gives the tasks that generate, and no others, resources of their own, such as an
+    accelerator; ``barrier`` starts all of them together, for a generator whose tasks talk to each other.
+    """
     if returns not in ("text", "ids"):
         raise ValueError(f"returns must be 'text' or 'ids', not {returns!r}")
+    if batch_size < 1 or (max_padded is not None and max_padded < 1):
+        raise ValueError("a batch needs room for a prompt")
     settings = {**GENERATION_OPTIONS, **(options or {})}
     carried = prompts.drop("prompt")
     names = carried.columns
@@ -82,13 +145,13 @@ def generate(
         model = generator(**settings)
         for rows in batches:
             texts = rows["prompt"].to_pylist()
-            results: list[Any] = []
-            for at in range(0, len(texts), batch_size):
-                asked = texts[at : at + batch_size]
-                answers = list(model(asked))
-                if len(answers) != len(asked):
-                    raise ValueError(f"{len(asked)} prompts gave {len(answers)} results")
-                results += answers
+            results: list[Any] = [None] * len(texts)
+            for batch in cut_batches(list(map(len, texts)), batch_size, by_length, max_padded):
+                answers = list(model([texts[i] for i in batch]))
+                if len(answers) != len(batch):
+                    raise ValueError(f"{len(batch)} prompts gave {len(answers)} results")
+                for i, answer in zip(batch, answers):
+                    results[i] = answer
             out = {name: rows[name] for name in names}
             if returns == "text":
                 out["raw"] = pa.array(results, pa.string())
@@ -98,7 +161,7 @@ def generate(
                 out["prompt_len"] = pa.array([n for n, _ in pairs], pa.int32())
             yield pa.RecordBatch.from_pydict(out)
 
-    return prompts.mapInArrow(run, schema)
+    return prompts.mapInArrow(run, schema, barrier=barrier, profile=profile)
 
 
 def parse_text(
@@ -164,6 +227,10 @@ def batch_infer(
     on_error: str = "raise",
     pieces: int = 1,
     resume: bool = False,
+    by_length: bool = False,
+    max_padded: int | None = None,
+    profile: ResourceProfile | None = None,
+    barrier: bool = False,
 ) -> DataFrame:
     """``key..., input, thinking, output`` for every row of ``df``.
 
@@ -179,6 +246,9 @@ def batch_infer(
     Without a key (None) the rows are those of files, and ``position``, their number in
     file order, becomes the key.
 
+    ``by_length``, ``max_padded``, ``profile`` and ``barrier`` are those of ``generate``; the results are
+    the same.
+
     ``marker`` ends the reasoning: a text, or an id for a generator of ids. A NULL text fails the
     job; with ``on_error="quarantine"`` its row is kept, with NULL results and an ``error``.
     """
@@ -213,7 +283,9 @@ def batch_infer(
         own = rows if pieces == 1 else rows.filter(place == i)
         if tasks is not None:
             own = own.repartition(tasks)
-        raw = generate(build_prompts(own, keys, text, template), generator, returns, batch_size, options)
+        raw = generate(
+            build_prompts(own, keys, text, template), generator, returns, batch_size, options, by_length, max_padded, profile, barrier
+        )
         if not (resume and is_written(df.sparkSession, folder)):
             raw.write.mode("overwrite" if resume else "errorifexists").parquet(folder)
     saved = df.sparkSession.read.schema(raw.schema).parquet(*folders)
