@@ -40,7 +40,7 @@ MAX_TOKENS = 512
 PART_LEN = 3
 PART_BYTES = 1500
 MAX_MESSAGES = 4096
-MAX_IDS = 64
+MAX_IDS = 512
 FIRST = 50
 FIRST_MANY = 12_000
 END_OF_SENTENCE = 46  # the code point of "."
@@ -424,10 +424,10 @@ def batch_infer_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def batch_infer_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three jobs, each with a commit of its own."""
+    """Sixteen tasks, each with a commit of its own."""
     turns = _table(spark, sf_dir, "conversations")
     return tl.batch_infer(
-        turns, ["conv_id", "turn"], _id_generator, returns="ids", decoder=_id_decoder, pieces=3
+        turns, ["conv_id", "turn"], _id_generator, returns="ids", decoder=_id_decoder, pieces=16
     )
 
 

@@ -34,6 +34,7 @@ from turnloom.functions.templates import Template, get_template
 from turnloom.operators.first import first_n
 from turnloom.operators.position import POSITION, first_with_position, with_position
 from turnloom.plans.scratch import is_written, scratch_path
+from turnloom.sources.pieces import PIECE, in_pieces, piece_folders, read_pieces, write_pieces
 
 # Executors get this module's functions with their code; they need not have it.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -239,9 +240,10 @@ def batch_infer(
     later never calls the generator again. ``n`` takes only the first rows by key. ``tasks``
     spreads few but costly rows over that many tasks, the first ``n`` over all cores by default.
 
-    With ``pieces`` the rows are divided by a hash into that many jobs, each of which commits its
-    own folder below ``raw_path``. After a failure the same call with ``resume=True`` generates only the
-    pieces that are not there; input, generator and ``pieces`` have to be the same.
+    With ``pieces`` the rows are divided by a hash into that many tasks of one job, which reads its input
+    once. Each commits its own folder below ``raw_path`` when it is done, whatever becomes of the others. After
+    a failure the same call with ``resume=True`` generates only the pieces that are not there; input,
+    generator and ``pieces`` have to be the same. Take several pieces per core; ``tasks`` has no say then.
 
     Without a key (None) the rows are those of files, and ``position``, their number in
     file order, becomes the key.
@@ -276,19 +278,28 @@ def batch_infer(
         rows = rows.filter(F.col(text).isNotNull())
     if tasks is None and n is not None:  # the first rows come in one partition
         tasks = df.sparkSession.sparkContext.defaultParallelism
-    path = raw_path or scratch_path(df.sparkSession, "generations")
-    place = F.pmod(F.xxhash64(*keys, text), F.lit(pieces))
-    folders = [path] if pieces == 1 else [f"{path}/piece-{i:05d}" for i in range(pieces)]
-    for i, folder in enumerate(folders):
-        own = rows if pieces == 1 else rows.filter(place == i)
-        if tasks is not None:
-            own = own.repartition(tasks)
-        raw = generate(
-            build_prompts(own, keys, text, template), generator, returns, batch_size, options, by_length, max_padded, profile, barrier
-        )
-        if not (resume and is_written(df.sparkSession, folder)):
-            raw.write.mode("overwrite" if resume else "errorifexists").parquet(folder)
-    saved = df.sparkSession.read.schema(raw.schema).parquet(*folders)
+    spark = df.sparkSession
+    path = raw_path or scratch_path(spark, "generations")
+
+    def generated(own: DataFrame, keys: Sequence[str]) -> DataFrame:
+        prompts = build_prompts(own, keys, text, template)
+        return generate(prompts, generator, returns, batch_size, options, by_length, max_padded, profile, barrier)
+
+    if pieces == 1:
+        raw = generated(rows if tasks is None else rows.repartition(tasks), keys)
+        if not (resume and is_written(spark, path)):
+            raw.write.mode("overwrite" if resume else "errorifexists").parquet(path)
+        saved = spark.read.schema(raw.schema).parquet(path)
+    else:
+        done = piece_folders(spark, path)
+        if done and not resume:
+            raise ValueError(f"{path} already exists: it holds {len(done)} pieces, pass resume=True to go on with them")
+        place = F.pmod(F.xxhash64(*keys, text), F.lit(pieces)).cast("int")
+        rest = rows.filter(~place.isin(list(done))) if done else rows
+        raw = generated(in_pieces(rest, place, pieces), [*keys, PIECE])
+        if len(done) < pieces:
+            write_pieces(raw, path)
+        saved = read_pieces(spark, path, raw.drop(PIECE).schema)
     if returns == "text":
         parsed = parse_text(saved, END_OF_REASONING_TEXT if marker is None else marker, keep_marker)
     else:
