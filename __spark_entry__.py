@@ -600,6 +600,15 @@ def load_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tl.load_saved_split(spark, base, "train")
 
 
+def saved_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written by many tasks, read in small sections, one column and a filter in the reader."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    base = scratch_path(spark, "written-split")
+    tl.write_saved_split(docs.repartition(3), base, "train")
+    read = tl.load_saved_split(spark, base, "train", columns=["doc_id", "lang"], split_bytes=1 << 16)
+    return read.filter((F.col("lang") != "en") & (F.col("doc_id") >= 10))
+
+
 def library_queries() -> dict[str, Query]:
     return {
         "messages_chatml": messages_chatml,
@@ -664,6 +673,7 @@ def library_queries() -> dict[str, Query]:
         "load_csv": _load_as("csv"),
         "load_text": load_text,
         "load_saved": load_saved,
+        "saved_round_trip": saved_round_trip,
         "load_eval": load_eval,
     }
 
@@ -983,6 +993,7 @@ def oracle_sql() -> dict[str, str]:
                    string_agg(id::VARCHAR, ',' ORDER BY pos) AS tokens
             FROM placed GROUP BY pos // {BLOCK_LEN}""",
         "load_eval": documents,
+        "saved_round_trip": "SELECT doc_id, lang FROM documents WHERE lang <> 'en' AND doc_id >= 10",
         "load_text": "SELECT unnest(string_split(text, chr(10))) AS text FROM documents",
     }
     for fmt in ("parquet", "orc", "json", "csv", "saved"):

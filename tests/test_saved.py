@@ -1,0 +1,123 @@
+"""Saved splits: many tasks per file, columns and filters in the reader, and the writer."""
+
+import json
+import random
+
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from turnloom import load_saved_split, write_saved_split
+from turnloom.sources import saved
+
+
+def table(n, seed=0):
+    rng = random.Random(seed)
+    return pa.table({
+        "id": pa.array([None if i % 50 == 7 else i for i in range(n)], pa.int64()),
+        "text": pa.array([None if i % 13 == 5 else "w" * rng.randint(0, 60) for i in range(n)]),
+        "tags": pa.array([["a", None][: i % 3] for i in range(n)], pa.list_(pa.string())),
+        "x": pa.array([float("nan") if i % 9 == 0 else i / 7 for i in range(n)]),
+        "day": pa.array([i % 40 for i in range(n)], pa.int32()).cast(pa.date32()),
+    })
+
+
+def save(path, parts, rows_per_batch=25, options=None):
+    path.mkdir(parents=True)
+    for i, part in enumerate(parts):
+        with pa.OSFile(str(path / f"data-{i:05d}-of-{len(parts):05d}.arrow"), "wb") as out:
+            with pa.ipc.new_stream(out, part.schema, options=options) as writer:
+                writer.write_table(part, max_chunksize=rows_per_batch)
+
+
+def rows(df):
+    return sorted((str(tuple(r)) for r in df.collect()))
+
+
+@pytest.mark.parametrize("split_bytes", [1, 3000, 20_000, 1 << 30])
+@pytest.mark.parametrize("compression", [None, "lz4"])
+def test_one_file_many_tasks(spark, tmp_path, split_bytes, compression):
+    parts = [table(700), table(3, 1), table(0)]
+    save(tmp_path / "train", parts, options=pa.ipc.IpcWriteOptions(compression=compression))
+    whole = load_saved_split(spark, str(tmp_path), "train")
+    cut = load_saved_split(spark, str(tmp_path), "train", split_bytes=split_bytes)
+    assert whole.rdd.getNumPartitions() == 3
+    assert (cut.rdd.getNumPartitions() > 5) == (split_bytes < 20_000)
+    assert rows(cut) == rows(whole) and cut.count() == 703
+    few = load_saved_split(spark, str(tmp_path), "train", columns=["day", "id"], split_bytes=split_bytes)
+    assert few.columns == ["day", "id"] and rows(few) == rows(whole.select("day", "id"))
+
+
+def test_sections_cover_a_file_once(tmp_path):
+    save(tmp_path / "t", [table(500)])
+    file = str(tmp_path / "t" / "data-00000-of-00001.arrow")
+    system = pa.fs.LocalFileSystem()
+    for size in (1, 500, 5000, 10**9):
+        found = saved._sections(system, file, size)
+        assert all(a.stop == b.start for a, b in zip(found, found[1:])) and found[0].start == found[0].head
+        assert all(s.stop - s.start >= size for s in found[:-1])
+
+
+def test_dictionaries(spark, tmp_path):
+    words = pa.array(["a", "b", None, "a"] * 50).dictionary_encode()
+    save(tmp_path / "train", [pa.table({"w": words})], 10)
+    cut = load_saved_split(spark, str(tmp_path), "train", schema="w string", split_bytes=1)
+    assert cut.rdd.getNumPartitions() > 10
+    assert cut.groupBy("w").count().orderBy("w").collect() == [(None, 50), ("a", 100), ("b", 50)]
+
+
+FILTERS = [
+    "id = 3", "id <> 3", "id > 100 AND id <= 300", "id IN (1, 2, 999)", "id NOT IN (1, 2)", "id IS NULL", "id IS NOT NULL",
+    "text LIKE 'www%'", "NOT text LIKE 'ww%'", "text = ''", "text >= 'wwww' OR id < 5", "x > 3", "x = double('NaN')",
+    "day >= date'1970-01-20'", "day = date'1970-01-03' AND text IS NOT NULL", "size(tags) = 2", "id + 1 = 4", "NOT id > 9",
+]
+
+
+@pytest.mark.parametrize("condition", FILTERS)
+def test_filters_in_the_reader(spark, tmp_path, condition):
+    save(tmp_path / "train", [table(400)])
+    df = load_saved_split(spark, str(tmp_path), "train", split_bytes=4000)
+    plain = spark.createDataFrame(df.collect(), df.schema)
+    assert rows(df.filter(condition)) == rows(plain.filter(condition))
+
+
+def test_filters_reach_the_reader(spark, tmp_path):
+    save(tmp_path / "train", [table(400)])
+    df = load_saved_split(spark, str(tmp_path), "train").filter("id > 100 AND day = date'1970-01-03'")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BatchScan" in plan and "Filter" not in plan.replace("RuntimeFilters", "")  # none is left to Spark
+    left = load_saved_split(spark, str(tmp_path), "train").filter("x > 3")._jdf.queryExecution().executedPlan().toString()
+    assert "Filter" in left.replace("RuntimeFilters", "")
+
+
+def test_round_trip(spark, tmp_path):
+    df = spark.range(1000).selectExpr(
+        "id", "if(id % 3 = 0, null, concat('t', id)) AS text", "array(id, null) AS a", "named_struct('k', id, 'v', 'x') AS s",
+        "timestamp'2020-01-01 00:00:00.000001' AS t", "cast(id AS decimal(10, 2)) AS d",
+    ).repartition(5)
+    write_saved_split(df, str(tmp_path), "train")
+    assert rows(load_saved_split(spark, str(tmp_path), "train")) == rows(df)
+    state = json.loads((tmp_path / "train" / "state.json").read_text())
+    files = {p.name for p in (tmp_path / "train").glob("*.arrow")}
+    assert {f["filename"] for f in state["_data_files"]} == files and len(files) == 5
+    assert pa.ipc.open_stream((tmp_path / "train" / files.pop()).read_bytes()).read_all().num_rows > 100
+
+
+def test_nothing_is_seen_before_or_without_the_commit(spark, tmp_path):
+    bad = spark.range(100).repartition(4).select(F.when(F.col("id") < 99, F.col("id")).otherwise(F.raise_error(F.lit("broken"))).alias("id"))
+    with pytest.raises(Exception, match="broken"):
+        write_saved_split(bad, str(tmp_path), "train")
+    assert not list((tmp_path / "train").glob("*.json"))
+    with pytest.raises(Exception, match="no data-\\*.arrow files"):
+        load_saved_split(spark, str(tmp_path), "train")
+
+
+def test_overwriting(spark, tmp_path):
+    write_saved_split(spark.range(10), str(tmp_path), "train")
+    with pytest.raises(FileExistsError):
+        write_saved_split(spark.range(3), str(tmp_path), "train")
+    write_saved_split(spark.range(3).coalesce(1), str(tmp_path), "train", overwrite=True)
+    assert load_saved_split(spark, str(tmp_path), "train").count() == 3
+    assert len(list((tmp_path / "train").glob("*.arrow"))) == 1
+    write_saved_split(spark.range(0), str(tmp_path), "empty")
+    assert load_saved_split(spark, str(tmp_path), "empty").schema == spark.range(0).schema

@@ -16,6 +16,7 @@ from turnloom.operators.tokenise import length_statistics, tokenise, truncate_to
 from turnloom.plans.sft import prepare_sft
 from turnloom.sources.model_settings import load_model_template
 from turnloom.sources.results import write_results
+from turnloom.sources.saved import write_saved_split
 from turnloom.sources.splits import load_eval, load_saved_split, load_split, load_splits, parse_splits
 
 __all__ = [
@@ -23,5 +24,5 @@ __all__ = [
     "collect_pairs", "fill_rate", "first_n", "generate", "get_template", "holdout", "length_statistics",
     "load_eval", "load_model_template", "load_saved_split", "load_split", "load_splits", "model_template", "pack_best_fit", "pack_wrapped", "padding_statistics", "parse_ids",
     "parse_splits", "parse_text", "prepare_sft", "to_content", "tokenise", "truncate_tokens",
-    "with_position", "write_results", "zephyr",
+    "with_position", "write_results", "write_saved_split", "zephyr",
 ]

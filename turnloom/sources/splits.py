@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from turnloom.sources.saved import register_saved_split
+from turnloom.sources.saved import SPLIT_BYTES, find_sections, register_saved_split
 
 DEFAULT_SPLITS = "train,test"  # fixed value
 
@@ -51,17 +51,18 @@ def load_saved_split(
     split: str,
     schema: T.StructType | str | None = None,
     columns: Sequence[str] | None = None,
+    split_bytes: int = SPLIT_BYTES,
 ) -> DataFrame:
     """Read a split that was saved as a folder of Arrow files, ``base/split``.
 
     The ``schema`` is that of the first file if none is given; all files are read by it. Only
-    ``columns``, if given, leave the files.
+    ``columns``, if given, are decoded. Files larger than ``split_bytes`` are read by several tasks.
     """
     register_saved_split(spark)
     path = f"{base.rstrip('/')}/{split}"
-    reader = spark.read.format("saved_split")
-    if schema is not None:
-        reader = reader.schema(schema)
+    if schema is None:
+        schema = spark.read.format("saved_split").load(path).schema
+    reader = spark.read.format("saved_split").schema(schema).option("sections", find_sections(spark, path, split_bytes))
     if columns is None:
         return reader.load(path)
     found = reader.load(path).schema
