@@ -37,6 +37,8 @@ FIT_LEN = 1024
 PADDED_CHARS = 65_536
 ARROW_ROWS = 10_000  # of an Arrow batch, unless the session sets it
 MAX_TOKENS = 512
+PERCENTILES = (50, 90, 99, "99.9", 100)
+MAX_LENGTHS = (512, 1024, 2048, 4096)
 PART_LEN = 3
 PART_BYTES = 1500
 MAX_MESSAGES = 4096
@@ -501,6 +503,25 @@ def length_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tl.length_statistics(tokens, MAX_TOKENS)
 
 
+def _lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How long the documents of each source are."""
+    tokens = tl.tokenise(_table(spark, sf_dir, "documents"), ["doc_id", "source"])
+    return tl.length_histogram(tokens, ["source"])
+
+
+def length_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tl.length_percentiles(_lengths(spark, sf_dir), ["source"], PERCENTILES)
+
+
+def length_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tl.length_coverage(_lengths(spark, sf_dir), MAX_LENGTHS, ["source"])
+
+
+def length_least(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least greatest length that keeps 95 % of a source's tokens."""
+    return tl.least_length(_lengths(spark, sf_dir), "0.95", ["source"])
+
+
 def pack_wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tl.pack_wrapped(_table(spark, sf_dir, "documents"), "doc_id", "text", BLOCK_LEN)
 
@@ -662,6 +683,9 @@ def library_queries() -> dict[str, Query]:
         "tokenise_ids": tokenise_ids,
         "truncate_tokens": truncate_tokens,
         "length_statistics": length_statistics,
+        "length_percentiles": length_percentiles,
+        "length_coverage": length_coverage,
+        "length_least": length_least,
         "pack_wrapped": pack_wrapped,
         "pack_best_fit": pack_best_fit,
         "pack_fill": pack_fill,
@@ -929,6 +953,26 @@ def oracle_sql() -> dict[str, str]:
                    max(n) AS max_tokens, count(*) FILTER (n > {MAX_TOKENS}) AS n_truncated,
                    sum(least(n, {MAX_TOKENS}))::BIGINT AS kept_tokens
             FROM (SELECT len({_TOKENS}) AS n FROM documents)""",
+        "length_percentiles": f"""
+            WITH s AS (
+                SELECT source, len({_TOKENS}) AS n, row_number() OVER (PARTITION BY source ORDER BY len({_TOKENS})) AS rank,
+                       count(*) OVER (PARTITION BY source) AS rows FROM documents)
+            SELECT source, percentile, min(n) AS n_tokens
+            FROM s, (SELECT unnest({[str(p) for p in PERCENTILES]}) AS percentile, unnest({[round(float(p) * 10) for p in PERCENTILES]}) AS mille)
+            WHERE rank * 1000 >= rows * mille GROUP BY source, percentile""",
+        "length_coverage": f"""
+            SELECT source, max_length, count(*) AS n_sequences, count(*) FILTER (n > max_length) AS n_truncated,
+                   sum(n)::BIGINT AS n_tokens, sum(least(n, max_length))::BIGINT AS kept_tokens
+            FROM (SELECT source, len({_TOKENS}) AS n FROM documents), (SELECT unnest({list(MAX_LENGTHS)})::BIGINT AS max_length)
+            GROUP BY source, max_length""",
+        "length_least": f"""
+            WITH s AS (SELECT source, len({_TOKENS}) AS n FROM documents),
+            g AS (SELECT source, sum(n) AS tokens, max(n) AS longest FROM s GROUP BY source),
+            m AS (SELECT *, unnest(range(1, longest + 1)) AS max_length FROM g)
+            SELECT source, min(max_length) AS max_length
+            FROM (SELECT m.source, max_length, any_value(tokens) AS tokens, sum(least(n, max_length)) AS kept
+                  FROM m JOIN s ON m.source = s.source GROUP BY m.source, max_length)
+            WHERE kept * 100 >= tokens * 95 GROUP BY source""",
         "pack_wrapped": f"""
             WITH rows AS (
                 SELECT row_number() OVER (ORDER BY doc_id, md5(text)) AS nr, {_TOKENS} AS tokens

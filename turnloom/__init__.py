@@ -10,6 +10,9 @@ from turnloom.operators.inference import (
     batch_infer, build_prompts, generate, padding_statistics, parse_ids, parse_text,
 )
 from turnloom.operators.layout import choose_layout, to_content
+from turnloom.operators.lengths import (
+    least_length, length_coverage, length_histogram, length_percentiles, merge_histograms,
+)
 from turnloom.operators.packing import pack_wrapped
 from turnloom.operators.position import with_position
 from turnloom.operators.tokenise import length_statistics, tokenise, truncate_tokens
@@ -21,8 +24,8 @@ from turnloom.sources.splits import load_eval, load_saved_split, load_split, loa
 
 __all__ = [
     "ChatTemplate", "ModelTemplate", "TemplateError", "batch_infer", "build_prompts", "chatml", "choose_layout", "collect_messages",
-    "collect_pairs", "fill_rate", "first_n", "generate", "get_template", "holdout", "length_statistics",
-    "load_eval", "load_model_template", "load_saved_split", "load_split", "load_splits", "model_template", "pack_best_fit", "pack_wrapped", "padding_statistics", "parse_ids",
+    "collect_pairs", "fill_rate", "first_n", "generate", "get_template", "holdout", "least_length", "length_coverage", "length_histogram", "length_percentiles", "length_statistics",
+    "load_eval", "load_model_template", "load_saved_split", "load_split", "load_splits", "merge_histograms", "model_template", "pack_best_fit", "pack_wrapped", "padding_statistics", "parse_ids",
     "parse_splits", "parse_text", "prepare_sft", "to_content", "tokenise", "truncate_tokens",
     "with_position", "write_results", "write_saved_split", "zephyr",
 ]
