@@ -8,9 +8,9 @@ from turnloom.llm import html_diff as hd
 from turnloom.llm import queries
 
 
-def text_of(html, neighbours=()):
+def text_of(html, neighbours=(), usual=None):
     lines, marks = hd.page_lines(html)
-    return "\n".join(hd.main_lines(lines, marks, [hd.page_lines(n)[0] for n in neighbours])[0])
+    return "\n".join(hd.main_lines(lines, marks, [hd.page_lines(n)[0] for n in neighbours], usual)[0])
 
 
 @pytest.mark.parametrize("size", [1 << 22, 1])
@@ -93,19 +93,24 @@ def test_neighbours_do_not_depend_on_buckets(spark, monkeypatch, per_bucket):
     rows = [(r["page_id"], r["url"], r["html"]) for r in df.collect()]
     split = lambda u: hd.re.match(r"(?:[a-z]+://([^/?#]*))?([^?#]*)", u or "").groups(default="")
     placed = sorted(((*split(u), k is not None, k or 0), k, u, h) for k, u, h in rows)
+    hosts = {}
+    for place, _, _, h in placed:
+        hosts.setdefault(place[0], []).append(set(x for x, m in zip(*hd.page_lines(h)) if m in "am"))
+    usual = {host: [hd.line_hash(x) for x in set().union(*pages) if 2 * sum(x in p for p in pages) > len(pages) >= 3] for host, pages in hosts.items()}
     expected = []
     for i, (place, k, u, h) in enumerate(placed):
         beside = [placed[j] for j in (i - 1, i + 1) if 0 <= j < len(placed) and placed[j][0][0] == place[0]]
         beside.sort(key=lambda p: -hd._prefix(p[0][1], place[1]))
-        text = text_of(h, [p[3] for p in beside])
+        text = text_of(h, [p[3] for p in beside], usual[place[0]])
         expected.append((k, u, text, len(text)))
     got = hd.extract(df).select("page_id", "url", "text", "n_chars").collect()
     assert ordered(got) == ordered(expected)
     assert hd.extract(df.limit(0)).count() == 0
 
 
-def test_query(spark):
-    sf = "/root/testdata/sf0.001"
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.001", "/root/testdata/sf0.1"])
+def test_query(spark, sf):
+    """The whole article of every page, whoever lies beside it."""
     html = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     rows = queries.op1_html_diff(spark, sf).collect()
     assert len(rows) == len(html)
@@ -147,6 +152,37 @@ def test_differencing_decides_before_structure():
     assert text_of(page, [quoting, after]) == "main 0\nlong text 0\nand more 0"
 
 
+def test_only_what_most_pages_repeat_leaves_an_article(spark):
+    """A line that two neighbours share by chance stays, headings stay, a line of all articles goes."""
+    page = "<html><body><nav>menu</nav><article><h2>Method</h2><p>{own}</p><p>{chance}</p><p>Read more</p></article></body></html>"
+    rows = [(i, f"http://h/{i:03d}", page.format(own=f"own {i}", chance="Les." if 10 <= i < 14 else f"only {i}")) for i in range(40)]
+    got = hd.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()
+    for r in got:
+        i = r["page_id"]
+        assert r["text"] == f"Method\nown {i}\n" + ("Les." if 10 <= i < 14 else f"only {i}")
+    few = hd.extract(spark.createDataFrame(rows[:2], "page_id int, url string, html string")).collect()
+    assert all(r["text"].endswith("Read more") for r in few)
+
+
+@pytest.mark.parametrize("inside", [
+    "<div class='comments-area'>x</div>", "<ol class='comment-list'><li>x</ol>", "<div class='ad-slot'>x</div>",
+    "<div class=share-buttons>x</div>", "<div class='related-posts'>x</div>", "<div class='post_comments'>x</div>",
+    "<div class='comments-area'><article class='comment-body'>x</article></div>",
+])
+def test_class_words_beside_hyphens(inside):
+    assert text_of(f"<article>a{inside}<p>b</article>") == "a\nb"
+
+
+@pytest.mark.parametrize("html, text", [
+    ("<div class=site-nav>n</div><div class=site-footer>f</div><div class='cookie-banner'>c</div><div>a</div>", "a"),
+    ("<article><div class='no-ads with-sidebar'>a</div><section id='related-work'><h2>b</h2></section></article>", "a\nb"),
+    ("<article><h2 id='share-price'>a</h2><p class='comments-closed'>b</article>", "a\nb"),
+    ("<article>a <math><mi>x</mi></math> b</article>", "a x b"),
+])
+def test_states_and_ids_are_no_class_words(html, text):
+    assert text_of(html) == text
+
+
 def test_a_teaser_does_not_replace_the_main_text():
     page = "<main><p>the whole text</p><article>teaser</article></main>"
     assert text_of(page) == "the whole text\nteaser"

@@ -3,14 +3,14 @@
 Pages of one host share a template. Each page is paired with its neighbour in URL order, the
 text lines of both are aligned by a longest common subsequence, and shared lines
 are deleted. The page's own structure is the exact check that follows: lines inside the
-article are put back (a copied article is shared, too), and lines that menus, adverts, comments and the
+article are put back (a copied article is shared, too) but for those that most pages of the host repeat, and lines that menus, adverts, comments and the
 like hold are deleted even where no other page has them.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Container, Iterator, Sequence
 from html import unescape
 
 import pandas as pd
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from turnloom.llm.common import by_value, text_or_empty
 from turnloom.plans.ordered import bucket_bounds, bucket_of
+from turnloom.plans.scratch import scratch_table
 
 by_value(__name__)
 
@@ -58,21 +59,32 @@ _CHROME_WORDS = frozenset(
     " respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
 _COMMENT_WORDS = frozenset("comment comments reply replies disqus respond".split())
+# What turns the word beside it into a statement about the page: no-sidebar, comments-open.
+_STATES = frozenset("no not has have with without is hide show open opened closed on off enabled disabled free".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _NONE, _ARTICLE, _MAIN, _CHROME, _WORDY = range(5)  # the last: chrome by its class words only
 
 
 def _kind(tag: str, attributes: str, in_article: bool) -> int:
     """What an element makes of the text inside it.
 
-    Classes and ids count as whole tokens: ``no-sidebar`` is no sidebar.
+    Ids count as whole tokens, as they may be made of headings. Of a class its first and last part
+    count (``site-nav``, ``comment-list``), unless a part says that it is a state of the page (``no-sidebar``).
     """
     words: set[str] = set()
+    about_comments = False
     role = ""
     if attributes and not attributes.isspace():
         for name, value in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'").lower()
             if name in ("class", "id"):
-                words.update(value.split())
+                tokens = value.split()
+                words.update(tokens)
+                for token in tokens if name == "class" else ():
+                    parts = re.split("[-_]+", token.strip("-_"))
+                    if len(parts) > 1 and _STATES.isdisjoint(parts):
+                        words.add(parts[0] if parts[0] in _CHROME_WORDS else parts[-1])
+                        about_comments |= parts[0] in _COMMENT_WORDS
             elif name == "role":
                 role = value.strip()
             elif name == "hidden" or name == "aria-hidden" and value == "true":
@@ -84,10 +96,12 @@ def _kind(tag: str, attributes: str, in_article: bool) -> int:
     if tag in ("html", "body"):
         return _NONE
     if tag == "article" or role == "article":
-        return _CHROME if words & _COMMENT_WORDS else _ARTICLE
+        return _CHROME if about_comments or words & _COMMENT_WORDS else _ARTICLE
     if tag == "main" or role == "main":
         return _MAIN
-    if tag in _CHROME_TAGS or role in _CHROME_ROLES or words & _COMMENT_WORDS:
+    if tag in ("svg", "math") and in_article:
+        return _NONE
+    if tag in _CHROME_TAGS or role in _CHROME_ROLES or about_comments or words & _COMMENT_WORDS:
         return _CHROME
     if tag == "header" and not in_article:
         return _CHROME
@@ -98,8 +112,8 @@ def page_lines(html: str | None) -> tuple[list[str], str]:
     """The text lines of a page in order, and one letter for each.
 
     ``a``: in an article, ``m``: in the main part, ``c``: in a menu, advert, comment or the
-    like, ``w``: in what only a class or id calls so, ``u``: anywhere else. An article or main part
-    inside an element of the ``w`` kind is one all the same. A line is the text of one block, references decoded and white space
+    like, ``w``: in what only a class or id calls so, ``u``: anywhere else; ``A`` and ``M`` are headings of
+    an article or main part. An article or main part inside an element of the ``w`` kind is one all the same. A line is the text of one block, references decoded and white space
     collapsed; a line break element is white space. Unclosed elements end with their parents.
     """
     lines, marks = [], []
@@ -111,6 +125,8 @@ def page_lines(html: str | None) -> tuple[list[str], str]:
 
     def flush() -> None:
         own = "a" if depth[_ARTICLE] else "m" if depth[_MAIN] else "u"
+        if own != "u" and any(tag in _HEADINGS for tag, _, _ in stack):
+            own = own.upper()
         for texts, mark in ((buffer, own), (aside, "c"), (wordy, "w")):
             line = " ".join("".join(texts).split())
             texts.clear()
@@ -242,7 +258,16 @@ def shared_lines(a: Sequence, b: Sequence) -> list[bool]:
     return [True] * head + inner + [True] * tail
 
 
-def main_lines(lines: Sequence[str], marks: str, neighbours: Sequence[Sequence[str]]) -> tuple[list[str], int]:
+def line_hash(line: str) -> int:
+    import xxhash
+
+    value = xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"))
+    return value - (1 << 64) if value >> 63 else value
+
+
+def main_lines(
+    lines: Sequence[str], marks: str, neighbours: Sequence[Sequence[str]], usual: Container[int] | None = None
+) -> tuple[list[str], int]:
     """The lines that stay, and how many the nearest neighbour shares.
 
     ``neighbours``: lines of other pages of the host, the nearest first. Shared lines go, then the
@@ -250,8 +275,12 @@ def main_lines(lines: Sequence[str], marks: str, neighbours: Sequence[Sequence[s
     else those of no known role, else those that only class words call chrome. A neighbour that
     shares nearly all of them is a copy of the page and tells nothing of the template; the
     next one is asked. Article lines, and main lines of a page without an article, are put back
-    unless two neighbours that are no copies share them: one alone may quote the text.
+    unless two neighbours that are no copies share them: one alone may quote the text. Where ``usual`` is
+    given, the hashes of the lines that most pages of the host have, one such neighbour and that are
+    enough. Headings of an article or main part always stay.
     """
+    heads = {i for i, m in enumerate(marks) if m in "AM"}
+    marks = marks.lower()
     shares = [shared_lines(lines, other) for other in neighbours[:1]]
     n_shared = sum(shares[0]) if shares else 0
     roles = "am" if "a" in marks or "m" in marks else "u" if "u" in marks else "w"
@@ -266,7 +295,11 @@ def main_lines(lines: Sequence[str], marks: str, neighbours: Sequence[Sequence[s
             templates.append(shared)
     gone = {i for i in own if templates and templates[0][i]}
     if body:
-        gone -= {i for i in body if sum(shared[i] for shared in templates) < 2}
+        if usual is None:
+            gone -= {i for i in body if sum(shared[i] for shared in templates) < 2}
+        else:
+            gone -= {i for i in gone.intersection(body) if line_hash(lines[i]) not in usual}
+    gone -= heads
     return [lines[i] for i in own if i not in gone], n_shared
 
 
@@ -300,6 +333,10 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     sample, so that a hot host fills many of them. The first and last page of a bucket
     also go to the buckets beside it: every page meets its true neighbours, whatever
     the bounds. Each task reads its pages in order and holds three of them.
+
+    An article's line is taken for a part of the template only if most pages of its host have it. A
+    pass of its own counts the pages by host and line; only lines on most pages of a host are kept, and go
+    to its pages.
     """
     place = pages.select(
         F.col(key).alias("key"), _host(text_or_empty(url)).alias("host"), _path(text_or_empty(url)).alias("path")
@@ -321,6 +358,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     ).unionByName(edges.select(F.col("last").alias("name"), F.lead("bucket").over(by_bucket).alias("beside")))
     guests = beside.filter("beside is not null").groupBy("name").agg(F.collect_set("beside").alias("guests"))
 
+    usual = scratch_table(_usual_lines(pages, url, html), "usual-lines")
     parsed = _parsed(pages, key, url, html)
     own = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("guest"))
     others = F.transform(
@@ -331,8 +369,9 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
         bucketed(parsed.withColumn("host", _host(text_or_empty("url"))).withColumn("path", _path(text_or_empty("url"))))
         .withColumn("name", name)
         .join(F.broadcast(guests), "name", "left")  # two rows per bucket at most
+        .join(usual, "host", "left")
         .withColumn("to", F.explode(F.concat(F.array(own), others)))
-        .select("to.bucket", "to.guest", "key", "url", "host", "path", "lines", "marks")
+        .select("to.bucket", "to.guest", "key", "url", "host", "path", "lines", "marks", "usual")
         .repartition("bucket")
         .sortWithinPartitions("bucket", *order, "guest")
     )
@@ -357,6 +396,23 @@ def _parsed(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
     return rows.select("key", "url", "p.lines", "p.marks")
 
 
+def _usual_lines(pages: DataFrame, url: str, html: str) -> DataFrame:
+    """``host, usual``: the hashes of the article and main lines that most pages of a host have, if it has three."""
+
+    @F.pandas_udf("array<long>")
+    def own_lines(column: pd.Series) -> pd.Series:
+        return pd.Series([sorted({line_hash(x) for x, m in zip(*page_lines(h)) if m in "am"}) for h in column])
+
+    each = pages.select(_host(text_or_empty(url)).alias("host"), own_lines(F.col(html).cast("string")).alias("own"))
+    # Counted before the shuffle: a line that a third of all pages have is one row per task.
+    page = F.struct(F.lit(None).cast("long").alias("line"))
+    rows = each.select("host", F.explode(F.concat(F.array(page), F.transform("own", lambda x: F.struct(x.alias("line"))))).alias("l"))
+    counts = rows.groupBy("host", "l.line").agg(F.count("*").alias("n"))
+    sizes = counts.filter("line is null and n >= 3").select("host", F.col("n").alias("pages"))
+    most = counts.filter("line is not null").join(sizes, "host").filter(F.col("n") * 2 > F.col("pages"))
+    return most.groupBy("host").agg(F.collect_list("line").alias("usual"))  # few: twice a page's lines at most
+
+
 def _difference(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def pages():
         for batch in batches:
@@ -367,7 +423,9 @@ def _difference(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lines = page["lines"].split("\n") if page["lines"] else []
         beside = [p for p in (before, after) if p and p["bucket"] == page["bucket"] and p["host"] == page["host"]]
         beside.sort(key=lambda p: -_prefix(p["path"], page["path"]))
-        kept, shared = main_lines(lines, page["marks"], [p["lines"].split("\n") if p["lines"] else [] for p in beside])
+        others = [p["lines"].split("\n") if p["lines"] else [] for p in beside]
+        usual = page["usual"] if page["usual"] is not None else ()
+        kept, shared = main_lines(lines, page["marks"], others, usual)
         text = "\n".join(kept)
         return page["key"], page["url"], text, len(text), len(lines), shared
 
