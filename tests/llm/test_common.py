@@ -18,6 +18,15 @@ def test_bounded_sample(spark, rows, most):
         assert len(got) >= most / 2
 
 
+@pytest.mark.parametrize("distinct, most", [(1000, 3000), (1000, 1000), (10, 100), (5000, 300)])
+def test_repeated_keys_do_not_shrink_the_sample(spark, distinct, most):
+    """As many of the distinct keys as are allowed, however often they repeat."""
+    df = spark.range(200_000).select((F.col("id") % distinct).alias("k"))
+    got = {r["k"] for r in common.bounded_sample(df, "k", most).collect()}
+    assert got == {r["k"] for r in common.bounded_sample(spark.range(distinct).withColumnRenamed("id", "k"), "k", most).collect()}
+    assert len(got) == distinct if distinct <= most else most / 2 <= len(got) <= most
+
+
 def test_ascii_lower(spark):
     texts = ["ABC xyz", "ÀÉ ABC", "İI", "", "ẞ Z"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")

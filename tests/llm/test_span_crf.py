@@ -106,3 +106,12 @@ def test_query(spark):
         assert set(listed) <= set(spans) and len(spans) == len(base) + r["n_added"]
         if not any(c.isdigit() or c == "@" for c in texts[r["doc_id"]]):
             assert not spans
+
+
+@pytest.mark.parametrize("card", ["4111 1111 1111 1111", "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", "4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-1"])
+def test_segments_are_bounded_by_digits(card):
+    """A phone of many groups and a card that patterns run together are both whole."""
+    text = f"+49 (0) 30 123 456 78 {card}"
+    window = sc.windows(text, [])[0]
+    arcs = {(window.cuts[i], window.cuts[j], k) for i, own in enumerate(sc._arcs(window)) for j, k, _ in own if k}
+    assert (0, 21, "phone") in arcs and (22, len(text), "card") in arcs

@@ -49,14 +49,13 @@ def buckets_for(rows: int, per_bucket: int) -> int:
 def bounded_sample(df: DataFrame, key: str, most: int, seed: int = 42) -> DataFrame:
     """The distinct values of ``key`` that are not NULL, or at most ``most`` of them.
 
-    Taken are those whose hash is smallest, so the same ones in any order. Of a large table only a
-    part of about ``4 * most`` rows is made distinct, and 256 counts come to the driver.
+    Taken are those whose hash is smallest, so the same ones in any order and however often they
+    repeat. The number of distinct values is estimated first; of many a part of about ``4 * most`` is made
+    distinct, and 256 counts come to the driver.
     """
     keys = df.select(F.col(key).alias(key)).filter(F.col(key).isNotNull())
-    rows = keys.count()
-    if rows <= most:
-        return keys.distinct()
-    place = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(max(256, 64 * rows // most)))
+    distinct = keys.agg(F.approx_count_distinct(key, 0.02)).head()[0]
+    place = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(max(256, 64 * distinct // most)))
     near = keys.filter(place < 256).distinct().select(key, place.alias("_place"))
     counts = dict(near.groupBy("_place").count().collect())
     limit, taken = 0, 0

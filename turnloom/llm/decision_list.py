@@ -235,7 +235,8 @@ def fit(
 ) -> list[Rule]:
     """Rules that reject texts like those labelled 0, from at most ``max_labelled`` labelled keys.
 
-    With more of them, those with the smallest hashes are taken. Labels of NULL
+    With more of them, those with the smallest hashes are taken, and where keys repeat with other texts, so are
+    at most as many different examples. Labels of NULL
     or without a document are left out, as are texts that fail the base rules, which never
     reach the list. Without any label, or with labels of one kind, there are no rules.
     """
@@ -254,8 +255,9 @@ def fit(
             (F.col("_label") == 0).alias("bad"),
         )
         .groupBy(*FEATURES, "bad").count()  # repeated rows are one example each time
-        .orderBy(*FEATURES, "bad").limit(max_labelled).collect()
+        .orderBy(F.xxhash64(*FEATURES, "bad"), *FEATURES, "bad").limit(max_labelled).collect()
     )
+    rows.sort(key=tuple)
     examples = [(tuple(r[:-2]), r["bad"]) for r in rows for _ in range(min(r["count"], max_labelled))]
     return learn_rules(examples, list(FEATURES), **options)
 

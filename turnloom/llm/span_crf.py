@@ -25,7 +25,8 @@ by_value(__name__)
 KINDS = ("email", "ip", "card", "phone")
 MAX_TEXTS = 3000
 _MAX_WINDOWS = 20  # of one training text
-_MAX_ATOMS = 13  # of a segment: a number, a separator, a number ...
+_MAX_DIGITS = 19  # of a segment; the kinds have no more, but for leading zeros of an address
+_MAX_ATOMS = 64  # of a segment: 19 digits one by one with up to two separators between them, and more
 
 Span = tuple[str, int, int]
 
@@ -175,8 +176,15 @@ def _arcs(window: Window) -> list[list[tuple[int, str | None, tuple[str, ...]]]]
         own: list[tuple[int, str | None, tuple[str, ...]]] = [(i + 1, None, ())]
         first = window.text[cuts[i]]
         if first.isdigit() or first == "+" or cuts[i + 1] - cuts[i] > 1:
+            digits = 0
             for j in range(i + 1, min(len(cuts), i + 1 + _MAX_ATOMS)):
                 span = window.text[cuts[i] : cuts[j]]
+                last = window.text[cuts[j - 1] : cuts[j]]
+                digits += len(last) if last.isdigit() else 0
+                if digits > _MAX_DIGITS and j - i > 7:  # an address has seven atoms
+                    break
+                if not last[-1].isdigit() and len(last) == 1:
+                    continue  # no kind ends with a separator
                 for kind in KINDS:
                     if _valid(kind, span):
                         own.append((j, kind, tuple(_features(kind, window, cuts[i], cuts[j]))))
@@ -192,7 +200,7 @@ def _score(weights: Weights, features: Sequence[str]) -> float:
 
 
 def best_segments(window: Window, weights: Weights) -> list[Span]:
-    """Viterbi over segments of at most 13 atoms; of equal scores the one with fewer spans."""
+    """Viterbi over segments of at most 19 digits; of equal scores the one with fewer spans."""
     arcs = _arcs(window)
     best: list[tuple[float, int, int, str | None]] = [(0.0, 0, -1, None)]
     best += [(-math.inf, 0, -1, None)] * len(arcs)
