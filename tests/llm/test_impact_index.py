@@ -60,6 +60,17 @@ def test_stops_on_proof_only():
     assert np.mean([len(f) for f in members]) < 1000  # the bounds do exclude rows
 
 
+@pytest.mark.parametrize("width", [16, 768, 4096])
+def test_bounds_hold_in_single_precision(width):
+    """Whatever rounding does, no member is lost; all products of one sign make the sums largest."""
+    rng = np.random.default_rng(width)
+    x = rng.integers(1, 255, (300, width))
+    x[100:] = x[:1] + rng.integers(0, 2, (200, width))
+    for q, found in zip(x[::30], ii.ImpactIndex(x).search(x[::30], 4)):
+        scores = x @ q
+        assert set(np.flatnonzero(scores >= np.sort(scores)[-4])) <= set(found.tolist())
+
+
 def test_segments_are_ordered_by_impact():
     index = ii.ImpactIndex(np.array([[3, -100, 0], [90, 7, 1]]))
     assert list(index.levels) == sorted(index.levels, reverse=True)

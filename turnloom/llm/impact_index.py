@@ -85,7 +85,10 @@ class ImpactIndex:
         weights = np.ascontiguousarray(q.T)
         lengths = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1))
         sums = np.zeros((n, len(queries)), np.float32)
-        slack = 1e-5 * self.norms[:, None] * lengths[None, :]  # of single precision
+        # Of single precision: no more than so many roundings of 2**-24 each, of sums within these norms.
+        roundings = (shared + 3) * 2.0**-24
+        middles = self.norms + self.step / 2 * np.sqrt(width)
+        slack = roundings / (1 - roundings) * middles[:, None] * lengths[None, :]
         possible = np.ones_like(sums, bool)
         for level in sorted(set(self.levels.tolist()), reverse=True):
             for s in np.flatnonzero(self.levels == level):
