@@ -32,6 +32,7 @@ if _present("turnloom.llm.queries", "corpus_pipeline"):
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 BLOCK_LEN = 128
 FIT_LEN = 1024
 PADDED_CHARS = 65_536
@@ -492,6 +493,16 @@ def tokenise_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenise_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level merging with a model's vocabulary: the ids lead back to the very text."""
+    coder = tl.load_merge_coder(spark, VOCABULARY)
+    tokens = tl.tokenise(_table(spark, sf_dir, "documents"), ["doc_id"], tokenizer=coder.tokenizer)
+    raw = tokens.select("doc_id", F.col("tokens").alias("ids"), F.lit(0).alias("prompt_len"))
+    fewer = (F.size("ids") > 0).alias("has_tokens")
+    back = tl.parse_ids(raw.select("*", fewer), coder.decoder, marker=-1)
+    return back.select("doc_id", "has_tokens", F.col("output").alias("text"))
+
+
 def truncate_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = tl.tokenise(_table(spark, sf_dir, "documents"), ["doc_id"])
     cut = tl.truncate_tokens(tokens, MAX_TOKENS)
@@ -681,6 +692,7 @@ def library_queries() -> dict[str, Query]:
         "reasoning_split_text": reasoning_split_text,
         "tokenise_whitespace": tokenise_whitespace,
         "tokenise_ids": tokenise_ids,
+        "tokenise_merged": tokenise_merged,
         "truncate_tokens": truncate_tokens,
         "length_statistics": length_statistics,
         "length_percentiles": length_percentiles,
@@ -945,6 +957,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT conv_id, turn, length(text) AS n_tokens,
                    list_sum(list_transform(string_split(text, ''), lambda c: unicode(c)))::BIGINT AS id_sum
             FROM conversations""",
+        "tokenise_merged": "SELECT doc_id, text <> '' AS has_tokens, trim(text, chr(10)) AS text FROM documents",
         "truncate_tokens": f"""
             SELECT doc_id, len({_TOKENS}) AS n_tokens,
                    array_to_string({_TOKENS}[:{MAX_TOKENS}], ' ') AS content FROM documents""",
