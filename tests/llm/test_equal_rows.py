@@ -1,0 +1,44 @@
+"""A third of all rows are equal in everything: no bucket holds them all."""
+
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+import test_systematic
+from turnloom.llm import hash_tree as ht
+from turnloom.llm import systematic as sy
+
+
+@pytest.fixture
+def rows(spark):
+    hot = spark.range(2000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("one equal text").alias("text"), F.lit("s").alias("source"))
+    others = spark.range(4000).select((F.col("id") + 10).alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.lit("s").alias("source"))
+    return hot.unionByName(others).repartition(6)
+
+
+def largest_bucket(monkeypatch, module, run):
+    seen = []
+    real = module.with_running_start
+    monkeypatch.setattr(module, "_ROWS_PER_BUCKET", 100)
+    monkeypatch.setattr(module, "with_running_start", lambda *a, **k: seen.append(real(*a, **k)) or seen[-1])
+    got = run().collect()
+    return got, seen[0].groupBy("bucket").count().agg(F.max("count")).head()[0]
+
+
+def test_sharding(rows, monkeypatch):
+    got, largest = largest_bucket(monkeypatch, ht, lambda: ht.place(rows, ht.uniform_tree(2, 2, 2), "doc_id", "text"))
+    assert len(got) == 6000 and largest < 700
+    slots = {}
+    for r in got:
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert len({r["shard"] for r in got if r["doc_id"] == 7}) == 1
+
+
+def test_mixing(rows, monkeypatch):
+    got, largest = largest_bucket(monkeypatch, sy, lambda: sy.mix(rows, weights=(1,)))
+    assert len(got) == 6000 and largest < 700
+    taken = sum(r["copies"] * r["size"] for r in got)
+    total = sum(r["size"] for r in got)
+    assert abs(taken - test_systematic.targets(Counter({"s": total}))["s"]) <= 3

@@ -102,7 +102,8 @@ def place(
     of key, checksum and size; rows that are equal in all three are interchangeable. Other
     columns are not read. An empty table gives an empty one.
 
-    Only these narrow rows are shuffled, in buckets of the order: no shard meets in one task.
+    Only these narrow rows are shuffled, in buckets of the order: no shard meets in one task, and a
+    salt spreads rows that are equal in all three.
     """
     grown_shard = shard_of(larger, F.col(key)) if larger else F.lit(None).cast("int")
     placed = df.select(
@@ -111,11 +112,12 @@ def place(
         F.crc32(text_or_empty(text).cast("binary")).alias("text_crc32"),
         shard_of(tree, F.col(key)).alias("shard"),
         grown_shard.alias("grown_shard"),
+        F.xxhash64(F.monotonically_increasing_id()).alias("_salt"),
     ).withColumn("one", F.lit(1))
-    placed = scratch_table(placed, "placed")
-    order = [key, "text_crc32"]
+    placed = scratch_table(placed, "placed")  # the salt is drawn once
+    order = [key, "text_crc32", "size", "_salt"]
     slots = with_running_start(
-        placed, order, "one", group=["shard"], ties=["size"],
+        placed, order, "one", group=["shard"],
         buckets=buckets_for(placed.count(), _ROWS_PER_BUCKET),
     )
     return slots.select(

@@ -24,7 +24,7 @@ from turnloom.plans.scratch import scratch_table
 by_value(__name__)
 
 _PAGES_PER_BUCKET = 200
-_MAX_BUCKETS = 2048
+_MAX_BUCKETS = 16_384
 _COPY = 0.8  # a neighbour that shares more of a page than this is a copy, not a template
 _WHOLE_TABLE = 1 << 22
 
@@ -352,7 +352,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     edges = bucketed(place).groupBy("bucket").agg(
         F.min_by(name, F.struct(*order)).alias("first"), F.max_by(name, F.struct(*order)).alias("last")
     )
-    by_bucket = Window.orderBy("bucket")  # over one row per bucket, 2049 at most, as wide as two hashes
+    by_bucket = Window.orderBy("bucket")  # over one row per bucket, 16,385 at most, as wide as two hashes
     beside = edges.select(
         F.col("first").alias("name"), F.lag("bucket").over(by_bucket).alias("beside")
     ).unionByName(edges.select(F.col("last").alias("name"), F.lead("bucket").over(by_bucket).alias("beside")))

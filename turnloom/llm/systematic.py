@@ -92,7 +92,10 @@ def mix(
         _hash_bits(F.concat(F.lit(f"{seed}:"), shown), 15).alias("_draw"),
         F.xxhash64(text_or_empty(text)).alias("_text"),
     )
-    narrow = scratch_table(measured.select(key, "_source", "size", "_draw", "_text"), "sizes")
+    # Without further columns the narrow rows are all there is, and a salt spreads equal ones.
+    salt = F.lit(0).cast("long") if keep else F.xxhash64(F.monotonically_increasing_id())
+    measured = measured.withColumn("_salt", salt)
+    narrow = scratch_table(measured.select(key, "_source", "size", "_draw", "_text", "_salt"), "sizes")
     targets = source_targets(narrow.select("_source", "size"), "_source", weights, cap)
     offset = _hash_bits(
         F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("_source"), F.lit("null|"))), 5
@@ -111,8 +114,8 @@ def mix(
 
     sizes = of_source(narrow)
     walked = with_running_start(
-        of_source(measured) if keep else sizes, ["size", "_draw"], "_one", group=["_index"],
-        ties=[key, "_text"], sizes=sizes, buckets=buckets_for(narrow.count(), _ROWS_PER_BUCKET),
+        of_source(measured) if keep else sizes, ["size", "_draw", key, "_text", "_salt"], "_one", group=["_index"],
+        sizes=sizes, buckets=buckets_for(narrow.count(), _ROWS_PER_BUCKET),
     )
     step = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     before = F.floor(F.col("_offset") + step * F.col("start"))
