@@ -25,6 +25,7 @@ by_value(__name__)
 
 _PAGES_PER_BUCKET = 200
 _MAX_BUCKETS = 16_384
+_SPREAD = 16
 _COPY = 0.8  # a neighbour that shares more of a page than this is a copy, not a template
 _WHOLE_TABLE = 1 << 22
 
@@ -409,7 +410,11 @@ def _usual_lines(pages: DataFrame, url: str, html: str) -> DataFrame:
     rows = each.select("host", F.explode(F.concat(F.array(page), F.transform("own", lambda x: F.struct(x.alias("line"))))).alias("l"))
     counts = rows.groupBy("host", "l.line").agg(F.count("*").alias("n"))
     sizes = counts.filter("line is null and n >= 3").select("host", F.col("n").alias("pages"))
-    most = counts.filter("line is not null").join(sizes, "host").filter(F.col("n") * 2 > F.col("pages"))
+    # Lines that one page has cannot be on most; those of a hot host meet its size in many tasks.
+    spread = F.explode(F.sequence(F.lit(0), F.lit(_SPREAD - 1))).alias("part")
+    part = F.pmod(F.col("line"), F.lit(_SPREAD)).cast("int").alias("part")
+    more = counts.filter("line is not null and n >= 2").select("*", part)
+    most = more.join(sizes.select("*", spread), ["host", "part"]).filter(F.col("n") * 2 > F.col("pages"))
     return most.groupBy("host").agg(F.collect_list("line").alias("usual"))  # few: twice a page's lines at most
 
 
