@@ -188,11 +188,13 @@ def _block_best(block: list, docs: DataFrame, k: int, key: str, text: str) -> Da
     for r in postings.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # one row per wanted term
         df[r["t"]] = r["count"]
     weights = np.floor(1000 * np.log((2 * n_docs + 2) / (2 * df + 1))).astype(np.int64)
-    searched = [Item(r["row"], np.array([ids[bytes(t)] for t in r["terms"]], np.int64)) for r in block if r["terms"]]
+    # Plain values only: a broadcast holds no classes that executors would have to import.
+    searched = [(r["row"], np.array([ids[bytes(t)] for t in r["terms"]], np.int64)) for r in block if r["terms"]]
     shared = spark.sparkContext.broadcast((searched, weights))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, weights = shared.value
+        plain, weights = shared.value
+        asked = [Item(*x) for x in plain]
         best = [Best(k) for _ in asked]
         for batch in batches:
             if not batch.num_rows:
