@@ -401,7 +401,7 @@ def batch_infer_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tl.batch_infer(docs, "doc_id", _text_generator, batch_size=16, by_length=True, max_padded=PADDED_CHARS)
 
 
-def padding_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+def batch_infer_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What padding adds when prompts come as they are, and when they come by length; in one task."""
     prompts = tl.build_prompts(_table(spark, sf_dir, "documents").repartition(1).sortWithinPartitions("doc_id"), ["doc_id"])
     plain, sorted_ = (tl.padding_statistics(prompts, 16, by_length=b).withColumn("by_length", F.lit(b)) for b in (False, True))
@@ -493,7 +493,7 @@ def tokenise_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def tokenise_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tokenise_ids_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level merging with a model's vocabulary: the ids lead back to the very text."""
     coder = tl.load_merge_coder(spark, VOCABULARY)
     tokens = tl.tokenise(_table(spark, sf_dir, "documents"), ["doc_id"], tokenizer=coder.tokenizer)
@@ -672,7 +672,7 @@ def library_queries() -> dict[str, Query]:
         "row_positions": row_positions,
         "batch_infer_positions": batch_infer_positions,
         "batch_infer_by_length": batch_infer_by_length,
-        "padding_by_length": padding_by_length,
+        "batch_infer_padding": batch_infer_padding,
         "holdout_microseconds": holdout_microseconds,
         "holdout_together": holdout_together,
         "holdout_split": holdout_split,
@@ -692,7 +692,7 @@ def library_queries() -> dict[str, Query]:
         "reasoning_split_text": reasoning_split_text,
         "tokenise_whitespace": tokenise_whitespace,
         "tokenise_ids": tokenise_ids,
-        "tokenise_merged": tokenise_merged,
+        "tokenise_ids_merged": tokenise_ids_merged,
         "truncate_tokens": truncate_tokens,
         "length_statistics": length_statistics,
         "length_percentiles": length_percentiles,
@@ -922,7 +922,7 @@ def oracle_sql() -> dict[str, str]:
             f"({documents} ORDER BY doc_id LIMIT {FIRST})", "doc_id", _ZEPHYR_PROMPT, _TEXT_ANSWER
         ),
         "batch_infer_by_length": _answers("documents", "doc_id", _CHATML_PROMPT, _TEXT_ANSWER),
-        "padding_by_length": f"""
+        "batch_infer_padding": f"""
             WITH p AS (
                 SELECT doc_id, length({_CHATML_PROMPT}) AS n, (row_number() OVER (ORDER BY doc_id) - 1) // {ARROW_ROWS} AS buffer
                 FROM documents),
@@ -957,7 +957,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT conv_id, turn, length(text) AS n_tokens,
                    list_sum(list_transform(string_split(text, ''), lambda c: unicode(c)))::BIGINT AS id_sum
             FROM conversations""",
-        "tokenise_merged": "SELECT doc_id, text <> '' AS has_tokens, trim(text, chr(10)) AS text FROM documents",
+        "tokenise_ids_merged": "SELECT doc_id, text <> '' AS has_tokens, trim(text, chr(10)) AS text FROM documents",
         "truncate_tokens": f"""
             SELECT doc_id, len({_TOKENS}) AS n_tokens,
                    array_to_string({_TOKENS}[:{MAX_TOKENS}], ' ') AS content FROM documents""",

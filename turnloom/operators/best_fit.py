@@ -144,7 +144,7 @@ def _looked_up(placed: DataFrame, runs: list[Run], n_blocks: int, histogram: Map
         plan.append((length, shorter, [r.first for r in own], [r.per_block for r in own], [r.block for r in own], [r.offset for r in own]))
         shorter += histogram[length]
     schema = "length int, shorter long, firsts array<long>, per_block array<int>, blocks array<long>, offsets array<int>"
-    table = placed.sparkSession.createDataFrame(plan, schema)
+    table = scratch_table(placed.sparkSession.createDataFrame(plan, schema), "pack-plan")
     if len(runs) <= _MAX_BROADCAST:
         table = F.broadcast(table)
     ranked = placed.join(table, F.col("n") == F.col("length")).withColumn("rank", F.col("start") - F.col("shorter"))

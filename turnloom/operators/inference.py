@@ -10,14 +10,15 @@ list of prompts to a list of results of the same length:
 
 from __future__ import annotations
 
+import re
 import sys
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import TaskContext, cloudpickle
 from pyspark.resource import ResourceProfile
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,7 +35,7 @@ from turnloom.functions.templates import Template, get_template
 from turnloom.operators.first import first_n
 from turnloom.operators.position import POSITION, first_with_position, with_position
 from turnloom.plans.scratch import is_written, scratch_path
-from turnloom.sources.pieces import PIECE, in_pieces, piece_folders, read_pieces, write_pieces
+from turnloom.sources.pieces import ERROR, PIECE, in_pieces, piece_folders, read_pieces, write_pieces
 
 # Executors get this module's functions with their code; they need not have it.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -121,6 +122,7 @@ def generate(
     max_padded: int | None = None,
     profile: ResourceProfile | None = None,
     barrier: bool = False,
+    mark_failures: bool = False,
 ) -> DataFrame:
     """Replace ``prompt`` by the raw generation; all other columns travel along.
 
@@ -130,6 +132,9 @@ def generate(
 
     ``profile`` gives the tasks that generate, and no others, resources of their own, such as an
     accelerator; ``barrier`` starts all of them together, for a generator whose tasks talk to each other.
+
+    With ``mark_failures`` a generator that fails in a task's last attempt does not fail the job: the rows of
+    that task that have no results yet say why in a column ``__error``, which is NULL elsewhere.
     """
     if returns not in ("text", "ids"):
         raise ValueError(f"returns must be 'text' or 'ids', not {returns!r}")
@@ -141,18 +146,29 @@ def generate(
     schema = T.StructType([*carried.schema.fields, T.StructField("raw", T.StringType())])
     if returns == "ids":
         schema = T.StructType([*carried.schema.fields, *_RAW_IDS])
+    if mark_failures:
+        schema = schema.add(ERROR, T.StringType())
+    attempts = _attempts(prompts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = generator(**settings)
+        model, failure = generator(**settings), None
         for rows in batches:
             texts = rows["prompt"].to_pylist()
             results: list[Any] = [None] * len(texts)
-            for batch in cut_batches(list(map(len, texts)), batch_size, by_length, max_padded):
-                answers = list(model([texts[i] for i in batch]))
+            for batch in cut_batches(list(map(len, texts)), batch_size, by_length, max_padded) if failure is None else ():
+                try:
+                    answers = list(model([texts[i] for i in batch]))
+                except Exception as error:
+                    if not mark_failures or TaskContext.get().attemptNumber() + 1 < attempts:
+                        raise
+                    failure = f"{type(error).__name__}: {error}"
+                    break
                 if len(answers) != len(batch):
                     raise ValueError(f"{len(batch)} prompts gave {len(answers)} results")
                 for i, answer in zip(batch, answers):
                     results[i] = answer
+            if failure is not None:
+                results = [None] * len(texts)
             out = {name: rows[name] for name in names}
             if returns == "text":
                 out["raw"] = pa.array(results, pa.string())
@@ -160,11 +176,19 @@ def generate(
                 pairs = [r if isinstance(r, tuple) else (0, r) for r in results]
                 out["ids"] = pa.array([ids for _, ids in pairs], pa.list_(pa.int32()))
                 out["prompt_len"] = pa.array([n for n, _ in pairs], pa.int32())
+            if mark_failures:
+                out[ERROR] = pa.array([failure] * len(texts), pa.string())
             yield pa.RecordBatch.from_pydict(out)
 
     return prompts.mapInArrow(run, schema, barrier=barrier, profile=profile)
 
 
+def _attempts(spark: SparkSession) -> int:
+    """How often a task is tried: in a local session once, unless its master says more."""
+    local = re.match(r"local(?:\[[^,\]]*(?:,\s*(\d+))?\])?$", spark.conf.get("spark.master", ""))
+    return int(local[1] or 1) if local else int(spark.conf.get("spark.task.maxFailures", "4"))
+
+
 def parse_text(
     raw: DataFrame, marker: str = END_OF_REASONING_TEXT, keep_marker: bool = True
 ) -> DataFrame:
@@ -241,8 +265,8 @@ def batch_infer(
     spreads few but costly rows over that many tasks, the first ``n`` over all cores by default.
 
     With ``pieces`` the rows are divided by a hash into that many tasks of one job, which reads its input
-    once. Each commits its own folder below ``raw_path`` when it is done, whatever becomes of the others. After
-    a failure the same call with ``resume=True`` generates only the pieces that are not there; input,
+    once. Each commits its own folder below ``raw_path`` when it is done. A generator that fails leaves its
+    own piece undone and fails the call once the others are through. After a failure the same call with ``resume=True`` generates only the pieces that are not there; input,
     generator and ``pieces`` have to be the same. Take several pieces per core; ``tasks`` has no say then.
 
     Without a key (None) the rows are those of files, and ``position``, their number in
@@ -283,7 +307,9 @@ def batch_infer(
 
     def generated(own: DataFrame, keys: Sequence[str]) -> DataFrame:
         prompts = build_prompts(own, keys, text, template)
-        return generate(prompts, generator, returns, batch_size, options, by_length, max_padded, profile, barrier)
+        return generate(
+            prompts, generator, returns, batch_size, options, by_length, max_padded, profile, barrier, mark_failures=pieces > 1
+        )
 
     if pieces == 1:
         raw = generated(rows if tasks is None else rows.repartition(tasks), keys)
@@ -299,7 +325,7 @@ def batch_infer(
         raw = generated(in_pieces(rest, place, pieces), [*keys, PIECE])
         if len(done) < pieces:
             write_pieces(raw, path)
-        saved = read_pieces(spark, path, raw.drop(PIECE).schema)
+        saved = read_pieces(spark, path, raw.drop(PIECE, ERROR).schema)
     if returns == "text":
         parsed = parse_text(saved, END_OF_REASONING_TEXT if marker is None else marker, keep_marker)
     else:

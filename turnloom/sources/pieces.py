@@ -20,15 +20,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 PIECE = "__piece"
+ERROR = "__error"  # why a row has no result; its piece is then not committed
 _FORMAT = "committed_pieces"
 _FOLDER = "piece-{:05d}"
 
 
 @dataclass
 class Written(WriterCommitMessage):
-    """The pieces of one task and their rows."""
+    """The pieces of one task and their rows, and those that failed."""
 
     rows: dict[int, int] = field(default_factory=dict)
+    failed: dict[int, str] = field(default_factory=dict)
 
 
 class CommittedPieces(DataSource):
@@ -48,24 +50,33 @@ class PiecesWriter(DataSourceArrowWriter):
         """Rows of one piece follow each other."""
         system, base = _file_system(self.path)
         done, now = Written(), None
+
+        def finish() -> None:
+            if now is not None and now.number in done.failed:
+                now.abandon()
+            elif now is not None:
+                now.commit()
+                done.rows[now.number] = now.rows
+
         try:
             for batch in iterator:
                 numbers = batch.column(PIECE).to_numpy()
-                batch = batch.drop_columns([PIECE])
+                errors = batch.column(ERROR).to_pylist() if ERROR in batch.schema.names else [None] * len(numbers)
+                batch = batch.drop_columns([c for c in (PIECE, ERROR) if c in batch.schema.names])
                 at = 0
                 while at < len(numbers):
                     piece, stop = int(numbers[at]), at + 1
                     while stop < len(numbers) and numbers[stop] == piece:
                         stop += 1
                     if now is None or now.number != piece:
-                        if now is not None:
-                            now.commit()
+                        finish()
                         now = _Piece(system, base, piece, batch.schema)
+                    wrong = next((e for e in errors[at:stop] if e is not None), None)
+                    if wrong is not None:
+                        done.failed.setdefault(piece, wrong)
                     now.write(batch.slice(at, stop - at))
-                    done.rows[piece] = now.rows
                     at = stop
-            if now is not None:
-                now.commit()
+            finish()
         except BaseException:
             if now is not None:
                 now.abandon()
@@ -73,12 +84,16 @@ class PiecesWriter(DataSourceArrowWriter):
         return done
 
     def commit(self, messages: list[Written | None]) -> None:
-        """All pieces of this run are there: note how many rows each has."""
+        """Note how many rows each piece of this run has, and say which failed."""
         rows = {str(p): n for m in messages if m is not None for p, n in m.rows.items()}
         system, base = _file_system(self.path)
         system.create_dir(base)
         with system.open_output_stream(f"{base}/_pieces-{uuid.uuid4().hex}.json") as out:
             out.write(json.dumps(rows).encode())
+        failed = {p: e for m in messages if m is not None for p, e in m.failed.items()}
+        if failed:
+            first = min(failed)
+            raise RuntimeError(f"{len(failed)} pieces failed and {len(rows)} are done; piece {first}: {failed[first]}")
 
     def abort(self, messages: list[Written | None]) -> None:
         """What tasks have committed stays for the next run."""
@@ -121,7 +136,8 @@ class _Piece:
         try:
             self._close()
         finally:
-            self.system.delete_file(self.hidden)
+            if _exists(self.system, self.hidden):
+                self.system.delete_file(self.hidden)
 
 
 def _file_system(path: str):
