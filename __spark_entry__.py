@@ -496,7 +496,9 @@ def tokenise_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tokenise_ids_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level merging with a model's vocabulary: the ids lead back to the very text."""
     coder = tl.load_merge_coder(spark, VOCABULARY)
-    tokens = tl.tokenise(_table(spark, sf_dir, "documents"), ["doc_id"], tokenizer=coder.tokenizer)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    spread = docs.repartition(spark.sparkContext.defaultParallelism)  # the given table is one task
+    tokens = tl.tokenise(spread, ["doc_id"], tokenizer=coder.tokenizer)
     raw = tokens.select("doc_id", F.col("tokens").alias("ids"), F.lit(0).alias("prompt_len"))
     fewer = (F.size("ids") > 0).alias("has_tokens")
     back = tl.parse_ids(raw.select("*", fewer), coder.decoder, marker=-1)

@@ -28,9 +28,11 @@ def one_by_one(piece, rank, ids):
         parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
 
+@pytest.mark.parametrize("few", [0, 24])
 @pytest.mark.parametrize("listed", [False, True])
-@pytest.mark.parametrize("seed", range(20))
-def test_against_merging_by_hand(seed, listed):
+@pytest.mark.parametrize("seed", range(10))
+def test_against_merging_by_hand(monkeypatch, seed, listed, few):
+    monkeypatch.setattr(merging, "_FEW", few)
     rng = random.Random(seed)
     tokens = [bytes([b]) for b in range(256)]
     merges = []

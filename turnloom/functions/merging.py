@@ -21,8 +21,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Fixed value: how the best known of these vocabularies cuts a text before merging.
 PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_REMEMBERED = 1 << 16  # short pieces whose codes a task keeps
+_REMEMBERED = 1 << 17  # short pieces whose codes a task keeps
 _SHORT = 64
+_FEW = 24
 
 
 class MergeCoder:
@@ -56,6 +57,7 @@ class MergeCoder:
         import regex
 
         self._cut = regex.compile(self.pattern).findall
+        self._none = 1 + max([*self.ranks.values(), len(self.merges or ())])  # above every rank
         self._known: dict[bytes, tuple[int, ...]] = {}
         self._bytes = {i: token for token, i in self.ranks.items()}
         self._bytes |= {i: name.encode() for name, i in self.special.items()}
@@ -65,9 +67,27 @@ class MergeCoder:
             return self.ranks.get(left + right)
         return self.merges.get((left, right))
 
+    def _merged_short(self, piece: bytes) -> list[int]:
+        """The same by looking through all pairs each time, which is faster for a few bytes."""
+        rank, none = self._rank, self._none
+        best = lambda a, b: none if (r := rank(a, b)) is None else r
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        pairs = [best(a, b) for a, b in zip(parts, parts[1:])]
+        while pairs and (least := min(pairs)) < none:
+            i = pairs.index(least)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = best(parts[i], parts[i + 1])
+            if i:
+                pairs[i - 1] = best(parts[i - 1], parts[i])
+        return [self.ranks[p] for p in parts]
+
     def _merged(self, piece: bytes) -> list[int]:
         if self.merges is None and piece in self.ranks:
             return [self.ranks[piece]]
+        if len(piece) <= _FEW:
+            return self._merged_short(piece)
         parts: list[bytes | None] = [piece[i : i + 1] for i in range(len(piece))]
         after = list(range(1, len(parts) + 1))
         before = list(range(-1, len(parts) - 1))
