@@ -26,10 +26,10 @@ def table(spark, rows):
     )
 
 
-@pytest.mark.parametrize("shard, block", [(8192, 512), (37, 5)])
-def test_against_brute_force(spark, monkeypatch, shard, block):
-    monkeypatch.setattr(ii, "_SHARD", shard)
-    monkeypatch.setattr(ii, "_BLOCK", block)
+@pytest.mark.parametrize("shard, block, held, rows", [(8192, 512, 1 << 25, 64), (37, 5, 40_000, 2), (37, 5, 1, 64)])
+def test_against_brute_force(spark, monkeypatch, shard, block, held, rows):
+    for name, value in {"_SHARD": shard, "_BLOCK": block, "_TILE_BYTES": held, "_TILE_ROWS": rows}.items():
+        monkeypatch.setattr(ii, name, value)
     rng = random.Random(8)
     rows = [(i, [rng.gauss(0, 0.12) for _ in range(24)]) for i in range(400)]
     rows += [(400 + i, list(rows[i % 7][1])) for i in range(60)]  # ties
@@ -75,3 +75,27 @@ def test_segments_are_ordered_by_impact():
     index = ii.ImpactIndex(np.array([[3, -100, 0], [90, 7, 1]]))
     assert list(index.levels) == sorted(index.levels, reverse=True)
     assert sum(index.ends - index.starts) == 5
+
+
+def test_scores_reached_elsewhere_leave_out_rows():
+    rng = np.random.default_rng(4)
+    x = np.floor(rng.normal(0, 30, (2000, 32))).astype(np.int64)
+    queries = x[:40]
+    index = ii.ImpactIndex(x)
+    scores = x @ queries.T
+    least = np.sort(scores, axis=0)[-3].astype(float)  # two rows are better, one is equal
+    for i, found in enumerate(index.search(queries, 6, least)):
+        assert set(np.flatnonzero(scores[:, i] >= least[i])) <= set(found.tolist())
+    unreachable = index.search(queries, 6, np.full(40, 1e9))
+    assert not any(len(found) for found in unreachable)
+
+
+def test_vectors_of_any_size(spark):
+    """Components are packed as narrow as they fit; none changes."""
+    rows = [(i, [float(v), 1.0 * i]) for i, v in enumerate([1, 127, -128, 128, 40_000, -3e9, 2**31])]
+    got = ii.top_k(table(spark, [(*r, 0) for r in rows]), F.col("vec_id") >= 0, scale=1, k=3).collect()
+    x = {i: [math.floor(c) for c in v] for i, v in rows}
+    for q in x:
+        best = sorted((-sum(a * b for a, b in zip(x[q], x[v])), v) for v in x if v != q)[:3]
+        assert [(-s, v) for s, v in best] == [(r["score"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"])
+                                              if r["query_id"] == q]

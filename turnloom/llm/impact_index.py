@@ -21,6 +21,8 @@ by_value(__name__)
 
 _SHARD = 8192
 _BLOCK = 512
+_TILE_BYTES = 32 << 20  # of queries, and of vectors, that a task holds at once
+_TILE_ROWS = 64  # so many tasks at least share the shards, if there are as many
 _LEVEL_BITS = 6
 _FEW = 64  # members per query that are cheaper to score than to bound further
 
@@ -76,9 +78,16 @@ class ImpactIndex:
         left = sizes - done * middle
         return np.sqrt((left * left).sum(axis=1))
 
-    def search(self, queries: np.ndarray, k: int) -> list[np.ndarray]:
-        """For each query all rows that can be among its best ``k``, ties included."""
+    def search(self, queries: np.ndarray, k: int, least: np.ndarray | None = None) -> list[np.ndarray]:
+        """For each query all rows that can be among its best ``k``, ties included.
+
+        ``least`` are scores that each query has reached ``k`` times elsewhere; rows that are
+        proved to stay below are left out, too.
+        """
         n, width = self.x.shape
+        if not n:
+            return [np.empty(0, np.int64) for _ in queries]
+        least = np.full(len(queries), -np.inf) if least is None else least
         q = np.zeros((len(queries), width), np.float32)
         shared = min(width, queries.shape[1])
         q[:, :shared] = queries[:, :shared]
@@ -88,42 +97,85 @@ class ImpactIndex:
         # Of single precision: no more than so many roundings of 2**-24 each, of sums within these norms.
         roundings = (shared + 3) * 2.0**-24
         middles = self.norms + self.step / 2 * np.sqrt(width)
-        slack = roundings / (1 - roundings) * middles[:, None] * lengths[None, :]
+        slack = roundings / (1 - roundings) * middles
         possible = np.ones_like(sums, bool)
-        for level in sorted(set(self.levels.tolist()), reverse=True):
+        levels = np.unique(self.levels)[::-1].tolist()
+        tried = 0.25 * np.median(self.norms) / 0.8
+        for level in levels:
             for s in np.flatnonzero(self.levels == level):
                 rows = self.rows[self.starts[s] : self.ends[s]]
                 sums[rows] += np.float32(self.signs[s] * self.impact(level)) * weights[self.dims[s]]
             rest = self.rest(level)
-            if n <= k or np.median(rest) > 0.25 * np.median(self.norms):
+            # A proof costs as much as many postings: tried whenever the rest has shrunk enough.
+            if level != levels[-1] and np.median(rest) > 0.8 * tried:
                 continue
-            bound = rest[:, None] * lengths[None, :] + slack
-            floor = np.partition(sums - bound, n - k, axis=0)[n - k]
-            possible = sums + bound >= floor
+            tried = np.median(rest)
+            bound = (rest + slack)[:, None] * lengths[None, :]
+            floor = np.partition(sums - bound, n - k, axis=0)[n - k] if n > k else -np.inf
+            possible = sums + bound >= np.maximum(floor, least)
             if possible.sum() <= max(_FEW, 8 * k) * len(queries):
                 break
         return [np.flatnonzero(possible[:, i]) for i in range(len(queries))]
 
 
-def _packed(name: str, keys: np.ndarray, rows: np.ndarray, x: np.ndarray, number: int) -> pd.DataFrame:
-    return pd.DataFrame({
-        name: [number], f"{name}_width": [x.shape[1]], f"{name}_keys": [keys.astype("<i8").tobytes()],
-        f"{name}_rows": [rows.astype("<i8").tobytes()], f"{name}_x": [x.astype("<i8").tobytes()],
-    })
+class Best:
+    """The best ``k`` of a block of queries over the shards seen so far."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, queries: np.ndarray, k: int) -> None:
+        self.ids, self.rows, self.queries, self.k = ids, rows, queries, k
+        self.found = [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in ids]  # keys, scores
+        self.least = np.full(len(ids), -np.inf)
+
+    def meet(self, index: ImpactIndex, ids: np.ndarray, rows: np.ndarray) -> None:
+        shared = min(index.x.shape[1], self.queries.shape[1])
+        members_of = index.search(self.queries, self.k + 1, self.least)  # one may be the query itself
+        for i, members in enumerate(members_of):
+            members = members[rows[members] != self.rows[i]]
+            scores = np.concatenate((self.found[i][1], index.x[members, :shared] @ self.queries[i, :shared]))
+            keys = np.concatenate((self.found[i][0], ids[members]))
+            best = np.lexsort((keys, -scores))[: self.k]
+            self.found[i] = keys[best], scores[best]
+            if len(best) == self.k:
+                self.least[i] = scores[best[-1]]
 
+    def frame(self) -> pd.DataFrame:
+        counts = [len(scores) for _, scores in self.found]
+        return pd.DataFrame({
+            "query_row": np.repeat(self.rows, counts), "query_id": np.repeat(self.ids, counts),
+            "found": np.concatenate([keys for keys, _ in self.found]),
+            "score": np.concatenate([scores for _, scores in self.found]),
+        })
 
-def _blocks(vectors: DataFrame, name: str, size: int) -> DataFrame:
-    """About ``size`` vectors per row, dealt out by their row numbers."""
-    count = max(1, -(-vectors.count() // size))
-    layout = f"{name} int, {name}_width int, {name}_keys binary, {name}_rows binary, {name}_x binary"
+
+def _packs(vectors: DataFrame, count: int, query: bool) -> DataFrame:
+    """The vectors dealt out by their row numbers into ``count`` rows, components as narrow as they can be."""
 
     def pack(number: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return _packed(
-            name, pdf["key"].to_numpy(np.int64), pdf["row"].to_numpy(np.int64), _matrix(pdf["x"]), int(number[0])
-        )
+        x = _matrix(pdf["x"])
+        kind = np.result_type(np.min_scalar_type(x.min(initial=0)), np.min_scalar_type(x.max(initial=0)), np.int8)
+        kind = kind if kind.kind == "i" else np.dtype(np.int64)
+        return pd.DataFrame({
+            "query": [query], "number": [int(number[0])], "width": [x.shape[1]], "kind": [kind.newbyteorder("<").str],
+            "ids": [pdf["key"].to_numpy("<i8").tobytes()], "rows": [pdf["row"].to_numpy("<i8").tobytes()],
+            "x": [x.astype(kind.newbyteorder("<")).tobytes()],
+        })
 
     dealt = vectors.withColumn("number", F.pmod(F.xxhash64("row"), F.lit(count)).cast("int"))
-    return dealt.groupBy("number").applyInPandas(pack, layout)
+    return dealt.groupBy("number").applyInPandas(
+        pack, "query boolean, number int, width int, kind string, ids binary, rows binary, x binary"
+    )
+
+
+def _unpacked(pack) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ids, rows = (np.frombuffer(pack[c], "<i8") for c in ("ids", "rows"))
+    x = np.frombuffer(pack["x"], pack["kind"]).reshape(len(ids), pack["width"])
+    return ids, rows, x.astype(np.int64)
+
+
+def _tiles(packs: int, rows: int, width: int, least: int) -> int:
+    """In how many parts to take packs of so many vectors: at least ``least``, one pack each at most."""
+    held = max(1, _TILE_BYTES // (8 * rows * max(width, 1)))
+    return max(-(-packs // held), min(packs, least))
 
 
 def top_k(
@@ -137,8 +189,10 @@ def top_k(
     component take no part; shorter vectors count as filled up with zeros; keys must not be NULL
     (such rows take no part). Scores must fit into a long. Other columns are ignored.
 
-    Shards of about 8192 vectors and blocks of about 512 queries meet in one group each. Every
-    group returns ``k`` rows per query, cut again before the last shuffle.
+    Shards of about 8192 vectors and blocks of about 512 queries meet in tiles: a task holds
+    some 32 MB of blocks and indexes each of its shards once for all of them. What the
+    blocks found in one shard bounds what they look for in the next. A tile returns ``k`` rows per query, cut
+    again before the last shuffle.
     """
     valid = scaled(df.filter(F.col(key).isNotNull()), key, vector, scale)
     vectors = scratch_table(
@@ -147,31 +201,35 @@ def top_k(
     )
     asked = is_query if is_query is not None else F.lit(True)
     wanted = vectors.withColumnRenamed("key", key).filter(asked).withColumnRenamed(key, "key")
-    shards = scratch_table(_blocks(vectors, "shard", _SHARD), "shards")
-    blocks = _blocks(wanted, "block", _BLOCK)
-    last = shards.agg(F.coalesce(F.max("shard"), F.lit(0))).head()[0]
-    pairs = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(last)))).join(shards, "shard")
+    n, width = vectors.agg(F.count("*"), F.coalesce(F.max(F.size("x")), F.lit(0))).head()
+    shards, blocks = max(1, -(-n // _SHARD)), max(1, -(-wanted.count() // _BLOCK))
+    down, across = _tiles(shards, _SHARD, width, _TILE_ROWS), _tiles(blocks, _BLOCK, width, 1)
+
+    def numbers(count: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+
+    place = F.pmod("number", F.lit(down))
+    pairs = (
+        _packs(vectors, shards, False).select("*", place.alias("down"), numbers(across).alias("across"))
+    ).unionByName(
+        _packs(wanted, blocks, True)
+        .select("*", F.pmod("number", F.lit(across)).alias("across"), numbers(down).alias("down"))
+    )
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        pieces = []
-        for row in pdf.to_dict("records"):
-            ids, numbers = (np.frombuffer(row[f"shard_{c}"], "<i8") for c in ("keys", "rows"))
-            asked_ids, asked_rows = (np.frombuffer(row[f"block_{c}"], "<i8") for c in ("keys", "rows"))
-            x = np.frombuffer(row["shard_x"], "<i8").reshape(len(ids), row["shard_width"])
-            q = np.frombuffer(row["block_x"], "<i8").reshape(len(asked_ids), row["block_width"])
-            shared = min(x.shape[1], q.shape[1])
-            for i, members in enumerate(ImpactIndex(x).search(q, k + 1)):  # one may be the query itself
-                members = members[numbers[members] != asked_rows[i]]
-                scores = x[members, :shared] @ q[i, :shared]
-                best = np.lexsort((ids[members], -scores))[:k]
-                pieces.append((np.full(len(best), asked_rows[i]), np.full(len(best), asked_ids[i]),
-                               ids[members[best]], scores[best]))
-        if not pieces:
-            return pd.DataFrame(columns=["query_row", "query_id", "found", "score"], dtype="int64")
-        columns = [np.concatenate(c) for c in zip(*pieces)]
-        return pd.DataFrame(dict(zip(["query_row", "query_id", "found", "score"], columns)))
-
-    found = pairs.groupBy("shard", "block").applyInPandas(
+        packs = pdf.sort_values("number").to_dict("records")
+        held = [Best(*_unpacked(p), k) for p in packs if p["query"]]
+        for p in packs:
+            if held and not p["query"]:
+                ids, rows, x = _unpacked(p)
+                index = ImpactIndex(x)
+                for best in held:
+                    best.meet(index, ids, rows)
+        nothing = pd.DataFrame(columns=["query_row", "query_id", "found", "score"], dtype="int64")
+        return pd.concat([best.frame() for best in held]) if held else nothing
+
+    tiles = pairs.repartition(min(4 * down * across, 1 << 15), "down", "across")
+    found = tiles.groupBy("down", "across").applyInPandas(
         search, "query_row long, query_id long, found long, score long"
     )
     order = Window.partitionBy("query_row").orderBy(F.desc("score"), "found")
