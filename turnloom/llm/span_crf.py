@@ -2,14 +2,19 @@
 
 The field scores whole candidate spans, not characters. In each window of numbers and
 addresses dynamic programming picks the segmentation, boundaries and kinds together, whose
-total score is highest. It is trained here, on a bounded number of texts in which
-the exact patterns leave no doubt.
+total score is highest. Candidates go beyond the patterns: numbers in the shape of a phone
+without ``+``, cards with other separators or of 13 to 15 digits, addresses that spell out their
+signs. Whether a pattern holds, and a telling word stands before, are features like others.
+
+It is trained here: on a bounded number of texts in which the exact patterns leave no doubt, and
+on examples that are planted, because of the looser forms no pattern tells which are meant.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
@@ -85,6 +90,37 @@ def _emails(text: str) -> Iterator[Span]:
         at = text.find("@", max(free, at + 1))
 
 
+# --- looser forms, of which the field decides ------------------------------------------
+
+_AT = re.compile(r"\x20?[\[({]\x20?at\x20?[\])}]\x20?", re.IGNORECASE)
+_SPELLED = re.compile(r"[A-Za-z0-9-]+(?:(?:\.|\x20?[\[({]\x20?dot\x20?[\])}]\x20?)[A-Za-z0-9-]+)+", re.IGNORECASE)
+_LOOSE_PHONE = re.compile(r"(?:[0-9][ .-])?(?:\([0-9]{2,5}\) ?|[0-9]{2,5}[ .-])(?:[0-9]{2,7}[ .-]){0,4}[0-9]{2,7}")
+_LOOSE_CARD = re.compile(r"[0-9](?:[ .-]{0,2}[0-9])+")
+#: Words that tell what the number after them is.
+CUES = {
+    "email": frozenset({"mail", "email", "contact", "write"}),
+    "ip": frozenset({"ip", "address", "host", "server"}),
+    "card": frozenset({"amex", "card", "carte", "credit", "karte", "kreditkarte", "mastercard", "tarjeta", "visa"}),
+    "phone": frozenset({"call", "cell", "contact", "fax", "handy", "llame", "mobile", "mobil", "móvil", "phone", "ring",
+                        "tel", "telefon", "telephone", "teléfono", "téléphone", "text", "whatsapp"}),
+}
+_LEFT = 32  # characters before a window that its features see
+
+
+def _spelled(text: str) -> Iterator[Span]:
+    """Addresses that spell out their signs in brackets, ``name [at] host [dot] org``."""
+    free = 0
+    for m in _AT.finditer(text):
+        start = m.start()
+        while start > free and text[start - 1] in _LOCAL:
+            start -= 1
+        domain = _SPELLED.match(text, m.end())
+        free = m.end()
+        if domain and start < m.start():
+            yield "email", start, domain.end()
+            free = domain.end()
+
+
 def pattern_spans(text: str) -> tuple[list[Span], list[tuple[int, int]]]:
     """Valid matches in order of kind and place, and the places of matches that failed."""
     spans = list(_emails(text))
@@ -111,14 +147,14 @@ class Window(NamedTuple):
     text: str
     start: int
     cuts: tuple[int, ...]  # where atoms begin, and the end
-    left: str  # the character before
-    right: str
+    left: str  # the characters before
+    right: str  # the one after
 
 
 def windows(text: str, emails: Sequence[Span]) -> list[Window]:
     """Numbers with their separators and e-mail addresses; what overlaps is one window."""
     pieces = sorted([(m.start(), m.start() + len(m.group().rstrip(" (.+-")), False) for m in _WINDOW.finditer(text)]
-                    + [(s, e, True) for _, s, e in emails])
+                    + [(s, e, True) for _, s, e in (*emails, *_spelled(text))])
     groups: list[list[tuple[int, int, bool]]] = []
     stop = -1
     for piece in pieces:
@@ -138,7 +174,7 @@ def windows(text: str, emails: Sequence[Span]) -> list[Window]:
                 at = inside
             else:
                 at = min([_ATOM.match(text, at, end).end(), *(s for s, _ in solid if s > at)])
-        out.append(Window(text[start:end], start, (*cuts, end), text[start - 1 : start], text[end : end + 1]))
+        out.append(Window(text[start:end], start, (*cuts, end), text[max(0, start - _LEFT) : start], text[end : end + 1]))
     return out
 
 
@@ -152,16 +188,37 @@ def _valid(kind: str, span: str) -> bool:
     return bool(_PHONE.fullmatch(span)) and _is_phone(span)
 
 
+def _possible(kind: str, span: str, before: str) -> bool:
+    """Whether the shape is one that the kind can have, strictly or not; a ``+`` belongs to its phone."""
+    if _valid(kind, span):
+        return True
+    if kind == "email":
+        return span[-1].isalpha() and next(_spelled(span), None) == ("email", 0, len(span))
+    if kind == "card":
+        digits = _only_digits(span)
+        return 13 <= len(digits) <= 19 and bool(_LOOSE_CARD.fullmatch(span)) and _luhn(digits)
+    return kind == "phone" and before != "+" and bool(_LOOSE_PHONE.fullmatch(span)) and 7 <= len(_only_digits(span)) <= 12
+
+
+def _has_cue(kind: str, before: str) -> bool:
+    words = re.findall(r"[^\W\d_]+", before.rpartition("\n")[2].lower())
+    return not CUES[kind].isdisjoint(words[-3:])
+
+
 def _features(kind: str, window: Window, a: int, b: int) -> list[str]:
-    """Of a whole span: its shape, its size and what stands beside it."""
+    """Of a whole span: whether it is valid, its shape, its size and what stands beside it."""
     span = window.text[a:b]
     runs = re.findall("[0-9]+", span)
     separators = "".join(sorted(set(re.sub("[0-9A-Za-z@]", "", span))))[:6]
-    before = window.text[a - 1 : a] if a else window.left
+    ahead = (window.left + window.text[max(0, a - _LEFT) : a])[-_LEFT:]
+    before = ahead[-1:]
     after = window.text[b : b + 1] if b < len(window.text) else window.right
     side = lambda c: "9" if c.isdigit() else "a" if c.isalpha() else "_" if c.isspace() else c
     shape = "-".join(str(min(len(r), 9)) for r in runs[:6])
+    strict, cue = _valid(kind, span), _has_cue(kind, ahead)
+    form = f"{kind} {'valid' if strict else 'loose'}"
     return [
+        form, f"{form} cue {cue}", f"{form} shape {shape} cue {cue}", f"{form} separators {separators} cue {cue}",
         kind, f"{kind} digits {min(sum(map(len, runs)), 20)}", f"{kind} runs {min(len(runs), 8)}",
         f"{kind} separators {separators}", f"{kind} shape {shape}", f"{kind} before {side(before)}",
         f"{kind} after {side(after)}", f"{kind} balanced {span.count('(') == span.count(')')}",
@@ -174,8 +231,8 @@ def _arcs(window: Window) -> list[list[tuple[int, str | None, tuple[str, ...]]]]
     arcs = []
     for i in range(len(cuts) - 1):
         own: list[tuple[int, str | None, tuple[str, ...]]] = [(i + 1, None, ())]
-        first = window.text[cuts[i]]
-        if first.isdigit() or first == "+" or cuts[i + 1] - cuts[i] > 1:
+        first, before = window.text[cuts[i]], window.text[max(0, cuts[i] - 1) : cuts[i]]
+        if first.isdigit() or first in "+(" or cuts[i + 1] - cuts[i] > 1:
             digits = 0
             for j in range(i + 1, min(len(cuts), i + 1 + _MAX_ATOMS)):
                 span = window.text[cuts[i] : cuts[j]]
@@ -186,7 +243,7 @@ def _arcs(window: Window) -> list[list[tuple[int, str | None, tuple[str, ...]]]]
                 if not last[-1].isdigit() and len(last) == 1:
                     continue  # no kind ends with a separator
                 for kind in KINDS:
-                    if _valid(kind, span):
+                    if _possible(kind, span, before):
                         own.append((j, kind, tuple(_features(kind, window, cuts[i], cuts[j]))))
         arcs.append(own)
     return arcs
@@ -263,6 +320,67 @@ def train(examples: Sequence[tuple[Window, set[Span]]], rounds: int = 12, rate:
 # --- over a table ------------------------------------------------------------------
 
 
+def _undecided(window: Window) -> bool:
+    """Whether a looser form stands behind a telling word, so that no pattern says what it is."""
+    return any(
+        f"{kind} loose cue True" in features or (kind == "email" and "email loose" in features)
+        for own in _arcs(window) for _, kind, features in own if kind
+    )
+
+
+def planted(seed: int = 7, repeats: int = 20) -> list[tuple[Window, set[Span]]]:
+    """Made examples of the looser forms: meant ones behind telling words, and numbers that are none.
+
+    A phone in the form ``(ddd) ddd-dddd`` is meant anywhere, others and cards behind a word only; a
+    series of like numbers holds none.
+    """
+    rng = random.Random(seed)
+
+    def digits(shape: str) -> str:
+        return "".join(rng.choice("123456789") if c == "9" else rng.choice("0123456789") if c == "8" else c for c in shape)
+
+    def card(shape: str) -> str:
+        return next(n for n in iter(lambda: digits(shape), None) if _luhn(_only_digits(n)))
+
+    phones = ["(988) 988-8888", "988-988-8888", "988.988.8888", "988 988 8888", "1-988-988-8888", "1 (988) 988-8888",
+              "089 8888888", "0988 888888", "08 88 88 88 88", "988-8888"]
+    cards = ["9888 888888 88888", "988888888888888", "9888.8888.8888.8888", "9888888888888", "9888  8888  8888  8888"]
+    dates = ["2988-08-28", "18.08.2988", "18-08-2988", "2088-08-18 18.88", "1988-1988", "98.18.8"]
+    others = ["9 888 888", "988 888 888", "978-9-88-888888-8", "98 98 98 98", "9888-8888-88", "98.98", "988-888",
+              "9888888888", "98888 98888", "9.8.88 98"]
+    out = []
+
+    def add(text: str, *spans: tuple[str, str]) -> None:
+        true = {(kind, text.index(span), text.index(span) + len(span)) for kind, span in spans}
+        for window in windows(text, []):
+            out.append((window, {s for s in true if window.cuts[0] <= s[1] < window.cuts[-1]}))
+
+    for _ in range(repeats):
+        for kind, shapes in (("phone", phones), ("card", cards)):
+            for shape in shapes:
+                number = card(shape) if kind == "card" else digits(shape)
+                cue, gap = rng.choice(sorted(CUES[kind])), rng.choice([" ", ": ", " is ", " at ", ". "])
+                add(f"and {cue}{gap}{number} now", (kind, number))
+                add(f"so the {digits(rng.choice(others))} and {number}, then",
+                    *[(kind, number)] * (shape.endswith("(988) 988-8888")))
+        for shape in dates + others:
+            cue = rng.choice(sorted(CUES["phone"]))
+            add(f"the part {digits(shape)} was")
+            if shape in dates:
+                add(f"{cue} on {digits(shape)} again")
+        number = digits("988 988 8888")
+        strict, whole = card("9888 8888 8888 8888"), digits(rng.choice(["+9 (988) 988-8888", "+98 988 888888", "+9-988-988-8888"]))
+        add(f"phone {number} {strict} and", ("phone", number), ("card", strict))
+        add(f"call {whole} {strict} and", ("phone", whole), ("card", strict))
+        add(f"{rng.choice(['tel', 'fax:', 'by', 'in'])} {whole} and", ("phone", whole))
+        size, sign = rng.choice(["9", "98", "988", "9888"]), rng.choice([" ", " ", " - ", "  "])
+        add(f"so {sign.join(digits(size) for _ in range(rng.randint(12, 30)))} are")
+        name = rng.choice(["jo", "a.lee", "max_9"]) + rng.choice([" [at] ", "(at)", " {at} "])
+        name += "host" + rng.choice([".org", " [dot] com", "(dot)net"])
+        add(f"to {name} by", ("email", name))
+    return out
+
+
 def _examples(text: str) -> list[tuple[Window, set[Span]]]:
     """Windows in which every pattern match lies, and none failed but as a single number."""
     spans, failed = pattern_spans(text)
@@ -272,6 +390,7 @@ def _examples(text: str) -> list[tuple[Window, set[Span]]]:
         inside = {s for s in spans if s[1] < end and s[2] > start}
         clear = all(s[1] in window.cuts and s[2] in window.cuts for s in inside)
         doubt = any(s < end and e > start and " " in text[s:e].strip() for s, e in failed)
+        doubt = doubt or _undecided(window)
         overlap = sorted((s, e) for _, s, e in inside)
         if clear and not doubt and all(x[1] <= y[0] for x, y in zip(overlap, overlap[1:])):
             out.append((window, inside))
@@ -281,8 +400,8 @@ def _examples(text: str) -> list[tuple[Window, set[Span]]]:
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", max_texts: int = MAX_TEXTS) -> Weights:
     """Train on the windows of at most ``max_texts`` texts with the smallest hashes of their keys.
 
-    At most 20 windows of a text come to the driver. Without any, the field is empty and
-    adds nothing.
+    At most 20 windows of a text come to the driver; the planted examples join them. Without any window, the
+    field is empty and adds nothing.
     """
     chosen = bounded_sample(docs.select(F.col(key).alias("_key")), "_key", max_texts)
     sample = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"))
@@ -302,11 +421,12 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", max_texts: int
         find, f"k {kind}, text string, start int, cuts array<int>, left string, right string, spans array<array<string>>"
     )
     rows = found.orderBy("k", "start", "text").limit(_MAX_WINDOWS * max_texts).collect()
-    return train([
+    examples = [
         (Window(r["text"], r["start"], tuple(r["cuts"]), r["left"], r["right"]),
          {(k, int(s), int(e)) for k, s, e in r["spans"]})
         for r in rows
-    ])
+    ]
+    return train(examples + planted()) if examples else {}
 
 
 def find_spans(text: str | None, weights: Weights) -> tuple[list[Span], list[Span]]:
