@@ -42,9 +42,10 @@ def test_masks_meet(n):
         assert any(a & m & (2**64 - 1) == b & m & (2**64 - 1) for m in masks)
 
 
-@pytest.mark.parametrize("cell", [4096, 5])
-def test_links_connect(spark, monkeypatch, cell):
+@pytest.mark.parametrize("cell, cells", [(4096, 16), (5, 16), (64, 1)])
+def test_links_connect(spark, monkeypatch, cell, cells):
     monkeypatch.setattr(bk_tree, "_CELL", cell)
+    monkeypatch.setattr(bk_tree, "_MOST_CELLS", cells)
     rng = random.Random(9)
     codes = set()
     for _ in range(30):
@@ -53,6 +54,9 @@ def test_links_connect(spark, monkeypatch, cell):
             codes.add(code)
             for bit in rng.sample(range(64), rng.randint(1, 4)):
                 code ^= 1 << bit
+    for at in (0, 24, 52):  # close groups, which agree in all but 12 bits
+        ball = rng.getrandbits(64)
+        codes.update(ball ^ rng.getrandbits(12) << at for _ in range(150))
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     df = spark.createDataFrame([(signed(c),) for c in codes], "fp long")
     got = dict(components.connected(bk_tree.similar(df)).collect())
@@ -72,6 +76,22 @@ def test_links_connect(spark, monkeypatch, cell):
     assert {c: got.get(c, c) for c in ids} == {c: root(c) for c in ids}
 
 
+@pytest.mark.parametrize("n", [10, 10**9])
+def test_finer_masks(n):
+    """Each divides its group into cells at most, and codes within the radius meet."""
+    rng = random.Random(n)
+    for mask in bk_tree._masks(n, 3):
+        finer = [m & (2**64 - 1) for m in bk_tree._finer(mask, 3)]
+        assert 0 < len(finer) <= 220
+        assert all(2 ** (64 - m.bit_count()) <= bk_tree._CELL and m & mask == mask & (2**64 - 1) for m in finer)
+        free = [b for b in range(64) if not mask >> b & 1]
+        for _ in range(50):
+            a = rng.getrandbits(64)
+            b = a ^ sum(1 << bit for bit in rng.sample(free, 3))
+            assert any(a & m == b & m for m in finer)
+    assert bk_tree._finer(0, 40) == []
+
+
 def test_long_chain_of_links(spark):
     edges = spark.range(400).selectExpr("id as a", "id + 1 as b").repartition(7)
     assert set(components.connected(edges).collect()) == {(i, 0) for i in range(401)}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,8 @@ by_value(__name__)
 
 _BLOCK_WORDS = 1 << 16
 _CELL = 4096
+_MOST_CELLS = 16  # of one group; larger ones get finer masks
+_MOST_MASKS = 4096
 _GROUP = 64
 
 
@@ -143,19 +146,59 @@ def _masks(n: int, radius: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
+def _finer(mask: int, radius: int) -> list[int]:
+    """Masks within a group: of its free bits so many are kept that distinct codes fill one cell at most.
+
+    Two codes of the group within ``radius`` agree under one at least. Empty if that took more than 4096 masks.
+    """
+    free = [b for b in range(64) if not mask >> b & 1]
+    room = _CELL.bit_length() - 1
+    blocks = next((b for b in range(radius + 1, len(free) + 1) if radius * -(-len(free) // b) <= room), None)
+    if not blocks or comb(blocks, radius) > _MOST_MASKS:
+        return []
+    parts = [sum(1 << b for b in free[i::blocks]) for i in range(blocks)]
+    whole = mask & (1 << 64) - 1
+    masks = [whole + sum(kept) for kept in combinations(parts, blocks - radius)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
+def _divided(keyed: DataFrame, sizes: DataFrame, masks: list[int], radius: int) -> tuple[DataFrame, DataFrame]:
+    """``keyed`` and ``sizes`` with groups of more than 16 cells replaced by those of finer masks."""
+    finer = [(i, m) for i, mask in enumerate(masks) for m in _finer(mask, radius)]
+    large = sizes.filter(F.col("n") > _CELL * _MOST_CELLS).join(
+        F.broadcast(sizes.sparkSession.createDataFrame(sorted({(i,) for i, _ in finer}), "m int")), "m"
+    )
+    if not finer or not large.head(1):
+        return keyed, sizes
+    numbered = [(i, len(masks) + at, m) for at, (i, m) in enumerate(finer)]
+    table = F.broadcast(sizes.sparkSession.createDataFrame(numbered, "m int, to int, mask long"))  # some ten thousand rows
+    again = scratch_table(
+        keyed.join(large.select("m", "v"), ["m", "v"], "left_semi").join(table, "m").select(
+            "fp", F.col("to").alias("m"), F.col("fp").bitwiseAND(F.col("mask")).alias("v")
+        ),
+        "finer",
+    )
+    kept = keyed.join(large.select("m", "v"), ["m", "v"], "left_anti").unionByName(again)
+    counted = again.groupBy("m", "v").agg(F.count("*").alias("n")).filter("n > 1")
+    return kept, sizes.join(large.select("m", "v"), ["m", "v"], "left_anti").unionByName(counted)
+
+
 def similar(codes: DataFrame, radius: int = 3) -> DataFrame:
     """``a, b``: links that connect all distinct codes ``fp`` within ``radius`` bits.
 
     Codes meet in groups that agree under a mask; every pair within the radius shares one. Each
     group is a shard with a BK-tree of its own. A group of more than 4096 codes is cut
-    into cells, and each pair of cells is a shard, so that no task holds more than two cells.
+    into cells, and each pair of cells is a shard, so that no task holds more than two cells. A group of more
+    than 16 cells is divided by finer masks (220 at most at three bits), whose groups cannot have more than
+    4096 distinct codes: the work stays in proportion to the codes, however close they lie.
     """
     n = codes.count()
     masks = _masks(n, radius)
     keys = F.array(*[F.struct(F.lit(i).alias("m"), F.col("fp").bitwiseAND(F.lit(m)).alias("v"))
                      for i, m in enumerate(masks)])
     keyed = codes.select("fp", F.explode(keys).alias("k")).select("fp", "k.m", "k.v")
-    sizes = keyed.groupBy("m", "v").agg(F.count("*").alias("n")).filter("n > 1")
+    sizes = scratch_table(keyed.groupBy("m", "v").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
+    keyed, sizes = _divided(keyed, sizes, masks, radius)
     cells = F.ceil(F.col("n") / _CELL).cast("int")
     own = F.pmod(F.xxhash64("fp"), cells.cast("long")).cast("int")
     pairs = F.transform(
