@@ -108,6 +108,26 @@ def test_elias_fano(top):
     assert coded.find(asked).tolist() == expected
 
 
+@pytest.mark.parametrize("top", [2**21, 2**40, 2**62])
+def test_elias_fano_is_compact(top):
+    """With its directory it takes the low bits and some five more an entry, far below the sorted array."""
+    values = np.unique(np.random.default_rng(7).integers(0, top, 1_000_000).astype(np.uint64))
+    coded = nt.EliasFano.of(values)
+    assert coded.nbytes * 8 <= len(values) * (coded.low_bits + 5.5) + 4096 < len(values) * 64
+    at = np.random.default_rng(8).integers(0, len(values), 10_000)
+    assert (coded[at] == values[at]).all() and (coded.find(values[at]) == at).all()
+
+
+def test_long_runs_of_bits():
+    """Entries far apart and many equal ones: runs of zeros and of ones longer than the directory's step."""
+    for values in ([0] * 1000 + [5] * 300 + [100_000], [2**50, 2**50 + 1], [0], [7] * 257):
+        values = np.array(values, np.uint64)
+        coded = nt.EliasFano.of(values)
+        assert (coded[np.arange(len(values))] == values).all()
+        asked = np.unique(np.concatenate([values, values + np.uint64(1), [np.uint64(3)]]))
+        assert (coded.next_at(asked) == np.searchsorted(values, asked)).all()
+
+
 def test_empty_and_repeated_sequences():
     assert nt.EliasFano.of(np.empty(0, np.uint64)).find(np.array([0, 5], np.uint64)).tolist() == [-1, -1]
     twice = nt.EliasFano.of(np.array([0, 0, 3, 3, 3, 9], np.uint64))

@@ -37,6 +37,7 @@ _WORD_BITS = 40  # of a word's hash, to tell it from others after the same conte
 _STEP = 1 / 4096  # of quantised log10 values
 _LARGEST = 14.0  # log10 of the largest count that is told apart
 _ABSENT = 0xFFFF
+_RUN = 128  # bits between two counts of a select directory
 _WORD_MASK = np.uint64((1 << _WORD_BITS) - 1)
 _EDGE = np.uint64(0x9E3779B97F4A7C15)  # stands for the beginning as a context, the end as a word
 
@@ -78,15 +79,47 @@ class EliasFano:
 
     The low bits of each are packed; the high parts are written in unary, so that zero bits
     count up the high part and one bits are entries. A search jumps to the entries with the
-    query's high part, which are the ones between two zeros, and bisects their low bits.
+    query's high part, which are the ones between two zeros, and bisects their low bits. The unary
+    bits stay packed: how many ones and zeros lie before every 128 bits is kept, the rest is counted.
     """
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray) -> None:
         self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
-        bits = np.unpackbits(high, bitorder="little")
-        zeros = np.flatnonzero(bits == 0) if n else np.empty(0, np.int64)
-        # Entries before the k-th zero: the end of the entries with high part k.
-        self.ends = (zeros - np.arange(len(zeros))).astype(np.int64)
+        self.words = high.view("<u8")
+        counts = np.bitwise_count(self.words).reshape(-1, 2).sum(axis=1, dtype=np.int64)
+        ones = np.concatenate(([0], np.cumsum(counts)))
+        zeros = _RUN * np.arange(len(ones)) - ones
+        kind = np.uint32 if _RUN * len(ones) < 1 << 32 else np.int64
+        self.ones, self.zeros = ones.astype(kind), zeros.astype(kind)
+        self.n_zeros = int(zeros[-1])
+
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.low, self.words, self.ones, self.zeros))
+
+    def _select(self, numbers: np.ndarray, zero: bool) -> np.ndarray:
+        """Where in the unary bits the one, or zero, with each number stands."""
+        before = self.zeros if zero else self.ones
+        run = np.searchsorted(before, numbers.astype(before.dtype), side="right") - 1
+        left = numbers - before[run].astype(np.int64)
+        word, other = self.words[2 * run], self.words[2 * run + 1]
+        if zero:
+            word, other = ~word, ~other
+        inside = np.bitwise_count(word).astype(np.int64)
+        second = left >= inside
+        left -= inside * second
+        word = np.where(second, other, word)
+        at = np.zeros(len(numbers), np.uint64)
+        for step in (32, 16, 8, 4, 2, 1):
+            inside = np.bitwise_count(word >> at & np.uint64((1 << step) - 1)).astype(np.int64)
+            further = left >= inside
+            left -= inside * further
+            at += np.uint64(step) * further.astype(np.uint64)
+        return _RUN * run + 64 * second + at.astype(np.int64)
+
+    def _ends(self, high: np.ndarray) -> np.ndarray:
+        """How many entries have a high part of at most ``high``."""
+        return self._select(high, True) - high
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
@@ -98,14 +131,15 @@ class EliasFano:
         ones = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
         bits = np.zeros((int(ones[-1]) + 2) if n else 1, np.uint8)
         bits[ones] = 1
-        return cls(n, low_bits, pack_bits(low, low_bits), np.packbits(bits, bitorder="little"))
+        return cls(n, low_bits, pack_bits(low, low_bits), padded(np.packbits(bits, bitorder="little"), _RUN // 8))
 
     def lows(self, at: np.ndarray) -> np.ndarray:
         return read_bits(self.low, self.low_bits, at)
 
     def __getitem__(self, at: np.ndarray) -> np.ndarray:
         """The values at positions: one select in the high bits, and the low bits."""
-        high = np.searchsorted(self.ends, at, side="right").astype(np.uint64)
+        at = at.astype(np.int64)
+        high = (self._select(at, False) - at).astype(np.uint64)
         return high << np.uint64(self.low_bits) | self.lows(at)
 
     def next_at(self, queries: np.ndarray) -> np.ndarray:
@@ -113,12 +147,10 @@ class EliasFano:
         queries = queries.astype(np.uint64)
         high = (queries >> np.uint64(self.low_bits)).astype(np.int64)
         low = queries & np.uint64((1 << self.low_bits) - 1)
-        beyond = high >= len(self.ends)
+        beyond = (high < 0) | (high >= self.n_zeros)
         high = np.where(beyond, 0, high)
-        if not len(self.ends):
-            return np.zeros(len(queries), np.int64)
-        first = np.where(high > 0, self.ends[high - 1], 0)
-        last = self.ends[high].copy()
+        first = np.where(high > 0, self._ends(np.maximum(high - 1, 0)), 0)
+        last = self._ends(high)
         while True:
             open_ = first < last
             if not open_.any():
@@ -141,6 +173,12 @@ class EliasFano:
         return out
 
 
+def padded(values: np.ndarray, size: int = 8) -> np.ndarray:
+    """The bytes of ``values``, filled up with zeros to a multiple of ``size``."""
+    data = np.ascontiguousarray(values).reshape(-1).view(np.uint8)
+    return np.concatenate((data, np.zeros(-len(data) % size, np.uint8)))
+
+
 def pack_bits(values: np.ndarray, width: int) -> np.ndarray:
     """``width`` bits of each value, one after the other, with room for reads of 8 bytes and 1."""
     if not width or not len(values):
@@ -187,11 +225,11 @@ class Trie:
         def view(size: int, kind) -> np.ndarray:
             nonlocal at
             part = np.frombuffer(buffer, kind, size, at)
-            at += part.nbytes
+            at += -(-part.nbytes // 8) * 8  # all parts stay aligned
             return part
 
         self.n_contexts, self.n_successors = head[0], head[1]
-        self.totals = view(self.n_contexts, "<i8")  # 8-byte parts first: all stay aligned
+        self.totals = view(self.n_contexts, "<i8")
         self.quantised = view(self.n_successors, "<u2")
         for i, name in enumerate(self._PARTS):
             n, low_bits, low, high = head[2 + 4 * i : 6 + 4 * i]
@@ -221,7 +259,7 @@ class Trie:
         arrays = [head, totals.astype("<i8"), quantised.astype("<u2")]
         for p in parts:
             arrays += [p.low, p.high]
-        return cls(b"".join(a.tobytes() for a in arrays))
+        return cls(b"".join(padded(a).tobytes() for a in arrays))
 
     def context(self, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ranks (-1: unknown), how often each was seen, and with how many successors."""
