@@ -17,9 +17,10 @@ def tokens(text):
     return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(brute.LOWER))
 
 
-def model(rows, held, discount=0.75):
+def model(rows, held, discount=0.75, order=2):
     """(key, held, n_tokens, n_known, N, base, score) per row, with dictionaries and without quantising."""
     single, pairs, after = Counter(), Counter(), defaultdict(set)
+    triples, later = Counter(), defaultdict(set)
     for key, text in rows:
         if not held(key):
             words = [*tokens(text), None]
@@ -27,15 +28,20 @@ def model(rows, held, discount=0.75):
             for u, w in zip([None, *words], words):
                 pairs[u, w] += 1
                 after[u].add(w)
+            for t, u, w in zip([None, *words], words, words[1:]):
+                triples[t, u, w] += 1
+                later[t, u].add(w)
     n, v = sum(single.values()), len(single)
     out = []
     for key, text in rows:
         words, base, score = [*tokens(text), None], 0.0, 0.0
-        for u, w in zip([None, *words], words):
+        for t, u, w in zip([0, None, *words], [None, *words], words):  # 0 is no word
             p = (single[w] + 1) / (n + v + 1)
             base += math.log10(p)
             if single[u]:
                 p = max(pairs[u, w] - discount, 0) / single[u] + discount * len(after[u]) / single[u] * p
+            if order > 2 and t != 0 and pairs[t, u]:
+                p = max(triples[t, u, w] - discount, 0) / pairs[t, u] + discount * len(later[t, u]) / pairs[t, u] * p
             score += math.log10(p)
         out.append((key, held(key), len(words), sum(single[w] > 0 for w in words), n, base, score))
     return out
@@ -57,20 +63,39 @@ def same(got, expected):
         assert abs(g[6] - e[6]) <= g[2] / 4096  # half a step for either term
 
 
+@pytest.mark.parametrize("order", [2, 3])
 @pytest.mark.parametrize("chunk, shard, noted", [(1_000_000, 1_000_000, 8), (500, 3000, 2), (2000, 50_000, 1)])
-def test_against_dictionaries(documents, doc_rows, monkeypatch, chunk, shard, noted):
+def test_against_dictionaries(documents, doc_rows, monkeypatch, chunk, shard, noted, order):
     """In one piece, and with small chunks and shards, where many contexts are spread."""
     monkeypatch.setattr(nt, "_NOTED", noted)
     monkeypatch.setattr(nt, "_CHUNK_TOKENS", chunk)
     monkeypatch.setattr(nt, "_SHARD_TOKENS", shard)
-    same(nt.score(documents, held_column()).collect(), model(doc_rows, is_held))
+    got = nt.score(documents, held_column(), order=order).collect()
+    same(got, model(doc_rows, is_held, order=order))
+
+
+def test_order():
+    with pytest.raises(ValueError):
+        nt.score(None, None, order=4)
+
+
+def test_repeated_passages_score_higher_with_three_words(spark):
+    """After two words of a passage that training holds the third is known, after one it is not."""
+    rng = random.Random(3)
+    passage = " ".join(rng.choice("abcd") + rng.choice("xy") for _ in range(80))
+    rows = [(i, passage if i < 5 else " ".join(rng.sample(passage.split(), 80))) for i in range(40)] + [(100, passage)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    two, three = (
+        next(r["score"] for r in nt.score(df, F.col("doc_id") == 100, order=n).collect() if r["doc_id"] == 100) for n in (2, 3)
+    )
+    assert three > two
 
 
 def test_query(spark):
     sf = "/root/testdata/sf0.01"
     rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
     got = queries.op6_ngram_trie(spark, sf).collect()
-    same(got, model(rows, is_held))
+    same(got, model(rows, is_held, order=3))
     assert {type(v) for r in got for v in r} == {int, bool, float}
     held = [r for r in got if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)  # better than words alone
@@ -78,7 +103,9 @@ def test_query(spark):
 
 def test_nothing_to_learn(documents, doc_rows, no_documents):
     assert nt.score(no_documents, held_column()).count() == 0
-    same(nt.score(documents, F.lit(True)).collect(), model(doc_rows, lambda k: True))
+    assert nt.score(no_documents, held_column(), order=3).count() == 0
+    for order in (2, 3):
+        same(nt.score(documents, F.lit(True), order=order).collect(), model(doc_rows, lambda k: True, order=order))
 
 
 def test_distributions_sum_to_one(spark):

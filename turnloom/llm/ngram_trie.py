@@ -1,13 +1,13 @@
 """Language-model scores from an Elias-Fano n-gram trie.
 
-The model is an interpolated bigram model with absolute discounting. Its trie has two
-levels: contexts, and the words seen after each. Both are monotone sequences in Elias-Fano form, with
-monotone pointers from a context to its successors and quantised logarithms beside them, laid
-out in one buffer that is used in place. A successor is looked up relative to its
+The model is an interpolated model of order two or three with absolute discounting. Its trie has a
+level of contexts, one of the words seen after each, and at order three one of the words after those. All are
+monotone sequences in Elias-Fano form, with monotone pointers from an entry to its successors and
+quantised logarithms beside them, laid out in one buffer that is used in place. A successor is looked up relative to its
 context: its key is the context's rank followed by the word, and the search is for the next entry.
 
 The trie is sharded by context, because it grows with the corpus. Texts are read once, into
-chunks; a chunk asks each shard once about each of its different bigrams. Counts and questions
+chunks; a chunk asks each shard once about each of its different n-grams, by their first word. Counts and questions
 travel together, so a frequent word costs a shard one entry per chunk and successor, not one per
 occurrence. Contexts so frequent that one shard would have more than its share are spread over several
 by successor; they are at most 262,144, and their totals are summed up apart.
@@ -215,7 +215,7 @@ class Trie:
     the pointers tell how many successors a context has, which is what backing off weighs.
     """
 
-    _PARTS = ("contexts", "pointers", "successors")
+    _PARTS = ("contexts", "pointers", "successors", "third_pointers", "thirds")
 
     def __init__(self, buffer: bytes) -> None:
         self.buffer = buffer
@@ -228,35 +228,44 @@ class Trie:
             at += -(-part.nbytes // 8) * 8  # all parts stay aligned
             return part
 
-        self.n_contexts, self.n_successors = head[0], head[1]
+        self.n_contexts, self.n_successors, self.n_thirds = head[:3]
         self.totals = view(self.n_contexts, "<i8")
         self.quantised = view(self.n_successors, "<u2")
+        self.third_quantised = view(self.n_thirds, "<u2")
         for i, name in enumerate(self._PARTS):
-            n, low_bits, low, high = head[2 + 4 * i : 6 + 4 * i]
+            n, low_bits, low, high = head[3 + 4 * i : 7 + 4 * i]
             setattr(self, name, EliasFano(n, low_bits, view(low, np.uint8), view(high, np.uint8)))
 
     @classmethod
-    def build(cls, contexts: np.ndarray, words: np.ndarray, counts: np.ndarray, discount: float = DISCOUNT) -> Trie:
-        """From counted bigrams, repeats allowed; those with count 0 leave no trace."""
-        seen = counts > 0
-        contexts, words, counts = contexts[seen], words[seen], counts[seen].astype(np.int64)
-        own, rank = np.unique(contexts, return_inverse=True)
-        keys = rank.astype(np.uint64) << np.uint64(_WORD_BITS) | words
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, int)
-        keys = keys[starts]
-        counts = np.add.reduceat(counts, starts) if len(starts) else counts
+    def build(
+        cls, contexts: np.ndarray, words: np.ndarray, counts: np.ndarray, discount: float = DISCOUNT,
+        thirds: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None,
+    ) -> Trie:
+        """From counted bigrams, repeats allowed; those with count 0 leave no trace.
+
+        ``thirds`` are counted words after bigrams: which of the given bigrams, the word, the count.
+        """
+        seen = np.flatnonzero(counts > 0)
+        own, rank = np.unique(contexts[seen], return_inverse=True)
+        keys, number, summed = _counted(rank.astype(np.uint64) << np.uint64(_WORD_BITS) | words[seen], counts[seen])
         rank = (keys >> np.uint64(_WORD_BITS)).astype(np.int64)
-        totals = np.bincount(rank, counts, len(own)).astype(np.int64)
+        totals = np.bincount(rank, summed, len(own)).astype(np.int64)
         kinds = np.bincount(rank, minlength=len(own))
-        quantised = quantise(counts - discount)
-        parts = [EliasFano.of(x) for x in (own, np.concatenate(([0], np.cumsum(kinds))), keys)]
+        third_keys, third_sums = np.empty(0, np.uint64), np.empty(0, np.int64)
+        if thirds is not None:
+            after, third_words, third_counts = (x[thirds[2] > 0] for x in thirds)
+            entry = np.zeros(len(contexts), np.uint64)  # a counted third word has a counted bigram
+            entry[seen] = number
+            third_keys, _, third_sums = _counted(entry[after] << np.uint64(_WORD_BITS) | third_words, third_counts)
+        third_kinds = np.bincount((third_keys >> np.uint64(_WORD_BITS)).astype(np.int64), minlength=len(keys))
+        pointers = [np.concatenate(([0], np.cumsum(x))) for x in (kinds, third_kinds)]
+        parts = [EliasFano.of(x) for x in (own, pointers[0], keys, pointers[1], third_keys)]
         head = np.zeros(32, "<i8")
-        head[:2] = len(own), len(keys)
+        head[:3] = len(own), len(keys), len(third_keys)
         for i, p in enumerate(parts):
-            head[2 + 4 * i : 6 + 4 * i] = p.n, p.low_bits, len(p.low), len(p.high)
-        arrays = [head, totals.astype("<i8"), quantised.astype("<u2")]
+            head[3 + 4 * i : 7 + 4 * i] = p.n, p.low_bits, len(p.low), len(p.high)
+        arrays = [head, totals.astype("<i8")]
+        arrays += [quantise(x - discount).astype("<u2") for x in (summed, third_sums)]
         for p in parts:
             arrays += [p.low, p.high]
         return cls(b"".join(padded(a).tobytes() for a in arrays))
@@ -270,13 +279,45 @@ class Trie:
         kinds[known] = (self.pointers[rank[known] + 1] - self.pointers[rank[known]]).astype(np.int64)
         return rank, totals, kinds
 
+    def place(self, rank: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Where words after contexts stand, -1 if they are absent."""
+        return _after(self.successors, rank, words)
+
     def successor(self, rank: np.ndarray, words: np.ndarray) -> np.ndarray:
         """Quantised discounted counts of words after contexts, or absent."""
-        out = np.full(len(rank), _ABSENT, np.uint16)
-        known = np.flatnonzero(rank >= 0)
-        at = self.successors.find(rank[known].astype(np.uint64) << np.uint64(_WORD_BITS) | words[known])
-        out[known[at >= 0]] = self.quantised[at[at >= 0]]
-        return out
+        return _taken(self.quantised, self.place(rank, words))
+
+    def third(self, place: np.ndarray, runs: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many words follow each bigram, and the quantised discounted counts of ``runs`` words after each."""
+        known = np.flatnonzero(place >= 0)
+        kinds = np.zeros(len(place), np.int64)
+        kinds[known] = (self.third_pointers[place[known] + 1] - self.third_pointers[place[known]]).astype(np.int64)
+        return kinds, _taken(self.third_quantised, _after(self.thirds, np.repeat(place, runs), words))
+
+
+def _counted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different keys in order, the number of each given one among them, and their summed counts."""
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    new = np.concatenate(([True], ordered[1:] != ordered[:-1])) if len(keys) else np.zeros(0, bool)
+    number = np.zeros(len(keys), np.uint64)
+    number[order] = (np.cumsum(new) - 1).astype(np.uint64)
+    starts = np.flatnonzero(new)
+    summed = np.add.reduceat(counts[order].astype(np.int64), starts) if len(starts) else np.empty(0, np.int64)
+    return ordered[new], number, summed
+
+
+def _after(level: EliasFano, place: np.ndarray, words: np.ndarray) -> np.ndarray:
+    out = np.full(len(place), -1, np.int64)
+    known = np.flatnonzero(place >= 0)
+    out[known] = level.find(place[known].astype(np.uint64) << np.uint64(_WORD_BITS) | words[known])
+    return out
+
+
+def _taken(quantised: np.ndarray, at: np.ndarray) -> np.ndarray:
+    out = np.full(len(at), _ABSENT, np.uint16)
+    out[at >= 0] = quantised[at[at >= 0]]
+    return out
 
 
 # --- chunks ----------------------------------------------------------------------
@@ -335,9 +376,9 @@ def _chunks(key_type: str):
 
 
 class _Chunk:
-    """The bigrams of a chunk, each different one once, ordered by context and word."""
+    """The n-grams of a chunk, each different one once, ordered by their words."""
 
-    def __init__(self, row) -> None:
+    def __init__(self, row, order: int) -> None:
         self.words = np.concatenate((np.frombuffer(row["words"], "<u8"), [_EDGE]))
         self.ends = unpack(row["ends"])
         self.held = np.frombuffer(row["held"], np.uint8).astype(bool)
@@ -353,16 +394,32 @@ class _Chunk:
         context = np.concatenate(([edge], self.word[:-1]))  # before each text stands an edge, too
         self.lengths = np.diff(np.concatenate((self.starts, [n])))
         keys = context * len(self.words) + self.word
-        order = np.argsort(keys, kind="stable")
-        ordered = keys[order]
-        new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
-        self.bigram = np.empty(n, np.int64)  # of each token, a number of ``unique``
-        self.bigram[order] = np.cumsum(new) - 1
-        self.first = np.flatnonzero(new)
-        unique = ordered[new]
+        trained = np.repeat(~self.held, self.lengths)
+        unique, number, self.counts = _counted(keys, trained)
+        self.bigram = number.astype(np.int64)  # of each token
         self.context, self.successor = unique // len(self.words), unique % len(self.words)
-        trained = np.repeat(~self.held, self.lengths)[order].astype(np.int64)
-        self.counts = np.add.reduceat(trained, self.first)
+        # The third words: of all tokens but the first of each text, after the bigram before.
+        self.later = np.empty(0, np.int64)
+        if order > 2:
+            later = np.ones(n, bool)
+            later[self.starts] = False
+            self.later = np.flatnonzero(later)
+        after = self.bigram[self.later - 1]
+        unique, number, self.third_counts = _counted(
+            after * len(self.words) + self.word[self.later], trained[self.later]
+        )
+        self.third = number.astype(np.int64)  # of each later token
+        self.third_after, self.third_word = unique // len(self.words), unique % len(self.words)
+        self.third_bigram = np.zeros(len(unique), np.int64)  # of its last two words
+        self.third_bigram[self.third] = self.bigram[self.later]
+        self.third_starts = np.searchsorted(self.third_after, np.arange(len(self.context) + 1))
+
+    def thirds(self, bigrams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many third words each bigram has, and which."""
+        first = self.third_starts[bigrams]
+        runs = self.third_starts[bigrams + 1] - first
+        within = np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
+        return runs, np.repeat(first, runs) + within
 
     def messages(self, shards: int, hot: Hot) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """Each shard that the chunk asks, with its contexts, their numbers of bigrams and the bigrams.
@@ -423,22 +480,30 @@ def _small(values: np.ndarray) -> np.ndarray:
     return values.astype(np.uint32) if values.max(initial=0) < 1 << 32 else values
 
 
-def _questions(shards: int, hot: Hot):
-    names = ["chunk", "shard", "contexts", "runs", "words", "counts"]
+def _narrow(words: np.ndarray) -> bytes:
+    return words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : _WORD_BITS // 8].tobytes()
+
+
+_ASKED = ["chunk", "shard", "contexts", "runs", "words", "counts", "third_runs", "third_words", "third_counts"]
+
+
+def _questions(shards: int, hot: Hot, order: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.to_dict("records"):
-                chunk = _Chunk(row)
+                chunk = _Chunk(row, order)
                 low = chunk.words & _WORD_MASK
                 out = []
                 for shard, contexts, runs, asked in chunk.messages(shards, hot):
-                    keys = low[chunk.successor[asked]].astype("<u8").view(np.uint8).reshape(-1, 8)
+                    third_runs, thirds = chunk.thirds(asked)
                     out.append((
                         row["chunk"], shard, chunk.words[contexts].astype("<u8").tobytes(), pack(_small(runs)),
-                        keys[:, : _WORD_BITS // 8].tobytes(), pack(_small(chunk.counts[asked])),
+                        _narrow(low[chunk.successor[asked]]), pack(_small(chunk.counts[asked])),
+                        pack(_small(third_runs)), _narrow(low[chunk.third_word[thirds]]),
+                        pack(_small(chunk.third_counts[thirds])),
                     ))
-                yield pd.DataFrame(out, columns=names)
+                yield pd.DataFrame(out, columns=_ASKED)
 
     return run
 
@@ -451,22 +516,29 @@ def _keys(data: bytes) -> np.ndarray:
 
 
 def _answers(discount: float, hot: Hot):
-    names = ["chunk", "shard", "totals", "kinds", "found", "n", "v", "hot", "hot_totals", "hot_kinds"]
+    names = ["chunk", "shard", "totals", "kinds", "found", "third_kinds", "third_found",
+             "n", "v", "hot", "hot_totals", "hot_kinds"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         contexts = [np.frombuffer(x, "<u8") for x in pdf["contexts"]]
         runs = [unpack(x).astype(np.int64) for x in pdf["runs"]]
         every = np.concatenate([np.repeat(c, r) for c, r in zip(contexts, runs)])
         words = np.concatenate([_keys(x) for x in pdf["words"]])
-        trie = Trie.build(every, words, np.concatenate([unpack(x) for x in pdf["counts"]]), discount)
-        del every, words
+        third_runs = [unpack(x).astype(np.int64) for x in pdf["third_runs"]]
+        after = np.repeat(np.arange(len(every)), np.concatenate(third_runs))
+        third_words = np.concatenate([_keys(x) for x in pdf["third_words"]])
+        counts, third_counts = (np.concatenate([unpack(x) for x in pdf[c]]) for c in ("counts", "third_counts"))
+        trie = Trie.build(every, words, counts, discount, (after, third_words, third_counts))
+        del every, words, after, third_words, counts, third_counts
         spread = trie.context(hot.words)
         seen = np.flatnonzero(spread[0] >= 0)
         out = []
         for i, (c, r) in enumerate(zip(contexts, runs)):
             rank, totals, kinds = trie.context(c)
-            found = trie.successor(np.repeat(rank, r), _keys(pdf["words"].iloc[i]))
-            row = [pdf["chunk"].iloc[i], pdf["shard"].iloc[i], pack(_small(totals)), pack(_small(kinds)), pack(found)]
+            place = trie.place(np.repeat(rank, r), _keys(pdf["words"].iloc[i]))
+            after = trie.third(place, third_runs[i], _keys(pdf["third_words"].iloc[i]))
+            row = [pdf["chunk"].iloc[i], pdf["shard"].iloc[i], pack(_small(totals)), pack(_small(kinds))]
+            row += [pack(_taken(trie.quantised, place)), pack(_small(after[0])), pack(after[1])]
             if i:
                 row += [0, 0, [], [], []]
             else:  # the shard's own figures; parts of hot contexts are not counted as contexts
@@ -478,29 +550,42 @@ def _answers(discount: float, hot: Hot):
     return run
 
 
-def _scores(shards: int, n: int, v: int, discount: float, hot: Hot, hot_totals: np.ndarray, hot_kinds: np.ndarray):
+def _scores(
+    shards: int, n: int, v: int, discount: float, hot: Hot, hot_totals: np.ndarray, hot_kinds: np.ndarray, order: int
+):
     names = ["key", "held_out", "n_tokens", "n_known", "base_score", "score"]
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        answered = dict(zip(right["shard"], zip(right["totals"], right["kinds"], right["found"])))
+        columns = ("totals", "kinds", "found", "third_kinds", "third_found")
+        answered = dict(zip(right["shard"], zip(*(right[c] for c in columns))))
         out = []
         for row in left.to_dict("records"):
-            chunk = _Chunk(row)
+            chunk = _Chunk(row, order)
             totals, kinds = np.zeros(len(chunk.words), np.int64), np.zeros(len(chunk.words), np.int64)
-            counts = np.zeros(len(chunk.context))
+            counts, third_kinds = np.zeros(len(chunk.context)), np.zeros(len(chunk.context), np.int64)
+            third_counts = np.zeros(len(chunk.third_after))
             for shard, contexts, _, bigrams in chunk.messages(shards, hot):
-                t, k, f = answered[shard]
-                totals[contexts], kinds[contexts] = unpack(t), unpack(k)
-                counts[bigrams] = restore(unpack(f))
+                t, k, f, third_k, third_f = map(unpack, answered[shard])
+                totals[contexts], kinds[contexts] = t, k
+                counts[bigrams], third_kinds[bigrams] = restore(f), third_k
+                third_counts[chunk.thirds(bigrams)[1]] = restore(third_f)
             found, at = hot.places(chunk.words)  # of these the shards know parts only
             totals[found], kinds[found] = hot_totals[at], hot_kinds[at]
             single = (totals + 1) / (n + v + 1)
             base = np.log10(single)
             seen = np.maximum(totals, 1)
             backoff = np.where(totals > 0, discount * kinds / seen, 1.0)
-            whole = np.log10(counts / seen[chunk.context] + backoff[chunk.context] * single[chunk.successor])
+            two = counts / seen[chunk.context] + backoff[chunk.context] * single[chunk.successor]
+            # How often a bigram was seen is its discounted count and the discount, a whole number.
+            pairs = np.where(counts > 0, np.rint(counts + discount), 0)
+            after = chunk.third_after
+            of = np.maximum(pairs, 1)[after]
+            weight = np.where(pairs[after] > 0, discount * third_kinds[after] / of, 1.0)
+            three = third_counts / of + weight * two[chunk.third_bigram]
+            whole = np.log10(two)[chunk.bigram]
+            whole[chunk.later] = np.log10(three)[chunk.third]
             sums = [np.add.reduceat(x, chunk.starts) for x in (
-                base[chunk.word], whole[chunk.bigram], (totals[chunk.word] > 0).astype(np.int64))]
+                base[chunk.word], whole, (totals[chunk.word] > 0).astype(np.int64))]
             keys = pd.Series(list(row["keys"]), dtype="object")
             out.append(pd.DataFrame(dict(zip(names, (keys, chunk.held, chunk.lengths, sums[2], sums[0], sums[1])))))
         return pd.concat(out) if out else pd.DataFrame(columns=names)
@@ -514,6 +599,7 @@ def score(
     key: str = "doc_id",
     text: str = "text",
     discount: float = DISCOUNT,
+    order: int = 2,
 ) -> DataFrame:
     """``key, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row.
 
@@ -523,7 +609,9 @@ def score(
     distinct, ``base_score`` sums ``log10((c + 1) / (N + V + 1))``. ``score`` sums
     ``log10(max(c(uw) - discount, 0) / c(u) + discount * d(u) / c(u) * (c(w) + 1) / (N + V + 1))``
     for ``w`` after ``u``, of which ``d(u)`` different words follow; after a word never seen in training only the
-    last factor counts. For each ``u`` this sums to 1 over the known words and one unknown one.
+    last factor counts. At ``order`` 3 this is what a third word backs off to: after ``t u`` it is
+    ``max(c(tuw) - discount, 0) / c(tu) + discount * d(tu) / c(tu)`` times the above, where ``t u`` was seen in training; the first
+    token of a text has one word before it. For each context this sums to 1 over the known words and one unknown one.
     The discounted counts are quantised to 1/4096 in the logarithm.
 
     ``n_known`` counts tokens seen in training. Without training rows nothing is known.
@@ -535,6 +623,8 @@ def score(
 
     from pyspark.sql.pandas.types import to_arrow_type
 
+    if order not in (2, 3):
+        raise ValueError(f"the order is 2 or 3, not {order}")
     kind = docs.schema[key].dataType
     name = kind.simpleString()
     rows = docs.select(
@@ -553,12 +643,14 @@ def score(
     spread = _hot(chunks, tokens, shards)  # some megabytes at most, which go with the tasks
     chunks = chunks.drop("noted", "times", "n_tokens")
     asked = chunks.drop("keys").mapInPandas(
-        _questions(shards, spread), "chunk long, shard int, contexts binary, runs binary, words binary, counts binary"
+        _questions(shards, spread, order),
+        "chunk long, shard int, contexts binary, runs binary, words binary, counts binary, "
+        "third_runs binary, third_words binary, third_counts binary",
     )
     answers = scratch_table(
         asked.groupBy("shard").applyInPandas(
             _answers(discount, spread),
-            "chunk long, shard int, totals binary, kinds binary, found binary, n long, v long, "
+            "chunk long, shard int, totals binary, kinds binary, found binary, third_kinds binary, third_found binary, n long, v long, "
             "hot array<long>, hot_totals array<long>, hot_kinds array<long>",
         ),
         "answers",
@@ -573,9 +665,9 @@ def score(
     v += len(summed)
     scored = (
         chunks.groupBy("chunk")
-        .cogroup(answers.select("chunk", "shard", "totals", "kinds", "found").groupBy("chunk"))
+        .cogroup(answers.drop("n", "v", "hot", "hot_totals", "hot_kinds").groupBy("chunk"))
         .applyInPandas(
-            _scores(shards, n, v, discount, spread, hot_totals, hot_kinds),
+            _scores(shards, n, v, discount, spread, hot_totals, hot_kinds, order),
             f"key {name}, held_out boolean, n_tokens long, n_known long, base_score double, score double",
         )
     )

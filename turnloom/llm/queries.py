@@ -47,7 +47,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return ngram_trie.score(docs, F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+    return ngram_trie.score(docs, F.crc32(F.col("doc_id").cast("string")) % 7 == 2, order=3)
 
 
 def op7_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
