@@ -34,6 +34,7 @@ _SHARD_TOKENS = 1_000_000
 _MAX_HOT = 1 << 18
 _NOTED = 8  # how often a chunk must hold a word to report it as perhaps hot
 _WORD_BITS = 40  # of a word's hash, to tell it from others after the same context
+_THIRD_BITS = 32  # and after the same two words, which far fewer follow
 _STEP = 1 / 4096  # of quantised log10 values
 _LARGEST = 14.0  # log10 of the largest count that is told apart
 _ABSENT = 0xFFFF
@@ -142,35 +143,35 @@ class EliasFano:
         high = (self._select(at, False) - at).astype(np.uint64)
         return high << np.uint64(self.low_bits) | self.lows(at)
 
-    def next_at(self, queries: np.ndarray) -> np.ndarray:
-        """Positions of the first entries not below the queries (``n`` if there are none)."""
+    def _search(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the first entries not below the queries, and which of these are equal to them."""
         queries = queries.astype(np.uint64)
         high = (queries >> np.uint64(self.low_bits)).astype(np.int64)
         low = queries & np.uint64((1 << self.low_bits) - 1)
         beyond = (high < 0) | (high >= self.n_zeros)
         high = np.where(beyond, 0, high)
         first = np.where(high > 0, self._ends(np.maximum(high - 1, 0)), 0)
-        last = self._ends(high)
-        while True:
-            open_ = first < last
-            if not open_.any():
-                break
-            middle = (first + last) >> 1
-            below = np.zeros(len(queries), bool)
-            below[open_] = self.lows(middle[open_]) < low[open_]
-            first = np.where(open_ & below, middle + 1, first)
-            last = np.where(open_ & ~below, middle, last)
-        return np.where(beyond, self.n, first)
+        last = np.where(beyond, first, self._ends(high))
+        stop = last.copy()
+        open_ = np.flatnonzero(first < last)
+        while len(open_):
+            middle = (first[open_] + last[open_]) >> 1
+            below = self.lows(middle) < low[open_]
+            first[open_[below]] = middle[below] + 1
+            last[open_[~below]] = middle[~below]
+            open_ = open_[first[open_] < last[open_]]
+        same = first < stop  # entries with the query's high part
+        same[same] = self.lows(first[same]) == low[same]
+        return np.where(beyond, self.n, first), same
+
+    def next_at(self, queries: np.ndarray) -> np.ndarray:
+        """Positions of the first entries not below the queries (``n`` if there are none)."""
+        return self._search(queries)[0]
 
     def find(self, queries: np.ndarray) -> np.ndarray:
         """Positions of the queries, -1 where they are missing."""
-        at = self.next_at(queries)
-        inside = at < self.n
-        out = np.full(len(queries), -1, np.int64)
-        where = np.flatnonzero(inside)
-        hit = self[at[where]] == queries[where].astype(np.uint64)
-        out[where[hit]] = at[where[hit]]
-        return out
+        at, same = self._search(queries)
+        return np.where(same, at, -1)
 
 
 def padded(values: np.ndarray, size: int = 8) -> np.ndarray:
@@ -196,12 +197,11 @@ def read_bits(packed: np.ndarray, width: int, at: np.ndarray) -> np.ndarray:
         return np.zeros(len(at), np.uint64)
     bit = at.astype(np.int64) * width
     byte, shift = bit >> 3, (bit & 7).astype(np.uint64)
-    word = np.zeros(len(at), np.uint64)
-    for k in range(8):
-        word |= packed[byte + k].astype(np.uint64) << np.uint64(8 * k)
-    word >>= shift
-    spill = packed[byte + 8].astype(np.uint64)
-    word |= np.where(shift > 0, spill << (np.uint64(64) - np.maximum(shift, np.uint64(1))), np.uint64(0))
+    words = np.ndarray((len(packed) - 7,), "<u8", packed, 0, (1,))  # eight bytes from each byte on
+    word = words[byte] >> shift
+    if width > 57:  # some lie in nine bytes
+        spill = packed[byte + 8].astype(np.uint64)
+        word |= np.where(shift > 0, spill << (np.uint64(64) - np.maximum(shift, np.uint64(1))), np.uint64(0))
     return word & np.uint64((1 << width) - 1) if width < 64 else word
 
 
@@ -256,8 +256,8 @@ class Trie:
             after, third_words, third_counts = (x[thirds[2] > 0] for x in thirds)
             entry = np.zeros(len(contexts), np.uint64)  # a counted third word has a counted bigram
             entry[seen] = number
-            third_keys, _, third_sums = _counted(entry[after] << np.uint64(_WORD_BITS) | third_words, third_counts)
-        third_kinds = np.bincount((third_keys >> np.uint64(_WORD_BITS)).astype(np.int64), minlength=len(keys))
+            third_keys, _, third_sums = _counted(entry[after] << np.uint64(_THIRD_BITS) | third_words, third_counts)
+        third_kinds = np.bincount((third_keys >> np.uint64(_THIRD_BITS)).astype(np.int64), minlength=len(keys))
         pointers = [np.concatenate(([0], np.cumsum(x))) for x in (kinds, third_kinds)]
         parts = [EliasFano.of(x) for x in (own, pointers[0], keys, pointers[1], third_keys)]
         head = np.zeros(32, "<i8")
@@ -281,7 +281,7 @@ class Trie:
 
     def place(self, rank: np.ndarray, words: np.ndarray) -> np.ndarray:
         """Where words after contexts stand, -1 if they are absent."""
-        return _after(self.successors, rank, words)
+        return _after(self.successors, rank, words, _WORD_BITS)
 
     def successor(self, rank: np.ndarray, words: np.ndarray) -> np.ndarray:
         """Quantised discounted counts of words after contexts, or absent."""
@@ -292,7 +292,7 @@ class Trie:
         known = np.flatnonzero(place >= 0)
         kinds = np.zeros(len(place), np.int64)
         kinds[known] = (self.third_pointers[place[known] + 1] - self.third_pointers[place[known]]).astype(np.int64)
-        return kinds, _taken(self.third_quantised, _after(self.thirds, np.repeat(place, runs), words))
+        return kinds, _taken(self.third_quantised, _after(self.thirds, np.repeat(place, runs), words, _THIRD_BITS))
 
 
 def _counted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -307,10 +307,10 @@ def _counted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return ordered[new], number, summed
 
 
-def _after(level: EliasFano, place: np.ndarray, words: np.ndarray) -> np.ndarray:
+def _after(level: EliasFano, place: np.ndarray, words: np.ndarray, bits: int) -> np.ndarray:
     out = np.full(len(place), -1, np.int64)
     known = np.flatnonzero(place >= 0)
-    out[known] = level.find(place[known].astype(np.uint64) << np.uint64(_WORD_BITS) | words[known])
+    out[known] = level.find(place[known].astype(np.uint64) << np.uint64(bits) | words[known])
     return out
 
 
@@ -480,8 +480,8 @@ def _small(values: np.ndarray) -> np.ndarray:
     return values.astype(np.uint32) if values.max(initial=0) < 1 << 32 else values
 
 
-def _narrow(words: np.ndarray) -> bytes:
-    return words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : _WORD_BITS // 8].tobytes()
+def _narrow(words: np.ndarray, bits: int = _WORD_BITS) -> bytes:
+    return words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : bits // 8].tobytes()
 
 
 _ASKED = ["chunk", "shard", "contexts", "runs", "words", "counts", "third_runs", "third_words", "third_counts"]
@@ -500,7 +500,7 @@ def _questions(shards: int, hot: Hot, order: int):
                     out.append((
                         row["chunk"], shard, chunk.words[contexts].astype("<u8").tobytes(), pack(_small(runs)),
                         _narrow(low[chunk.successor[asked]]), pack(_small(chunk.counts[asked])),
-                        pack(_small(third_runs)), _narrow(low[chunk.third_word[thirds]]),
+                        pack(_small(third_runs)), _narrow(low[chunk.third_word[thirds]], _THIRD_BITS),
                         pack(_small(chunk.third_counts[thirds])),
                     ))
                 yield pd.DataFrame(out, columns=_ASKED)
@@ -508,10 +508,10 @@ def _questions(shards: int, hot: Hot, order: int):
     return run
 
 
-def _keys(data: bytes) -> np.ndarray:
-    narrow = np.frombuffer(data, np.uint8).reshape(-1, _WORD_BITS // 8)
+def _keys(data: bytes, bits: int = _WORD_BITS) -> np.ndarray:
+    narrow = np.frombuffer(data, np.uint8).reshape(-1, bits // 8)
     wide = np.zeros((len(narrow), 8), np.uint8)
-    wide[:, : _WORD_BITS // 8] = narrow
+    wide[:, : bits // 8] = narrow
     return wide.reshape(-1).view("<u8").astype(np.uint64)
 
 
@@ -526,7 +526,7 @@ def _answers(discount: float, hot: Hot):
         words = np.concatenate([_keys(x) for x in pdf["words"]])
         third_runs = [unpack(x).astype(np.int64) for x in pdf["third_runs"]]
         after = np.repeat(np.arange(len(every)), np.concatenate(third_runs))
-        third_words = np.concatenate([_keys(x) for x in pdf["third_words"]])
+        third_words = np.concatenate([_keys(x, _THIRD_BITS) for x in pdf["third_words"]])
         counts, third_counts = (np.concatenate([unpack(x) for x in pdf[c]]) for c in ("counts", "third_counts"))
         trie = Trie.build(every, words, counts, discount, (after, third_words, third_counts))
         del every, words, after, third_words, counts, third_counts
@@ -536,7 +536,7 @@ def _answers(discount: float, hot: Hot):
         for i, (c, r) in enumerate(zip(contexts, runs)):
             rank, totals, kinds = trie.context(c)
             place = trie.place(np.repeat(rank, r), _keys(pdf["words"].iloc[i]))
-            after = trie.third(place, third_runs[i], _keys(pdf["third_words"].iloc[i]))
+            after = trie.third(place, third_runs[i], _keys(pdf["third_words"].iloc[i], _THIRD_BITS))
             row = [pdf["chunk"].iloc[i], pdf["shard"].iloc[i], pack(_small(totals)), pack(_small(kinds))]
             row += [pack(_taken(trie.quantised, place)), pack(_small(after[0])), pack(after[1])]
             if i:
@@ -616,7 +616,7 @@ def score(
 
     ``n_known`` counts tokens seen in training. Without training rows nothing is known.
     Keys may be NULL or repeat, repeated rows are scored (and counted) each. Words are told
-    apart by 64-bit hashes as contexts and 40 bits after a given context.
+    apart by 64-bit hashes as contexts, 40 bits after a given context and 32 after two given words.
     Other columns are ignored; an empty table gives an empty one.
     """
     import pyarrow as pa  # noqa: F401
