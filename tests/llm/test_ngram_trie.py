@@ -1,10 +1,12 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -185,3 +187,33 @@ def test_trie_is_one_buffer():
         assert p == (pytest.approx(total[c, w] - 0.75, rel=2e-3) if total[c, w] else 0.0)
     kinds = np.diff(trie.pointers[np.arange(trie.n_contexts + 1)].astype(np.int64))
     assert kinds.tolist() == [sum(1 for (a, _), n in total.items() if a == c and n) for c in sorted(own) if own[c]]
+
+
+def test_memory_of_a_chunk():
+    """Asking, answering and scoring take some 60 bytes a token at their peaks, beside what they are given."""
+    rng = np.random.default_rng(5)
+    n = 400_000
+    numbers = np.minimum(rng.zipf(1.3, n), 60_000).astype(np.uint32)
+    hashes = np.unique(rng.integers(0, 1 << 63, 70_000).astype(np.uint64))
+    ends = np.arange(500, n + 1, 500)
+    row = {
+        "chunk": 0, "keys": list(range(len(ends))), "held": bytes(len(ends)), "ends": nt.pack(ends),
+        "words": hashes.tobytes(), "tokens": nt.pack(numbers),
+    }
+    hot = nt.Hot(np.empty(0, np.uint64), np.empty(0))
+
+    def peak(work):
+        tracemalloc.start()
+        try:
+            return work(), tracemalloc.get_traced_memory()[1] / n
+        finally:
+            tracemalloc.stop()
+
+    asked, asking = peak(lambda: next(nt._questions(7, hot, 3)(iter([pd.DataFrame([row])]))))
+    answers, answering = peak(lambda: nt._answers(nt.DISCOUNT, hot)(asked))
+    none = np.zeros(0, np.int64)
+    scores, scoring = peak(
+        lambda: nt._scores(7, n, 60_000, nt.DISCOUNT, hot, none, none, 3)(pd.DataFrame([row]), answers)
+    )
+    assert len(scores) == len(ends) and scores["score"].gt(2 * scores["base_score"]).all()
+    assert max(asking, answering, scoring) < 80, (asking, answering, scoring)

@@ -39,6 +39,7 @@ _STEP = 1 / 4096  # of quantised log10 values
 _LARGEST = 14.0  # log10 of the largest count that is told apart
 _ABSENT = 0xFFFF
 _RUN = 128  # bits between two counts of a select directory
+_BLOCK = 1 << 15  # values that are worked on at a time where that saves memory
 _WORD_MASK = np.uint64((1 << _WORD_BITS) - 1)
 _EDGE = np.uint64(0x9E3779B97F4A7C15)  # stands for the beginning as a context, the end as a word
 
@@ -66,8 +67,11 @@ def unpack(data: bytes) -> np.ndarray:
 
 def quantise(counts: np.ndarray) -> np.ndarray:
     """Logarithms of positive numbers as 16-bit steps down from 10 ** 14."""
-    steps = np.rint((_LARGEST - np.log10(counts)) / _STEP)
-    return np.clip(steps, 0, _ABSENT - 1).astype(np.uint16)
+    out = np.empty(len(counts), np.uint16)
+    for at in range(0, len(counts), _BLOCK):
+        steps = np.rint((_LARGEST - np.log10(counts[at : at + _BLOCK])) / _STEP)
+        out[at : at + _BLOCK] = np.clip(steps, 0, _ABSENT - 1).astype(np.uint16)
+    return out
 
 
 def restore(steps: np.ndarray) -> np.ndarray:
@@ -124,15 +128,18 @@ class EliasFano:
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
-        values = values.astype(np.uint64)
+        values = values.astype(np.uint64, copy=False)
         n = len(values)
         top = int(values[-1]) if n else 0
         low_bits = max(0, (top // n).bit_length() - 1) if n else 0
-        low = values & np.uint64((1 << low_bits) - 1)
-        ones = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
+        ones = (values >> np.uint64(low_bits)).view(np.int64)
+        ones += np.arange(n)
         bits = np.zeros((int(ones[-1]) + 2) if n else 1, np.uint8)
         bits[ones] = 1
-        return cls(n, low_bits, pack_bits(low, low_bits), padded(np.packbits(bits, bitorder="little"), _RUN // 8))
+        del ones
+        high = padded(np.packbits(bits, bitorder="little"), _RUN // 8)
+        del bits
+        return cls(n, low_bits, pack_bits(values, low_bits), high)
 
     def lows(self, at: np.ndarray) -> np.ndarray:
         return read_bits(self.low, self.low_bits, at)
@@ -185,8 +192,8 @@ def pack_bits(values: np.ndarray, width: int) -> np.ndarray:
     if not width or not len(values):
         return np.zeros(16, np.uint8)
     out = []
-    for at in range(0, len(values), 1 << 18):  # a multiple of 8 values begins at a byte
-        block = values[at : at + (1 << 18)].astype("<u8").view(np.uint8).reshape(-1, 8)
+    for at in range(0, len(values), _BLOCK):  # a multiple of 8 values begins at a byte
+        block = values[at : at + _BLOCK].astype("<u8").view(np.uint8).reshape(-1, 8)
         bits = np.unpackbits(block, axis=1, bitorder="little")[:, :width]
         out.append(np.packbits(bits.reshape(-1), bitorder="little"))
     return np.concatenate([*out, np.zeros(16, np.uint8)])
@@ -245,30 +252,39 @@ class Trie:
 
         ``thirds`` are counted words after bigrams: which of the given bigrams, the word, the count.
         """
-        seen = np.flatnonzero(counts > 0)
-        own, rank = np.unique(contexts[seen], return_inverse=True)
-        keys, number, summed = _counted(rank.astype(np.uint64) << np.uint64(_WORD_BITS) | words[seen], counts[seen])
-        rank = (keys >> np.uint64(_WORD_BITS)).astype(np.int64)
-        totals = np.bincount(rank, summed, len(own)).astype(np.int64)
-        kinds = np.bincount(rank, minlength=len(own))
+        seen = counts > 0
+        own, rank, totals = _counted(contexts[seen], counts[seen])
+        keys = rank.astype(np.uint64)
+        del rank
+        keys <<= np.uint64(_WORD_BITS)
+        keys |= words[seen]
+        keys, number, summed = _counted(keys, counts[seen])
+        kinds = np.bincount((keys >> np.uint64(_WORD_BITS)).view(np.int64), minlength=len(own))
         third_keys, third_sums = np.empty(0, np.uint64), np.empty(0, np.int64)
         if thirds is not None:
-            after, third_words, third_counts = (x[thirds[2] > 0] for x in thirds)
-            entry = np.zeros(len(contexts), np.uint64)  # a counted third word has a counted bigram
+            after, third_words, third_counts = thirds
+            entry = np.zeros(len(contexts), number.dtype)  # a counted third word has a counted bigram
             entry[seen] = number
-            third_keys, _, third_sums = _counted(entry[after] << np.uint64(_THIRD_BITS) | third_words, third_counts)
-        third_kinds = np.bincount((third_keys >> np.uint64(_THIRD_BITS)).astype(np.int64), minlength=len(keys))
-        pointers = [np.concatenate(([0], np.cumsum(x))) for x in (kinds, third_kinds)]
-        parts = [EliasFano.of(x) for x in (own, pointers[0], keys, pointers[1], third_keys)]
+            seen = third_counts > 0
+            third_keys = entry[after[seen]].astype(np.uint64)
+            del entry, number
+            third_keys <<= np.uint64(_THIRD_BITS)
+            third_keys |= third_words[seen]
+            third_keys, _, third_sums = _counted(third_keys, third_counts[seen])
+            del after, third_words, third_counts, _
+        third_kinds = np.bincount((third_keys >> np.uint64(_THIRD_BITS)).view(np.int64), minlength=len(keys))
         head = np.zeros(32, "<i8")
         head[:3] = len(own), len(keys), len(third_keys)
-        for i, p in enumerate(parts):
-            head[3 + 4 * i : 7 + 4 * i] = p.n, p.low_bits, len(p.low), len(p.high)
-        arrays = [head, totals.astype("<i8")]
-        arrays += [quantise(x - discount).astype("<u2") for x in (summed, third_sums)]
-        for p in parts:
-            arrays += [p.low, p.high]
-        return cls(b"".join(padded(a).tobytes() for a in arrays))
+        data = [totals.astype("<i8", copy=False)]
+        data += [quantise(x - discount).astype("<u2", copy=False) for x in (summed, third_sums)]
+        del totals, summed, third_sums, seen
+        levels = [own, np.append(0, np.cumsum(kinds)), keys, np.append(0, np.cumsum(third_kinds)), third_keys]
+        del own, kinds, keys, third_kinds, third_keys
+        for i in range(len(levels)):
+            level, levels[i] = EliasFano.of(levels[i]), None
+            head[3 + 4 * i : 7 + 4 * i] = level.n, level.low_bits, len(level.low), len(level.high)
+            data += [level.low, level.high]
+        return cls(b"".join(padded(a).data for a in (head, *data)))
 
     def context(self, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ranks (-1: unknown), how often each was seen, and with how many successors."""
@@ -297,14 +313,21 @@ class Trie:
 
 def _counted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The different keys in order, the number of each given one among them, and their summed counts."""
-    order = np.argsort(keys, kind="stable")
-    ordered = keys[order]
-    new = np.concatenate(([True], ordered[1:] != ordered[:-1])) if len(keys) else np.zeros(0, bool)
-    number = np.zeros(len(keys), np.uint64)
-    number[order] = (np.cumsum(new) - 1).astype(np.uint64)
+    order = np.argsort(keys, kind="stable").astype(_index(len(keys)), copy=False)
+    keys = keys[order]
+    new = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, bool)
     starts = np.flatnonzero(new)
-    summed = np.add.reduceat(counts[order].astype(np.int64), starts) if len(starts) else np.empty(0, np.int64)
-    return ordered[new], number, summed
+    keys = keys[starts]
+    number = np.empty(len(order), order.dtype)
+    number[order] = np.cumsum(new, dtype=order.dtype) - 1
+    if not len(starts):
+        return keys, number, np.empty(0, np.int64)
+    return keys, number, np.add.reduceat(counts[order], starts, dtype=np.int64)
+
+
+def _index(n: int):
+    """The type of positions below ``n``, half as wide as usual where that is enough."""
+    return np.int32 if n < 1 << 31 else np.int64
 
 
 def _after(level: EliasFano, place: np.ndarray, words: np.ndarray, bits: int) -> np.ndarray:
@@ -382,37 +405,43 @@ class _Chunk:
         self.words = np.concatenate((np.frombuffer(row["words"], "<u8"), [_EDGE]))
         self.ends = unpack(row["ends"])
         self.held = np.frombuffer(row["held"], np.uint8).astype(bool)
-        tokens = unpack(row["tokens"]).astype(np.int64)
+        tokens = unpack(row["tokens"])
         edge = len(self.words) - 1
         n = len(tokens) + len(self.ends)
         last = self.ends + np.arange(len(self.ends))  # where each text's end token is
         self.starts = np.concatenate(([0], last[:-1] + 1)).astype(np.int64)
         place = np.ones(n, bool)
         place[last] = False
-        self.word = np.full(n, edge, np.int64)
+        self.word = np.full(n, edge, _index(len(self.words)))
         self.word[place] = tokens
-        context = np.concatenate(([edge], self.word[:-1]))  # before each text stands an edge, too
+        del tokens, place
         self.lengths = np.diff(np.concatenate((self.starts, [n])))
-        keys = context * len(self.words) + self.word
         trained = np.repeat(~self.held, self.lengths)
-        unique, number, self.counts = _counted(keys, trained)
-        self.bigram = number.astype(np.int64)  # of each token
-        self.context, self.successor = unique // len(self.words), unique % len(self.words)
+        keys = np.full(n, edge, np.int64)  # before each text stands an edge, too
+        keys[1:] = self.word[:-1]
+        self.bigram, self.context, self.successor, self.counts = self._distinct(keys, self.word, trained)
         # The third words: of all tokens but the first of each text, after the bigram before.
-        self.later = np.empty(0, np.int64)
+        self.later = np.zeros(n, bool)
         if order > 2:
-            later = np.ones(n, bool)
-            later[self.starts] = False
-            self.later = np.flatnonzero(later)
-        after = self.bigram[self.later - 1]
-        unique, number, self.third_counts = _counted(
-            after * len(self.words) + self.word[self.later], trained[self.later]
-        )
-        self.third = number.astype(np.int64)  # of each later token
-        self.third_after, self.third_word = unique // len(self.words), unique % len(self.words)
-        self.third_bigram = np.zeros(len(unique), np.int64)  # of its last two words
+            self.later[:] = True
+            self.later[self.starts] = False
+        keys = self.bigram[:-1][self.later[1:]].astype(np.int64)
+        self.third, self.third_after, self.third_word, self.third_counts = self._distinct(
+            keys, self.word[self.later], trained[self.later]
+        )  # the first of them of each later token
+        self.third_bigram = np.zeros(len(self.third_after), self.bigram.dtype)  # of its last two words
         self.third_bigram[self.third] = self.bigram[self.later]
-        self.third_starts = np.searchsorted(self.third_after, np.arange(len(self.context) + 1))
+        kinds = np.bincount(self.third_after, minlength=len(self.context))
+        self.third_starts = np.concatenate(([0], np.cumsum(kinds))).astype(_index(n))
+
+    def _distinct(self, before: np.ndarray, word: np.ndarray, trained: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of each pair its number among the different ones; what is before in these, their words and how often they are trained on."""
+        before *= len(self.words)
+        before += word
+        unique, number, counts = _counted(before, trained)
+        word = (unique % len(self.words)).astype(word.dtype)
+        unique //= len(self.words)
+        return number, unique.astype(_index(len(before))), word, counts.astype(_index(len(before)))
 
     def thirds(self, bigrams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How many third words each bigram has, and which."""
@@ -426,11 +455,16 @@ class _Chunk:
 
         A context belongs to one shard, a hot one to as many as it has parts, by successor.
         """
+        kind = np.min_scalar_type(shards)  # narrow numbers sort faster
         home = (self.words >> np.uint64(32)) % np.uint64(shards)
-        part = (self.words & _WORD_MASK)[self.successor] % hot.parts_of(self.words)[self.context]
-        shard = ((home[self.context] + part) % np.uint64(shards)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")  # in a shard still ordered by context
+        parts = hot.parts_of(self.words)
+        shard = home.astype(kind)[self.context]
+        spread = np.flatnonzero((parts > 1)[self.context])
+        context, low = self.context[spread], self.words[self.successor[spread]] & _WORD_MASK
+        shard[spread] = ((home[context] + low % parts[context]) % np.uint64(shards)).astype(kind)
+        order = np.argsort(shard, kind="stable").astype(self.bigram.dtype, copy=False)  # in a shard still ordered by context
         ordered = shard[order]
+        del home, parts, shard, spread, context, low
         starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
         for a, b in zip(starts, np.append(starts[1:], len(order))):
             bigrams = order[a:b]
@@ -525,11 +559,11 @@ def _answers(discount: float, hot: Hot):
         every = np.concatenate([np.repeat(c, r) for c, r in zip(contexts, runs)])
         words = np.concatenate([_keys(x) for x in pdf["words"]])
         third_runs = [unpack(x).astype(np.int64) for x in pdf["third_runs"]]
-        after = np.repeat(np.arange(len(every)), np.concatenate(third_runs))
-        third_words = np.concatenate([_keys(x, _THIRD_BITS) for x in pdf["third_words"]])
+        after = np.repeat(np.arange(len(every), dtype=_index(len(every))), np.concatenate(third_runs))
+        third_words = np.concatenate([np.frombuffer(x, "<u4") for x in pdf["third_words"]])
         counts, third_counts = (np.concatenate([unpack(x) for x in pdf[c]]) for c in ("counts", "third_counts"))
         trie = Trie.build(every, words, counts, discount, (after, third_words, third_counts))
-        del every, words, after, third_words, counts, third_counts
+        del every, words, after, third_words, counts, third_counts  # the trie takes their place
         spread = trie.context(hot.words)
         seen = np.flatnonzero(spread[0] >= 0)
         out = []
@@ -562,32 +596,43 @@ def _scores(
         for row in left.to_dict("records"):
             chunk = _Chunk(row, order)
             totals, kinds = np.zeros(len(chunk.words), np.int64), np.zeros(len(chunk.words), np.int64)
-            counts, third_kinds = np.zeros(len(chunk.context)), np.zeros(len(chunk.context), np.int64)
-            third_counts = np.zeros(len(chunk.third_after))
+            # Counts stay quantised until they are used.
+            counts, third_kinds = np.full(len(chunk.context), _ABSENT, np.uint16), np.zeros(len(chunk.context), chunk.third.dtype)
+            third_counts = np.full(len(chunk.third_after), _ABSENT, np.uint16)
             for shard, contexts, _, bigrams in chunk.messages(shards, hot):
                 t, k, f, third_k, third_f = map(unpack, answered[shard])
                 totals[contexts], kinds[contexts] = t, k
-                counts[bigrams], third_kinds[bigrams] = restore(f), third_k
-                third_counts[chunk.thirds(bigrams)[1]] = restore(third_f)
+                counts[bigrams], third_kinds[bigrams] = f, third_k
+                third_counts[chunk.thirds(bigrams)[1]] = third_f
             found, at = hot.places(chunk.words)  # of these the shards know parts only
             totals[found], kinds[found] = hot_totals[at], hot_kinds[at]
             single = (totals + 1) / (n + v + 1)
             base = np.log10(single)
             seen = np.maximum(totals, 1)
             backoff = np.where(totals > 0, discount * kinds / seen, 1.0)
-            two = counts / seen[chunk.context] + backoff[chunk.context] * single[chunk.successor]
-            # How often a bigram was seen is its discounted count and the discount, a whole number.
-            pairs = np.where(counts > 0, np.rint(counts + discount), 0)
-            after = chunk.third_after
-            of = np.maximum(pairs, 1)[after]
-            weight = np.where(pairs[after] > 0, discount * third_kinds[after] / of, 1.0)
-            three = third_counts / of + weight * two[chunk.third_bigram]
-            whole = np.log10(two)[chunk.bigram]
-            whole[chunk.later] = np.log10(three)[chunk.third]
-            sums = [np.add.reduceat(x, chunk.starts) for x in (
-                base[chunk.word], whole, (totals[chunk.word] > 0).astype(np.int64))]
+            two, pairs = np.empty(len(counts)), np.empty(len(counts))
+            for at in range(0, len(two), _BLOCK):
+                some = slice(at, at + _BLOCK)
+                context, count = chunk.context[some], restore(counts[some])
+                two[some] = count / seen[context] + backoff[context] * single[chunk.successor[some]]
+                # How often a bigram was seen is its discounted count and the discount, a whole number.
+                pairs[some] = np.where(count > 0, np.rint(count + discount), 0)
+            three = np.empty(len(third_counts))
+            for at in range(0, len(three), _BLOCK):
+                some = slice(at, at + _BLOCK)
+                after = chunk.third_after[some]
+                of = np.maximum(pairs[after], 1)
+                weight = np.where(pairs[after] > 0, discount * third_kinds[after] / of, 1.0)
+                three[some] = np.log10(restore(third_counts[some]) / of + weight * two[chunk.third_bigram[some]])
+            del counts, third_kinds, third_counts, pairs
+            whole = np.log10(two, out=two)[chunk.bigram]
+            whole[chunk.later] = three[chunk.third]
+            del two, three
+            whole = np.add.reduceat(whole, chunk.starts)
+            first = np.add.reduceat(base[chunk.word], chunk.starts)
+            known = np.add.reduceat((totals > 0)[chunk.word], chunk.starts, dtype=np.int64)
             keys = pd.Series(list(row["keys"]), dtype="object")
-            out.append(pd.DataFrame(dict(zip(names, (keys, chunk.held, chunk.lengths, sums[2], sums[0], sums[1])))))
+            out.append(pd.DataFrame(dict(zip(names, (keys, chunk.held, chunk.lengths, known, first, whole)))))
         return pd.concat(out) if out else pd.DataFrame(columns=names)
 
     return run
