@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.resource import ResourceProfileBuilder, TaskResourceRequests
 
+import __spark_entry__ as contract
 from turnloom import batch_infer, build_prompts, generate, padding_statistics
 from turnloom.operators.inference import cut_batches
 
@@ -99,3 +100,27 @@ def test_barrier_gives_the_same_rows(spark):
     rows, df = documents(spark, 40)
     got = batch_infer(df.repartition(3), "id", lambda **_: lambda p: [f"{len(x)}" for x in p], barrier=True).collect()
     assert {r["id"]: r["output"] for r in got} == {i: str(len(f"user\n{t}\nassistant\n")) for i, t in rows}
+
+
+@pytest.mark.parametrize("rows", [7, 100, 10_000])
+@pytest.mark.parametrize("by_length", [False, True])
+def test_padding_in_the_order_of_keys(spark, rows, by_length):
+    """As in one task, but no task has more than a run; rows that are equal in key and length lie in several runs."""
+    rng = random.Random(4)
+    texts = [(i, "x" * rng.randint(0, 200)) for i in range(300)] + [(50, "y" * 20)] * 90 + [(60, "z" * (i % 9)) for i in range(80)]
+    rng.shuffle(texts)
+    prompts = build_prompts(spark.createDataFrame(texts, "id int, text string").repartition(5), ["id"])
+    got = padding_statistics(prompts, 8, by_length=by_length, key=["id"], rows=rows)
+    lengths = [n for _, n in sorted((i, len(f"user\n{t}\nassistant\n")) for i, t in texts)]
+    runs = [lengths[at : at + rows] for at in range(0, len(lengths), rows)]
+    cut = [cut_batches(r, 8, by_length) for r in runs]
+    expected = (len(lengths), sum(map(len, cut)), sum(lengths), sum(map(padded, runs, cut)))
+    assert tuple(got.head()) == expected
+    assert tuple(padding_statistics(prompts.limit(0), key=["id"]).head()) == (0, 0, 0, 0)
+    with pytest.raises(ValueError, match="room"):
+        padding_statistics(prompts, key=["id"], rows=-1)
+
+
+def test_padding_query_has_no_task_for_all(spark):
+    plan = contract.batch_infer_padding(spark, "/root/testdata/sf0.01")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition 1," not in plan and "RepartitionByExpression" not in plan

@@ -34,7 +34,8 @@ from turnloom.functions.strings import strip_newlines
 from turnloom.functions.templates import Template, get_template
 from turnloom.operators.first import first_n
 from turnloom.operators.position import POSITION, first_with_position, with_position
-from turnloom.plans.scratch import is_written, scratch_path
+from turnloom.plans.ordered import with_running_start
+from turnloom.plans.scratch import is_written, scratch_path, scratch_table
 from turnloom.sources.pieces import ERROR, PIECE, in_pieces, piece_folders, read_pieces, write_pieces
 
 # Executors get this module's functions with their code; they need not have it.
@@ -90,28 +91,59 @@ def cut_batches(lengths: Sequence[int], batch_size: int, by_length: bool, max_pa
 
 
 def padding_statistics(
-    prompts: DataFrame, batch_size: int = BATCH_SIZE, by_length: bool = False, max_padded: int | None = None
-) -> DataFrame:
+    prompts: DataFrame, batch_size: int = BATCH_SIZE, by_length: bool = False, max_padded: int | None = None,
+    key: Sequence[str] = (), rows: int | None = None,
+) -> DataFrame:
     """One row: prompts, batches, characters, and characters once every batch is padded to its longest prompt.
 
-    It cuts the prompts as ``generate`` does with the same settings, and generates nothing.
+    It cuts the prompts as ``generate`` does with the same settings, and generates nothing. With ``key`` they
+    count as one task would take them in that order, ``rows`` of them (as many as an Arrow batch has) at a time; prompts with equal keys
+    go by their length. Only keys and lengths are shuffled then, and each such run of prompts is a group of its own.
     """
 
+    def counted(lengths: list[int]) -> list[int]:
+        cut = cut_batches(lengths, batch_size, by_length, max_padded)
+        return [len(lengths), len(cut), sum(lengths), sum(len(b) * max(lengths[i] for i in b) for b in cut)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = [0, 0, 0, 0]
-        for rows in batches:
-            lengths = rows["n"].to_pylist()
-            cut = cut_batches(lengths, batch_size, by_length, max_padded)
-            padded = sum(len(b) * max(lengths[i] for i in b) for b in cut)
-            counts = [a + b for a, b in zip(counts, (len(lengths), len(cut), sum(lengths), padded))]
+        for batch in batches:
+            counts = [a + b for a, b in zip(counts, counted(batch["n"].to_pylist()))]
         yield pa.RecordBatch.from_pydict({c: pa.array([v], pa.int64()) for c, v in zip(names, counts)})
 
+    def run_group(group: pa.Table) -> pa.Table:
+        group = group.sort_by("start")
+        lengths = [n for n, times in zip(group["n"].to_pylist(), group["times"].to_pylist()) for _ in range(times)]
+        return pa.table({c: pa.array([v], pa.int64()) for c, v in zip(names, counted(lengths))})
+
     names = ["n_prompts", "n_batches", "n_chars", "n_padded"]
-    lengths = prompts.select(F.char_length("prompt").alias("n"))
-    parts = lengths.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    schema = ", ".join(f"{c} long" for c in names)
+    lengths = prompts.select(*key, F.char_length("prompt").alias("n"))
+    if key:
+        parts = _in_runs(lengths, key, rows).groupBy("run").applyInArrow(run_group, schema)
+    else:
+        parts = lengths.mapInArrow(run, schema)
     return parts.agg(*[F.coalesce(F.sum(c), F.lit(0).cast("long")).alias(c) for c in names])
 
 
+def _in_runs(lengths: DataFrame, key: Sequence[str], rows: int | None) -> DataFrame:
+    """``run, start, n, times``: the lengths in each run of ``rows`` prompts in the order of their keys.
+
+    Prompts equal in key and length are one row until it is known which runs they are in.
+    """
+    rows = rows or int(lengths.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if rows < 1:
+        raise ValueError("a run needs room for a prompt")
+    different = scratch_table(lengths.groupBy(*key, "n").agg(F.count("*").alias("times")), "prompt-lengths")
+    placed = with_running_start(different, [*key, "n"], "times").select("n", "times", "start")
+    stop = F.col("start") + F.col("times")
+    first, last = ((x - F.pmod(x, F.lit(rows))) / F.lit(rows) for x in (F.col("start"), stop - 1))
+    spread = placed.select("*", stop.alias("stop"), F.explode(F.sequence(first.cast("long"), last.cast("long"))).alias("run"))
+    low = F.greatest("start", F.col("run") * F.lit(rows))
+    high = F.least("stop", (F.col("run") + 1) * F.lit(rows))
+    return spread.select("run", low.alias("start"), "n", (high - low).alias("times"))
+
+
 def generate(
     prompts: DataFrame,
     generator: GeneratorFactory,
