@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext, cloudpickle
 from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +31,7 @@ from turnloom.functions.reasoning import (
     split_text,
     strip_prompt_ids,
 )
+from turnloom.functions.slices import grouped, text_bytes
 from turnloom.functions.strings import strip_newlines
 from turnloom.functions.templates import Template, get_template
 from turnloom.operators.first import first_n
@@ -184,33 +186,59 @@ def generate(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, failure = generator(**settings), None
-        for rows in batches:
-            texts = rows["prompt"].to_pylist()
-            results: list[Any] = [None] * len(texts)
-            for batch in cut_batches(list(map(len, texts)), batch_size, by_length, max_padded) if failure is None else ():
+
+        def answered(texts: list[str], sizes: list[int]) -> list[Any]:
+            """The results of some batches, which follow each other in ``texts``."""
+            nonlocal failure
+            results: list[Any] = []
+            for size in sizes if failure is None else ():
+                asked = texts[len(results) : len(results) + size]
                 try:
-                    answers = list(model([texts[i] for i in batch]))
+                    answers = list(model(asked))
                 except Exception as error:
                     if not mark_failures or TaskContext.get().attemptNumber() + 1 < attempts:
                         raise
                     failure = f"{type(error).__name__}: {error}"
                     break
-                if len(answers) != len(batch):
-                    raise ValueError(f"{len(batch)} prompts gave {len(answers)} results")
-                for i, answer in zip(batch, answers):
-                    results[i] = answer
-            if failure is not None:
-                results = [None] * len(texts)
-            out = {name: rows[name] for name in names}
+                if len(answers) != size:
+                    raise ValueError(f"{size} prompts gave {len(answers)} results")
+                results += answers
+            return results if failure is None else [None] * len(texts)
+
+        def columns(results: list[Any]) -> dict[str, pa.Array]:
             if returns == "text":
-                out["raw"] = pa.array(results, pa.string())
-            else:
-                pairs = [r if isinstance(r, tuple) else (0, r) for r in results]
-                out["ids"] = pa.array([ids for _, ids in pairs], pa.list_(pa.int32()))
-                out["prompt_len"] = pa.array([n for n, _ in pairs], pa.int32())
+                return {"raw": pa.array(results, pa.string())}
+            pairs = [r if isinstance(r, tuple) else (0, r) for r in results]
+            return {
+                "ids": pa.array([ids for _, ids in pairs], pa.list_(pa.int32())),
+                "prompt_len": pa.array([n for n, _ in pairs], pa.int32()),
+            }
+
+        def finished(rows: pa.RecordBatch, results: dict[str, pa.Array]) -> pa.RecordBatch:
+            out = {name: rows[name] for name in names} | results
             if mark_failures:
-                out[ERROR] = pa.array([failure] * len(texts), pa.string())
-            yield pa.RecordBatch.from_pydict(out)
+                out[ERROR] = pa.array([failure] * rows.num_rows, pa.string())
+            return pa.RecordBatch.from_pydict(out)
+
+        for rows in batches:
+            cut = cut_batches(pc.utf8_length(rows["prompt"]).to_pylist(), batch_size, by_length, max_padded)
+            # Only the prompts and results of a group of batches are Python objects at a time.
+            groups = grouped(cut, text_bytes(rows["prompt"]))
+            if not by_length:
+                for group in groups:
+                    some = rows.slice(group[0][0], sum(map(len, group)))
+                    results = columns(answered(some["prompt"].to_pylist(), list(map(len, group))))
+                    yield finished(some, results)
+                continue
+            parts = [
+                columns(answered(rows["prompt"].take(pa.array([i for b in group for i in b])).to_pylist(), list(map(len, group))))
+                for group in groups
+            ]
+            order = [i for b in cut for i in b]
+            back = pa.array(sorted(range(len(order)), key=order.__getitem__), pa.int64())
+            if failure is not None:
+                parts = [columns([None] * len(order))]
+            yield finished(rows, {c: pa.concat_arrays([p[c] for p in parts]).take(back) for c in parts[0]} if parts else columns([]))
 
     return prompts.mapInArrow(run, schema, barrier=barrier, profile=profile)
 
