@@ -4,7 +4,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from turnloom import batch_infer
+from turnloom import batch_infer, parse_ids, tokenise
 from turnloom.functions.slices import SLICE_BYTES, grouped, id_bytes, sliced, text_bytes
 
 ROWS, CHARS = 3000, 4000
@@ -73,3 +73,33 @@ def _last(decoder):
     if decoder is None:
         return None
     return lambda: lambda batch: [decoder()([ids])[0] if ids else "" for ids in batch]
+
+
+def test_tokens_and_texts_of_ids(spark, tmp_path):
+    """A slice of texts is encoded and a slice of ids decoded at a time; no call gets more texts than asked for."""
+    path, calls = str(tmp_path / "most"), str(tmp_path / "calls")
+
+    def tokenizer():
+        kind = counted(list, path)
+
+        def encode(texts):
+            with open(calls, "a") as f:
+                f.write(f"{len(texts)}\n")
+            return [kind([len(t), *[1] * (len(t) // 4)]) for t in texts]
+
+        return encode
+
+    def decoder():
+        def decode(lists):
+            assert len(lists) <= SLICE_BYTES // CHARS + 1 or not any(lists)
+            return [str(ids[0]) if ids else "" for ids in lists]
+
+        return decode
+
+    tokens = tokenise(long_texts(spark), ["id"], tokenizer=tokenizer, batch_size=50)
+    raw = tokens.select("id", F.col("tokens").alias("ids"), F.lit(0).alias("prompt_len")).localCheckpoint()
+    assert int((tmp_path / "most").read_text()) <= SLICE_BYTES // CHARS + 50 < ROWS / 5
+    asked = [int(line) for line in (tmp_path / "calls").read_text().splitlines()]
+    assert sum(asked) == ROWS and max(asked) == 50 and min(asked) == 50
+    texts = dict(parse_ids(raw, decoder, marker=-1).select("id", "output").collect())
+    assert texts == {i: str(700_000 if i == 7 else CHARS) for i in range(ROWS)}

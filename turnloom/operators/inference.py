@@ -31,7 +31,7 @@ from turnloom.functions.reasoning import (
     split_text,
     strip_prompt_ids,
 )
-from turnloom.functions.slices import grouped, text_bytes
+from turnloom.functions.slices import grouped, id_bytes, sliced, text_bytes
 from turnloom.functions.strings import strip_newlines
 from turnloom.functions.templates import Template, get_template
 from turnloom.operators.first import first_n
@@ -284,11 +284,13 @@ def parse_ids(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = decoder()
         for rows in batches:
-            out = {name: rows[name] for name in names}
-            for part in parts:
-                texts = list(decode(rows[f"{part}_ids"].to_pylist()))
-                out[part] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_pydict(out)
+            sizes = [a + b for a, b in zip(*(id_bytes(rows[f"{part}_ids"]) for part in parts))]
+            for some in sliced(rows, sizes):
+                out = {name: some[name] for name in names}
+                for part in parts:
+                    texts = list(decode(some[f"{part}_ids"].to_pylist()))
+                    out[part] = pa.array(texts, pa.string())
+                yield pa.RecordBatch.from_pydict(out)
 
     decoded = split.mapInArrow(run, schema)
     return decoded.withColumns({part: strip_newlines(F.col(part)) for part in parts})

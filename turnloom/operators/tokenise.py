@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from turnloom.functions.slices import sliced, text_bytes
 from turnloom.functions.tokens import truncate, whitespace_tokens
 
 TokenizerFactory = Callable[[], Callable[[list[str]], Sequence[Sequence[int]]]]
@@ -40,17 +41,19 @@ def tokenise(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer()
         for batch in batches:
-            texts = batch["__text"].to_pylist()
-            ids: list[Sequence[int]] = []
-            for at in range(0, len(texts), batch_size):
-                asked = texts[at : at + batch_size]
-                found = list(encode(asked))
-                if len(found) != len(asked):
-                    raise ValueError(f"{len(asked)} texts gave {len(found)} token lists")
-                ids += found
-            out = {name: batch[name] for name in names}
-            out["tokens"] = pa.array(ids, pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_pydict(out)
+            # Only the texts and tokens of a slice are Python objects at a time.
+            for some in sliced(batch, text_bytes(batch["__text"]), batch_size):
+                texts = some["__text"].to_pylist()
+                ids: list[Sequence[int]] = []
+                for at in range(0, len(texts), batch_size):
+                    asked = texts[at : at + batch_size]
+                    found = list(encode(asked))
+                    if len(found) != len(asked):
+                        raise ValueError(f"{len(asked)} texts gave {len(found)} token lists")
+                    ids += found
+                out = {name: some[name] for name in names}
+                out["tokens"] = pa.array(ids, pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_pydict(out)
 
     return rows.mapInArrow(run, T.StructType([*carried.schema.fields, tokens]))
 
