@@ -1,6 +1,7 @@
 """Few rows of an Arrow batch are Python objects at a time, whatever the batch holds."""
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +104,12 @@ def test_tokens_and_texts_of_ids(spark, tmp_path):
     assert sum(asked) == ROWS and max(asked) == 50 and min(asked) == 50
     texts = dict(parse_ids(raw, decoder, marker=-1).select("id", "output").collect())
     assert texts == {i: str(700_000 if i == 7 else CHARS) for i in range(ROWS)}
+
+
+def test_pieces_are_written_in_small_row_groups(spark, tmp_path):
+    out = batch_infer(long_texts(spark), "id", lambda **_: lambda p: [f"{len(x)}" for x in p], pieces=2, raw_path=str(tmp_path / "raw"))
+    assert out.count() == ROWS
+    for file in (tmp_path / "raw").glob("piece-*/*.parquet"):
+        about = pq.ParquetFile(file).metadata
+        sizes = [about.row_group(i).total_byte_size for i in range(about.num_row_groups)]
+        assert len(sizes) > 1 and max(sizes) < 6 << 20

@@ -229,6 +229,8 @@ def generate(
                     some = rows.slice(group[0][0], sum(map(len, group)))
                     results = columns(answered(some["prompt"].to_pylist(), list(map(len, group))))
                     yield finished(some, results)
+                    del some, results
+                del rows  # before the next batch is read
                 continue
             parts = [
                 columns(answered(rows["prompt"].take(pa.array([i for b in group for i in b])).to_pylist(), list(map(len, group))))

@@ -23,6 +23,7 @@ PIECE = "__piece"
 ERROR = "__error"  # why a row has no result; its piece is then not committed
 _FORMAT = "committed_pieces"
 _FOLDER = "piece-{:05d}"
+_GROUP_BYTES = 4 << 20  # of a row group, which is encoded in memory
 
 
 @dataclass
@@ -76,6 +77,7 @@ class PiecesWriter(DataSourceArrowWriter):
                         done.failed.setdefault(piece, wrong)
                     now.write(batch.slice(at, stop - at))
                     at = stop
+                del batch, numbers, errors  # before the next one is read
             finish()
         except BaseException:
             if now is not None:
@@ -113,7 +115,7 @@ class _Piece:
         self.writer = pq.ParquetWriter(self.stream, schema)
 
     def write(self, batch: pa.RecordBatch) -> None:
-        self.writer.write_batch(batch)
+        self.writer.write_batch(batch, row_group_size=max(1, batch.num_rows * _GROUP_BYTES // max(batch.nbytes, 1)))
         self.rows += batch.num_rows
 
     def _close(self) -> None:
